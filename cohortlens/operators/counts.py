@@ -44,7 +44,7 @@ def datasets_used(
     rows = apply_filters(df, rule)
     if dataset_column:
         return rows.select(F.col(dataset_column).alias("dataset")).distinct()
-    return rows.limit(1).select(F.lit(table).alias("dataset"))
+    return df.sparkSession.createDataFrame([] if rows.isEmpty() else [(table,)], "dataset string")
 
 
 def require_rows(df: DataFrame, table: str, rule: FilterRule | None = None) -> DataFrame:

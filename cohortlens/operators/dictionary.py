@@ -50,9 +50,9 @@ def merge_variables(metas: DataFrame, exhaustive: bool = False, sources: int | N
     Variables with the same code and type are one; their dataset sets are
     united. ``exhaustive`` keeps only the variables that every source has.
     """
-    merged = metas.groupBy("code", "type").agg(
+    merged = metas.withColumn("dataset", F.explode_outer("datasets")).groupBy("code", "type").agg(
         F.min_by("label", "source").alias("label"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("datasets")))).alias("datasets"),
+        F.array_sort(F.collect_set("dataset")).alias("datasets"),
         F.count_distinct("source").alias("sources"),
     )
     if exhaustive:

@@ -87,8 +87,19 @@ def _rows_at_ranks(
     return [found[wanted[i]] for i in sorted(wanted)]
 
 
-def _after(order: Column, tie: Column, end: tuple) -> Column:
-    return (order > F.lit(end[0])) | ((order == F.lit(end[0])) & (tie > F.lit(end[1])))
+def _count_below(key: Column, ends: list, first: int) -> Column:
+    """``first`` plus the number of tile ends below the key.
+
+    The key goes through a one-element array, so that a filter on the fold that
+    the optimizer pushes down computes the key once and not once per end.
+    """
+    def place(k):
+        out = F.lit(first)
+        for end in ends:
+            out = out + (k > end).cast("int")
+        return out
+
+    return F.get(F.transform(F.array(key), place), F.lit(0))
 
 
 def ntile_by_order(df: DataFrame, order: Column, tie: str, k: int, output: str) -> DataFrame:
@@ -103,11 +114,9 @@ def ntile_by_order(df: DataFrame, order: Column, tie: str, k: int, output: str)
 
     keyed = df.select(F.struct(order.alias("_order"), F.col(tie).alias("_tie")).alias("key"))
     ends = _rows_at_ranks(keyed, digits, lambda n: _tile_ends(n, k))
-    with_order = df.withColumn("_order", order)
-    fold = F.lit(1)
-    for end in ends:
-        fold = fold + _after(F.col("_order"), F.col(tie), end).cast("int")
-    return with_order.withColumn(output, fold.cast("int")).drop("_order")
+    key = F.struct(order.alias("o"), F.col(tie).alias("t"))
+    marks = [F.struct(F.lit(o).alias("o"), F.lit(t).alias("t")) for o, t in ends]
+    return df.withColumn(output, _count_below(key, marks, 1))
 
 
 def split_column(k: int) -> str:
@@ -177,11 +186,8 @@ def offset_folds(df: DataFrame, key: str, k: int, output: str = "fold") -> DataF
 
     keyed = df.select(F.struct(F.col(key).alias("k")).alias("key"))
     ends = _rows_at_ranks(keyed, digits, lambda n: [i * n // k for i in range(1, k)])
-    fold = F.lit(0)
-    for (end,) in ends:
-        fold = fold + (F.col(key) > F.lit(end)).cast("int")
     missing = k - 1 - len(ends)  # more folds than rows: the first ones are empty
-    return df.withColumn(output, (fold + missing).cast("int"))
+    return df.withColumn(output, _count_below(F.col(key), [F.lit(e) for (e,) in ends], missing))
 
 
 def train_test(df: DataFrame, split: str, fold: int) -> tuple:

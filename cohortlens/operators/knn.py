@@ -89,6 +89,36 @@ class _Cells:
         return (node - (2 ** self.depth - 1)).astype(np.int32)
 
 
+@dataclass
+class _Boxes:
+    """Bounding boxes and row counts of the cells."""
+
+    ids: np.ndarray
+    sizes: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+
+    def within(self, x: np.ndarray, own: np.ndarray, limit: np.ndarray, k: int) -> list:
+        """Per point the other cells that may hold one of its k nearest rows."""
+        out, block = [], max(1, DISTANCE_CELLS // len(self.ids))
+        for at in range(0, len(x), block):
+            q, bound = x[at:at + block], limit[at:at + block].copy()
+            near, far = np.zeros((len(q), len(self.ids))), np.zeros((len(q), len(self.ids)))
+            for j in range(q.shape[1]):
+                below, above = self.lo[None, :, j] - q[:, j, None], q[:, j, None] - self.hi[None, :, j]
+                near += np.maximum(np.maximum(below, above), 0.0) ** 2
+                far += np.maximum(np.abs(below), np.abs(above)) ** 2
+            # own cell holds fewer than k rows: a radius that is sure to hold k
+            for i in np.flatnonzero(np.isinf(bound)):
+                order = np.argsort(far[i])
+                enough = np.searchsorted(np.cumsum(self.sizes[order]), k)
+                if enough < len(order):
+                    bound[i] = far[i][order[enough]]
+            reach = (near <= bound[:, None]) & (self.ids[None, :] != own[at:at + block, None])
+            out += [self.ids[r] for r in reach]
+        return out
+
+
 def _build_cells(sample: np.ndarray, leaves: int) -> _Cells:
     depth = max(0, int(np.ceil(np.log2(max(leaves, 1)))))
     inner = max(2 ** depth - 1, 1)
@@ -190,11 +220,11 @@ def neighbours(model: KnnModel, df: DataFrame, key: str, k: int = 5) -> DataFram
     total = train.count()
     if total == 0:
         raise ValueError("kNN needs training rows")
-    fraction = min(1.0, 2.0 * SAMPLE_ROWS / total)
     sample = train.select(*xs)
-    sample = sample if fraction >= 1.0 else sample.sample(fraction, seed=17)
+    if total > SAMPLE_ROWS:
+        sample = sample.sample(SAMPLE_ROWS / total, seed=17).limit(2 * SAMPLE_ROWS)
     cells = _build_cells(  # steers which rows meet first, not the result
-        sample.limit(SAMPLE_ROWS).toPandas().to_numpy(float), min(-(-total // model.leaf_rows), MAX_LEAVES)
+        sample.toPandas().to_numpy(float), min(-(-total // model.leaf_rows), MAX_LEAVES)
     )
     sc = df.sparkSession.sparkContext
     shared = sc.broadcast(cells)  # at most MAX_LEAVES cuts
@@ -217,22 +247,16 @@ def neighbours(model: KnnModel, df: DataFrame, key: str, k: int = 5) -> DataFram
     if len(boxes) == 1:
         return merge_near(home, k).withColumnRenamed("_q", key)
     home = checkpoint(queries.join(merge_near(home, k), "_q", "left"))
-    bounds = sc.broadcast((
-        np.array([b["_cell"] for b in boxes]),
+    bounds = sc.broadcast(_Boxes(  # one row per cell
+        np.array([b["_cell"] for b in boxes]), np.array([b["n"] for b in boxes]),
         np.array([[b[f"lo{x}"] for x in xs] for b in boxes], dtype=float),
         np.array([[b[f"hi{x}"] for x in xs] for b in boxes], dtype=float),
     ))
 
     @F.pandas_udf("array<int>")
     def other_cells(own: pd.Series, limit: pd.Series, *columns: pd.Series) -> pd.Series:
-        ids, lo, hi = bounds.value
         x = np.column_stack([c.to_numpy(float) for c in columns])
-        gap = np.zeros((len(x), len(ids)))
-        for j in range(x.shape[1]):
-            q = x[:, j, None]
-            gap += np.maximum(np.maximum(lo[None, :, j] - q, q - hi[None, :, j]), 0.0) ** 2
-        reach = (gap <= limit.to_numpy(float)[:, None]) & (ids[None, :] != own.to_numpy()[:, None])
-        return pd.Series([ids[r] for r in reach])
+        return pd.Series(bounds.value.within(x, own.to_numpy(), limit.to_numpy(float), k))
 
     limit = F.when(F.size("near") >= k, F.element_at("near", k)["d2"]).otherwise(F.lit(float("inf")))
     further = (

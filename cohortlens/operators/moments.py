@@ -8,6 +8,8 @@ shift lies near the data and keeps the sums free of cancellation.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,12 @@ COLUMNS_PER_PASS = 60
 
 def find_shifts(df: DataFrame, variables: list) -> dict:
     """A constant near each variable's values. It steers rounding only, not results."""
-    peek = df.select(*[F.col(f"`{v}`").cast("double").alias(v) for v in variables]).limit(PEEK_ROWS)
-    row = peek.agg(*[F.avg(f"`{v}`").alias(v) for v in variables]).first()
-    return {v: float(row[v]) if row[v] is not None and row[v] == row[v] else 0.0 for v in variables}
+    peek = df.select(*[F.col(f"`{v}`").cast("double") for v in variables]).take(PEEK_ROWS)
+    shifts = {}
+    for i, v in enumerate(variables):
+        seen = [r[i] for r in peek if r[i] is not None and math.isfinite(r[i])]
+        shifts[v] = sum(seen) / len(seen) if seen else 0.0
+    return shifts
 
 
 def moment_states(df: DataFrame, variables: list, by=(), shifts: dict | None = None) -> DataFrame:

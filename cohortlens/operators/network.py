@@ -18,7 +18,6 @@ from cohortlens.operators.gram import nominal_levels
 from cohortlens.operators.histogram import bin_index, numeric_ranges
 from cohortlens.session import BROADCAST_ROWS, checkpoint
 
-CHECKPOINT_EVERY = 3
 NUMERIC_BINS = 4
 
 
@@ -53,42 +52,41 @@ def network_features(
     ]
     mass = [f"s{j}" for j in range(len(classes))]
     base = checkpoint(counted.select("*", held.alias("held"), *restart))
-    state = base.select("*", *[F.col(f"r{j}").alias(s) for j, s in enumerate(mass)])
-    small_values = False
-    for turn in range(1, iters + 1):
-        pairs = F.inline(F.array(*[
-            F.struct(F.lit(i).alias("at"), F.col(v).alias("value")) for i, v in enumerate(values)
-        ]))
-        by_value = (
-            state.select("m", "held", *mass, pairs).filter(F.col("value").isNotNull())
-            .groupBy("at", "value").agg(
-                F.sum("m").alias("deg"),
-                *[F.sum(F.col("m") * F.col(s) / F.col("held")).alias(f"f_{s}") for s in mass],
-            )
-        )
-        by_value = checkpoint(by_value.select("at", "value", *[(F.col(f"f_{s}") / F.col("deg")).alias(f"f_{s}") for s in mass]))
-        if turn == 1:
-            small_values = _is_small(by_value)  # the values stay the same in every turn
-        side = F.broadcast(by_value) if small_values else by_value
-        nxt = state
+
+    def step(flows: DataFrame | None, small: bool) -> DataFrame:
+        """Mass of every profile, from what its values hand back."""
+        out = base
+        if flows is None:
+            return out.select("*", *[F.col(f"r{j}").alias(s) for j, s in enumerate(mass)])
+        side = F.broadcast(flows) if small else flows
         for i, v in enumerate(values):
             part = side.filter(F.col("at") == i).select(
                 F.col("value").alias(v), *[F.col(f"f_{s}").alias(f"_g{i}_{s}") for s in mass]
             )
-            nxt = nxt.join(part, v, "left")
-        state = nxt.select(
-            "_class", *values, "m", "held", *[f"r{j}" for j in range(len(classes))],
-            *[
-                ((1 - damping) * F.col(f"r{j}") + damping * reduce(
-                    lambda a, b: a + b,
-                    [F.coalesce(F.col(f"_g{i}_{s}"), F.lit(0.0)) for i in range(len(values))],
-                )).alias(s)
-                for j, s in enumerate(mass)
-            ],
+            out = out.join(part, v, "left")
+        returned = [
+            reduce(lambda a, b: a + b, [F.coalesce(F.col(f"_g{i}_{s}"), F.lit(0.0)) for i in range(len(values))])
+            for s in mass
+        ]
+        return out.select(*base.columns, *[
+            ((1 - damping) * F.col(f"r{j}") + damping * back).alias(s)
+            for j, (s, back) in enumerate(zip(mass, returned))
+        ])
+
+    flows, small = None, False
+    pairs = F.inline(F.array(*[
+        F.struct(F.lit(i).alias("at"), F.col(v).alias("value")) for i, v in enumerate(values)
+    ]))
+    for turn in range(iters):
+        spread = step(flows, small).select("m", "held", *mass, pairs).filter(F.col("value").isNotNull())
+        summed = spread.groupBy("at", "value").agg(
+            F.sum("m").alias("deg"), *[F.sum(F.col("m") * F.col(s) / F.col("held")).alias(f"f_{s}") for s in mass]
         )
-        if turn % CHECKPOINT_EVERY == 0:
-            state = checkpoint(state)
-    profiles = checkpoint(state.select("_class", *values, *mass))
+        # a row per value: the only thing carried on, so the lineage stays one turn long
+        flows = checkpoint(summed.select("at", "value", *[(F.col(f"f_{s}") / F.col("deg")).alias(f"f_{s}") for s in mass]))
+        if turn == 0:
+            small = _is_small(flows)  # the values stay the same in every turn
+    profiles = checkpoint(step(flows, small).select("_class", *values, *mass))
     right = profiles.select(F.col("_class").alias("_c"), *[F.col(v).alias(f"_p{v}") for v in values], *mass)
     right = F.broadcast(right) if _is_small(profiles) else right
     cond = F.col("_class").eqNullSafe(F.col("_c"))

@@ -10,6 +10,8 @@ a map-side aggregate whose size does not depend on the number of rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,29 +143,24 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact percentiles of every (by, variable) group; ``states`` gives n, min and max.
 
-    ``states`` must be cheap to read again (checkpointed or stored).
+    ``states`` must be cheap to read again (checkpointed or stored). The limit
+    holds for all variables of a group together, as one task buffers them all.
     """
+    limit = max(direct_rows // len(variables), 1)
     largest = states.agg(F.max("n")).first()[0] or 0
-    if largest <= direct_rows:
+    if largest <= limit:
         return direct_percentiles(df, variables, by, probs)
-    big = states.filter(F.col("n") > direct_rows)
-    narrowed = narrowed_percentiles(df, variables, by, probs, big, direct_rows)
-    if not by:
-        small = [r["variable"] for r in states.filter(F.col("n") <= direct_rows).collect()]
-        return narrowed.unionByName(direct_percentiles(df, small, by, probs)) if small else narrowed
-    # rows of large groups leave before the built-in aggregate sees them
-    large_keys = checkpoint(big.select(*by, "variable").distinct())
+    big = checkpoint(states.filter(F.col("n") > limit))
+    narrowed = narrowed_percentiles(df, variables, by, probs, big, limit)
+    large_keys = big.select(*by, "variable").distinct()  # few: narrowed_percentiles has checked
     rest = df
-    for v in variables:
+    for v in variables:  # rows of large groups leave before the built-in aggregate sees them
         keys = large_keys.filter(F.col("variable") == v).select(
             *[F.col(c).alias(f"_k_{c}") for c in by], F.lit(True).alias("_large")
         )
-        cond = None
-        for c in by:
-            eq = F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-            cond = eq if cond is None else cond & eq
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by])
         rest = (
-            rest.join(F.broadcast(keys), cond, "left")  # large groups only, checked above
+            rest.join(F.broadcast(keys), same, "left")
             .withColumn(v, F.when(F.col("_large").isNull(), F.col(f"`{v}`")))
             .drop("_large", *[f"_k_{c}" for c in by])
         )

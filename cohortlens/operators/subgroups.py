@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -14,19 +13,13 @@ from cohortlens.operators.histogram import bin_index, numeric_ranges
 from cohortlens.session import checkpoint, small_rows
 
 BINS = 4
-MAX_CONDITIONS = 5000
+MAX_CLASSES = 200
+MAX_CANDIDATES = 500_000
 RULE_SCHEMA = (
     "target string, rule string, depth int, cov long, pos long, prec double, lift double, pval double"
 )
 
 
-@dataclass(frozen=True)
-class Condition:
-    column: str
-    value: str
-    text: str
-
-
 def binned(df: DataFrame, columns: list, bins: int = BINS) -> tuple:
     """(cells, labels): the table as category columns, and how each category reads."""
     numeric = [c for c in columns if not is_nominal(df, c)]
@@ -80,63 +73,63 @@ def subgroups(
 ) -> DataFrame:
     """Beam search for rules on each target class, best lift first.
 
-    The table is reduced once to counts per combination of categories; each
-    level then evaluates all extensions of the surviving rules in one aggregate.
+    The table is reduced once to counts per combination of categories. Each
+    level then takes one aggregate over these: a row counts towards every
+    surviving rule that covers it, extended by each of the row's own categories.
     """
     cells, labels = binned(df, [y, *xs], bins)
     cube = checkpoint(cells.dropna().groupBy(y, *xs).agg(F.count(F.lit(1)).alias("_n")))
     targets = {r[y]: r["n"] for r in small_rows(
-        cube.groupBy(y).agg(F.sum("_n").alias("n")), MAX_CONDITIONS, "target classes")}
+        cube.groupBy(y).agg(F.sum("_n").alias("n")), MAX_CLASSES, "target classes")}
     total = sum(targets.values())
-    found = small_rows(
-        cube.select(F.inline(F.array(*[
-            F.struct(F.lit(x).alias("c"), F.col(f"`{x}`").alias("v")) for x in xs
-        ]))).distinct(), MAX_CONDITIONS, "conditions")
-    conditions = sorted(
-        (Condition(r["c"], r["v"], labels.get((r["c"], r["v"]), f"{r['c']}={r['v']}")) for r in found),
-        key=lambda c: (xs.index(c.column), c.value),
-    )
-    survivors = {t: [()] for t in targets}
+    classes = sorted(targets)
+    survivors: dict = {t: [()] for t in classes}
     results = []
     for level in range(1, depth + 1):
-        candidates = {}
-        for t, rules in survivors.items():
-            for rule in rules:
-                for c in conditions:
-                    if all(c.column != r.column for r in rule):
-                        candidates.setdefault(frozenset((*rule, c)), tuple(sorted(
-                            (*rule, c), key=lambda k: xs.index(k.column))))
-        rules = list(candidates.values())
-        counts = _evaluate(cube, y, rules)
-        for t, positives in targets.items():
-            scored = []
-            for i, rule in enumerate(rules):
-                cov, pos = sum(counts[i].values()), counts[i].get(t, 0)
-                if cov and cov >= support * total and pos:
+        rules = list(dict.fromkeys(rule for t in classes for rule in survivors[t]))
+        counted = _extensions(cube, y, xs, rules, classes, support * total)
+        for t in classes:
+            scored: dict = {}
+            mine = set(survivors[t])
+            for rule, counts in counted.items():
+                cov, pos = sum(counts.values()), counts[t]
+                # a candidate belongs to a class when a rule of its beam was extended
+                if pos and any(tuple(c for c in rule if c != x) in mine for x in rule):
                     prec = pos / cov
-                    scored.append((prec / (positives / total), pos, rule, cov, prec))
-            scored.sort(key=lambda s: (-s[0], -s[1], [c.text for c in s[2]]))
-            kept = scored[:beam]  # the beam is the search's own parameter
-            survivors[t] = [s[2] for s in kept]
+                    scored[rule] = (prec / (targets[t] / total), pos, cov, prec)
+            text = {rule: [labels.get(c, f"{c[0]}={c[1]}") for c in rule] for rule in scored}
+            order = sorted(scored, key=lambda r: (-scored[r][0], -scored[r][1], text[r]))
+            survivors[t] = order[:beam]  # the beam is the search's own parameter
             name = labels.get((y, t), f"{y}={t}")
-            for lift, pos, rule, cov, prec in kept:
-                p = fisher_greater(pos, cov, positives, total)
+            for rule in survivors[t]:
+                lift, pos, cov, prec = scored[rule]
+                p = fisher_greater(pos, cov, targets[t], total)
                 if lift > 1 and p <= alpha:
-                    results.append((name, ", ".join(c.text for c in rule), level, cov, pos, prec, lift, p))
+                    results.append((name, ", ".join(text[rule]), level, cov, pos, prec, lift, p))
     results.sort(key=lambda r: (r[0], -r[6], r[1]))
     return df.sparkSession.createDataFrame(results, RULE_SCHEMA)
 
 
-def _evaluate(cube: DataFrame, y: str, rules: list, batch: int = 200) -> list:
-    """Per rule: class -> covered rows. One aggregate per batch of rules."""
-    out: list = [{} for _ in rules]
-    for at in range(0, len(rules), batch):
-        aggs = []
-        for i, rule in enumerate(rules[at:at + batch], at):
-            hit = reduce(lambda a, b: a & b, [F.col(f"`{c.column}`") == c.value for c in rule])
-            aggs.append(F.sum(F.when(hit, F.col("_n"))).alias(f"r{i}"))
-        for r in cube.groupBy(F.col(f"`{y}`").alias("_t")).agg(*aggs).collect():  # one row per class
-            for i in range(at, min(at + batch, len(rules))):
-                if r[f"r{i}"]:
-                    out[i][r["_t"]] = r[f"r{i}"]
+def _extensions(cube: DataFrame, y: str, xs: list, rules: list, classes: list, least: float) -> dict:
+    """rule + one condition -> class -> covered rows, for extensions with enough support."""
+    hits = [
+        F.when(reduce(lambda a, b: a & b, [F.col(f"`{c}`") == v for c, v in rule], F.lit(True)), F.lit(i))
+        for i, rule in enumerate(rules)
+    ]
+    pairs = F.inline(F.array(*[F.struct(F.lit(x).alias("c"), F.col(f"`{x}`").alias("v")) for x in xs]))
+    covered = cube.select(F.col(f"`{y}`").alias("_t"), "_n", *xs, F.explode(
+        F.filter(F.array(*hits), lambda i: i.isNotNull())).alias("_rule"))
+    counts = (
+        covered.select("_t", "_n", "_rule", pairs).groupBy("_rule", "c", "v")
+        .agg(F.sum("_n").alias("cov"), *[
+            F.sum(F.when(F.col("_t") == t, F.col("_n")).otherwise(0)).alias(f"n{i}") for i, t in enumerate(classes)
+        ])
+        .filter(F.col("cov") >= least)
+    )
+    out: dict = {}
+    for r in small_rows(counts, MAX_CANDIDATES, "candidate rules; raise the support"):
+        rule = rules[r["_rule"]]
+        if all(c != r["c"] for c, _ in rule):
+            grown = tuple(sorted((*rule, (r["c"], r["v"])), key=lambda c: xs.index(c[0])))
+            out[grown] = {t: r[f"n{i}"] for i, t in enumerate(classes)}
     return out

@@ -18,9 +18,14 @@ SUMMARY_COLUMNS = [
 ]
 
 
-def grouping_levels(grouping: list) -> list:
-    """Every combination of the grouping columns, plus the overall row."""
-    return [list(grouping), []] if grouping else [[]]
+def expand_levels(df: DataFrame, grouping: list) -> DataFrame:
+    """Each row once under its group and once under the overall group, told apart by ``_all``."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in grouping]
+    if not grouping:
+        return df.select(*others, F.lit(True).alias("_all"))
+    own = F.struct(*[F.col(f"`{g}`").alias(g) for g in grouping], F.lit(False).alias("_all"))
+    overall = F.struct(*[F.lit(None).cast(df.schema[g].dataType).alias(g) for g in grouping], F.lit(True).alias("_all"))
+    return df.select(*others, F.inline(F.array(own, overall)))
 
 
 def group_labels(grouping: list, is_all: Column) -> list:
@@ -62,20 +67,12 @@ def numeric_summary(
         m["mean"].alias("mean"), m["std"].alias("std"), m["EX^2"].alias("EX^2"), "min", "max",
     )
     if percentiles:
-        parts = []
-        for level in grouping_levels(grouping):
-            level_states = states.groupBy(*level, "variable").agg(*merge_exprs())
-            q = exact_percentiles(df, variables, level, PROBS, level_states, direct_rows)
-            missing = [F.lit(None).cast(df.schema[g].dataType).alias(g) for g in grouping if g not in level]
-            parts.append(q.select(*level, *missing, "variable", "q", F.lit(not level).alias("_all")))
-        q = parts[0]
-        for p in parts[1:]:
-            q = q.unionByName(p)
-        q = q.select(*[F.col(g).alias(f"_g_{g}") for g in grouping],
-                     F.col("variable").alias("_v"), F.col("_all").alias("_a"), "q")
-        cond = (F.col("index") == F.col("_v")) & (F.col("_all") == F.col("_a"))
-        for g in grouping:
-            cond = cond & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        levels = [*grouping, "_all"]
+        found = exact_percentiles(expand_levels(df, grouping), variables, levels, PROBS, merged, direct_rows)
+        q = found.select(*[F.col(g).alias(f"_p_{g}") for g in levels], F.col("variable").alias("_p_v"), "q")
+        cond = F.col("index") == F.col("_p_v")
+        for g in levels:
+            cond = cond & F.col(g).eqNullSafe(F.col(f"_p_{g}"))
         out = out.join(q, cond, "left")
     else:
         out = out.withColumn("q", F.lit(None).cast("array<double>"))

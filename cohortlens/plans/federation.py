@@ -36,10 +36,10 @@ def scatter_gather(run: Callable, df: DataFrame, dataset_column: str, datasets:
 
 def compound(results: DataFrame) -> DataFrame:
     """One row over several results (job_id, dataset, feedback): ids joined, sets united."""
-    gathered = results.agg(
+    gathered = results.withColumn("note", F.explode_outer("feedback")).agg(
         F.array_sort(F.collect_set("job_id")).alias("ids"),
         F.array_sort(F.collect_set("dataset")).alias("data_provenance"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("feedback")))).alias("feedback"),
+        F.array_sort(F.collect_set("note")).alias("feedback"),
     )
     return gathered.select(
         F.array_join("ids", "+").alias("job_id"),
