@@ -158,7 +158,7 @@ def leave_out(
 
 
 def offset_folds(df: DataFrame, key: str, k: int, output: str = "fold") -> DataFrame:
-    """Contiguous folds 0..k-1 of a table ordered by its key: fold i starts at rank i*n div k."""
+    """Contiguous folds 0..k-1 of a table ordered by its key: fold i starts at rank i*n/k, rounded."""
     text = isinstance(df.schema[key].dataType, T.StringType)
     if not text and not isinstance(df.schema[key].dataType, T.IntegralType):
         raise ValueError("offset folds need an integer or text key")
@@ -185,7 +185,7 @@ def offset_folds(df: DataFrame, key: str, k: int, output: str = "fold") -> DataF
             return F.col("key.k").cast("bigint") - F.lit(int(bounds["lo"])), max(span.bit_length(), 1)
 
     keyed = df.select(F.struct(F.col(key).alias("k")).alias("key"))
-    ends = _rows_at_ranks(keyed, digits, lambda n: [i * n // k for i in range(1, k)])
+    ends = _rows_at_ranks(keyed, digits, lambda n: [(2 * i * n + k) // (2 * k) for i in range(1, k)])
     missing = k - 1 - len(ends)  # more folds than rows: the first ones are empty
     return df.withColumn(output, _count_below(F.col(key), [F.lit(e) for (e,) in ends], missing))
 

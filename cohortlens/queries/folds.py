@@ -87,7 +87,7 @@ def fold_pairs(spark, d):
 
 
 def _offset_sql(key: str, source: str, k: int) -> str:
-    starts = " + ".join(f"CAST(rank >= ({i} * n) // {k} AS INTEGER)" for i in range(1, k))
+    starts = " + ".join(f"CAST(rank >= (2 * {i} * n + {k}) // (2 * {k}) AS INTEGER)" for i in range(1, k))
     return f"""SELECT {key}, CAST({starts} AS INTEGER) AS fold FROM
       (SELECT {key}, row_number() OVER (ORDER BY {key}) - 1 AS rank, count(*) OVER () AS n FROM {source})"""
 
