@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +54,11 @@ def nominal_columns(df: DataFrame, names: list) -> list:
     return [c for c in names if is_nominal(df, c)]
 
 
+def name_at(names: list, position: str) -> Column:
+    """The name at a position: rows carry the number and get the text once they are few."""
+    return F.get(F.array(*[F.lit(n) for n in names]), F.col(position))
+
+
 def decimals_to_double(df: DataFrame) -> DataFrame:
     return df.select(*[
         F.col(f"`{f.name}`").cast("double").alias(f.name)

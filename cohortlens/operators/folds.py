@@ -203,6 +203,7 @@ def fold_sizes(df: DataFrame, split: str, k: int) -> DataFrame:
     """Per fold 1..k: rows held out, rows trained on, and whether the fold is usable."""
     spine = df.sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("fold"))
     counts = df.groupBy(F.col(split).alias("fold")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.filter(F.col("fold").between(1, k))
     total = F.sum("n_test").over(Window.partitionBy(F.lit(1)))  # over k rows
     return (
         spine.join(F.broadcast(counts), "fold", "left")  # k rows at most

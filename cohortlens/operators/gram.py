@@ -20,7 +20,7 @@ from cohortlens.operators.moments import find_shifts
 from cohortlens.session import small_rows
 
 MAX_TERMS = 2000
-BUILTIN_TERMS = 24
+BUILTIN_TERMS = 16
 MAX_LEVELS = 1000
 MAX_STATES = 10_000
 

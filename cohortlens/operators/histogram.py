@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.names import nominal_columns, numeric_columns
+from cohortlens.functions.names import name_at, nominal_columns, numeric_columns
 from cohortlens.operators.summary import group_labels, value_counts, with_overall
 
 BINS = 20
@@ -35,15 +35,14 @@ def bin_counts(
     df: DataFrame, ranges: dict, by=(), bins: int = BINS, drop_max: bool = False
 ) -> DataFrame:
     """(by..., variable, bin, n): the mergeable state of numeric histograms with common edges."""
-    pairs = F.inline(F.array(*[
-        F.struct(F.lit(v).alias("variable"),
-                 bin_index(F.col(f"`{v}`").cast("double"), lo, hi, bins, drop_max).alias("bin"))
-        for v, (lo, hi) in ranges.items()
-    ]))
-    return (
-        df.select(*by, pairs).filter(F.col("bin").isNotNull())
-        .groupBy(*by, "variable", "bin").agg(F.count(F.lit(1)).alias("n"))
+    each = F.array(*[
+        bin_index(F.col(f"`{v}`").cast("double"), lo, hi, bins, drop_max) for v, (lo, hi) in ranges.items()
+    ])
+    counts = (
+        df.select(*by, F.posexplode(each).alias("at", "bin")).filter(F.col("bin").isNotNull())
+        .groupBy(*by, "at", "bin").agg(F.count(F.lit(1)).alias("n"))
     )
+    return counts.select(*by, name_at(list(ranges), "at").alias("variable"), "bin", "n")
 
 
 def bin_edges(variable: Column, bin_: Column, ranges: dict, bins: int) -> tuple:
@@ -107,10 +106,10 @@ def nominal_histogram(
 
 def histogram(
     df: DataFrame, variable: str, grouping=(), bins: int = BINS, drop_max: bool = False,
-    categories: dict | None = None,
+    categories: dict | None = None, covariables=(),
 ) -> DataFrame:
-    """Histogram of one variable; the nominal columns of ``grouping`` make the series."""
-    by = nominal_columns(df, list(grouping))
+    """Histogram of one variable; grouping columns and nominal covariables make the series."""
+    by = list(dict.fromkeys([*grouping, *nominal_columns(df, list(covariables))]))
     if numeric_columns(df, [variable]):
         return numeric_histogram(df, [variable], by, bins, drop_max)
     return nominal_histogram(df, [variable], by, categories)

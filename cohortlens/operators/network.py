@@ -19,6 +19,7 @@ from cohortlens.operators.histogram import bin_index, numeric_ranges
 from cohortlens.session import BROADCAST_ROWS, checkpoint
 
 NUMERIC_BINS = 4
+SMALL_ROWS = 10_000
 
 
 def _is_small(df: DataFrame) -> bool:
@@ -83,9 +84,13 @@ def network_features(
             F.sum("m").alias("deg"), *[F.sum(F.col("m") * F.col(s) / F.col("held")).alias(f"f_{s}") for s in mass]
         )
         # a row per value: the only thing carried on, so the lineage stays one turn long
-        flows = checkpoint(summed.select("at", "value", *[(F.col(f"f_{s}") / F.col("deg")).alias(f"f_{s}") for s in mass]))
+        flows = summed.select("at", "value", *[(F.col(f"f_{s}") / F.col("deg")).alias(f"f_{s}") for s in mass])
         if turn == 0:
-            small = _is_small(flows)  # the values stay the same in every turn
+            found = flows.limit(SMALL_ROWS + 1).collect()
+            small = len(found) <= SMALL_ROWS  # the values stay the same in every turn
+        elif small:
+            found = flows.collect()
+        flows = df.sparkSession.createDataFrame(found, flows.schema) if small else checkpoint(flows)
     profiles = checkpoint(step(flows, small).select("_class", *values, *mass))
     right = profiles.select(F.col("_class").alias("_c"), *[F.col(v).alias(f"_p{v}") for v in values], *mass)
     right = F.broadcast(right) if _is_small(profiles) else right

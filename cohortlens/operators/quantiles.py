@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from cohortlens.session import BROADCAST_ROWS, checkpoint, small_rows
 
-DIRECT_ROWS = 1_000_000
+DIRECT_ROWS = 4_000_000
 BUCKETS = 4096
 
 
@@ -40,10 +40,10 @@ def _match(left: DataFrame, right: DataFrame, by: list):
     return cond
 
 
-def _ranked(counted: DataFrame, group: list, order: str) -> DataFrame:
-    """Add the number of rows before each counted entry, within its interval."""
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counted.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+def _targets(n: int, probs: list) -> list:
+    """Per probability the two neighbouring 0-based ranks and the position between them."""
+    positions = [p * (n - 1) for p in probs]
+    return [(int(x), min(int(x) + 1, n - 1), x) for x in positions]
 
 
 def narrowed_percentiles(
@@ -56,80 +56,66 @@ def narrowed_percentiles(
     """
     spark = df.sparkSession
     by_fields = [df.schema[c] for c in by]
-    # wanted: (group, variable) -> rank -> [lo, hi, rows before lo, rows inside]
+    groups = small_rows(states.filter("n > 0"), BROADCAST_ROWS, "groups for exact percentiles")
+    # (group, rank) -> [lo, hi, rows below lo, rows inside]
     spans: dict = {}
-    for r in small_rows(states.filter("n > 0"), BROADCAST_ROWS, "groups for exact percentiles"):
-        key = (*[r[c] for c in by], r["variable"])
-        ranks = set()
-        for p in probs:
-            position = p * (r["n"] - 1)
-            ranks |= {int(position), min(int(position) + 1, r["n"] - 1)}
-        for rank in ranks:
-            spans[key, rank] = (r["min"], r["max"], 0, r["n"])
+    for g, r in enumerate(groups):
+        for rank in {t for low, high, _ in _targets(r["n"], probs) for t in (low, high)}:
+            spans[g, rank] = (r["min"], r["max"], 0, r["n"])
     values: dict = {}
+    each = F.array(*[F.col(f"`{v}`").cast("double") for v in variables])
+    long = df.select(*by, F.posexplode(each).alias("variable", "value")).filter(F.col("value").isNotNull())
     interval_schema = T.StructType([
-        *by_fields, T.StructField("variable", T.StringType()),
+        *by_fields, T.StructField("variable", T.IntegerType()), T.StructField("id", T.IntegerType()),
         T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
-        T.StructField("rank", T.LongType()),
     ])
-    pairs = F.inline(F.array(*[
-        F.struct(F.lit(v).alias("variable"), F.col(f"`{v}`").cast("double").alias("value"))
-        for v in variables
-    ]))
-    long = df.select(*by, pairs).filter(F.col("value").isNotNull())
-    while spans:
+    while True:
         for at, (lo, hi, _, _) in list(spans.items()):
             if lo == hi:
                 values[at] = lo
                 del spans[at]
         if not spans:
             break
-        # rank inside the interval, one row per wanted rank
-        wanted = spark.createDataFrame(
-            [(*key, lo, hi, rank - before) for (key, rank), (lo, hi, before, _) in spans.items()],
+        ids: dict = {}
+        for (g, _), (lo, hi, _, _) in spans.items():
+            ids.setdefault((g, lo, hi), len(ids))
+        intervals = spark.createDataFrame(
+            [(*[groups[g][c] for c in by], variables.index(groups[g]["variable"]), i, lo, hi)
+             for (g, lo, hi), i in ids.items()],
             interval_schema,
         )
-        intervals = wanted.select(*by, "variable", "lo", "hi").distinct()
-        hit = (
-            long.join(F.broadcast(intervals), _match(long, intervals, by)  # a few rows per large group
-                      & long["value"].between(intervals["lo"], intervals["hi"]))
-            .select(*[long[c] for c in by], long["variable"], "value", "lo", "hi")
-        )
-        group = [*by, "variable", "lo", "hi"]
+        wanted = spark.createDataFrame(
+            [(ids[g, lo, hi], rank - below) for (g, rank), (lo, hi, below, _) in spans.items()], "id int, rank long"
+        ).distinct()
+        hit = long.join(
+            F.broadcast(intervals),  # a few per large group
+            _match(long, intervals, by) & long["value"].between(intervals["lo"], intervals["hi"]),
+        ).select("id", "lo", "hi", "value")
         if max(inside for _, _, _, inside in spans.values()) <= leaf_rows:
-            counted = hit.groupBy(*group, F.col("value").alias("min")).agg(F.count(F.lit(1)).alias("c"))
-            counted = _ranked(counted.withColumn("max", F.col("min")), group, "min")
+            counted = hit.groupBy("id", F.col("value").alias("at")).agg(F.count(F.lit(1)).alias("c"))
+            counted = counted.withColumn("min", F.col("at")).withColumn("max", F.col("at"))
         else:
-            width = F.col("hi") - F.col("lo")
-            bucket = F.least(F.floor((F.col("value") - F.col("lo")) / width * buckets), F.lit(buckets - 1))
-            counted = hit.groupBy(*group, bucket.alias("bucket")).agg(
+            bucket = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets)
+            counted = hit.groupBy("id", F.least(bucket, F.lit(buckets - 1)).alias("at")).agg(
                 F.count(F.lit(1)).alias("c"), F.min("value").alias("min"), F.max("value").alias("max")
             )
-            counted = _ranked(counted, group, "bucket")
-        narrower = counted.join(
-            F.broadcast(wanted),
-            _match(counted, wanted, by) & (counted["lo"] == wanted["lo"]) & (counted["hi"] == wanted["hi"])
-            & (wanted["rank"] >= counted["before"])
-            & (wanted["rank"] < counted["before"] + counted["c"]),
-        ).select(*[counted[c] for c in by], counted["variable"], counted["lo"].alias("was_lo"),
-                 counted["hi"].alias("was_hi"), "rank", "min", "max", "before", "c")
-        found = {}
-        for r in narrower.collect():  # one row per wanted rank
-            key = (*[r[c] for c in by], r["variable"])
-            found[key, r["was_lo"], r["was_hi"], r["rank"]] = (r["min"], r["max"], r["before"], r["c"])
-        for (key, rank), (lo, hi, before, _) in list(spans.items()):
-            new_lo, new_hi, inner, c = found[key, lo, hi, rank - before]
-            spans[key, rank] = (new_lo, new_hi, before + inner, c)
+        earlier = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        counted = counted.withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+        holds = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c"))
+        found = {  # one row per wanted rank
+            (r["id"], r["rank"]): (r["min"], r["max"], r["before"], r["c"])
+            for r in counted.join(F.broadcast(wanted), "id").filter(holds).collect()
+        }
+        for (g, rank), (lo, hi, below, _) in list(spans.items()):
+            new_lo, new_hi, before, c = found[ids[g, lo, hi], rank - below]
+            spans[g, rank] = (new_lo, new_hi, below + before, c)
     rows = []
-    for r in small_rows(states.filter("n > 0"), BROADCAST_ROWS, "groups for exact percentiles"):
-        key = (*[r[c] for c in by], r["variable"])
+    for g, r in enumerate(groups):
         q = []
-        for p in probs:
-            position = p * (r["n"] - 1)
-            low, high = int(position), min(int(position) + 1, r["n"] - 1)
-            a, b = values[key, low], values[key, high]
+        for low, high, position in _targets(r["n"], probs):
+            a, b = values[g, low], values[g, high]
             q.append(a if a == b else (low + 1 - position) * a + (position - low) * b)
-        rows.append((*key, q))
+        rows.append((*[r[c] for c in by], r["variable"], q))
     out_schema = T.StructType([
         *by_fields, T.StructField("variable", T.StringType()),
         T.StructField("q", T.ArrayType(T.DoubleType())),

@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,14 +133,51 @@ def fold_models(df: DataFrame, y: str, xs: list, split: str) -> dict:
 
 
 LOGISTIC_ITERATIONS = 50
-MAX_LOGIT_PARAMETERS = 60
+
+
+def _newton_sums(table: DataFrame, beta: np.ndarray) -> tuple:
+    """(log likelihood, gradient, information matrix) of a multinomial logit at ``beta``.
+
+    Each task multiplies its Arrow batches; rows of the matrix are then added up
+    by position, so only (classes x terms)^2 numbers reach the driver.
+    """
+    others, width = beta.shape
+    size = others * width
+
+    def partial(batches):
+        ll, g, h = 0.0, np.zeros((others, width)), np.zeros((others, width, others, width))
+        for pdf in batches:
+            y = pdf["_y"].to_numpy(int)
+            z = np.column_stack([np.ones(len(pdf)), pdf.drop(columns="_y").to_numpy(float)])
+            eta = np.column_stack([np.zeros(len(pdf)), z @ beta.T])
+            eta -= eta.max(axis=1, keepdims=True)  # keeps the exponentials finite
+            p = np.exp(eta)
+            total = p.sum(axis=1, keepdims=True)
+            p /= total
+            ll += float((eta[np.arange(len(y)), y] - np.log(total[:, 0])).sum())
+            for k in range(others):
+                g[k] += ((y == k + 1) - p[:, k + 1]) @ z
+                for m in range(k, others):
+                    w = p[:, k + 1] * ((k == m) - p[:, m + 1])
+                    h[k, :, m, :] += (z * w[:, None]).T @ z
+        for k in range(others):
+            for m in range(k):
+                h[k, :, m, :] = h[m, :, k, :].T
+        yield pd.DataFrame({"i": np.arange(size), "ll": ll, "g": g.ravel(), "h": list(h.reshape(size, size))})
+
+    rows = table.mapInPandas(partial, "i int, ll double, g double, h array<double>").groupBy("i").agg(
+        F.sum("ll").alias("ll"), F.sum("g").alias("g"),
+        *[F.sum(F.get("h", F.lit(j))).alias(f"h{j}") for j in range(size)],
+    ).collect()  # one row per parameter
+    rows.sort(key=lambda r: r["i"])
+    return (rows[0]["ll"], np.array([r["g"] for r in rows]),
+            np.array([[r[f"h{j}"] for j in range(size)] for r in rows]))
 
 
 def logistic_regression(df: DataFrame, y: str, xs: list, tolerance: float = 1e-10) -> DataFrame:
     """Multinomial logit by maximum likelihood; the first class is the baseline.
 
-    Newton steps on standardised terms. Each step is one aggregate over the data
-    that returns the gradient and the information matrix.
+    Newton steps on standardised terms, one pass over the data each.
     """
     levels = G.nominal_levels(df, [y])[y]
     if len(levels) < 2:
@@ -147,48 +185,24 @@ def logistic_regression(df: DataFrame, y: str, xs: list, tolerance: float = 1e-1
     d = G.design(df, xs)
     terms = [t for x in xs for t in d[x]]
     p, others = len(terms), levels[1:]
-    size = (p + 1) * len(others)
-    if size > MAX_LOGIT_PARAMETERS:
-        raise ValueError(f"{size} parameters; at most {MAX_LOGIT_PARAMETERS} are supported")
-    x = df.select(F.col(f"`{y}`").cast("string").alias("_y"),
-                  *[t.column.alias(f"_t{i}") for i, t in enumerate(terms)]).dropna()
-    moments = x.agg(*[f(f"_t{i}").alias(f"{tag}{i}") for i in range(p)
-                      for f, tag in ((F.avg, "m"), (F.stddev_pop, "s"))]).first()
+    if (p + 1) * len(others) > G.MAX_TERMS:
+        raise ValueError(f"{(p + 1) * len(others)} parameters; at most {G.MAX_TERMS} are supported")
+    label = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(f"`{y}`").cast("string")) - 1
+    raw = df.filter(F.col(f"`{y}`").isNotNull()).select(
+        label.cast("int").alias("_y"), *[t.column.alias(f"_t{i}") for i, t in enumerate(terms)]).dropna()
+    moments = raw.agg(*[f(f"_t{i}").alias(f"{tag}{i}") for i in range(p)
+                        for f, tag in ((F.avg, "m"), (F.stddev_pop, "s"))]).first()
     mean = np.array([moments[f"m{i}"] for i in range(p)])
     sd = np.array([moments[f"s{i}"] or 1.0 for i in range(p)])
-    z = [F.lit(1.0)] + [(F.col(f"_t{i}") - F.lit(float(mean[i]))) / F.lit(float(sd[i])) for i in range(p)]
-    x = x.select("_y", *[c.alias(f"_z{i}") for i, c in enumerate(z)])
-    at = [(k, i) for k in range(len(others)) for i in range(p + 1)]
+    table = raw.select("_y", *[
+        ((F.col(f"_t{i}") - F.lit(float(mean[i]))) / F.lit(float(sd[i]))).alias(f"_z{i}") for i in range(p)])
     beta, previous, inverse = np.zeros((len(others), p + 1)), -math.inf, None
     for _ in range(LOGISTIC_ITERATIONS):
-        step = x
-        for k in range(len(others)):
-            eta = sum((F.col(f"_z{i}") * F.lit(float(beta[k, i])) for i in range(1, p + 1)),
-                      F.lit(float(beta[k, 0])))
-            step = step.withColumn(f"_e{k}", eta)
-        top = F.greatest(F.lit(0.0), *[F.col(f"_e{k}") for k in range(len(others))])
-        step = step.withColumn("_top", top)  # keeps the exponentials finite
-        total = sum((F.exp(F.col(f"_e{k}") - F.col("_top")) for k in range(len(others))), F.exp(-F.col("_top")))
-        step = step.withColumn("_total", total)
-        chosen = F.lit(0.0)
-        for k, level in enumerate(others):
-            step = step.withColumn(f"_p{k}", F.exp(F.col(f"_e{k}") - F.col("_top")) / F.col("_total"))
-            chosen = chosen + F.when(F.col("_y") == level, F.col(f"_e{k}")).otherwise(0.0)
-        aggs = [F.sum(chosen - F.col("_top") - F.log("_total")).alias("ll")]
-        for a, (k, i) in enumerate(at):
-            rest = (F.col("_y") == others[k]).cast("double") - F.col(f"_p{k}")
-            aggs.append(F.sum(rest * F.col(f"_z{i}")).alias(f"g{a}"))
-            for b, (m, j) in enumerate(at[a:], a):
-                w = F.col(f"_p{k}") * ((1.0 if k == m else 0.0) - F.col(f"_p{m}"))
-                aggs.append(F.sum(w * F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"h{a}_{b}"))
-        row = step.agg(*aggs).first()
-        g = np.array([row[f"g{a}"] for a in range(size)])
-        h = np.array([[row[f"h{min(a, b)}_{max(a, b)}"] for b in range(size)] for a in range(size)])
+        ll, g, h = _newton_sums(table, beta)
         inverse = np.linalg.pinv(h, hermitian=True)
-        if abs(row["ll"] - previous) <= tolerance * (abs(row["ll"]) + 1e-12):
+        if abs(ll - previous) <= tolerance * (abs(ll) + 1e-12):
             break
-        previous = row["ll"]
-        beta = beta + (inverse @ g).reshape(beta.shape)
+        previous, beta = ll, beta + (inverse @ g).reshape(beta.shape)
     # back to the original scale: coefficient / sd, intercept - sum(coefficient * mean / sd)
     back = np.zeros((p + 1, p + 1))
     back[0, 0] = 1.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.names import logical_type, nominal_columns, numeric_columns
+from cohortlens.functions.names import logical_type, name_at, nominal_columns, numeric_columns
 from cohortlens.operators.moments import merge_exprs, moment_columns, moment_states
 from cohortlens.operators.quantiles import DIRECT_ROWS, exact_percentiles
 from cohortlens.session import checkpoint
@@ -87,11 +87,11 @@ def numeric_summary(
 
 def value_counts(df: DataFrame, variables: list, by=()) -> DataFrame:
     """(by..., variable, value, n): the mergeable state of nominal variables."""
-    pairs = F.inline(F.array(*[
-        F.struct(F.lit(v).alias("variable"), F.col(f"`{v}`").cast("string").alias("value"))
-        for v in variables
-    ]))
-    return df.select(*by, pairs).groupBy(*by, "variable", "value").agg(F.count(F.lit(1)).alias("n"))
+    each = F.array(*[F.col(f"`{v}`").cast("string") for v in variables])
+    counts = df.select(*by, F.posexplode(each).alias("at", "value")).groupBy(*by, "at", "value").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return counts.select(*by, name_at(list(variables), "at").alias("variable"), "value", "n")
 
 
 def nominal_summary(df: DataFrame, variables: list, grouping=()) -> DataFrame:

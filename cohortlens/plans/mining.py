@@ -12,8 +12,11 @@ from cohortlens.model import FeatureTable, FilterRule, MiningQuery
 from cohortlens.operators.counts import datasets_used, require_rows
 from cohortlens.operators.filters import apply_filters, filter_datasets, filter_nulls, select_features
 from cohortlens.plans.registry import Task, algorithm, parameters_of
+from cohortlens.session import small_rows
 from cohortlens.sources.tables import Catalog, open_table
 
+MAX_DATASETS = 10_000
+
 
 @dataclass
 class Rows:
@@ -109,7 +112,7 @@ def run_mining(spark: SparkSession, catalog: Catalog, query: MiningQuery) -> Min
 
 def with_provenance(result: MiningResult) -> DataFrame:
     """Result rows with the datasets they come from and the feedback as columns."""
-    used = [r["dataset"] for r in result.provenance.collect()]  # dataset names
+    used = [r["dataset"] for r in small_rows(result.provenance, MAX_DATASETS, "datasets")]
     return result.data.select(
         "*", F.array(*[F.lit(d) for d in sorted(used)]).cast("array<string>").alias("data_provenance"),
         F.array(*[F.lit(m) for m in result.feedback]).cast("array<string>").alias("feedback"),

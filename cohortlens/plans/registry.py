@@ -12,6 +12,7 @@ from cohortlens.operators.anova import anova
 from cohortlens.operators.bands import group_confidence_bands
 from cohortlens.operators.boosting import gradient_boosting
 from cohortlens.operators.correlation import correlation, crosstab
+from cohortlens.operators.gram import nominal_levels
 from cohortlens.operators.histogram import histogram
 from cohortlens.operators.kmeans import kmeans
 from cohortlens.operators.knn import knn_fit
@@ -127,7 +128,7 @@ def _prior(text: str, df: DataFrame, y: str) -> dict | None:
     """Comma-separated priors in the order of the sorted classes; empty means from the data."""
     if not text:
         return None
-    labels = sorted(r[0] for r in df.select(y).distinct().limit(1000).collect())
+    labels = nominal_levels(df, [y])[y]
     values = [float(v) for v in text.split(",")]
     if len(values) != len(labels) or abs(sum(values) - 1.0) > 1e-6:
         raise ValueError("class_prior needs one value per class, adding up to 1")
@@ -143,12 +144,12 @@ def _nb_folds(df, y, xs, split, alpha=1.0, class_prior=""):
 
 
 register_algorithm(
-    "histograms", lambda t: histogram(t.df, t.target, [*t.grouping, *t.covariables], **t.parameters),
+    "histograms", lambda t: histogram(t.df, t.target, t.grouping, covariables=t.covariables, **t.parameters),
     variables_can_be_null=True, covariables_can_be_null=True, mergeable=True, defaults={"bins": 20},
 )
 register_algorithm(
     "statisticsSummary",
-    lambda t: summary_statistics(t.df, [*t.variables, *t.covariables], nominal_columns(t.df, t.grouping)),
+    lambda t: summary_statistics(t.df, [*t.variables, *t.covariables], t.grouping),
     variables_can_be_null=True, covariables_can_be_null=True, mergeable=True,
 )
 register_algorithm("linearRegression", _regression, mergeable=True)

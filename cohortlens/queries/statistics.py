@@ -9,6 +9,7 @@ from cohortlens.operators import anova as anova_ops
 from cohortlens.operators import bands, correlation, histogram, pca, profile, regression, summary
 from cohortlens.plans import federation
 from cohortlens.plans.mining import run_mining
+from cohortlens.plans.registry import register_algorithm
 from cohortlens.queries import COHORT_SQL, cohort, joined, query, rounded, table
 from cohortlens.sources.tables import Catalog
 
@@ -75,6 +76,21 @@ def mining_summary(spark, d):
     return _numeric(result.data)
 
 
+# an algorithm of one's own: the range of each variable per group
+@query("registered_algorithm", """
+SELECT o_orderpriority, round(max(o_totalprice) - min(o_totalprice), 2) AS spread FROM orders GROUP BY 1""")
+def registered_algorithm(spark, d):
+    def spread(task):
+        return task.df.groupBy(*task.grouping).agg((F.max(task.target) - F.min(task.target)).alias("spread"))
+
+    register_algorithm("spread", spread)
+    source = lambda s: table(s, d, "orders").drop("o_orderdate")
+    catalog = Catalog([FeatureTable("orders", source, "o_orderkey")])
+    result = run_mining(spark, catalog, MiningQuery(
+        variables=("o_totalprice",), grouping=("o_orderpriority",), target_table="orders", algorithm=AlgorithmSpec("spread")))
+    return rounded(result.data, 2)
+
+
 @query("summary_numeric", _numeric_sql("lineitem", ["l_quantity", "l_extendedprice", "l_discount"], "l_returnflag"))
 def summary_numeric(spark, d):
     return _numeric(summary.summary_statistics(
@@ -124,7 +140,7 @@ def _histogram(df):
 
 @query("histogram_numeric", _histogram_sql("lineitem", "l_extendedprice", "l_returnflag"))
 def histogram_numeric(spark, d):
-    return _histogram(histogram.histogram(table(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag", "l_tax"]))
+    return _histogram(histogram.histogram(table(spark, d, "lineitem"), "l_extendedprice", covariables=["l_returnflag", "l_tax"]))
 
 
 @query("histogram_open_last_bin", _histogram_sql("customer", "c_acctbal", None, drop_max=True))

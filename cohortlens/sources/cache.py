@@ -25,20 +25,28 @@ _QUERY_SCHEMA = (
 )
 
 
-def parsed_query(query: Column) -> Column:
-    return F.from_json(query, _QUERY_SCHEMA)
+def read_query(query: Column) -> Column:
+    """struct(width, text): the number of columns a query names, and its canonical JSON.
 
+    The canonical form names the system user instead of the caller. The parsed
+    document goes through a one-element array, so that it is parsed once.
+    """
+    def canonical(q):
+        width = sum((F.greatest(F.size(q[c]), F.lit(0)) for c in ("covariables", "grouping")),
+                    F.greatest(F.size(q["variables"]), F.lit(0)))
+        names = ["algorithm", "covariables", "datasets", "filters", "grouping"]
+        text = F.to_json(F.struct(
+            *[q[c].alias(c) for c in names], F.struct(F.lit(SYSTEM_USER).alias("code")).alias("user"),
+            q["variables"].alias("variables")))
+        return F.struct(width.alias("width"), text.alias("text"))
 
-def normalised_query(query: Column) -> Column:
-    """Canonical JSON of a query with the caller replaced by the system user."""
-    user = F.struct(F.lit(SYSTEM_USER).alias("code"))
-    return F.to_json(parsed_query(query).withField("user", user))
+    return F.get(F.transform(F.array(F.from_json(query, _QUERY_SCHEMA)), canonical), F.lit(0))
 
 
-def query_width(query: Column) -> Column:
-    q = parsed_query(query)
-    return sum((F.greatest(F.size(q[c]), F.lit(0)) for c in ("covariables", "grouping")),
-               F.greatest(F.size(q["variables"]), F.lit(0)))
+def _cacheable(query: Column) -> Column:
+    """Canonical JSON, or null for a query over too many columns."""
+    q = read_query(query)
+    return F.get(F.transform(F.array(q), lambda r: F.when(r["width"] <= MAX_COLUMNS, r["text"])), F.lit(0))
 
 
 def json_weight(document: Column) -> Column:
@@ -57,9 +65,8 @@ def cache_entries(results: DataFrame) -> DataFrame:
     """
     kept = (
         results.filter(F.col("table_name").isNotNull())
-        .filter(query_width(F.col("query")) <= MAX_COLUMNS)
         .filter(json_weight(F.col("data")) <= MAX_WEIGHT)
-        .withColumn("query", normalised_query(F.col("query")))
+        .withColumn("query", _cacheable(F.col("query"))).filter(F.col("query").isNotNull())
     )
     hash_ = F.col("table_contents_hash") if "table_contents_hash" in results.columns else F.lit("")
     payload = F.struct(
@@ -69,11 +76,20 @@ def cache_entries(results: DataFrame) -> DataFrame:
     return first.select("node", "table_name", "query", "e.*")
 
 
+def cache_fresh(cache: DataFrame, results: DataFrame) -> DataFrame:
+    """The entries to append to the cache; keys it already has keep their entry."""
+    fresh = cache_entries(results).join(cache.select(*KEY), KEY, "left_anti")
+    return fresh.withColumn("last_used", F.col("created_at")).select(*CACHE_COLUMNS)
+
+
 def cache_put(cache: DataFrame, results: DataFrame) -> DataFrame:
     """The cache with new entries; an entry that exists stays as it is."""
-    fresh = cache_entries(results).join(cache.select(*KEY), KEY, "left_anti")
-    fresh = fresh.withColumn("last_used", F.col("created_at")).select(*CACHE_COLUMNS)
-    return cache.select(*CACHE_COLUMNS).unionByName(fresh)
+    return cache.select(*CACHE_COLUMNS).unionByName(cache_fresh(cache, results))
+
+
+def append_to_cache(cache: DataFrame, results: DataFrame, path: str) -> None:
+    """Store new entries next to those at ``path``, which ``cache`` was read from."""
+    cache_fresh(cache, results).write.mode("append").parquet(path)
 
 
 def cache_get(cache: DataFrame, queries: DataFrame, now: Column | None = None) -> tuple:
@@ -82,8 +98,8 @@ def cache_get(cache: DataFrame, queries: DataFrame, now: Column | None = None) -
     ``queries`` has node, table_name, query and, to insist on it, table_contents_hash.
     """
     now = F.current_timestamp() if now is None else now
-    asked = queries.filter(query_width(F.col("query")) <= MAX_COLUMNS).withColumn("own_query", F.col("query"))
-    asked = asked.withColumn("query", normalised_query(F.col("query")))
+    asked = queries.withColumn("own_query", F.col("query")).withColumn("query", _cacheable(F.col("query")))
+    asked = asked.filter(F.col("query").isNotNull())
     keys = [*KEY, "table_contents_hash"] if "table_contents_hash" in queries.columns else KEY
     hits = cache.join(asked.select(*keys, "own_query"), keys).select(
         "node", "table_name", F.col("own_query").alias("query"), "created_at", "data", "shape", "function"
