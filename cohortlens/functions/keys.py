@@ -18,7 +18,7 @@ def md5_order(key: Column) -> Column:
     The one value whose abs() overflows is mapped to the largest integer.
     """
     signed = F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 16), 16, -10).cast("bigint")
-    return F.when(signed == F.lit(-INT64_MAX - 1), F.lit(INT64_MAX)).otherwise(F.abs(signed))
+    return F.abs(F.greatest(signed, F.lit(-INT64_MAX)))
 
 
 def seeded_order(key: Column, seed: float) -> Column:
@@ -45,10 +45,11 @@ def pseudo_encrypt(value: Column) -> Column:
     left = F.shiftright(value, 16).bitwiseAND(F.lit(65535))
     right = value.bitwiseAND(F.lit(65535))
     for _ in range(FEISTEL_ROUNDS):
-        mixed = F.round(
+        # nearest integer; an odd modulus leaves no value half way
+        mixed = F.floor(
             ((right * FEISTEL_MULTIPLIER + FEISTEL_INCREMENT) % FEISTEL_MODULUS)
-            / F.lit(float(FEISTEL_MODULUS)) * FEISTEL_SCALE
-        ).cast("bigint")
+            / F.lit(float(FEISTEL_MODULUS)) * FEISTEL_SCALE + 0.5
+        )
         left, right = right, left.bitwiseXOR(mixed)
     unsigned = F.shiftleft(right, 16) + left
-    return F.when(unsigned >= (1 << 31), unsigned - (1 << 32)).otherwise(unsigned)
+    return F.shiftright(F.shiftleft(unsigned, 32), 32)  # carries the sign of bit 31

@@ -87,8 +87,12 @@ def _rows_at_ranks(
     return [found[wanted[i]] for i in sorted(wanted)]
 
 
-def _count_below(key: Column, ends: list, first: int) -> Column:
-    """``first`` plus the number of tile ends below the key.
+def _after(order: Column, tie: Column, end: tuple) -> Column:
+    return (order > F.lit(end[0])) | ((order == F.lit(end[0])) & (tie > F.lit(end[1])))
+
+
+def _count_below(order: Column, tie: Column, ends: list, first: int) -> Column:
+    """``first`` plus the number of tile ends below (order, tie).
 
     The key goes through a one-element array, so that a filter on the fold that
     the optimizer pushes down computes the key once and not once per end.
@@ -96,27 +100,31 @@ def _count_below(key: Column, ends: list, first: int) -> Column:
     def place(k):
         out = F.lit(first)
         for end in ends:
-            out = out + (k > end).cast("int")
+            out = out + _after(k["o"], k["t"], end).cast("int")
         return out
 
-    return F.get(F.transform(F.array(key), place), F.lit(0))
+    key = F.struct(order.alias("o"), tie.alias("t"))
+    return F.get(F.transform(F.array(key), place), F.lit(0)) if ends else F.lit(first)
 
 
-def ntile_by_order(df: DataFrame, order: Column, tie: str, k: int, output: str) -> DataFrame:
-    """Add ``ntile(k) OVER (ORDER BY order, tie)`` for a non-negative bigint order key."""
+def _tile_keys(df: DataFrame, order: Column, tie: str, k: int, bits: int) -> list:
+    """(order, tie) of the last row of tiles 1..k-1 (fewer when there are fewer rows)."""
     if k < 1:
         raise ValueError("k must be positive")
 
     def digits(level):
         if level:
             raise ValueError(f"column {tie} is not a key: too many rows share one order value")
-        return F.col("key._order"), 63
+        return F.col("key._order"), bits
 
     keyed = df.select(F.struct(order.alias("_order"), F.col(tie).alias("_tie")).alias("key"))
-    ends = _rows_at_ranks(keyed, digits, lambda n: _tile_ends(n, k))
-    key = F.struct(order.alias("o"), F.col(tie).alias("t"))
-    marks = [F.struct(F.lit(o).alias("o"), F.lit(t).alias("t")) for o, t in ends]
-    return df.withColumn(output, _count_below(key, marks, 1))
+    return _rows_at_ranks(keyed, digits, lambda n: _tile_ends(n, k))
+
+
+def ntile_by_order(df: DataFrame, order: Column, tie: str, k: int, output: str, bits: int = 63) -> DataFrame:
+    """Add ``ntile(k) OVER (ORDER BY order, tie)`` for a non-negative order key of so many bits."""
+    ends = _tile_keys(df, order, tie, k, bits)
+    return df.withColumn(output, _count_below(order, F.col(tie), ends, 1))
 
 
 def split_column(k: int) -> str:
@@ -148,13 +156,19 @@ def leave_out(
     rows = apply_filters(df, rule)
     if order == "auto":
         order = "string" if isinstance(df.schema[key].dataType, T.StringType) else "int"
-    column = {
-        "string": lambda: md5_order(F.col(key)),
-        "int": lambda: pseudo_encrypt(F.col(key)) + (1 << 31),
-        "random": lambda: seeded_order(F.col(key), seed),
+    column, bits = {
+        "string": lambda: (md5_order(F.col(key)), 63),
+        "int": lambda: (pseudo_encrypt(F.col(key)) + (1 << 31), 32),
+        "random": lambda: (seeded_order(F.col(key), seed), 63),
     }[order]()
-    kept = ntile_by_order(rows, column, key, k, "_window_").filter(F.col("_window_") != exclude + 1)
-    return kept if keep_window else kept.drop("_window_")
+    if keep_window:
+        return ntile_by_order(rows, column, key, k, "_window_", bits).filter(F.col("_window_") != exclude + 1)
+    ends = _tile_keys(rows, column, key, k, bits)
+    if exclude > len(ends):
+        return rows  # the partition left out has no rows
+    before = ~_after(column, F.col(key), ends[exclude - 1]) if exclude else F.lit(False)
+    behind = _after(column, F.col(key), ends[exclude]) if exclude < len(ends) else F.lit(False)
+    return rows.filter(before | behind)
 
 
 def offset_folds(df: DataFrame, key: str, k: int, output: str = "fold") -> DataFrame:
@@ -187,7 +201,11 @@ def offset_folds(df: DataFrame, key: str, k: int, output: str = "fold") -> DataF
     keyed = df.select(F.struct(F.col(key).alias("k")).alias("key"))
     ends = _rows_at_ranks(keyed, digits, lambda n: [(2 * i * n + k) // (2 * k) for i in range(1, k)])
     missing = k - 1 - len(ends)  # more folds than rows: the first ones are empty
-    return df.withColumn(output, _count_below(F.col(key), [F.lit(e) for (e,) in ends], missing))
+    marks = [F.lit(e) for (e,) in ends]
+    fold = F.lit(missing)
+    for mark in marks:
+        fold = fold + (F.col(key) > mark).cast("int")
+    return df.withColumn(output, fold.cast("int"))
 
 
 def train_test(df: DataFrame, split: str, fold: int) -> tuple:

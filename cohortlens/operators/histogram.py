@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.names import name_at, nominal_columns, numeric_columns
-from cohortlens.operators.summary import group_labels, value_counts, with_overall
+from cohortlens.operators.levels import with_overall
+from cohortlens.operators.summary import group_labels, value_counts
 
 BINS = 20
 

@@ -1,21 +1,25 @@
-"""Exact percentiles per group and variable.
-
-Groups up to ``DIRECT_ROWS`` use the built-in exact aggregate, whose buffer
-holds every distinct value of a group in one task. Larger ones, such as the
-whole table, are narrowed down instead: count rows in equal-width buckets
-between the known minimum and maximum, keep the buckets that hold the wanted
-ranks, and repeat inside these until few rows are left. Each step is a scan with
-a map-side aggregate whose size does not depend on the number of rows.
+"""Exact percentiles per group and overall, for many variables.
+
+Groups up to ``DIRECT_ROWS`` values use the built-in exact aggregate, whose
+buffer holds every distinct value of a group in one task. Larger ones, such as
+the whole table, are narrowed down: count rows in equal-width buckets, keep the
+buckets that hold the wanted ranks, and go on inside these until few values are
+left. Each step is a scan with a map-side aggregate whose size does not depend
+on the number of rows; from the second one on only rows of wanted buckets leave
+the scan.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.operators.levels import expand_levels, with_overall
 from cohortlens.session import BROADCAST_ROWS, checkpoint, small_rows
 
 DIRECT_ROWS = 4_000_000
@@ -32,124 +36,186 @@ def direct_percentiles(df: DataFrame, variables: list, by: list, probs: list) ->
     return wide.select(*by, F.inline(F.array(*rows)))
 
 
-def _match(left: DataFrame, right: DataFrame, by: list):
-    """Null-safe equality on the group columns plus the variable."""
-    cond = left["variable"] == right["variable"]
-    for c in by:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond
-
-
 def _targets(n: int, probs: list) -> list:
     """Per probability the two neighbouring 0-based ranks and the position between them."""
     positions = [p * (n - 1) for p in probs]
     return [(int(x), min(int(x) + 1, n - 1), x) for x in positions]
 
 
+def _bucket(value, lo, hi, buckets: int):
+    """Bucket 0..buckets-1; never decreasing in the value, which is all that exactness needs."""
+    share = (value / 2 - lo / 2) / (hi / 2 - lo / 2)  # halved, so that the widest range stays finite
+    return F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor(share * buckets).cast("int")))
+
+
+def _locate(counted: DataFrame, wanted: DataFrame, keys: list) -> DataFrame:
+    """Entries (keys, at, c) that hold the wanted 0-based ranks (keys, rank), with the rows before them."""
+    earlier = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+    holds = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c"))
+    return ranked.join(F.broadcast(wanted), keys).filter(holds)  # one row per wanted rank
+
+
+@dataclass(frozen=True)
+class _Span:
+    """Where a wanted rank lies: first-pass bucket, value bounds, bucket edges, rows below and inside."""
+
+    at: int
+    low: float
+    high: float
+    start: float
+    end: float
+    below: int
+    inside: int
+
+
+def _result_schema(by_fields: list) -> T.StructType:
+    return T.StructType([
+        *by_fields, T.StructField("_all", T.BooleanType()), T.StructField("variable", T.StringType()),
+        T.StructField("q", T.ArrayType(T.DoubleType())),
+    ])
+
+
 def narrowed_percentiles(
-    df: DataFrame, variables: list, by: list, probs: list, states: DataFrame,
+    df: DataFrame, variables: list, grouping: list, probs: list, states: DataFrame,
     leaf_rows: int = DIRECT_ROWS, buckets: int = BUCKETS,
 ) -> DataFrame:
-    """(by..., variable, q) for the groups in ``states`` (by, variable, n, min, max).
+    """(grouping..., _all, variable, q) for the groups in ``states`` (grouping, _all, variable, n, min, max).
 
     ``states`` holds large groups only, so it is small; this is checked.
     """
     spark = df.sparkSession
-    by_fields = [df.schema[c] for c in by]
+    by_fields = [df.schema[g] for g in grouping]
     groups = small_rows(states.filter("n > 0"), BROADCAST_ROWS, "groups for exact percentiles")
-    # (group, rank) -> [lo, hi, rows below lo, rows inside]
-    spans: dict = {}
-    for g, r in enumerate(groups):
-        for rank in {t for low, high, _ in _targets(r["n"], probs) for t in (low, high)}:
-            spans[g, rank] = (r["min"], r["max"], 0, r["n"])
-    values: dict = {}
-    each = F.array(*[F.col(f"`{v}`").cast("double") for v in variables])
-    long = df.select(*by, F.posexplode(each).alias("variable", "value")).filter(F.col("value").isNotNull())
-    interval_schema = T.StructType([
-        *by_fields, T.StructField("variable", T.IntegerType()), T.StructField("id", T.IntegerType()),
-        T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
+    if not groups:
+        return spark.createDataFrame([], _result_schema(by_fields))
+    at_of = {v: i for i, v in enumerate(variables)}
+    edges = {}  # one pair of edges per variable, shared by its groups
+    for r in groups:
+        v = r["variable"]
+        lo, hi = edges.get(v, (r["min"], r["max"]))
+        edges[v] = (min(lo, r["min"]), max(hi, r["max"]))
+    group_schema = T.StructType([
+        *by_fields, T.StructField("_all", T.BooleanType()), T.StructField("variable", T.IntegerType()),
+        T.StructField("id", T.IntegerType()),
     ])
-    while True:
-        for at, (lo, hi, _, _) in list(spans.items()):
-            if lo == hi:
-                values[at] = lo
-                del spans[at]
-        if not spans:
-            break
-        ids: dict = {}
-        for (g, _), (lo, hi, _, _) in spans.items():
-            ids.setdefault((g, lo, hi), len(ids))
-        intervals = spark.createDataFrame(
-            [(*[groups[g][c] for c in by], variables.index(groups[g]["variable"]), i, lo, hi)
-             for (g, lo, hi), i in ids.items()],
-            interval_schema,
-        )
+    ids = spark.createDataFrame(
+        [(*[r[g] for g in grouping], r["_all"], at_of[r["variable"]], i) for i, r in enumerate(groups)], group_schema
+    )
+
+    def identified(rows: DataFrame) -> DataFrame:
+        """Rows (grouping, variable, ...) under the id of each large group they belong to."""
+        same = (rows["variable"] == ids["variable"]) & (ids["_all"] == rows["_all"])
+        for g in grouping:
+            same = same & rows[g].eqNullSafe(ids[g])
+        others = [rows[c] for c in rows.columns if c not in (*grouping, "variable", "_all")]
+        return rows.join(F.broadcast(ids), same).select("id", *others)  # size checked above
+
+    def first(v):
+        x, (lo, hi) = F.col(f"`{v}`").cast("double"), edges.get(v, (0.0, 0.0))
+        if lo == hi:
+            return F.when(x.isNotNull(), F.lit(0))
+        return _bucket(x, F.lit(lo), F.lit(hi), buckets)
+
+    counts = (
+        df.select(*grouping, F.posexplode(F.array(*[first(v) for v in variables])).alias("variable", "at"))
+        .filter(F.col("at").isNotNull()).groupBy(*grouping, "variable", "at").agg(F.count(F.lit(1)).alias("c"))
+    )
+    counts = identified(with_overall(counts, grouping, ["variable", "at"], [F.sum("c").alias("c")]))
+    targets = {i: _targets(r["n"], probs) for i, r in enumerate(groups)}
+    wanted = [(i, rank) for i, ts in targets.items() for rank in {t for low, high, _ in ts for t in (low, high)}]
+    found = _locate(counts, spark.createDataFrame(wanted, "id int, rank long"), ["id"]).collect()
+    values, spans = {}, {}
+    for r in found:
+        lo, hi = edges[groups[r["id"]]["variable"]]
+        width = (hi - lo) / buckets
+        if lo == hi:
+            values[r["id"], r["rank"]] = lo
+        else:  # the bucket's edges only spread its rows; which rows belong is known by its number
+            spans[r["id"], r["rank"]] = _Span(r["at"], -math.inf, math.inf, lo + r["at"] * width,
+                                              lo + (r["at"] + 1) * width, r["before"], r["c"])
+    kept = {v: set() for v in variables}
+    for (i, _), span in spans.items():
+        kept[groups[i]["variable"]].add(span.at)
+
+    def entry(v):
+        """(bucket, value) of a row in a wanted bucket, else null."""
+        x = F.col(f"`{v}`").cast("double")
+        if not kept[v]:
+            return F.lit(None).cast("struct<at:int,value:double>")
+        return F.when(first(v).isin(*sorted(kept[v])), F.struct(first(v).alias("at"), x.alias("value")))
+
+    near = (
+        df.select(*grouping, F.posexplode(F.array(*[entry(v) for v in variables])).alias("variable", "e"))
+        .filter(F.col("e").isNotNull()).select(*grouping, "variable", "e.at", "e.value")
+    )
+    near = identified(expand_levels(near, grouping))
+    while spans:
+        parts: dict = {}
+        for (i, _), s in spans.items():
+            parts.setdefault((i, s.at, s.low, s.high, s.start, s.end), len(parts))
+        table = spark.createDataFrame(
+            [(*part, p) for part, p in parts.items()],
+            "id int, at int, low double, high double, start double, end double, part int")
+        part_of = {at: parts[at[0], s.at, s.low, s.high, s.start, s.end] for at, s in spans.items()}
         wanted = spark.createDataFrame(
-            [(ids[g, lo, hi], rank - below) for (g, rank), (lo, hi, below, _) in spans.items()], "id int, rank long"
-        ).distinct()
-        hit = long.join(
-            F.broadcast(intervals),  # a few per large group
-            _match(long, intervals, by) & long["value"].between(intervals["lo"], intervals["hi"]),
-        ).select("id", "lo", "hi", "value")
-        if max(inside for _, _, _, inside in spans.values()) <= leaf_rows:
-            counted = hit.groupBy("id", F.col("value").alias("at")).agg(F.count(F.lit(1)).alias("c"))
+            sorted({(part_of[at], at[1] - s.below) for at, s in spans.items()}), "part int, rank long")
+        rows = near.join(F.broadcast(table), ["id", "at"])  # a few per large group
+        rows = rows.filter(F.col("value").between(F.col("low"), F.col("high")))
+        if max(s.inside for s in spans.values()) <= leaf_rows:
+            counted = rows.groupBy("part", F.col("value").alias("at")).agg(F.count(F.lit(1)).alias("c"))
             counted = counted.withColumn("min", F.col("at")).withColumn("max", F.col("at"))
         else:
-            bucket = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets)
-            counted = hit.groupBy("id", F.least(bucket, F.lit(buckets - 1)).alias("at")).agg(
-                F.count(F.lit(1)).alias("c"), F.min("value").alias("min"), F.max("value").alias("max")
-            )
-        earlier = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-        counted = counted.withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
-        holds = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c"))
-        found = {  # one row per wanted rank
-            (r["id"], r["rank"]): (r["min"], r["max"], r["before"], r["c"])
-            for r in counted.join(F.broadcast(wanted), "id").filter(holds).collect()
-        }
-        for (g, rank), (lo, hi, below, _) in list(spans.items()):
-            new_lo, new_hi, before, c = found[ids[g, lo, hi], rank - below]
-            spans[g, rank] = (new_lo, new_hi, below + before, c)
-    rows = []
-    for g, r in enumerate(groups):
+            spread = F.when(F.col("end") > F.col("start"),
+                            _bucket(F.col("value"), F.col("start"), F.col("end"), buckets)).otherwise(0)
+            counted = rows.groupBy("part", spread.alias("at")).agg(
+                F.count(F.lit(1)).alias("c"), F.min("value").alias("min"), F.max("value").alias("max"))
+        located = {(r["part"], r["rank"]): r for r in _locate(counted, wanted, ["part"]).collect()}
+        for at, s in list(spans.items()):
+            r = located[part_of[at], at[1] - s.below]
+            if r["min"] == r["max"]:
+                values[at] = r["min"]
+                del spans[at]
+            else:
+                spans[at] = _Span(s.at, r["min"], r["max"], r["min"], r["max"], s.below + r["before"], r["c"])
+    out = []
+    for i, r in enumerate(groups):
         q = []
-        for low, high, position in _targets(r["n"], probs):
-            a, b = values[g, low], values[g, high]
+        for low, high, position in targets[i]:
+            a, b = values[i, low], values[i, high]
             q.append(a if a == b else (low + 1 - position) * a + (position - low) * b)
-        rows.append((*[r[c] for c in by], r["variable"], q))
-    out_schema = T.StructType([
-        *by_fields, T.StructField("variable", T.StringType()),
-        T.StructField("q", T.ArrayType(T.DoubleType())),
-    ])
-    return spark.createDataFrame(rows, out_schema)
+        out.append((*[r[g] for g in grouping], r["_all"], r["variable"], q))
+    return spark.createDataFrame(out, _result_schema(by_fields))
 
 
 def exact_percentiles(
-    df: DataFrame, variables: list, by: list, probs: list, states: DataFrame,
+    df: DataFrame, variables: list, grouping: list, probs: list, states: DataFrame,
     direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
-    """Exact percentiles of every (by, variable) group; ``states`` gives n, min and max.
+    """Exact percentiles of every group and overall: (grouping..., _all, variable, q).
 
-    ``states`` must be cheap to read again (checkpointed or stored). The limit
-    holds for all variables of a group together, as one task buffers them all.
+    ``states`` gives n, min and max of each and must be cheap to read again
+    (made from checkpointed rows). The limit holds for all variables of a group
+    together, as one task buffers them all.
     """
-    limit = max(direct_rows // len(variables), 1)
+    by, limit = [*grouping, "_all"], max(direct_rows // len(variables), 1)
+    expanded = expand_levels(df, grouping)
     largest = states.agg(F.max("n")).first()[0] or 0
     if largest <= limit:
-        return direct_percentiles(df, variables, by, probs)
-    big = checkpoint(states.filter(F.col("n") > limit))
-    narrowed = narrowed_percentiles(df, variables, by, probs, big, limit)
-    large_keys = big.select(*by, "variable").distinct()  # few: narrowed_percentiles has checked
-    rest = df
-    for v in variables:  # rows of large groups leave before the built-in aggregate sees them
-        keys = large_keys.filter(F.col("variable") == v).select(
-            *[F.col(c).alias(f"_k_{c}") for c in by], F.lit(True).alias("_large")
-        )
-        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by])
-        rest = (
-            rest.join(F.broadcast(keys), same, "left")
-            .withColumn(v, F.when(F.col("_large").isNull(), F.col(f"`{v}`")))
-            .drop("_large", *[f"_k_{c}" for c in by])
-        )
-    direct = direct_percentiles(rest, variables, by, probs)
-    kept = direct.join(F.broadcast(large_keys), _match(direct, large_keys, by), "left_anti")
-    return kept.unionByName(narrowed)
+        return direct_percentiles(expanded, variables, by, probs)
+    big = checkpoint(states.filter(F.col("n") > limit).select(*by, "variable", "n", "min", "max"))
+    narrowed = narrowed_percentiles(df, variables, grouping, probs, big, limit)
+    if states.filter(F.col("n") <= limit).isEmpty():
+        return narrowed
+    # rows of large groups leave before the built-in aggregate sees them
+    flags = big.groupBy(*by).agg(*[
+        F.max(F.col("variable") == v).alias(f"_big{i}") for i, v in enumerate(variables)
+    ]).withColumnsRenamed({c: f"_k_{c}" for c in by})  # few: narrowed_percentiles has checked
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by])
+    rest = expanded.join(F.broadcast(flags), same, "left").select(*by, *[
+        F.when(~F.coalesce(F.col(f"_big{i}"), F.lit(False)), F.col(f"`{v}`")).alias(v)
+        for i, v in enumerate(variables)
+    ])
+    rest = rest.filter(reduce(lambda a, b: a | b, [F.col(f"`{v}`").isNotNull() for v in variables]))
+    direct = direct_percentiles(rest, variables, by, probs).filter(F.get("q", F.lit(0)).isNotNull())
+    return direct.unionByName(narrowed)

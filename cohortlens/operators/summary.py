@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.names import logical_type, name_at, nominal_columns, numeric_columns
+from cohortlens.operators.levels import with_overall
 from cohortlens.operators.moments import merge_exprs, moment_columns, moment_states
 from cohortlens.operators.quantiles import DIRECT_ROWS, exact_percentiles
 from cohortlens.session import checkpoint
@@ -18,16 +19,6 @@ SUMMARY_COLUMNS = [
 ]
 
 
-def expand_levels(df: DataFrame, grouping: list) -> DataFrame:
-    """Each row once under its group and once under the overall group, told apart by ``_all``."""
-    others = [F.col(f"`{c}`") for c in df.columns if c not in grouping]
-    if not grouping:
-        return df.select(*others, F.lit(True).alias("_all"))
-    own = F.struct(*[F.col(f"`{g}`").alias(g) for g in grouping], F.lit(False).alias("_all"))
-    overall = F.struct(*[F.lit(None).cast(df.schema[g].dataType).alias(g) for g in grouping], F.lit(True).alias("_all"))
-    return df.select(*others, F.inline(F.array(own, overall)))
-
-
 def group_labels(grouping: list, is_all: Column) -> list:
     """``group_variables`` and ``group`` of a result row; the overall group is ``all``."""
     if not grouping:
@@ -41,16 +32,6 @@ def group_labels(grouping: list, is_all: Column) -> list:
     ]
 
 
-def with_overall(states: DataFrame, grouping: list, keys: list, merge: list) -> DataFrame:
-    """Group rows plus overall rows from the (small) states; ``_all`` tells them apart."""
-    if not grouping:
-        return states.groupBy(*keys).agg(*merge).withColumn("_all", F.lit(True))
-    sets = [[*grouping, *keys], list(keys)]
-    return states.groupingSets(sets, *grouping, *keys).agg(
-        *merge, (F.grouping(grouping[0]) == 1).alias("_all")
-    )
-
-
 def numeric_summary(
     df: DataFrame, variables: list, grouping=(), direct_rows: int = DIRECT_ROWS,
     percentiles: bool = True,
@@ -68,7 +49,7 @@ def numeric_summary(
     )
     if percentiles:
         levels = [*grouping, "_all"]
-        found = exact_percentiles(expand_levels(df, grouping), variables, levels, PROBS, merged, direct_rows)
+        found = exact_percentiles(df, variables, grouping, PROBS, merged, direct_rows)
         q = found.select(*[F.col(g).alias(f"_p_{g}") for g in levels], F.col("variable").alias("_p_v"), "q")
         cond = F.col("index") == F.col("_p_v")
         for g in levels:

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import anova, correlation, gram, histogram, moments, pca, quantiles, regression, summary
+from cohortlens.operators.levels import expand_levels, with_overall
 from cohortlens.plans import federation
 
 
@@ -143,11 +144,11 @@ def test_narrowed_percentiles_are_exact(spark, buckets):
     # a third of the rows share one value, tails are heavy, one group is tiny
     values = np.concatenate([np.full(300, 4.0), rng.lognormal(0, 5, 590), [-1e12, 1e15, 0.0, 4.0, 4.0]])
     df = spark.createDataFrame([("a" if i % 5 else None, float(v)) for i, v in enumerate(values)], "g string, v double")
-    states = moments.moment_states(df, ["v"], ["g"])
+    states = with_overall(moments.moment_states(df, ["v"], ["g"]), ["g"], ["variable"], moments.merge_exprs())
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
     got = quantiles.narrowed_percentiles(df, ["v"], ["g"], probs, states, leaf_rows=20, buckets=buckets)
-    want = quantiles.direct_percentiles(df, ["v"], ["g"], probs)
-    assert {r["g"]: r["q"] for r in got.collect()} == {r["g"]: r["q"] for r in want.collect()}
+    want = quantiles.direct_percentiles(expand_levels(df, ["g"]), ["v"], ["g", "_all"], probs)
+    assert {(r["g"], r["_all"]): r["q"] for r in got.collect()} == {(r["g"], r["_all"]): r["q"] for r in want.collect()}
 
 
 def test_mixed_group_sizes(study):
