@@ -91,20 +91,23 @@ def _after(order: Column, tie: Column, end: tuple) -> Column:
     return (order > F.lit(end[0])) | ((order == F.lit(end[0])) & (tie > F.lit(end[1])))
 
 
-def _count_below(order: Column, tie: Column, ends: list, first: int) -> Column:
-    """``first`` plus the number of tile ends below (order, tie).
-
-    The key goes through a one-element array, so that a filter on the fold that
-    the optimizer pushes down computes the key once and not once per end.
+def _once(order: Column, tie: Column, use: Callable) -> Column:
+    """``use`` of the key {o, t}, which goes through a one-element array: a filter
+    that the optimizer pushes down then computes the key once, not at every mention.
     """
+    key = F.struct(order.alias("o"), tie.alias("t"))
+    return F.get(F.transform(F.array(key), use), F.lit(0))
+
+
+def _count_below(order: Column, tie: Column, ends: list, first: int) -> Column:
+    """``first`` plus the number of tile ends below (order, tie)."""
     def place(k):
         out = F.lit(first)
         for end in ends:
             out = out + _after(k["o"], k["t"], end).cast("int")
         return out
 
-    key = F.struct(order.alias("o"), tie.alias("t"))
-    return F.get(F.transform(F.array(key), place), F.lit(0)) if ends else F.lit(first)
+    return _once(order, tie, place) if ends else F.lit(first)
 
 
 def _tile_keys(df: DataFrame, order: Column, tie: str, k: int, bits: int) -> list:
@@ -166,9 +169,13 @@ def leave_out(
     ends = _tile_keys(rows, column, key, k, bits)
     if exclude > len(ends):
         return rows  # the partition left out has no rows
-    before = ~_after(column, F.col(key), ends[exclude - 1]) if exclude else F.lit(False)
-    behind = _after(column, F.col(key), ends[exclude]) if exclude < len(ends) else F.lit(False)
-    return rows.filter(before | behind)
+
+    def stays(k):
+        before = ~_after(k["o"], k["t"], ends[exclude - 1]) if exclude else F.lit(False)
+        behind = _after(k["o"], k["t"], ends[exclude]) if exclude < len(ends) else F.lit(False)
+        return before | behind
+
+    return rows.filter(_once(column, F.col(key), stays))
 
 
 def offset_folds(df: DataFrame, key: str, k: int, output: str = "fold") -> DataFrame:
