@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from cohortlens.session import small_rows
 UNSEEN_LOG_PRIOR = -1e10
 VAR_SMOOTHING = 1e-9
 MAX_STATES = 500_000
+LOOKUP_VALUES = 64
 
 
 @dataclass
@@ -26,32 +28,55 @@ class NaiveBayesModel:
     gaussians: dict  # (class, column) -> (mean, variance)
     log_prob: dict  # (class, column, value) -> log probability
 
-    def log_density(self, label: str) -> Column:
+    @property
+    def nominal(self) -> dict:
+        """column -> categories seen in training."""
+        out: dict = {}
+        for _, column, value in self.log_prob:
+            out.setdefault(column, {})[value] = None
+        return {c: list(v) for c, v in out.items()}
+
+    @property
+    def in_columns(self) -> bool:
+        """Whether the categories are few enough to look up inside an expression."""
+        return all(len(v) <= LOOKUP_VALUES for v in self.nominal.values())
+
+    def log_density(self, label: str, looked_up: bool = False) -> Column:
         out = F.lit(float(self.log_prior[label]))
         for (c, column), (mean, variance) in self.gaussians.items():
             if c == label:
                 gap = F.col(f"`{column}`").cast("double") - F.lit(mean)
                 out = out - gap * gap / F.lit(2 * variance) - F.lit(0.5 * math.log(2 * math.pi * variance))
-        columns: dict = {}
-        for (c, column, value), lp in self.log_prob.items():
-            if c == label:
-                columns.setdefault(column, {})[value] = lp
-        for column, table in columns.items():
-            mapping = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+        for column, values in self.nominal.items():
+            if looked_up:
+                found = F.col(f"_lp_{column}")[self.classes.index(label)]
+            else:
+                mapping = F.create_map(*[F.lit(x) for v in values for x in (v, self.log_prob[label, column, v])])
+                found = F.try_element_at(mapping, F.col(f"`{column}`").cast("string"))
             # a category never seen in training says nothing about the class
-            out = out + F.coalesce(F.try_element_at(mapping, F.col(f"`{column}`").cast("string")), F.lit(0.0))
+            out = out + F.coalesce(found, F.lit(0.0))
         return out
 
-    def column(self) -> Column:
+    def column(self, looked_up: bool = False) -> Column:
         """Most likely class; the first of equals."""
         options = [
-            F.struct((-self.log_density(c)).alias("cost"), F.lit(i).alias("at"), F.lit(c).alias("label"))
+            F.struct((-self.log_density(c, looked_up)).alias("cost"), F.lit(i).alias("at"), F.lit(c).alias("label"))
             for i, c in enumerate(self.classes) if self.log_prior[c] > UNSEEN_LOG_PRIOR
         ]
         return F.array_min(F.array(*options))["label"]
 
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
-        return df.withColumn(output, self.column())
+        """Adds the class. Many categories are looked up by a join with the model's own table."""
+        if self.in_columns:
+            return df.withColumn(output, self.column())
+        out = df
+        for column, values in self.nominal.items():
+            table = df.sparkSession.createDataFrame(
+                [(v, [self.log_prob.get((c, column, v)) for c in self.classes]) for v in values],
+                f"_v_{column} string, _lp_{column} array<double>")
+            same = out[column].cast("string") == table[f"_v_{column}"]
+            out = out.join(F.broadcast(table), same, "left")  # at most MAX_STATES rows
+        return out.withColumn(output, self.column(True)).select(*[F.col(f"`{c}`") for c in df.columns], output)
 
     def rows(self, spark) -> DataFrame:
         """Class means and variances of the numeric inputs, with the log-prior."""
@@ -162,6 +187,9 @@ def naive_bayes_folds(df: DataFrame, y: str, columns: list, split: str, alpha: f
 
 def predict_by_fold(df: DataFrame, models: dict, split: str, output: str = "prediction") -> DataFrame:
     """Held-out predictions of every fold in one pass: each row uses its own fold's model."""
+    if not all(getattr(m, "in_columns", True) for m in models.values()):
+        parts = [m.predict(df.filter(F.col(split) == f), output) for f, m in sorted(models.items())]
+        return reduce(lambda a, b: a.unionByName(b), parts)
     out = None
     for fold, model in sorted(models.items()):
         hit, value = F.col(split) == fold, model.column()

@@ -116,7 +116,7 @@ def extend_features(spark, d):
 
 
 @query("align_predictions", """
-SELECT o_orderkey, o_totalprice, CASE WHEN o_orderstatus = 'F' THEN 200000.0 ELSE 250000.0 END AS prediction FROM orders""")
+SELECT o_orderkey, o_totalprice, CASE WHEN o_orderstatus = 'F' THEN 200000.0::DOUBLE ELSE 250000.0::DOUBLE END AS prediction FROM orders""")
 def align_predictions(spark, d):
     o = table(spark, d, "orders")
     predictions = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", 200000.0).otherwise(250000.0).alias("prediction"))

@@ -120,7 +120,7 @@ _NOW = "2024-01-20 00:00:00"
 SELECT node, query, CASE WHEN contains(query, '"code":"click"') THEN TIMESTAMP '{_NOW}' ELSE created_at END AS last_used FROM {_CACHE_SQL}""")
 def cache_touch(spark, d):
     asked = _answers(spark, d).filter(F.col("query").contains('"code":"click"')).select("node", "table_name", "query")
-    _, touched = cache.cache_get(_cache(spark, d), asked, F.lit(_NOW).cast("timestamp"))
+    _, touched = cache.cache_get(_cache(spark, d), asked, F.lit(_NOW).cast("timestamp_ntz"))
     return touched.select("node", "query", "last_used")
 
 

@@ -119,7 +119,7 @@ def cache_retain(
 
     ``fingerprints`` (table_name, table_contents_hash) names the current contents.
     """
-    idle = F.col("last_used").cast("timestamp") - F.col("created_at").cast("timestamp")
+    idle = F.col("last_used") - F.col("created_at")
     kept = cache.filter(idle <= F.make_dt_interval(days=F.lit(max_idle_days)))
     if fingerprints is not None:
         current = fingerprints.select("table_name", F.col("table_contents_hash").alias("_now"))

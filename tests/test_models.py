@@ -79,6 +79,23 @@ def test_naive_bayes_folds_equal_refits(spark):
         assert model.log_prob == pytest.approx(again.log_prob)
 
 
+def test_many_categories_are_joined(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame(
+        [(i, str(rng.choice(["p", "q"])), float(rng.normal()), str(rng.integers(0, 30)), i % 2) for i in range(200)],
+        "id int, y string, x double, c string, f int")
+    model = naive_bayes.naive_bayes_fit(df, "y", ["x", "c"])
+    folds = naive_bayes.naive_bayes_folds(df, "y", ["x", "c"], "f")
+
+    def both():
+        return (sorted((r["id"], r["prediction"]) for r in model.predict(df.withColumn("c", F.concat("c", F.lit("")))).collect()),
+                sorted((r["id"], r["prediction"]) for r in naive_bayes.predict_by_fold(df, folds, "f").collect()))
+
+    inside = both()
+    monkeypatch.setattr(naive_bayes, "LOOKUP_VALUES", 5)
+    assert both() == inside
+
+
 # pooled confusion matrix of a published two-fold study and its scores
 MATRIX = {"AD": [73, 60, 141, 0], "CN": [12, 131, 155, 0], "Other": [21, 40, 1085, 0], "MCI": [0, 0, 0, 0]}
 LABELS = ["AD", "CN", "Other", "MCI"]

@@ -138,7 +138,7 @@ def test_large_offsets_keep_their_digits(spark):
     assert row["std"] == pytest.approx(np.std([0, 1] * 500, ddof=1), rel=1e-9)
 
 
-@pytest.mark.parametrize("buckets", [2, 7, 4096])
+@pytest.mark.parametrize("buckets", [7, 4096])
 def test_narrowed_percentiles_are_exact(spark, buckets):
     rng = np.random.default_rng(5)
     # a third of the rows share one value, tails are heavy, one group is tiny
