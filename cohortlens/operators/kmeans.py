@@ -54,6 +54,17 @@ def kmeans_step(states: DataFrame, columns: list) -> DataFrame:
     return merged.select("cluster", "n", "inertia", *[(F.col(f"sum_{c}") / F.col("n")).alias(c) for c in columns])
 
 
+def lloyd(df: DataFrame, columns: list, centres: list, steps: int = 20, by=()) -> KMeansModel:
+    """Lloyd steps from given centres; a centre that loses all its rows stays where it is."""
+    for _ in range(steps):
+        found = {r["cluster"]: r for r in kmeans_step(kmeans_states(df, columns, centres, by), columns).collect()}
+        moved = [[float(found[i][c]) for c in columns] if i in found else list(centre) for i, centre in enumerate(centres)]
+        if moved == centres:
+            break
+        centres = moved
+    return KMeansModel(list(columns), centres)
+
+
 def kmeans(df: DataFrame, columns: list, n_clusters: int = 3, seed: int = 17, max_iter: int = 20) -> KMeansModel:
     checkpoint_dir(df.sparkSession)
     numeric = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).dropna()

@@ -258,6 +258,8 @@ def neighbours(model: KnnModel, df: DataFrame, key: str, k: int = 5) -> DataFram
         x = np.column_stack([c.to_numpy(float) for c in columns])
         return pd.Series(bounds.value.within(x, own.to_numpy(), limit.to_numpy(float), k))
 
+    other_cells = other_cells.asNondeterministic()  # else the optimizer runs it again to drop empty lists
+
     limit = F.when(F.size("near") >= k, F.element_at("near", k)["d2"]).otherwise(F.lit(float("inf")))
     further = (
         home.withColumn("_cells", other_cells("_cell", F.coalesce(limit, F.lit(float("inf"))), *xs))

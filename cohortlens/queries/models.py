@@ -92,6 +92,25 @@ def kmeans_assign(spark, d):
     return model.predict(table(spark, d, "part")).select("p_partkey", "cluster")
 
 
+def _lloyd_sql(steps: int) -> str:
+    """Lloyd steps from CENTRES, one table of centres per step."""
+    ctes = [f"c0 AS (SELECT cluster, s, p FROM {_centres_sql()})"]
+    for i in range(steps):
+        ctes.append(f"""c{i + 1} AS MATERIALIZED (SELECT c{i}.cluster, coalesce(m.s, c{i}.s) AS s, coalesce(m.p, c{i}.p) AS p FROM c{i} LEFT JOIN (
+  SELECT cluster, avg(p_size) AS s, avg(p_retailprice) AS p FROM (
+   SELECT p_partkey, p_size, p_retailprice, cluster, row_number() OVER (PARTITION BY p_partkey ORDER BY
+    (p_size - s) * (p_size - s) + (p_retailprice - p) * (p_retailprice - p), cluster) AS rn FROM part, c{i}) WHERE rn = 1 GROUP BY 1) m
+  ON m.cluster = c{i}.cluster)""")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT CAST(cluster AS INTEGER) AS cluster, round(s, 6) AS p_size, round(p, 6) AS p_retailprice FROM c{steps}"""
+
+
+@query("kmeans_lloyd", _lloyd_sql(4))
+def kmeans_lloyd(spark, d):
+    model = kmeans.lloyd(table(spark, d, "part"), ["p_size", "p_retailprice"], CENTRES, 4, ["p_brand"])
+    return rounded(model.centre_rows(spark))
+
+
 @query("kmeans")
 def kmeans_centres(spark, d):
     return rounded(kmeans.kmeans(table(spark, d, "part"), ["p_size", "p_retailprice"]).centre_rows(spark), 4)
@@ -276,6 +295,45 @@ def linear_model_regression(spark, d):
     return rounded(linear.linear_model(li, "l_extendedprice", ["l_quantity", "l_discount"], alpha=0.1, penalty="l1").rows(spark), 3)
 
 
+# without a penalty the model is the least-squares line
+@query("linear_model_unpenalised", """
+WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(a + b * l_quantity, 3) AS prediction FROM lineitem, m""")
+def linear_model_unpenalised(spark, d):
+    li = table(spark, d, "lineitem")
+    model = linear.linear_model(li, "l_extendedprice", ["l_quantity"], penalty="none")
+    return rounded(model.predict(li).select("l_orderkey", "l_linenumber", "prediction"), 3)
+
+
+# one tree that may split off every category predicts the category means
+@query("gradient_boosting_first_tree", """
+SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_orderstatus), 3) AS prediction FROM orders""")
+def gradient_boosting_first_tree(spark, d):
+    o = table(spark, d, "orders")
+    model = boosting.gradient_boosting(o, "o_totalprice", ["o_orderstatus"], n_estimators=1)
+    return rounded(model.predict(o).select("o_orderkey", "prediction"), 3)
+
+
+# at the maximum of the likelihood, expected and observed sums of every input agree
+@query("logistic_calibration", """
+SELECT l_returnflag AS class, CAST(count(*) AS DOUBLE) AS rows_expected, round(sum(l_quantity), 1) AS quantity_expected,
+  round(sum(l_discount), 2) AS discount_expected FROM lineitem GROUP BY 1""")
+def logistic_calibration(spark, d):
+    li = table(spark, d, "lineitem")
+    coef: dict = {}
+    for r in regression.logistic_regression(li, "l_returnflag", ["l_quantity", "l_discount"]).collect():
+        coef.setdefault(r["class"], {})[r["term"]] = r["coef"]
+    eta = {c: F.exp(b["intercept"] + b["l_quantity"] * F.col("l_quantity") + b["l_discount"] * F.col("l_discount"))
+           for c, b in coef.items()}
+    total = sum(eta.values(), F.lit(1.0))
+    shares = [F.struct(F.lit("A").alias("class"), (1 / total).alias("p"))]
+    shares += [F.struct(F.lit(c).alias("class"), (e / total).alias("p")) for c, e in eta.items()]
+    rows = li.select("l_quantity", "l_discount", F.inline(F.array(*shares)))
+    return rows.groupBy("class").agg(
+        F.round(F.sum("p"), 2).alias("rows_expected"), F.round(F.sum(F.col("p") * F.col("l_quantity")), 1).alias("quantity_expected"),
+        F.round(F.sum(F.col("p") * F.col("l_discount")), 2).alias("discount_expected"))
+
+
 @query("neural_network")
 def neural_network(spark, d):
     p = table(spark, d, "customer")
@@ -333,6 +391,27 @@ def subgroups_level_one(spark, d):
         table(spark, d, "lineitem"), "l_returnflag", ["l_quantity", "l_extendedprice", "l_linestatus"]), 8)
 
 
+_PAIRS = [("l_quantity", "q"), ("l_extendedprice", "p"), ("l_linestatus", "s")]
+
+
+def _rules_sql() -> str:
+    """Every rule of one or two conditions with a lift above one."""
+    sets = [[c] for _, c in _PAIRS] + [["q", "p"], ["q", "s"], ["p", "s"]]
+    parts = [f"""SELECT target, {len(cs)} AS depth, CAST(sum(n) OVER (PARTITION BY {', '.join(cs)}) AS BIGINT) AS cov, n AS pos FROM
+ (SELECT target, {', '.join(cs)}, count(*) AS n FROM b GROUP BY ALL)""" for cs in sets]
+    return f"""WITH b AS (SELECT * FROM {_BINNED_SQL}), t AS (SELECT target, count(*) AS positives, sum(count(*)) OVER () AS total FROM b GROUP BY 1)
+SELECT 'l_returnflag=' || r.target AS target, depth, cov, pos, round(pos / cov, 8) AS prec,
+ round(pos / cov / (positives / total), 8) AS lift FROM ({' UNION ALL '.join(parts)}) r JOIN t ON r.target = t.target
+WHERE pos / cov / (positives / total) > 1"""
+
+
+@query("subgroup_rules_all", _rules_sql())
+def subgroup_rules_all(spark, d):
+    out = subgroups.subgroups(table(spark, d, "lineitem"), "l_returnflag", [c for c, _ in _PAIRS],
+                              beam=1000, support=0.0, alpha=1.0)
+    return rounded(out.select("target", "depth", "cov", "pos", "prec", "lift"), 8)
+
+
 @query("subgroups")
 def subgroup_rules(spark, d):
     return rounded(subgroups.subgroups(
@@ -349,8 +428,13 @@ def run_experiment(spark, d):
         validation_datasets=("EUROPE", "ASIA"))).select("position", "algorithm", "result", "error")
 
 
-@query("fit_and_validate")
+@query("fit_and_validate", f"""
+WITH s AS (SELECT p_partkey, p_size AS x, p_retailprice AS y, {kfold_sql('p_partkey', 3)} AS f FROM part),
+m AS (SELECT i AS f, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM s, range(1, 4) t(i) WHERE s.f <> i GROUP BY 1),
+p AS (SELECT CAST(s.f AS VARCHAR) AS fold, y, a + b * x AS guess FROM s JOIN m ON s.f = m.f)
+SELECT coalesce(fold, 'all') AS fold, count(*) AS n, round(avg((y - guess) ** 2), 4) AS mse, round(avg(abs(y - guess)), 5) AS mae
+FROM p GROUP BY GROUPING SETS ((fold), ())""")
 def fit_and_validate(spark, d):
     _, scores = experiment.fit_and_validate(
-        "sgdLinearModel", table(spark, d, "part"), "p_retailprice", ["p_size", "p_brand"], "p_partkey", 2)
-    return rounded(scores, 4)
+        "sgdLinearModel", table(spark, d, "part"), "p_retailprice", ["p_size"], "p_partkey", 3, parameters={"penalty": "none"})
+    return scores.select("fold", "n", F.round("mse", 4).alias("mse"), F.round("mae", 5).alias("mae"))

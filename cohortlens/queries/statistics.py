@@ -298,6 +298,21 @@ def anova_additive(spark, d):
     return out.select("term", "df", F.round(F.col("sum_sq") / 1e6, 3).alias("sum_sq_millions"))
 
 
+# with both factors and their interaction in, the model is the table of cell means
+@query("anova_factorial_cells", """
+WITH a AS (SELECT l_returnflag, count(*) AS n, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1),
+c AS (SELECT l_returnflag, l_linestatus, count(*) AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) * count(*) AS w FROM lineitem GROUP BY ALL),
+g AS (SELECT avg(l_extendedprice) AS m FROM lineitem)
+SELECT 'l_returnflag' AS term, round(sum(a.n * (a.m - g.m) ** 2) / 1e6, 4) AS sum_sq_millions FROM a, g
+UNION ALL SELECT 'rest', round((sum(c.n * (c.m - a.m) ** 2)) / 1e6, 4) FROM c JOIN a ON a.l_returnflag = c.l_returnflag
+UNION ALL SELECT 'Residual', round(sum(w) / 1e6, 2) FROM c""")
+def anova_factorial_cells(spark, d):
+    out = anova_ops.anova(table(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus"])
+    term = F.when(F.col("term").contains("linestatus"), "rest").otherwise(F.col("term")).alias("term")
+    sums = out.groupBy(term).agg((F.sum("sum_sq") / 1e6).alias("s"))
+    return sums.select("term", F.when(F.col("term") == "Residual", F.round("s", 2)).otherwise(F.round("s", 4)).alias("sum_sq_millions"))
+
+
 @query("anova_factorial")
 def anova_factorial(spark, d):
     return rounded(anova_ops.anova(
