@@ -14,6 +14,7 @@ from cohortlens.plans.mining import select_rows
 from cohortlens.plans.registry import Task, algorithm, describe_model, parameters_of
 from cohortlens.plans.validation import check_folds, cross_validate, fit, validate_on_datasets
 from cohortlens.session import checkpoint
+from cohortlens.sources.results import inject_cell
 from cohortlens.sources.tables import Catalog
 
 RESULT_SCHEMA = "position int, algorithm string, result string, data string, error string"
@@ -28,6 +29,21 @@ def _long(df: DataFrame, position: int, code: str, result: str) -> DataFrame:
     )
 
 
+def model_document(model_rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """One JSON document: the model's numbers and, in its ``validations`` cell, its scores."""
+    def tagged(df, cell):
+        return df.select(F.lit(cell).alias("cell"),
+                         F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
+
+    def as_array(cell):  # a few rows per class or fold
+        rows = F.array_sort(F.collect_list(F.when(F.col("cell") == cell, F.col("row"))))
+        return F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")).alias(cell)
+
+    both = tagged(model_rows, "model").unionByName(tagged(scores, "scores")).agg(as_array("model"), as_array("scores"))
+    document = F.concat(F.lit('{"cells":{"model":'), "model", F.lit("}}"))
+    return both.select(inject_cell(document, "validations", F.col("scores")).alias("document"))
+
+
 def fit_and_validate(
     code: str, df: DataFrame, target: str, inputs: list, key: str, k: int, seed: float = 0.67,
     parameters: dict | None = None, split_df: DataFrame | None = None,
@@ -75,11 +91,14 @@ def run_experiment(
                             parameters_of(spec.code, spec.parameters))
                 if definition.predictive:
                     model = fit(spec.code, df, task.target, task.inputs, key, spec.parameters)
-                    parts.append(_long(describe_model(model, df), position, spec.code, "model"))
+                    described = describe_model(model, df)
+                    parts.append(_long(described, position, spec.code, "model"))
                     for k in folds:
                         scores = cross_validate(spec.code, df, task.target, task.inputs, key, k, seed,
                                                 spec.parameters, split_df=splits[k])
+                        scores = checkpoint(scores)  # k + 1 rows, used twice
                         parts.append(_long(scores, position, spec.code, "kfold"))
+                        parts.append(_long(model_document(described, scores), position, spec.code, "document"))
                     if query.validation_datasets and rows.table.dataset_column:
                         parts.append(_long(
                             _other_datasets(spark, catalog, query, model, task, rows), position, spec.code, "datasets"))

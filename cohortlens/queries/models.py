@@ -428,6 +428,18 @@ def run_experiment(spark, d):
         validation_datasets=("EUROPE", "ASIA"))).select("position", "algorithm", "result", "error")
 
 
+# a row per class and input, and a score per fold plus the pooled one
+@query("model_with_scores", """
+SELECT count(DISTINCT o_orderstatus) AS model_rows, CAST(3 + 1 AS BIGINT) AS score_rows FROM orders""")
+def model_with_scores(spark, d):
+    model, scores = experiment.fit_and_validate(
+        "naiveBayes", table(spark, d, "orders"), "o_orderstatus", ["o_totalprice"], "o_orderkey", 3)
+    document = experiment.model_document(model.rows(spark), scores)
+    return document.select(*[
+        F.json_array_length(F.get_json_object("document", f"$.cells.{cell}")).cast("bigint").alias(name)
+        for cell, name in (("model", "model_rows"), ("validations", "score_rows"))])
+
+
 @query("fit_and_validate", f"""
 WITH s AS (SELECT p_partkey, p_size AS x, p_retailprice AS y, {kfold_sql('p_partkey', 3)} AS f FROM part),
 m AS (SELECT i AS f, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM s, range(1, 4) t(i) WHERE s.f <> i GROUP BY 1),

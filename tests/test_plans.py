@@ -93,7 +93,8 @@ def test_experiment_keeps_going_after_a_failure(spark, catalog):
     assert [(r["position"], r["algorithm"], r["error"]) for r in errors] == [(0, "chaos", "planned failure")]
     for code in ("naiveBayes", "knn"):
         kinds = sorted(r["result"] for r in out if r["algorithm"] == code)
-        assert kinds.count("kfold") == 3 and kinds.count("datasets") == 2 and "model" in kinds
+        assert kinds.count("kfold") == 3 and kinds.count("datasets") == 2
+        assert "model" in kinds and kinds.count("document") == 1
 
 
 def test_experiment_fails_up_front(spark, catalog):
