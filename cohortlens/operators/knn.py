@@ -26,7 +26,7 @@ MAX_LEAVES = 4096
 SAMPLE_ROWS = 50_000
 PART_ROWS = 200_000
 CHUNK_ROWS = 50_000
-DISTANCE_CELLS = 2_000_000
+DISTANCE_CELLS = 100_000  # distances held at a time, so that they stay in the cache
 
 
 @dataclass

@@ -11,7 +11,6 @@ the scan.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -58,13 +57,11 @@ def _locate(counted: DataFrame, wanted: DataFrame, keys: list) -> DataFrame:
 
 @dataclass(frozen=True)
 class _Span:
-    """Where a wanted rank lies: first-pass bucket, value bounds, bucket edges, rows below and inside."""
+    """Where a wanted rank lies: first-pass bucket, least and greatest value, rows below and inside."""
 
     at: int
     low: float
     high: float
-    start: float
-    end: float
     below: int
     inside: int
 
@@ -111,53 +108,34 @@ def narrowed_percentiles(
         others = [rows[c] for c in rows.columns if c not in (*grouping, "variable", "_all")]
         return rows.join(F.broadcast(ids), same).select("id", *others)  # size checked above
 
-    def first(v):
-        x, (lo, hi) = F.col(f"`{v}`").cast("double"), edges.get(v, (0.0, 0.0))
-        if lo == hi:
-            return F.when(x.isNotNull(), F.lit(0))
-        return _bucket(x, F.lit(lo), F.lit(hi), buckets)
-
-    counts = (
-        df.select(*grouping, F.posexplode(F.array(*[first(v) for v in variables])).alias("variable", "at"))
-        .filter(F.col("at").isNotNull()).groupBy(*grouping, "variable", "at").agg(F.count(F.lit(1)).alias("c"))
-    )
-    counts = identified(with_overall(counts, grouping, ["variable", "at"], [F.sum("c").alias("c")]))
+    bounds = [edges.get(v, (0.0, 0.0)) for v in variables]
+    lo, hi = (F.get(F.array(*[F.lit(float(b[side])) for b in bounds]), F.col("variable")) for side in (0, 1))
+    each = F.array(*[F.col(f"`{v}`").cast("double") for v in variables])
+    long = df.select(*grouping, F.posexplode(each).alias("variable", "value")).filter(F.col("value").isNotNull())
+    long = long.withColumn("at", F.when(hi > lo, _bucket(F.col("value"), lo, hi, buckets)).otherwise(0))
+    extremes = [F.min("value").alias("min"), F.max("value").alias("max")]
+    counts = long.groupBy(*grouping, "variable", "at").agg(F.count(F.lit(1)).alias("c"), *extremes)
+    merge = [F.sum("c").alias("c"), F.min("min").alias("min"), F.max("max").alias("max")]
+    counts = identified(with_overall(counts, grouping, ["variable", "at"], merge))
     targets = {i: _targets(r["n"], probs) for i, r in enumerate(groups)}
     wanted = [(i, rank) for i, ts in targets.items() for rank in {t for low, high, _ in ts for t in (low, high)}]
     found = _locate(counts, spark.createDataFrame(wanted, "id int, rank long"), ["id"]).collect()
     values, spans = {}, {}
     for r in found:
-        lo, hi = edges[groups[r["id"]]["variable"]]
-        width = (hi - lo) / buckets
-        if lo == hi:
-            values[r["id"], r["rank"]] = lo
-        else:  # the bucket's edges only spread its rows; which rows belong is known by its number
-            spans[r["id"], r["rank"]] = _Span(r["at"], -math.inf, math.inf, lo + r["at"] * width,
-                                              lo + (r["at"] + 1) * width, r["before"], r["c"])
-    kept = {v: set() for v in variables}
-    for (i, _), span in spans.items():
-        kept[groups[i]["variable"]].add(span.at)
-
-    def entry(v):
-        """(bucket, value) of a row in a wanted bucket, else null."""
-        x = F.col(f"`{v}`").cast("double")
-        if not kept[v]:
-            return F.lit(None).cast("struct<at:int,value:double>")
-        return F.when(first(v).isin(*sorted(kept[v])), F.struct(first(v).alias("at"), x.alias("value")))
-
-    near = (
-        df.select(*grouping, F.posexplode(F.array(*[entry(v) for v in variables])).alias("variable", "e"))
-        .filter(F.col("e").isNotNull()).select(*grouping, "variable", "e.at", "e.value")
-    )
-    near = identified(expand_levels(near, grouping))
+        if r["min"] == r["max"]:
+            values[r["id"], r["rank"]] = r["min"]
+        else:
+            spans[r["id"], r["rank"]] = _Span(r["at"], r["min"], r["max"], r["before"], r["c"])
+    kept = sorted({(at_of[groups[i]["variable"]], s.at) for (i, _), s in spans.items()})
+    kept = spark.createDataFrame(kept, "variable int, at int")  # a few buckets per large group
+    near = identified(expand_levels(long.join(F.broadcast(kept), ["variable", "at"], "left_semi"), grouping))
     while spans:
         parts: dict = {}
         for (i, _), s in spans.items():
-            parts.setdefault((i, s.at, s.low, s.high, s.start, s.end), len(parts))
+            parts.setdefault((i, s.at, s.low, s.high), len(parts))
         table = spark.createDataFrame(
-            [(*part, p) for part, p in parts.items()],
-            "id int, at int, low double, high double, start double, end double, part int")
-        part_of = {at: parts[at[0], s.at, s.low, s.high, s.start, s.end] for at, s in spans.items()}
+            [(*part, p) for part, p in parts.items()], "id int, at int, low double, high double, part int")
+        part_of = {at: parts[at[0], s.at, s.low, s.high] for at, s in spans.items()}
         wanted = spark.createDataFrame(
             sorted({(part_of[at], at[1] - s.below) for at, s in spans.items()}), "part int, rank long")
         rows = near.join(F.broadcast(table), ["id", "at"])  # a few per large group
@@ -166,10 +144,8 @@ def narrowed_percentiles(
             counted = rows.groupBy("part", F.col("value").alias("at")).agg(F.count(F.lit(1)).alias("c"))
             counted = counted.withColumn("min", F.col("at")).withColumn("max", F.col("at"))
         else:
-            spread = F.when(F.col("end") > F.col("start"),
-                            _bucket(F.col("value"), F.col("start"), F.col("end"), buckets)).otherwise(0)
-            counted = rows.groupBy("part", spread.alias("at")).agg(
-                F.count(F.lit(1)).alias("c"), F.min("value").alias("min"), F.max("value").alias("max"))
+            inner = _bucket(F.col("value"), F.col("low"), F.col("high"), buckets)
+            counted = rows.groupBy("part", inner.alias("at")).agg(F.count(F.lit(1)).alias("c"), *extremes)
         located = {(r["part"], r["rank"]): r for r in _locate(counted, wanted, ["part"]).collect()}
         for at, s in list(spans.items()):
             r = located[part_of[at], at[1] - s.below]
@@ -177,7 +153,7 @@ def narrowed_percentiles(
                 values[at] = r["min"]
                 del spans[at]
             else:
-                spans[at] = _Span(s.at, r["min"], r["max"], r["min"], r["max"], s.below + r["before"], r["c"])
+                spans[at] = _Span(s.at, r["min"], r["max"], s.below + r["before"], r["c"])
     out = []
     for i, r in enumerate(groups):
         q = []
