@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,20 @@ def name_at(names: list, position: str) -> Column:
     return F.get(F.array(*[F.lit(n) for n in names]), F.col(position))
 
 
+def complete_rows(df: DataFrame, columns=None) -> DataFrame:
+    """Rows without null or NaN in the columns (all by default).
+
+    One condition per column: the optimizer copies a condition over many columns
+    once per subset of renamed ones, which takes longer than the query.
+    """
+    conditions = []
+    for c in dict.fromkeys(columns or df.columns):
+        conditions.append(F.col(f"`{c}`").isNotNull())
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            conditions.append(~F.isnan(F.col(f"`{c}`")))
+    return df.filter(reduce(lambda a, b: a & b, conditions))
+
+
 def decimals_to_double(df: DataFrame) -> DataFrame:
     return df.select(*[
         F.col(f"`{f.name}`").cast("double").alias(f.name)

@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.names import is_nominal
+from cohortlens.functions.names import complete_rows, is_nominal
 from cohortlens.operators import gram as G
 from cohortlens.session import checkpoint_dir
 
@@ -47,7 +47,7 @@ def gradient_boosting(
     ``min_samples_split`` raises the leaf bound to half of it.
     """
     checkpoint_dir(df.sparkSession)
-    rows = df.dropna(subset=[y, *xs])
+    rows = complete_rows(df, [y, *xs])
     d = G.design(rows, xs)
     terms = [t for x in xs for t in d[x]]
     classes = G.nominal_levels(rows, [y])[y] if is_nominal(df, y) else []

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.names import is_nominal
+from cohortlens.functions.names import complete_rows, is_nominal
 from cohortlens.operators.moments import find_shifts
 from cohortlens.session import small_rows
 
@@ -104,7 +104,7 @@ def gram_states(df: DataFrame, terms: list, by=()) -> DataFrame:
     if not 0 < p <= MAX_TERMS:
         raise ValueError(f"{p} terms; between 1 and {MAX_TERMS} are supported")
     rows = df.select(*by, *[(t.column - F.lit(t.shift)).alias(f"_t{i}") for i, t in enumerate(terms)])
-    rows = rows.dropna(subset=[f"_t{i}" for i in range(p)])
+    rows = complete_rows(rows, [f"_t{i}" for i in range(p)])
     if p <= BUILTIN_TERMS:
         aggs = [F.count(F.lit(1)).alias("_n")]
         aggs += [F.sum(f"_t{i}").alias(f"_s{i}") for i in range(p)]

@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.names import complete_rows
 from cohortlens.session import checkpoint_dir
 
 
@@ -37,7 +38,7 @@ class KMeansModel:
 
 def kmeans_states(df: DataFrame, columns: list, centres: list, by=()) -> DataFrame:
     """(by..., cluster, n, d2, sums): one Lloyd step's additive state."""
-    rows = df.select(*by, *columns).dropna(subset=list(columns))
+    rows = complete_rows(df.select(*by, *columns), columns)
     rows = rows.withColumn("_near", nearest_centre(columns, centres))
     return rows.groupBy(*by, F.col("_near.cluster").alias("cluster")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("_near.d2").alias("d2"),
@@ -67,7 +68,7 @@ def lloyd(df: DataFrame, columns: list, centres: list, steps: int = 20, by=()) -
 
 def kmeans(df: DataFrame, columns: list, n_clusters: int = 3, seed: int = 17, max_iter: int = 20) -> KMeansModel:
     checkpoint_dir(df.sparkSession)
-    numeric = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).dropna()
+    numeric = complete_rows(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]))
     vectors = VectorAssembler(inputCols=list(columns), outputCol="_features").transform(numeric)
     fitted = KMeans(k=n_clusters, seed=seed, maxIter=max_iter, featuresCol="_features").fit(vectors)
     return KMeansModel(list(columns), [list(map(float, c)) for c in fitted.clusterCenters()])

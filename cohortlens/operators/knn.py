@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.names import is_nominal
+from cohortlens.functions.names import complete_rows, is_nominal
 from cohortlens.operators.gram import nominal_levels
 from cohortlens.session import checkpoint
 
@@ -69,7 +69,7 @@ def knn_fit(
     classification = is_nominal(df, target)
     model = KnnModel(df, list(columns), classification, levels, key, k, leaf_rows)
     y = F.col(f"`{target}`").cast("string" if classification else "double")
-    model.train = df.select(F.col(key).alias("_key"), y.alias("_y"), *model.features(df)).dropna()
+    model.train = complete_rows(df.select(F.col(key).alias("_key"), y.alias("_y"), *model.features(df)))
     return model
 
 
@@ -213,10 +213,9 @@ def neighbours(model: KnnModel, df: DataFrame, key: str, k: int = 5) -> DataFram
     dims = model.dims
     xs = [f"_x{i}" for i in range(dims)]
     # of rows at the same point only the k smallest keys can ever be neighbours
-    same = Window.partitionBy(*xs).orderBy("_key")
-    train = checkpoint(
-        model.train.withColumn("_rank", F.row_number().over(same)).filter(F.col("_rank") <= k).drop("_rank")
-    )
+    same = Window.partitionBy("_point", *xs).orderBy("_key")  # the hash decides nearly every comparison
+    ranked = model.train.withColumn("_point", F.xxhash64(*xs)).withColumn("_rank", F.row_number().over(same))
+    train = checkpoint(ranked.filter(F.col("_rank") <= k).drop("_rank", "_point"))
     total = train.count()
     if total == 0:
         raise ValueError("kNN needs training rows")
@@ -242,7 +241,7 @@ def neighbours(model: KnnModel, df: DataFrame, key: str, k: int = 5) -> DataFram
     train = train.withColumn("_part", F.pmod(F.xxhash64("_key"), _pieces(parts, F.col("_cell"))).cast("int"))
     ktype, ytype, qtype = train.schema["_key"].dataType, train.schema["_y"].dataType, df.schema[key].dataType
 
-    queries = df.select(F.col(key).alias("_q"), *model.features(df)).dropna().withColumn("_cell", leaf(*xs))
+    queries = complete_rows(df.select(F.col(key).alias("_q"), *model.features(df))).withColumn("_cell", leaf(*xs))
     home = _search(queries, train, parts, dims, k, qtype, ktype, ytype)
     if len(boxes) == 1:
         return merge_near(home, k).withColumnRenamed("_q", key)

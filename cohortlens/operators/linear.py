@@ -10,7 +10,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.names import is_nominal
+from cohortlens.functions.names import complete_rows, is_nominal
 from cohortlens.operators import gram as G
 
 # penalty -> weight of the l1 part; None takes the l1_ratio parameter
@@ -73,7 +73,7 @@ def linear_model(
     """Least squares for a numeric target, logistic for a nominal one."""
     if penalty not in PENALTIES:
         raise ValueError(f"penalty is one of {', '.join(PENALTIES)}")
-    rows = df.dropna(subset=[y, *xs])
+    rows = complete_rows(df, [y, *xs])
     names, inputs = standardised(rows, xs)
     mix = l1_ratio if PENALTIES[penalty] is None else PENALTIES[penalty]
     reg = 0.0 if penalty == "none" else float(alpha)

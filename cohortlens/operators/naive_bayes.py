@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.names import nominal_columns, numeric_columns
+from cohortlens.functions.names import complete_rows, nominal_columns, numeric_columns
 from cohortlens.operators.moments import moment_columns, moment_states
 from cohortlens.operators.summary import value_counts
 from cohortlens.session import small_rows
@@ -93,7 +93,7 @@ def naive_bayes_states(df: DataFrame, y: str, columns: list, by=()) -> tuple:
     """Driver-side (moment rows, category rows) per class and ``by`` key, each from one scan."""
     by = list(by)
     numeric, nominal = numeric_columns(df, columns), nominal_columns(df, columns)
-    rows = df.select(*dict.fromkeys([*by, y, *columns])).dropna(subset=[y, *columns])
+    rows = complete_rows(df.select(*dict.fromkeys([*by, y, *columns])), [y, *columns])
     rows = rows.withColumn("_class", F.col(f"`{y}`").cast("string"))
     moments, counts = [], []
     if numeric:

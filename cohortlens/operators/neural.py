@@ -15,7 +15,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.names import is_nominal
+from cohortlens.functions.names import complete_rows, is_nominal
 from cohortlens.operators import gram as G
 from cohortlens.operators.linear import standardised
 
@@ -120,7 +120,7 @@ def neural_network(
 ) -> NeuralModel:
     if activation not in ACTIVATIONS:
         raise ValueError(f"activation is one of {', '.join(ACTIVATIONS)}")
-    rows = df.dropna(subset=[y, *xs])
+    rows = complete_rows(df, [y, *xs])
     _, inputs = standardised(rows, xs)
     classes = G.nominal_levels(rows, [y])[y] if is_nominal(df, y) else []
     centre, scale = 0.0, 1.0

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.dist import normal_two_sided, t_two_sided
+from cohortlens.functions.names import complete_rows
 from cohortlens.operators import gram as G
 
 TERM_SCHEMA = "term string, coef double, std_err double, t_values double, p_values double"
@@ -188,8 +189,8 @@ def logistic_regression(df: DataFrame, y: str, xs: list, tolerance: float = 1e-1
     if (p + 1) * len(others) > G.MAX_TERMS:
         raise ValueError(f"{(p + 1) * len(others)} parameters; at most {G.MAX_TERMS} are supported")
     label = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(f"`{y}`").cast("string")) - 1
-    raw = df.filter(F.col(f"`{y}`").isNotNull()).select(
-        label.cast("int").alias("_y"), *[t.column.alias(f"_t{i}") for i, t in enumerate(terms)]).dropna()
+    raw = complete_rows(df.filter(F.col(f"`{y}`").isNotNull()).select(
+        label.cast("int").alias("_y"), *[t.column.alias(f"_t{i}") for i, t in enumerate(terms)]))
     moments = raw.agg(*[f(f"_t{i}").alias(f"{tag}{i}") for i in range(p)
                         for f, tag in ((F.avg, "m"), (F.stddev_pop, "s"))]).first()
     mean = np.array([moments[f"m{i}"] for i in range(p)])

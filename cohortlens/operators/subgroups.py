@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.dist import fisher_greater
-from cohortlens.functions.names import is_nominal
+from cohortlens.functions.names import complete_rows, is_nominal
 from cohortlens.operators.histogram import bin_index, numeric_ranges
 from cohortlens.session import checkpoint, small_rows
 
@@ -45,7 +45,7 @@ def condition_counts(df: DataFrame, y: str, xs: list, bins: int = BINS) -> DataF
         F.struct(F.lit(x).alias("variable"), F.col(f"`{x}`").alias("value")) for x in xs
     ]))
     return (
-        cells.dropna().select(F.col(f"`{y}`").alias("target"), pairs)
+        complete_rows(cells).select(F.col(f"`{y}`").alias("target"), pairs)
         .groupBy("variable", "value", "target").agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -78,7 +78,7 @@ def subgroups(
     surviving rule that covers it, extended by each of the row's own categories.
     """
     cells, labels = binned(df, [y, *xs], bins)
-    cube = checkpoint(cells.dropna().groupBy(y, *xs).agg(F.count(F.lit(1)).alias("_n")))
+    cube = checkpoint(complete_rows(cells).groupBy(y, *xs).agg(F.count(F.lit(1)).alias("_n")))
     targets = {r[y]: r["n"] for r in small_rows(
         cube.groupBy(y).agg(F.sum("_n").alias("n")), MAX_CLASSES, "target classes")}
     total = sum(targets.values())
