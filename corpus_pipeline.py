@@ -3,14 +3,64 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from cohortlens.llm import mixing, packing, pii, quality, simhash
+from cohortlens.llm.common import stored
 
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; null and empty texts are judged like others."""
+    model = quality.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.scored(docs, model, score_column="_score").where("_score >= 0.5").drop("_score")
+
+
+def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group: the one with the smallest id. Rows without an id stay."""
+    named = docs.where("doc_id is not null")
+    first = (simhash.near_duplicates(named, words=3, distance=3).where("doc_id = component_id")
+             .select(F.col("doc_id").alias("_first")).distinct())
+    kept = named.join(first, F.col("doc_id") == F.col("_first")).drop("_first").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by the kind in brackets; ``n_chars`` follows the text."""
+    hidden = pii.redacted(docs)
+    return hidden.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: left out, once or twice."""
+    sized = docs.select("doc_id", "source", mixing.word_count("text").alias("_words"))
+    times = mixing.mix(sized, "_words").groupBy("doc_id", "source", "size").agg(F.max("times").alias("_times"))
+    times = times.where("_times > 0").toDF("_id", "_source", "_size", "_times")
+    on = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("source").eqNullSafe(F.col("_source")),
+          mixing.word_count("text") == F.col("_size")]
+    taken = docs.join(times, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return taken.select(*docs.columns)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix in windows of 2048 tokens, one row per piece."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("simhash", keep_one_copy),
+    ("pii", hide_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
+]
+
+# Learned scores, regular expressions with checksums and a tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each one's result written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
