@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import mixing, packing, pii, quality, simhash
+from cohortlens.llm import hilbert, lattice, mixing, packing, pii, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings by E8 lattice hashing, cosine 0.95."""
+    return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from preference pairs of the labelled ones."""
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -43,6 +48,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest embeddings found for every hundredth id."""
+    return hilbert.neighbours(_table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", 10)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents to weights 5, 2, 1 and 150 % of all words."""
     docs = _table(spark, sf_dir, "documents").withColumn("_words", mixing.word_count("text"))
@@ -71,5 +81,5 @@ SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, a
 FROM (SELECT u.doc_id, u.size, u.source_size, u.target, k.taken FROM u
  LEFT JOIN (SELECT doc_id, sum(size) FILTER (inside) AS taken FROM c GROUP BY doc_id) k USING (doc_id)) GROUP BY doc_id"""
 
-QUERIES = {"op2_pii": op2_pii, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing}
+QUERIES = {"op2_pii": op2_pii, "op4_lattice": op4_lattice, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op8_hilbert": op8_hilbert, "op9_mixing": op9_mixing}
 ORACLES = {"op9_mixing": OP9_SQL}
