@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import hilbert, lattice, mixing, packing, pii, quality, simhash
+from cohortlens.llm import hilbert, langid, lattice, mixing, packing, pii, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, "_words").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page; text likelihoods come from all documents."""
+    return langid.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 _SIZED = "SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents"
 
 OP9_SQL = f"""
@@ -81,5 +86,5 @@ SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, a
 FROM (SELECT u.doc_id, u.size, u.source_size, u.target, k.taken FROM u
  LEFT JOIN (SELECT doc_id, sum(size) FILTER (inside) AS taken FROM c GROUP BY doc_id) k USING (doc_id)) GROUP BY doc_id"""
 
-QUERIES = {"op2_pii": op2_pii, "op4_lattice": op4_lattice, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op8_hilbert": op8_hilbert, "op9_mixing": op9_mixing}
+QUERIES = {"op2_pii": op2_pii, "op4_lattice": op4_lattice, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op8_hilbert": op8_hilbert, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
 ORACLES = {"op9_mixing": OP9_SQL}
