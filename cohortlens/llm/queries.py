@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import hilbert, langid, lattice, mixing, packing, pii, quality, simhash
+from cohortlens.llm import hilbert, langid, lattice, mixing, packing, pii, quality, rlz, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def op3_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that stand in a window of 35 words found elsewhere too."""
+    found = rlz.duplicate_spans(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate embeddings by E8 lattice hashing, cosine 0.95."""
     return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.95)
@@ -86,5 +92,5 @@ SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, a
 FROM (SELECT u.doc_id, u.size, u.source_size, u.target, k.taken FROM u
  LEFT JOIN (SELECT doc_id, sum(size) FILTER (inside) AS taken FROM c GROUP BY doc_id) k USING (doc_id)) GROUP BY doc_id"""
 
-QUERIES = {"op2_pii": op2_pii, "op4_lattice": op4_lattice, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op8_hilbert": op8_hilbert, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
+QUERIES = {"op2_pii": op2_pii, "op3_rlz": op3_rlz, "op4_lattice": op4_lattice, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op8_hilbert": op8_hilbert, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
 ORACLES = {"op9_mixing": OP9_SQL}
