@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import hilbert, langid, lattice, mixing, packing, pii, quality, rlz, simhash
+from cohortlens.llm import ctw, hilbert, langid, lattice, mixing, packing, pii, quality, rlz, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-tree weighting scores of all documents, learned from four fifths of them."""
+    return ctw.scores(_table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     found = pii.personal_data(_table(spark, sf_dir, "documents"))
@@ -92,5 +97,5 @@ SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, a
 FROM (SELECT u.doc_id, u.size, u.source_size, u.target, k.taken FROM u
  LEFT JOIN (SELECT doc_id, sum(size) FILTER (inside) AS taken FROM c GROUP BY doc_id) k USING (doc_id)) GROUP BY doc_id"""
 
-QUERIES = {"op2_pii": op2_pii, "op3_rlz": op3_rlz, "op4_lattice": op4_lattice, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op8_hilbert": op8_hilbert, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
+QUERIES = {"op1_ctw": op1_ctw, "op2_pii": op2_pii, "op3_rlz": op3_rlz, "op4_lattice": op4_lattice, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op8_hilbert": op8_hilbert, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
 ORACLES = {"op9_mixing": OP9_SQL}
