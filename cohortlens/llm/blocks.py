@@ -26,8 +26,9 @@ BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20  # of text whose keys one bucket holds on average
 LEAST_BUCKETS = 64
 
-BLOCK_DDL = "block long, ids array<long>, sizes array<long>, data binary"
-_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())])
+# Ids are kept as text: a list of numbers with a null among them would turn into floats on its way to Python.
+BLOCK_DDL = "block long, ids array<string>, sizes array<long>, data binary"
+_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())])
 
 
 def bucket_count(docs: DataFrame, text_column: str = "text", bucket_bytes: int = BUCKET_BYTES) -> int:
@@ -46,6 +47,10 @@ def texts(data: bytes, sizes) -> list[bytes]:
     return [whole[s:e] for s, e in zip([0, *ends], ends)]
 
 
+def doc_ids(row) -> list[int | None]:
+    return [None if i is None else int(i) for i in row["ids"]]
+
+
 def in_blocks(docs: DataFrame, ask: Callable[[list, list[bytes]], list[tuple[int, bytes, bytes]]], what: str,
               text_column: str = "text", id_column: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A stored table of blocks, each with the questions ``(bucket, keys, extra)`` that ``ask(ids, texts)`` gives for it.
@@ -62,7 +67,7 @@ def in_blocks(docs: DataFrame, ask: Callable[[list, list[bytes]], list[tuple[int
         def block(ids, parts):
             asked = [{"bucket": b, "keys": k, "extra": x} for b, k, x in ask(ids, parts)]
             return pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(p) for p in parts]], pa.list_(pa.int64())),
+                [pa.array([number]), pa.array([[None if i is None else str(i) for i in ids]], pa.list_(pa.string())), pa.array([[len(p) for p in parts]], pa.list_(pa.int64())),
                  pa.array([squeeze(parts)], pa.binary()), pa.array([asked], ASKED)], schema=schema)
 
         ids, parts, size = [], [], 0

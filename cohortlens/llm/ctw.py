@@ -291,7 +291,7 @@ def scores(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS, text_column:
                  .cogroup(copies.groupBy("of", "copy")).applyInPandas(predict, "block long, bucket int, told binary"))
 
     def finish(row, told):
-        ids = row["ids"]
+        ids = blocks.doc_ids(row)
         text = Spelled(blocks.texts(row["data"], row["sizes"]))
         w, _, keys, _ = distinct(text, ids)
         counts, logs = np.zeros(len(w), np.int64), np.zeros(len(keys))
@@ -304,7 +304,7 @@ def scores(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS, text_column:
         score = np.concatenate([
             np.add.reduceat(logs[np.searchsorted(keys, key)], np.cumsum(sizes) - sizes) for _, sizes, key in text.keys(depth)])
         return pd.DataFrame({
-            "doc_id": pd.array(list(ids), "Int64"), "held_out": [held(i, folds) for i in ids], "n_tokens": text.tokens,
+            "doc_id": pd.array(ids, "Int64"), "held_out": [held(i, folds) for i in ids], "n_tokens": text.tokens,
             "n_known": np.add.reduceat((c > 0).astype(np.int64), begins), "logs": np.add.reduceat(np.log10(c + 0.5), begins),
             "score": score, "n_bytes": [len(x) for x in text.lines]})
 

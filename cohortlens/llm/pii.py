@@ -167,7 +167,6 @@ def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
     at = docs.columns.index(text_column)
     order = [at, *[i for i in range(len(docs.columns)) if i != at]]
-    fields = [docs.schema.fields[i] for i in order]
     moved = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).select(*[f"c{i}" for i in order])
     out = moved.mapInArrow(run, moved.schema)
-    return out.select(*[F.col(f"c{i}").alias(docs.columns[i]) for i in range(len(fields))])
+    return out.select(*[F.col(f"c{i}").alias(docs.columns[i]) for i in range(len(docs.columns))])

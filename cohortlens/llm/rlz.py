@@ -177,7 +177,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed_words: int = SEE
 
     second = stored(blocks.resolved(
         first, blocks.answered(first, repeated), ["ids", "sizes", "data"], suspects,
-        "block long, ids array<long>, n_words array<long>, clean array<string>, sizes array<long>, data binary, flags binary, "
+        "block long, ids array<string>, n_words array<long>, clean array<string>, sizes array<long>, data binary, flags binary, "
         f"asked {blocks.ASKED_DDL}"), "suspects")
 
     def parse(row, told):
@@ -190,7 +190,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed_words: int = SEE
         found = np.zeros(len(words.hashes), bool)
         found[np.flatnonzero(hit)] = _told(_bucket(two[place], n_buckets), told)[back] if len(place) else False
         out, at = [], 0
-        for doc, n, sha in zip(row["ids"], row["n_words"], row["clean"]):
+        for doc, n, sha in zip(blocks.doc_ids(row), row["n_words"], row["clean"]):
             if sha is not None:
                 out.append((doc, n, 0, None, sha, []))
                 continue
