@@ -60,6 +60,11 @@ def name_at(names: list, position: str) -> Column:
     return F.get(F.array(*[F.lit(n) for n in names]), F.col(position))
 
 
+def finite(x: Column) -> Column:
+    """The value, or null when it is null, NaN or infinite."""
+    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+
+
 def complete_rows(df: DataFrame, columns=None) -> DataFrame:
     """Rows without null or NaN in the columns (all by default).
 

@@ -127,3 +127,4 @@ class AlgorithmDef:
     covariables_can_be_null: bool = False
     mergeable: bool = False
     defaults: dict = field(default_factory=dict)
+    all_variables: bool = False

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import VectorAssembler
@@ -24,18 +25,33 @@ class BoostedModel:
     def vectors(self, df: DataFrame) -> DataFrame:
         names = [f"_t{i}" for i in range(len(self.terms))]
         wide = df.select("*", *[t.column.alias(n) for n, t in zip(names, self.terms)])
-        out = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="skip").transform(wide)
+        out = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="keep").transform(wide)
         return out.drop(*names)
 
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
-        scored = self.fitted.transform(self.vectors(df))
-        value = F.col("_prediction")
+        """All rows come back; one with a null or NaN input has a null prediction."""
+        known = reduce(lambda a, b: a & b, [t.column.isNotNull() & ~F.isnan(t.column) for t in self.terms])
+        scored = self.fitted.transform(self.vectors(df.withColumn("_known", known)))
+        value = F.when(F.col("_known"), F.col("_prediction"))
         if self.classes:
             value = F.get(F.array(*[F.lit(c) for c in self.classes]), value.cast("int"))
         kept = [F.col(f"`{c}`") for c in df.columns]
         return scored.select(*kept, value.alias(output))
 
 
+    def rows(self, spark) -> DataFrame:
+        """(class, tree, weight, nodes, depth, rules) of every tree; the class is null for a regression."""
+        def trees(model, name):
+            return [(name, i, float(w), t.numNodes, t.depth, t.toDebugString)
+                    for i, (t, w) in enumerate(zip(model.trees, model.treeWeights))]
+
+        if hasattr(self.fitted, "models"):
+            out = [r for name, m in zip(self.classes, self.fitted.models) for r in trees(m, name)]
+        else:
+            out = trees(self.fitted, self.classes[1] if self.classes else None)
+        return spark.createDataFrame(out, "class string, tree int, weight double, nodes int, depth int, rules string")
+
+
 def gradient_boosting(
     df: DataFrame, y: str, xs: list, learning_rate: float = 0.1, n_estimators: int = 100,
     max_depth: int = 3, min_samples_leaf: int = 1, min_weight_fraction_leaf: float = 0.0,

@@ -28,6 +28,14 @@ def correlation(df: DataFrame, columns: list) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
 
 
+def crosstabs(df: DataFrame, columns: list) -> DataFrame:
+    """(a, b, x, y, n): the cross-tabs of all pairs of columns, from one scan."""
+    text = [F.col(f"`{c}`").cast("string") for c in columns]
+    pairs = [F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), text[i].alias("x"), text[j].alias("y"))
+             for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    return df.select(F.inline(F.array(*pairs))).groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     """Count of every observed pair of categories, in long form."""
     return df.groupBy(F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")).agg(

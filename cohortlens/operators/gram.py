@@ -1,8 +1,9 @@
 """Additive cross-product states: the input of regression, ANOVA, correlation and PCA.
 
-A state has one row per term i: n, sum(x_i - c_i) and the array over j of
-sum((x_i - c_i)(x_j - c_j)). States with the same terms and shifts merge by
-addition. Only the merged p x p numbers reach the driver.
+A state is one row: n, the means of the terms and the p x p centred cross
+products, each group centred on its own means. States with the same terms merge
+by the pairwise update, in two levels, on the executors. Only the merged
+p x p numbers reach the driver.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.names import complete_rows, is_nominal
-from cohortlens.operators.moments import find_shifts
-from cohortlens.session import small_rows
+from cohortlens.operators.moments import anchors
+from cohortlens.session import BROADCAST_ROWS, small_rows
 
 MAX_TERMS = 2000
-BUILTIN_TERMS = 16
+BUILTIN_TERMS = 8
+MERGE_SALTS = 32
 MAX_LEVELS = 1000
-MAX_STATES = 10_000
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,7 @@ class Term:
 
     name: str
     column: Column
-    shift: float = 0.0
+    anchor: float = 0.0  # taken off before sums
 
 
 @dataclass
@@ -67,8 +68,8 @@ def design(df: DataFrame, columns: list, levels: dict | None = None) -> dict:
     """column -> its terms: itself when numeric, one 0/1 term per category but the first when nominal."""
     nominal = [c for c in columns if is_nominal(df, c)]
     levels = levels or nominal_levels(df, nominal)
-    shifts = find_shifts(df, [c for c in columns if c not in nominal]) if len(nominal) < len(columns) else {}
-    out = {}
+    numeric = [c for c in columns if c not in nominal]
+    low, out = anchors(df, numeric) if numeric else {}, {}
     for c in columns:
         if c in nominal:
             out[c] = [
@@ -76,62 +77,69 @@ def design(df: DataFrame, columns: list, levels: dict | None = None) -> dict:
                 for v in levels[c][1:]
             ]
         else:
-            out[c] = [Term(c, F.col(f"`{c}`").cast("double"), shifts[c])]
+            out[c] = [Term(c, F.col(f"`{c}`").cast("double"), low[c])]
     return out
 
 
 def product(a: Term, b: Term) -> Term:
-    return Term(f"{a.name}:{b.name}", a.column * b.column, a.shift * b.shift)
+    return Term(f"{a.name}:{b.name}", a.column * b.column)
 
 
-def _state_columns(p: int) -> list:
-    return [F.sum("n").alias("n"), F.first("shift").alias("shift"), F.sum("s").alias("s")] + [
-        F.sum(F.get("cross", F.lit(j))).alias(f"_x{j}") for j in range(p)
-    ]
+def add(a: tuple, b: tuple) -> tuple:
+    """Pairwise update of (n, means, centred cross products)."""
+    if not a[0] or not b[0]:
+        return b if not a[0] else a
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
+
+
+def _state_schema(df: DataFrame, by: list) -> T.StructType:
+    numbers = T.ArrayType(T.DoubleType())
+    return T.StructType([df.schema[c] for c in by] + [
+        T.StructField("n", T.LongType()), T.StructField("mean", numbers), T.StructField("cross", numbers)])
 
 
 def merge_gram(states: DataFrame, terms: int, by=()) -> DataFrame:
-    """Add up states with the same terms; ``by`` keeps some keys apart."""
-    merged = states.groupBy(*by, "i").agg(*_state_columns(terms))
-    return merged.select(
-        *by, "i", "n", "shift", "s", F.array(*[F.col(f"_x{j}") for j in range(terms)]).alias("cross")
-    )
+    """Add up states with the same terms; ``by`` keeps some keys apart.
+
+    Partial states of one key meet in salted groups first, so that no task gets
+    the p x p numbers of all tasks at once.
+    """
+    by, schema = list(by), _state_schema(states, list(by))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = (0, None, None)
+        for n, mean, cross in zip(pdf["n"], pdf["mean"], pdf["cross"]):
+            total = add(total, (n, np.asarray(mean, float), np.asarray(cross, float).reshape(terms, terms)))
+        out = pdf[by].iloc[[0]].copy()
+        out["n"], out["mean"], out["cross"] = total[0], [total[1]], [total[2].ravel()]
+        return out
+
+    salt = (F.spark_partition_id() % MERGE_SALTS).alias("_salt")
+    some = states.select(*by, "n", "mean", "cross").groupBy(*by, salt).applyInPandas(merge, schema)
+    return some.groupBy(*by, F.lit(0).alias("_one")).applyInPandas(merge, schema)
 
 
 def gram_states(df: DataFrame, terms: list, by=()) -> DataFrame:
-    """(by..., i, n, shift, s, cross) in one scan; rows with a null term are left out."""
+    """(by..., n, mean, cross) in one scan; rows with a null term are left out."""
     by, p = list(by), len(terms)
     if not 0 < p <= MAX_TERMS:
         raise ValueError(f"{p} terms; between 1 and {MAX_TERMS} are supported")
-    rows = df.select(*by, *[(t.column - F.lit(t.shift)).alias(f"_t{i}") for i, t in enumerate(terms)])
+    low = [float(t.anchor) for t in terms]
+    rows = df.select(*by, *[(t.column - F.lit(a)).alias(f"_t{i}") for i, (t, a) in enumerate(zip(terms, low))])
     rows = complete_rows(rows, [f"_t{i}" for i in range(p)])
     if p <= BUILTIN_TERMS:
-        aggs = [F.count(F.lit(1)).alias("_n")]
-        aggs += [F.sum(f"_t{i}").alias(f"_s{i}") for i in range(p)]
+        aggs = [F.count(F.lit(1)).alias("_n"), *[F.avg(f"_t{i}").alias(f"_m{i}") for i in range(p)]]
         aggs += [
-            F.sum(F.col(f"_t{i}") * F.col(f"_t{j}")).alias(f"_c{i}_{j}")
-            for i in range(p) for j in range(i, p)
-        ]
-        wide = rows.groupBy(*by).agg(*aggs)
-        if not by:
-            wide = wide.filter("_n > 0")
-        states = [
-            F.struct(
-                F.lit(i).alias("i"), F.col("_n").alias("n"), F.lit(t.shift).alias("shift"),
-                F.col(f"_s{i}").alias("s"),
-                F.array(*[F.col(f"_c{min(i, j)}_{max(i, j)}") for j in range(p)]).alias("cross"),
-            )
-            for i, t in enumerate(terms)
+            F.covar_pop(f"_t{i}", f"_t{j}").alias(f"_c{i}_{j}") for i in range(p) for j in range(i, p)
         ]
-        return wide.select(*by, F.inline(F.array(*states)))
+        wide = rows.groupBy(*by).agg(*aggs).filter("_n > 0")
+        return wide.select(
+            *by, F.col("_n").alias("n"), F.array(*[F.col(f"_m{i}") + F.lit(a) for i, a in enumerate(low)]).alias("mean"),
+            F.array(*[F.col(f"_c{min(i, j)}_{max(i, j)}") * F.col("_n") for i in range(p) for j in range(p)]).alias("cross"),
+        )
 
-    shifts = [float(t.shift) for t in terms]
     columns = [f"_t{i}" for i in range(p)]
-    schema = T.StructType([df.schema[c] for c in by] + [
-        T.StructField("i", T.IntegerType()), T.StructField("n", T.LongType()),
-        T.StructField("shift", T.DoubleType()), T.StructField("s", T.DoubleType()),
-        T.StructField("cross", T.ArrayType(T.DoubleType())),
-    ])
 
     def partial(batches):
         sums: dict = {}
@@ -139,34 +147,29 @@ def gram_states(df: DataFrame, terms: list, by=()) -> DataFrame:
             groups = pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]
             for key, part in groups:
                 x = part[columns].to_numpy(dtype=float)
-                key = key if isinstance(key, tuple) else (key,)
-                n, s, c = sums.get(key, (0, 0.0, 0.0))
-                sums[key] = (n + len(x), s + x.sum(axis=0), c + x.T @ x)
-        for key, (n, s, c) in sums.items():
-            out = pd.DataFrame({
-                "i": np.arange(p, dtype="int32"), "n": n, "shift": shifts, "s": s, "cross": list(c),
-            })
+                if not len(x):
+                    continue
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+                mean = x.mean(axis=0)
+                x = x - mean
+                sums[key] = add(sums.get(key, (0, None, None)), (len(x), mean, x.T @ x))
+        for key, (n, mean, cross) in sums.items():
+            out = pd.DataFrame({"n": [n], "mean": [mean + low], "cross": [cross.ravel()]})
             for name, value in zip(reversed(by), reversed(key)):
-                out.insert(0, name, value)
+                out.insert(0, name, [value])
             yield out
 
-    return merge_gram(rows.mapInPandas(partial, schema), p, by)
+    return merge_gram(rows.mapInPandas(partial, _state_schema(df, by)), p, by)
 
 
 def collect_gram(states: DataFrame, names: list, by=()) -> dict:
     """by-key -> Gram. The p x p numbers of each state, never the data."""
     by, p = list(by), len(names)
-    parts: dict = {}
-    for r in small_rows(states, MAX_STATES * max(1, p // 10), "cross-product states"):
-        parts.setdefault(tuple(r[c] for c in by), {})[r["i"]] = r
-    out = {}
-    for key, rows in parts.items():
-        n = rows[0]["n"]
-        s = np.array([rows[i]["s"] for i in range(p)])
-        shift = np.array([rows[i]["shift"] for i in range(p)])
-        cross = np.array([rows[i]["cross"] for i in range(p)], dtype=float)
-        out[key] = Gram(list(names), n, shift + s / n, cross - np.outer(s, s) / n)
-    return out
+    return {
+        tuple(r[c] for c in by): Gram(
+            list(names), r["n"], np.array(r["mean"], dtype=float), np.array(r["cross"], dtype=float).reshape(p, p))
+        for r in small_rows(states, BROADCAST_ROWS, "cross-product states")
+    }
 
 
 def subtract(total: Gram, part: Gram) -> Gram:

@@ -1,11 +1,15 @@
-"""Histograms of numeric and nominal variables, one series per group plus ``all``."""
+"""Histograms of numeric and nominal variables, one series per group plus ``all``.
+
+Null, NaN and infinite values lie in no bin and do not widen the range. A group
+that has nothing else keeps its series, with zeros.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.names import name_at, nominal_columns, numeric_columns
+from cohortlens.functions.names import finite, name_at, nominal_columns, numeric_columns
 from cohortlens.operators.levels import with_overall
 from cohortlens.operators.summary import group_labels, value_counts
 
@@ -13,34 +17,34 @@ BINS = 20
 
 
 def numeric_ranges(df: DataFrame, variables: list) -> dict:
-    """variable -> (min, max), or nothing for a variable without values."""
+    """variable -> (min, max) of its finite values, or nothing for a variable without any."""
     aggs = []
     for i, v in enumerate(variables):
-        x = F.col(f"`{v}`").cast("double")
+        x = finite(F.col(f"`{v}`").cast("double"))
         aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     row = df.agg(*aggs).first()
     return {v: (row[f"lo{i}"], row[f"hi{i}"]) for i, v in enumerate(variables) if row[f"lo{i}"] is not None}
 
 
 def bin_index(x: Column, lo: float, hi: float, bins: int, drop_max: bool = False) -> Column:
-    """Equal-width bin 0..bins-1; the last bin is closed unless ``drop_max``."""
+    """Equal-width bin 0..bins-1, null without a finite value; the last bin is closed unless ``drop_max``."""
+    x = finite(x)
     if lo == hi:
         return F.when(x.isNotNull(), F.lit(0))
     index = F.floor((x - F.lit(lo)) / F.lit((hi - lo) / bins)).cast("int")
-    if drop_max:
-        return F.when(x < F.lit(hi), F.least(index, F.lit(bins - 1)))
-    return F.least(index, F.lit(bins - 1))
+    inside = x < F.lit(hi) if drop_max else x.isNotNull()
+    return F.when(inside, F.least(index, F.lit(bins - 1)))  # least() passes over nulls
 
 
 def bin_counts(
     df: DataFrame, ranges: dict, by=(), bins: int = BINS, drop_max: bool = False
 ) -> DataFrame:
-    """(by..., variable, bin, n): the mergeable state of numeric histograms with common edges."""
+    """(by..., variable, bin, n): the mergeable state of numeric histograms with common edges; bin null: no bin."""
     each = F.array(*[
         bin_index(F.col(f"`{v}`").cast("double"), lo, hi, bins, drop_max) for v, (lo, hi) in ranges.items()
     ])
     counts = (
-        df.select(*by, F.posexplode(each).alias("at", "bin")).filter(F.col("bin").isNotNull())
+        df.select(*by, F.posexplode(each).alias("at", "bin"))
         .groupBy(*by, "at", "bin").agg(F.count(F.lit(1)).alias("n"))
     )
     return counts.select(*by, name_at(list(ranges), "at").alias("variable"), "bin", "n")
@@ -61,7 +65,7 @@ def finish_bins(counts: DataFrame, ranges: dict, grouping=(), bins: int = BINS)
     merged = with_overall(counts, grouping, ["variable", "bin"], [F.sum("n").alias("n")])
     # one array of counts per series (at most ``bins`` entries), so no spine join is needed
     series = merged.groupBy(*grouping, "_all", "variable").agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("by_bin")
+        F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n")))).alias("by_bin")
     )
     rows = series.select(
         *group_labels(grouping, F.col("_all")), "variable",

@@ -282,6 +282,9 @@ def vote(near, classification: bool):
 
 
 def knn_predict(model: KnnModel, df: DataFrame, key: str, k: int = 5, output: str = "prediction") -> DataFrame:
+    """Rows are told apart by ``key``; a key that repeats is an error, a row without one has no prediction."""
+    if not df.groupBy(key).count().filter(F.col(key).isNotNull() & (F.col("count") > 1)).isEmpty():
+        raise ValueError(f"values of {key} repeat: neighbours of different rows would mix")
     near = neighbours(model, df, key, k)
     found = near.select(F.col(key), vote(F.col("near"), model.classification).alias(output))
     return df.join(found, key, "left")

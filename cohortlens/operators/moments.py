@@ -1,58 +1,56 @@
-"""Additive moment states of numeric variables.
+"""Mergeable moment states of numeric variables.
 
-A state is (n, nulls, shift, s1, s2, min, max) with s1 = sum(x - shift) and
-s2 = sum((x - shift)^2). States of the same variable merge by addition, so the
-same rows serve per-group, per-dataset, per-fold and per-batch results. The
-shift lies near the data and keeps the sums free of cancellation.
+A state is (n, nulls, mean, m2, min, max) with m2 the sum of squared deviations
+from the state's own mean. Each group is centred on itself, so groups far apart
+do not spoil each other. States of a variable merge by adding n and m2 and what
+the means lie apart; the same rows serve per-group, per-dataset, per-fold and
+per-batch results.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PEEK_ROWS = 256
+from cohortlens.functions.names import finite
+from cohortlens.operators.levels import expand_levels
+
 COLUMNS_PER_PASS = 60
+STATE_COLUMNS = ("variable", "n", "nulls", "mean", "m2", "min", "max")
 
 
-def find_shifts(df: DataFrame, variables: list) -> dict:
-    """A constant near each variable's values. It steers rounding only, not results."""
-    peek = df.select(*[F.col(f"`{v}`").cast("double") for v in variables]).take(PEEK_ROWS)
-    shifts = {}
-    for i, v in enumerate(variables):
-        seen = [r[i] for r in peek if r[i] is not None and math.isfinite(r[i])]
-        shifts[v] = sum(seen) / len(seen) if seen else 0.0
-    return shifts
+def anchors(df: DataFrame, variables: list) -> dict:
+    """The least finite value of each variable. Taken off before sums, it saves digits of values far from 0."""
+    found = df.agg(*[F.min(finite(F.col(f"`{v}`").cast("double"))) for v in variables]).first()
+    return {v: x if x is not None else 0.0 for v, x in zip(variables, found)}
 
 
-def moment_states(df: DataFrame, variables: list, by=(), shifts: dict | None = None) -> DataFrame:
+def moment_states(df: DataFrame, variables: list, by=()) -> DataFrame:
     """One state row per variable and ``by`` group.
 
     All variables share a scan: one wide aggregate, turned long after it has
     shrunk to one row per group. Very wide tables go in column batches.
     """
     variables, by = list(variables), list(by)
-    shifts = shifts or find_shifts(df, variables)
-    batches = []
+    if clash := sorted(set(by) & set(STATE_COLUMNS)):
+        raise ValueError(f"rename the grouping columns {', '.join(clash)}: states use these names themselves")
+    low, batches = anchors(df, variables), []
     for at in range(0, len(variables), COLUMNS_PER_PASS):
         batch = variables[at:at + COLUMNS_PER_PASS]
         aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
         for i, v in enumerate(batch):
             x = F.col(f"`{v}`").cast("double")
-            off = x - F.lit(shifts[v])
+            off = x - F.lit(low[v])
             aggs += [
-                F.count(x).alias(f"_n{i}"), F.sum(off).alias(f"_s{i}"), F.sum(off * off).alias(f"_q{i}"),
+                F.count(x).alias(f"_n{i}"), F.avg(off).alias(f"_m{i}"), F.var_pop(off).alias(f"_v{i}"),
                 F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}"),
             ]
             rows.append(F.struct(
                 F.lit(v).alias("variable"),
                 F.col(f"_n{i}").alias("n"),
                 (F.col("_rows") - F.col(f"_n{i}")).alias("nulls"),
-                F.lit(shifts[v]).alias("shift"),
-                F.coalesce(f"_s{i}", F.lit(0.0)).alias("s1"),
-                F.coalesce(f"_q{i}", F.lit(0.0)).alias("s2"),
+                (F.col(f"_m{i}") + F.lit(low[v])).alias("mean"),
+                F.coalesce(F.col(f"_v{i}") * F.col(f"_n{i}"), F.lit(0.0)).alias("m2"),
                 F.col(f"_lo{i}").alias("min"),
                 F.col(f"_hi{i}").alias("max"),
             ))
@@ -64,45 +62,38 @@ def moment_states(df: DataFrame, variables: list, by=(), shifts: dict | None = N
     return out
 
 
-def merge_exprs() -> list:
-    """Aggregates that add up states which share their shift."""
-    return [
-        F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), F.first("shift").alias("shift"),
-        F.sum("s1").alias("s1"), F.sum("s2").alias("s2"),
+def merge_moments(states: DataFrame, by=()) -> DataFrame:
+    """One state per ``by`` group and variable.
+
+    The common mean comes first; then every state adds its own m2 and its rows times
+    the squared distance of its mean from the common one, so nothing cancels.
+    """
+    keys = [*by, "variable"]
+    centre = states.groupBy(*keys).agg(
+        (F.sum(F.col("mean") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("_mean"))
+    centre = centre.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_mean")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    apart = F.col("mean") - F.col("_mean")
+    return states.join(centre, same).groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), F.first("_mean").alias("mean"),
+        F.sum(F.col("m2") + F.coalesce(F.col("n") * apart * apart, F.lit(0.0))).alias("m2"),
         F.min("min").alias("min"), F.max("max").alias("max"),
-    ]
-
-
-def rebase(states: DataFrame) -> DataFrame:
-    """Bring states that were made with different shifts to one shift per variable."""
-    anchor = states.groupBy("variable").agg(F.min("shift").alias("_to"))  # one row per variable
-    step = F.col("shift") - F.col("_to")
-    return (
-        states.join(anchor, "variable")
-        .withColumn("s2", F.col("s2") + 2 * step * F.col("s1") + F.col("n") * step * step)
-        .withColumn("s1", F.col("s1") + F.col("n") * step)
-        .withColumn("shift", F.col("_to"))
-        .drop("_to")
     )
 
 
-def merge_moments(states: DataFrame, by=(), same_shift: bool = False) -> DataFrame:
-    states = states if same_shift else rebase(states)
-    return states.groupBy(*by, "variable").agg(*merge_exprs())
-
-
-def _central() -> Column:
-    """Sum of squared deviations from the mean."""
-    return F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.lit(0.0))
+def merged_levels(states: DataFrame, grouping: list) -> DataFrame:
+    """States of the groups and of all rows; ``_all`` tells them apart."""
+    return merge_moments(expand_levels(states, grouping), [*grouping, "_all"])
 
 
 def moment_columns() -> dict:
     """mean, sample std, mean of squares and population variance from a state."""
     some = F.col("n") > 0
-    mean = F.when(some, F.col("shift") + F.col("s1") / F.col("n"))
     return {
-        "mean": mean,
-        "std": F.when(F.col("n") > 1, F.sqrt(_central() / (F.col("n") - 1))),
-        "EX^2": F.when(some, mean * mean + _central() / F.col("n")),
-        "var_pop": F.when(some, _central() / F.col("n")),
+        "mean": F.when(some, F.col("mean")),
+        "std": F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))),
+        "EX^2": F.when(some, F.col("mean") * F.col("mean") + F.col("m2") / F.col("n")),
+        "var_pop": F.when(some, F.col("m2") / F.col("n")),
     }

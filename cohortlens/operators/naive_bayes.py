@@ -98,8 +98,7 @@ def naive_bayes_states(df: DataFrame, y: str, columns: list, by=()) -> tuple:
     moments, counts = [], []
     if numeric:
         m = moment_columns()
-        states = moment_states(rows, numeric, [*by, "_class"]).withColumn("mean", m["mean"]).withColumn(
-            "var", m["var_pop"])
+        states = moment_states(rows, numeric, [*by, "_class"]).withColumn("var", m["var_pop"])
         moments = small_rows(states, MAX_STATES, "class moments")
     if nominal:
         counts = small_rows(value_counts(rows, nominal, [*by, "_class"]), MAX_STATES, "class categories")

@@ -27,6 +27,17 @@ class PCAModel:
             rows, "component string, explained_variance double, cumulative_explained_variance double"
         )
 
+    def components(self, spark) -> DataFrame:
+        """Variance shares and, per component, the loading of every column."""
+        share = 100.0 * self.variance / len(self.columns)
+        rows = [
+            (f"PC{i + 1}", float(s), float(c), {v: float(w) for v, w in zip(self.columns, self.loadings[i])})
+            for i, (s, c) in enumerate(zip(share, np.cumsum(share)))
+        ]
+        return spark.createDataFrame(
+            rows, "component string, explained_variance double, cumulative_explained_variance double, "
+            "loadings map<string,double>")
+
     def loading_rows(self, spark) -> DataFrame:
         rows = [
             (f"PC{i + 1}", c, float(self.loadings[i, j]))

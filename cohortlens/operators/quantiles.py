@@ -6,11 +6,12 @@ the whole table, are narrowed down: count rows in equal-width buckets, keep the
 buckets that hold the wanted ranks, and go on inside these until few values are
 left. Each step is a scan with a map-side aggregate whose size does not depend
 on the number of rows; from the second one on only rows of wanted buckets leave
-the scan.
+the scan. Infinite values and NaN (which sorts last) have buckets of their own.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.functions.names import finite
 from cohortlens.operators.levels import expand_levels, with_overall
 from cohortlens.session import BROADCAST_ROWS, checkpoint, small_rows
 
@@ -55,6 +57,23 @@ def _locate(counted: DataFrame, wanted: DataFrame, keys: list) -> DataFrame:
     return ranked.join(F.broadcast(wanted), keys).filter(holds)  # one row per wanted rank
 
 
+def _first_bucket(value, lo, hi, buckets: int):
+    """-1, buckets and buckets + 1 hold minus infinity, infinity and NaN; finite values lie between."""
+    return (F.when(F.isnan(value), buckets + 1).when(value == float("inf"), buckets).when(value == float("-inf"), -1)
+            .when(hi > lo, _bucket(value, lo, hi, buckets)).otherwise(0))
+
+
+def _same(a: float, b: float) -> bool:
+    return a == b or (math.isnan(a) and math.isnan(b))
+
+
+def _finite_edges(df: DataFrame, variables: list) -> dict:
+    """variable -> least and greatest finite value."""
+    x = [finite(F.col(f"`{v}`").cast("double")) for v in variables]
+    r = df.agg(*[f(c) for c in x for f in (F.min, F.max)]).first()
+    return {v: (r[2 * i], r[2 * i + 1]) for i, v in enumerate(variables) if r[2 * i] is not None}
+
+
 @dataclass(frozen=True)
 class _Span:
     """Where a wanted rank lies: first-pass bucket, least and greatest value, rows below and inside."""
@@ -92,6 +111,9 @@ def narrowed_percentiles(
         v = r["variable"]
         lo, hi = edges.get(v, (r["min"], r["max"]))
         edges[v] = (min(lo, r["min"]), max(hi, r["max"]))
+    if odd := [v for v, e in edges.items() if not all(map(math.isfinite, e))]:
+        found = _finite_edges(df, odd)
+        edges |= {v: found.get(v, (0.0, 0.0)) for v in odd}
     group_schema = T.StructType([
         *by_fields, T.StructField("_all", T.BooleanType()), T.StructField("variable", T.IntegerType()),
         T.StructField("id", T.IntegerType()),
@@ -112,7 +134,7 @@ def narrowed_percentiles(
     lo, hi = (F.get(F.array(*[F.lit(float(b[side])) for b in bounds]), F.col("variable")) for side in (0, 1))
     each = F.array(*[F.col(f"`{v}`").cast("double") for v in variables])
     long = df.select(*grouping, F.posexplode(each).alias("variable", "value")).filter(F.col("value").isNotNull())
-    long = long.withColumn("at", F.when(hi > lo, _bucket(F.col("value"), lo, hi, buckets)).otherwise(0))
+    long = long.withColumn("at", _first_bucket(F.col("value"), lo, hi, buckets))
     extremes = [F.min("value").alias("min"), F.max("value").alias("max")]
     counts = long.groupBy(*grouping, "variable", "at").agg(F.count(F.lit(1)).alias("c"), *extremes)
     merge = [F.sum("c").alias("c"), F.min("min").alias("min"), F.max("max").alias("max")]
@@ -122,7 +144,7 @@ def narrowed_percentiles(
     found = _locate(counts, spark.createDataFrame(wanted, "id int, rank long"), ["id"]).collect()
     values, spans = {}, {}
     for r in found:
-        if r["min"] == r["max"]:
+        if _same(r["min"], r["max"]):
             values[r["id"], r["rank"]] = r["min"]
         else:
             spans[r["id"], r["rank"]] = _Span(r["at"], r["min"], r["max"], r["before"], r["c"])
@@ -159,7 +181,7 @@ def narrowed_percentiles(
         q = []
         for low, high, position in targets[i]:
             a, b = values[i, low], values[i, high]
-            q.append(a if a == b else (low + 1 - position) * a + (position - low) * b)
+            q.append(a if _same(a, b) or position == low else (low + 1 - position) * a + (position - low) * b)
         out.append((*[r[g] for g in grouping], r["_all"], r["variable"], q))
     return spark.createDataFrame(out, _result_schema(by_fields))
 

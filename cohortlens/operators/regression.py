@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,14 +112,10 @@ def linear_regression_by(df: DataFrame, y: str, xs: list, by: str) -> DataFrame:
 
 def merge_driver(states: list) -> G.Gram:
     """Merge p x p states by the pairwise update of means and cross products."""
-    out = states[0]
-    for s in states[1:]:
-        n, d = out.n + s.n, s.mean - out.mean
-        out = G.Gram(
-            out.names, n, out.mean + d * (s.n / n),
-            out.cross + s.cross + np.outer(d, d) * (out.n * s.n / n),
-        )
-    return out
+    total = (0, None, None)
+    for s in states:
+        total = G.add(total, (s.n, s.mean, s.cross))
+    return G.Gram(states[0].names, *total)
 
 
 def fold_models(df: DataFrame, y: str, xs: list, split: str) -> dict:
@@ -198,12 +195,16 @@ def logistic_regression(df: DataFrame, y: str, xs: list, tolerance: float = 1e-1
     table = raw.select("_y", *[
         ((F.col(f"_t{i}") - F.lit(float(mean[i]))) / F.lit(float(sd[i]))).alias(f"_z{i}") for i in range(p)])
     beta, previous, inverse = np.zeros((len(others), p + 1)), -math.inf, None
-    for _ in range(LOGISTIC_ITERATIONS):
-        ll, g, h = _newton_sums(table, beta)
-        inverse = np.linalg.pinv(h, hermitian=True)
-        if abs(ll - previous) <= tolerance * (abs(ll) + 1e-12):
-            break
-        previous, beta = ll, beta + (inverse @ g).reshape(beta.shape)
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)  # the steps read the narrow rows, not the source
+    try:
+        for _ in range(LOGISTIC_ITERATIONS):
+            ll, g, h = _newton_sums(table, beta)
+            inverse = np.linalg.pinv(h, hermitian=True)
+            if abs(ll - previous) <= tolerance * (abs(ll) + 1e-12):
+                break
+            previous, beta = ll, beta + (inverse @ g).reshape(beta.shape)
+    finally:
+        table.unpersist()
     # back to the original scale: coefficient / sd, intercept - sum(coefficient * mean / sd)
     back = np.zeros((p + 1, p + 1))
     back[0, 0] = 1.0

@@ -24,12 +24,21 @@ def confusion(df: DataFrame, y: str, yhat: str, labels: list | None = None, by=(
     return counts.unionByName(grid).groupBy(*by, "actual", "predicted").agg(F.sum("n").alias("n"))
 
 
-def pooled(counts: DataFrame, by: str, keys: list, merge: list, label: str = "all") -> DataFrame:
-    """Add a pooled row set to per-group rows: one score over all predictions."""
+def pooled(counts: DataFrame, by: str, keys: list, merge: list) -> DataFrame:
+    """Add a pooled row set to per-group rows: one score over all predictions.
+
+    ``_pooled`` tells them apart, whatever the groups are called.
+    """
     each = counts.withColumn(by, F.col(by).cast("string"))
     return each.groupingSets([[by, *keys], list(keys)], by, *keys).agg(
-        *merge, F.grouping(by).alias("_pooled")
-    ).withColumn(by, F.when(F.col("_pooled") == 1, F.lit(label)).otherwise(F.col(by))).drop("_pooled")
+        *merge, (F.grouping(by) == 1).alias("_pooled"))
+
+
+def labelled(scores: DataFrame, by: str, pool: bool, label: str = "all") -> DataFrame:
+    """The pooled row under its label, or without it."""
+    if not pool:
+        return scores.filter(~F.col("_pooled")).drop("_pooled")
+    return scores.withColumn(by, F.when(F.col("_pooled"), F.lit(label)).otherwise(F.col(by))).drop("_pooled")
 
 
 def _ratio(a, b):
@@ -70,12 +79,15 @@ def multiclass_from_confusion(counts: DataFrame, by=()) -> DataFrame:
     )
 
 
-def score_multiclass(df: DataFrame, y: str, yhat: str, labels: list | None = None, by: str | None = None) -> DataFrame:
-    """Scores per ``by`` group plus the pooled row ``all``, or one row without ``by``."""
+def score_multiclass(
+    df: DataFrame, y: str, yhat: str, labels: list | None = None, by: str | None = None, pool: bool = True
+) -> DataFrame:
+    """Scores per ``by`` group plus the pooled row ``all`` (unless ``pool`` is off), or one row without ``by``."""
     if by is None:
         return multiclass_from_confusion(confusion(df, y, yhat, labels))
     counts = confusion(df, y, yhat, labels, [by])
-    return multiclass_from_confusion(pooled(counts, by, ["actual", "predicted"], [F.sum("n").alias("n")]), [by])
+    counts = pooled(counts, by, ["actual", "predicted"], [F.sum("n").alias("n")])
+    return labelled(multiclass_from_confusion(counts, [by, "_pooled"]), by, pool)
 
 
 def binary_from_confusion(counts: DataFrame, positive: str, by=()) -> DataFrame:
@@ -102,10 +114,10 @@ def score_binary(df: DataFrame, y: str, yhat: str, positive, by: str | None = No
     if by is None:
         return binary_from_confusion(confusion(df, y, yhat), positive)
     counts = pooled(confusion(df, y, yhat, None, [by]), by, ["actual", "predicted"], [F.sum("n").alias("n")])
-    return binary_from_confusion(counts, positive, [by])
+    return labelled(binary_from_confusion(counts, positive, [by, "_pooled"]), by, True)
 
 
-def score_regression(df: DataFrame, y: str, yhat: str, by: str | None = None) -> DataFrame:
+def score_regression(df: DataFrame, y: str, yhat: str, by: str | None = None, pool: bool = True) -> DataFrame:
     """MSE, RMSE, MAE, R-squared and explained variance."""
     rows = df.filter(F.col(y).isNotNull() & F.col(yhat).isNotNull())
     actual = F.col(y).cast("double")
@@ -117,7 +129,7 @@ def score_regression(df: DataFrame, y: str, yhat: str, by: str | None = None) ->
     if by is None:
         scored = rows.agg(*aggs)
     else:
-        scored = pooled(rows.select(by, y, yhat), by, [], aggs)
+        scored = labelled(pooled(rows.select(by, y, yhat), by, [], aggs), by, pool)
     keys = [by] if by else []
     return scored.select(
         *keys, "n", "mse", F.sqrt("mse").alias("rmse"), "mae",

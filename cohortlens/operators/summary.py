@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.names import logical_type, name_at, nominal_columns, numeric_columns
 from cohortlens.operators.levels import with_overall
-from cohortlens.operators.moments import merge_exprs, moment_columns, moment_states
+from cohortlens.operators.moments import merged_levels, moment_columns, moment_states
 from cohortlens.operators.quantiles import DIRECT_ROWS, exact_percentiles
 from cohortlens.session import checkpoint
 
@@ -40,7 +40,7 @@ def numeric_summary(
     df = df.select(*dict.fromkeys([*grouping, *variables]))
     # one row per group and variable; read several times below
     states = checkpoint(moment_states(df, variables, grouping))
-    merged = with_overall(states, grouping, ["variable"], merge_exprs())
+    merged = checkpoint(merged_levels(states, grouping))  # the percentiles read it again
     m = moment_columns()
     out = merged.select(
         *grouping, "_all", F.col("variable").alias("index"),

@@ -48,9 +48,9 @@ def compound(results: DataFrame) -> DataFrame:
     )
 
 
-def partial_summary(df: DataFrame, variables: list, by: str, shifts: dict | None = None) -> DataFrame:
+def partial_summary(df: DataFrame, variables: list, by: str) -> DataFrame:
     """Moment states per dataset. Percentiles do not merge, so they are not part of a state."""
-    return moment_states(df, variables, [by], shifts)
+    return moment_states(df, variables, [by])
 
 
 def merge_summary(states: DataFrame, by=()) -> DataFrame:

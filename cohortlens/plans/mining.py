@@ -107,6 +107,8 @@ def run_mining(spark: SparkSession, catalog: Catalog, query: MiningQuery) -> Min
     require_rows(rows.df, rows.table.name)
     task = Task(rows.df, rows.variables, rows.covariables, rows.grouping, rows.table.primary_key,
                 parameters_of(code, query.algorithm.parameters))
+    if len(rows.variables) > 1 and not definition.all_variables:
+        rows.feedback.append(f"{code} takes one variable: {', '.join(rows.variables[1:])} had no part in it")
     return MiningResult(definition.run(task), rows.provenance(), rows.feedback)
 
 

@@ -11,7 +11,7 @@ from cohortlens.functions.names import is_nominal, nominal_columns, numeric_colu
 from cohortlens.operators.anova import anova
 from cohortlens.operators.bands import group_confidence_bands
 from cohortlens.operators.boosting import gradient_boosting
-from cohortlens.operators.correlation import correlation, crosstab
+from cohortlens.operators.correlation import correlation, crosstabs
 from cohortlens.operators.gram import nominal_levels
 from cohortlens.operators.histogram import histogram
 from cohortlens.operators.kmeans import kmeans
@@ -55,14 +55,15 @@ FOLD_FITTERS: dict[str, Callable] = {}
 def register_algorithm(
     code: str, run: Callable | None = None, fit: Callable | None = None, predictive: bool = False,
     variables_can_be_null: bool = False, covariables_can_be_null: bool = False, mergeable: bool = False,
-    defaults: dict | None = None, fit_folds: Callable | None = None,
+    defaults: dict | None = None, fit_folds: Callable | None = None, all_variables: bool = False,
 ) -> AlgorithmDef:
     """Add an algorithm.
 
     ``run(task) -> DataFrame`` gives a result table. A predictive algorithm gives
     ``fit(df, target, inputs, key, **parameters)``, which returns a model with
     ``predict(df, output)``; ``fit_folds(df, target, inputs, split, **parameters)``
-    may return all fold models from one scan.
+    may return all fold models from one scan. ``all_variables`` says that it uses
+    every variable of a query and not only the first.
     """
     if predictive and fit is None:
         raise ValueError(f"predictive algorithm {code} needs fit")
@@ -73,7 +74,7 @@ def register_algorithm(
             model = fit(task.df, task.target, task.inputs, task.key, **task.parameters)
             return describe_model(model, task.df)
     definition = AlgorithmDef(
-        code, run, predictive, variables_can_be_null, covariables_can_be_null, mergeable, defaults or {}
+        code, run, predictive, variables_can_be_null, covariables_can_be_null, mergeable, defaults or {}, all_variables
     )
     ALGORITHMS[code] = definition
     if fit is not None:
@@ -85,7 +86,7 @@ def register_algorithm(
 
 def algorithm(code: str) -> AlgorithmDef:
     if code not in ALGORITHMS:
-        raise KeyError(f"Could not find algorithm {code}")
+        raise KeyError(f"no algorithm is registered as {code}")
     return ALGORITHMS[code]
 
 
@@ -119,9 +120,11 @@ def _regression(task: Task) -> DataFrame:
 def _correlation(task: Task) -> DataFrame:
     columns = [*task.variables, *task.covariables]
     nominal = nominal_columns(task.df, columns)
-    if len(nominal) == len(columns) and len(columns) >= 2:
-        return crosstab(task.df, nominal[0], nominal[1])
-    return correlation(task.df, numeric_columns(task.df, columns))
+    if nominal and len(nominal) < len(columns):
+        raise ValueError(f"numeric and nominal variables do not correlate; leave out {', '.join(nominal)} or the others")
+    if nominal and len(columns) < 2:
+        raise ValueError("a cross-tab needs two nominal variables")
+    return crosstabs(task.df, columns) if nominal else correlation(task.df, columns)
 
 
 def _prior(text: str, df: DataFrame, y: str) -> dict | None:
@@ -150,22 +153,43 @@ register_algorithm(
 register_algorithm(
     "statisticsSummary",
     lambda t: summary_statistics(t.df, [*t.variables, *t.covariables], t.grouping),
-    variables_can_be_null=True, covariables_can_be_null=True, mergeable=True,
+    variables_can_be_null=True, covariables_can_be_null=True, mergeable=True, all_variables=True,
 )
 register_algorithm("linearRegression", _regression, mergeable=True)
 register_algorithm(
     "anova", lambda t: anova(t.df, t.target, t.inputs, **t.parameters), defaults={"design": "factorial"}
 )
-register_algorithm("correlationHeatmap", _correlation)
-register_algorithm(
-    "pca", lambda t: pca(t.df, [*t.variables, *t.covariables], **t.parameters).explained(t.df.sparkSession),
-    mergeable=True, defaults={"k": 5},
-)
-register_algorithm(
-    "kmeans",
-    lambda t: kmeans(t.df, [*t.variables, *t.covariables], **t.parameters).centre_rows(t.df.sparkSession),
-    mergeable=True, defaults={"n_clusters": 3},
-)
+register_algorithm("correlationHeatmap", _correlation, all_variables=True)
+
+
+def _pca(task: Task) -> DataFrame:
+    """Components with their loadings, or the rows' scores."""
+    result = _choice(task, "result", ("components", "scores"))
+    model = pca(task.df, [*task.variables, *task.covariables], int(task.parameters["k"]))
+    if result == "scores":
+        scored = model.scores(task.df)
+        return scored.select(*([task.key] if task.key else []), *scored.columns[len(task.df.columns):])
+    return model.components(task.df.sparkSession)
+
+
+def _kmeans(task: Task) -> DataFrame:
+    """Centres with their rows and spread, or the cluster of each row."""
+    result = _choice(task, "result", ("centres", "assignments"))
+    columns = [*task.variables, *task.covariables]
+    model = kmeans(task.df, columns, int(task.parameters["n_clusters"]))
+    if result == "assignments":
+        return model.predict(task.df).select(*([task.key] if task.key else columns), "cluster")
+    return model.centre_rows(task.df.sparkSession)
+
+
+def _choice(task: Task, name: str, allowed: tuple) -> str:
+    if task.parameters[name] not in allowed:
+        raise ValueError(f"{name} is one of {', '.join(allowed)}")
+    return task.parameters[name]
+
+
+register_algorithm("pca", _pca, mergeable=True, defaults={"k": 5, "result": "components"}, all_variables=True)
+register_algorithm("kmeans", _kmeans, mergeable=True, defaults={"n_clusters": 3, "result": "centres"}, all_variables=True)
 register_algorithm(
     "subgroupDiscovery", lambda t: subgroups(t.df, t.target, t.inputs, **t.parameters),
     defaults={"beam": 10, "support": 0.1, "depth": 2},
@@ -177,7 +201,8 @@ register_algorithm(
 )
 register_algorithm(
     "groupConfidenceBands",
-    lambda t: group_confidence_bands(t.df, numeric_columns(t.df, [*t.variables, *t.covariables]), t.grouping[0]),
+    lambda t: group_confidence_bands(t.df, numeric_columns(t.df, [*t.variables, *t.covariables]), t.grouping),
+    all_variables=True,
 )
 register_algorithm(
     "knn", fit=lambda df, y, xs, key, k=5: knn_fit(df, key, y, xs, k), predictive=True, mergeable=True,

@@ -46,10 +46,12 @@ def held_out_predictions(
     return out.select(key, F.col(split).alias("fold"), F.col(target).alias("actual"), "prediction")
 
 
-def score(predictions: DataFrame, nominal: bool, by: str | None = None, labels: list | None = None) -> DataFrame:
+def score(
+    predictions: DataFrame, nominal: bool, by: str | None = None, labels: list | None = None, pool: bool = True
+) -> DataFrame:
     if nominal:
-        return score_multiclass(predictions, "actual", "prediction", labels, by)
-    return score_regression(predictions, "actual", "prediction", by)
+        return score_multiclass(predictions, "actual", "prediction", labels, by, pool)
+    return score_regression(predictions, "actual", "prediction", by, pool)
 
 
 def cross_validate(
@@ -87,7 +89,7 @@ def validate_on_datasets(
     predicted = model.predict(rows).select(
         F.col(dataset_column).alias("dataset"), F.col(target).alias("actual"), "prediction"
     )
-    scores = score(predicted, is_nominal(df, target), "dataset", labels).filter(F.col("dataset") != "all")
+    scores = score(predicted, is_nominal(df, target), "dataset", labels, pool=False)
     asked = df.sparkSession.createDataFrame([(d,) for d in wanted], "dataset string")
     return asked.join(scores, "dataset", "left").withColumn(
         "error", F.when(F.col("n").isNull(), F.lit("no rows to validate on"))

@@ -39,7 +39,7 @@ SELECT CAST(event_id AS VARCHAR) AS job_id, left(repeat('node-', 8), 32) AS node
   CASE WHEN shape = 'error' OR (value < 5 AND shape IN ('json', 'pfa')) THEN 'error' WHEN shape = 'json' THEN 'json'
    WHEN shape = 'pfa' THEN 'model' ELSE 'other' END AS kind,
   CASE WHEN shape = 'error' THEN left(repeat('failed ', 40), 255) WHEN value < 5 AND shape IN ('json', 'pfa') THEN
-   'Data for job ' || event_id || ' produced by ' || left(repeat(event_type, 60), 255) || ' is not valid Json' END AS error
+   'job ' || event_id || ': the output of ' || left(repeat(event_type, 60), 255) || ' is no readable JSON' END AS error
 FROM (SELECT *, {_SHAPE_SQL} AS shape FROM events)""")
 def job_results(spark, d):
     path = _folder(spark, "results")

@@ -23,7 +23,7 @@ class Catalog:
 
     def describe(self, name: str) -> FeatureTable:
         if name not in self.tables:
-            raise KeyError(f"Table {name} cannot be found or has not been configured")
+            raise KeyError(f"no table is registered as {name}")
         return self.tables[name]
 
     def frame(self, spark: SparkSession, name: str, sanitize: bool = False, columns=None) -> DataFrame:

@@ -7,10 +7,10 @@ from cohortlens.operators import counts, filters
 
 @pytest.fixture(scope="module")
 def subjects(spark):
-    rows = [("p001", 2, 1.37), ("p002", 2, 1.21), ("p003", 1, 1.51), ("p004", 1, 1.45), ("p005", 0, 1.68),
-            ("p006", None, 1.62)]
-    df = spark.createDataFrame(rows, "subjectcode string, apoe4 int, volume double")
-    return df.withColumn("dataset", F.when(F.col("volume") > 1.5, "site_b").otherwise("site_a"))
+    """Trees of two woods: kind of soil (0 sand, 1 loam, 2 clay), trunk width; one soil is not known."""
+    rows = [("ash", 1, 0.62, "north"), ("birch", 0, 0.31, "south"), ("cedar", 2, 0.88, "south"), ("elm", None, 0.74, "north"),
+            ("fir", 1, 0.45, "south"), ("hazel", 2, 0.19, "north"), ("larch", 1, 0.57, "south")]
+    return spark.createDataFrame(rows, "subjectcode string, soil int, width double, dataset string")
 
 
 def keys(df):
@@ -18,56 +18,56 @@ def keys(df):
 
 
 def test_three_valued_logic(subjects):
-    assert keys(filters.apply_filters(subjects, Rule("apoe4", "notEqual", ("1",)))) == ["p001", "p002", "p005"]
-    assert keys(filters.apply_filters(subjects, Rule("apoe4", "not_in", ("1", "2")))) == ["p005"]
-    assert keys(filters.apply_filters(subjects, Rule("apoe4", "isNull"))) == ["p006"]
+    assert keys(filters.apply_filters(subjects, Rule("soil", "notEqual", ("1",)))) == ["birch", "cedar", "hazel"]
+    assert keys(filters.apply_filters(subjects, Rule("soil", "not_in", ("1", "2")))) == ["birch"]
+    assert keys(filters.apply_filters(subjects, Rule("soil", "isNull"))) == ["elm"]
 
 
 def test_true_or(subjects):
-    rule = RuleGroup("OR", (Rule("apoe4", "equal", ("0",)), Rule("volume", "less", ("1.3",))))
-    assert keys(filters.apply_filters(subjects, rule)) == ["p002", "p005"]
+    rule = RuleGroup("OR", (Rule("soil", "equal", ("0",)), Rule("width", "less", ("0.2",))))
+    assert keys(filters.apply_filters(subjects, rule)) == ["birch", "hazel"]
 
 
 def test_json_tree(subjects):
     rule = rule_from_json({"condition": "AND", "rules": [
-        {"field": "apoe4", "operator": "is_not_null", "type": "string", "value": []},
+        {"field": "soil", "operator": "is_not_null", "type": "string", "value": []},
         {"condition": "OR", "rules": [
-            {"field": "volume", "operator": "between", "value": ["1.2", "1.4"]},
-            {"field": "apoe4", "operator": "equal", "value": "0"}]}]})
-    assert keys(filters.apply_filters(subjects, rule)) == ["p001", "p002", "p005"]
+            {"field": "width", "operator": "between", "value": ["0.5", "0.8"]},
+            {"field": "soil", "operator": "equal", "value": "0"}]}]})
+    assert keys(filters.apply_filters(subjects, rule)) == ["ash", "birch", "larch"]
     assert rule_from_json(None) is None and rule_from_json({"condition": "AND", "rules": []}) is None
 
 
 def test_literals_take_the_column_type(subjects):
-    assert keys(filters.apply_filters(subjects, Rule("apoe4", "greater", ("1.5",)))) == ["p001", "p002"]
+    assert keys(filters.apply_filters(subjects, Rule("soil", "greater", ("1.5",)))) == ["cedar", "hazel"]
     with pytest.raises(ValueError, match="does not fit"):
-        filters.compile_rule(Rule("apoe4", "equal", ("high",)), subjects.schema)
+        filters.compile_rule(Rule("soil", "equal", ("high",)), subjects.schema)
 
 
 @pytest.mark.parametrize("rule", [
-    Rule("apoe4", "between", ("1",)), Rule("apoe4", "in"), Rule("apoe4", "like", ("x",)), Rule("nothing", "equal", ("1",)),
-    RuleGroup("XOR", (Rule("apoe4", "isNull"),))])
+    Rule("soil", "between", ("1",)), Rule("soil", "in"), Rule("soil", "like", ("x",)), Rule("nothing", "equal", ("1",)),
+    RuleGroup("XOR", (Rule("soil", "isNull"),))])
 def test_bad_rules(subjects, rule):
     with pytest.raises(ValueError):
         filters.compile_rule(rule, subjects.schema)
 
 
 def test_sanitised_field_names(subjects):
-    assert keys(filters.apply_filters(subjects, Rule("APOE4", "equal", ("0",)))) == ["p005"]
+    assert keys(filters.apply_filters(subjects, Rule("SOIL", "equal", ("0",)))) == ["birch"]
 
 
 def test_projection_order(subjects):
-    df = filters.select_features(subjects, ["volume"], ["apoe4", "volume"], ["dataset", "apoe4"])
-    assert df.columns == ["volume", "apoe4", "dataset"]
-    q = MiningQuery(("volume",), "t", ("apoe4",), ("dataset",))
-    assert filters.dependent_only(subjects, q, "subjectcode").columns == ["volume", "subjectcode"]
-    assert filters.independent_only(subjects, q, "subjectcode").columns == ["apoe4", "dataset", "subjectcode"]
+    df = filters.select_features(subjects, ["width"], ["soil", "width"], ["dataset", "soil"])
+    assert df.columns == ["width", "soil", "dataset"]
+    q = MiningQuery(("width",), "t", ("soil",), ("dataset",))
+    assert filters.dependent_only(subjects, q, "subjectcode").columns == ["width", "subjectcode"]
+    assert filters.independent_only(subjects, q, "subjectcode").columns == ["soil", "dataset", "subjectcode"]
 
 
 def test_null_and_dataset_filters(subjects):
-    assert keys(filters.filter_nulls(subjects, ["volume"], ["apoe4"])) == ["p001", "p002", "p003", "p004", "p005"]
-    assert len(keys(filters.filter_nulls(subjects, ["volume"], ["apoe4"], (), False, True))) == 6
-    assert keys(filters.filter_datasets(subjects, "dataset", ["site_b"])) == ["p003", "p005", "p006"]
+    assert keys(filters.filter_nulls(subjects, ["width"], ["soil"])) == ["ash", "birch", "cedar", "fir", "hazel", "larch"]
+    assert len(keys(filters.filter_nulls(subjects, ["width"], ["soil"], (), False, True))) == 7
+    assert keys(filters.filter_datasets(subjects, "dataset", ["north"])) == ["ash", "elm", "hazel"]
     assert filters.filter_datasets(subjects, "dataset", []) is subjects
 
 
@@ -88,16 +88,16 @@ def test_filters_reach_the_scan(spark, sf_dir):
 
 
 def test_counts(spark, subjects):
-    assert counts.count_rows(subjects).first()["n"] == 6
-    assert counts.count_dataset(subjects, "t", "dataset", "site_a").first()["n"] == 3
-    assert counts.count_dataset(subjects, "t", None, '"t"').first()["n"] == 6
+    assert counts.count_rows(subjects).first()["n"] == 7
+    assert counts.count_dataset(subjects, "t", "dataset", "south").first()["n"] == 4
+    assert counts.count_dataset(subjects, "t", None, '"t"').first()["n"] == 7
     assert counts.count_dataset(subjects, "t", None, "other").first()["n"] == 0
-    grouped = {r["apoe4"]: r["n"] for r in counts.count_group_by(subjects, "apoe4").collect()}
-    assert grouped == {"2": 2, "1": 2, "0": 1, None: 1}
-    rule = Rule("volume", "greater", ("1.6",))
-    assert [r["dataset"] for r in counts.datasets_used(subjects, "t", "dataset", rule).collect()] == ["site_b"]
+    grouped = {r["soil"]: r["n"] for r in counts.count_group_by(subjects, "soil").collect()}
+    assert grouped == {"0": 1, "1": 3, "2": 2, None: 1}
+    rule = Rule("width", "greater", ("0.8",))
+    assert [r["dataset"] for r in counts.datasets_used(subjects, "t", "dataset", rule).collect()] == ["south"]
     assert [r["dataset"] for r in counts.datasets_used(subjects, "t", None, rule).collect()] == ["t"]
-    none = Rule("volume", "greater", ("9",))
+    none = Rule("width", "greater", ("9",))
     assert counts.datasets_used(subjects, "t", None, none).count() == 0
     with pytest.raises(ValueError, match="No data in table t"):
         counts.require_rows(subjects, "t", none)

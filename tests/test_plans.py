@@ -16,7 +16,7 @@ def catalog(spark):
 
 
 def test_unknown_table(spark, catalog):
-    with pytest.raises(KeyError, match="cannot be found or has not been configured"):
+    with pytest.raises(KeyError, match="no table is registered"):
         catalog.frame(spark, "nothing")
 
 
@@ -32,7 +32,7 @@ def test_unknown_covariables_are_dropped_with_a_note(spark, catalog):
         mining.run_mining(spark, catalog, strict)
     with pytest.raises(ValueError):
         mining.run_mining(spark, catalog, MiningQuery(("nothing",), "t", algorithm=AlgorithmSpec("pca")))
-    with pytest.raises(KeyError, match="Could not find algorithm"):
+    with pytest.raises(KeyError, match="no algorithm is registered"):
         mining.run_mining(spark, catalog, MiningQuery(("x",), "t", algorithm=AlgorithmSpec("magic")))
     with pytest.raises(ValueError, match="No data in table t"):
         mining.run_mining(spark, catalog, MiningQuery(("x",), "t", filters=Rule("x", "greater", ("99",)),
@@ -138,10 +138,10 @@ def test_states_merge_and_rerun_once(spark, catalog, tmp_path):
 
 def test_results_never_fail_the_reader(spark):
     rows = [
-        ("1", "pfa", '{"a": 1}', None, "model", None), ("2", "pfa", "[1]", None, "error", "not valid Json"),
-        ("3", "json", "{oops", "", "error", "not valid Json"), ("4", "json", None, None, "json", None),
+        ("1", "pfa", '{"a": 1}', None, "model", None), ("2", "pfa", "[1]", None, "error", "no readable JSON"),
+        ("3", "json", "{oops", "", "error", "no readable JSON"), ("4", "json", None, None, "json", None),
         ("5", "error", None, "broke", "error", "broke"), ("6", "text", "hello", None, "other", None),
-        ("7", "text", None, "late failure", "error", "late failure"), ("8", "strange", "x", None, "error", "Cannot handle"),
+        ("7", "text", None, "late failure", "error", "late failure"), ("8", "strange", "x", None, "error", "unknown shape"),
         ("9", "pfa_experiment", "[]", None, "experiment", None), ("10", "serialized_model", "AQI=", "", "serialized_model", None),
     ]
     df = spark.createDataFrame([(i, "n", None, s, "f", d, e) for i, s, d, e, _, _ in rows],

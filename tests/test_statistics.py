@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import anova, correlation, gram, histogram, moments, pca, quantiles, regression, summary
-from cohortlens.operators.levels import expand_levels, with_overall
+from cohortlens.operators.levels import expand_levels
 from cohortlens.plans import federation
 
 
@@ -122,8 +122,8 @@ def test_constant_column_has_no_correlation(study):
 
 
 def test_merged_states_equal_the_whole(study):
-    parts = moments.moment_states(study.filter("site = 's1'"), ["x1", "x2"], ["site"], {"x1": 0.0, "x2": 5.0})
-    for s in ("s2", "s3"):  # other shifts, as when sites work on their own
+    parts = moments.moment_states(study.filter("site = 's1'"), ["x1", "x2"], ["site"])
+    for s in ("s2", "s3"):  # as when sites work on their own
         parts = parts.unionByName(moments.moment_states(study.filter(F.col("site") == s), ["x1", "x2"], ["site"]))
     merged = frame(federation.merge_summary(parts)).set_index("variable")
     p = frame(study)
@@ -144,7 +144,7 @@ def test_narrowed_percentiles_are_exact(spark, buckets):
     # a third of the rows share one value, tails are heavy, one group is tiny
     values = np.concatenate([np.full(300, 4.0), rng.lognormal(0, 5, 590), [-1e12, 1e15, 0.0, 4.0, 4.0]])
     df = spark.createDataFrame([("a" if i % 5 else None, float(v)) for i, v in enumerate(values)], "g string, v double")
-    states = with_overall(moments.moment_states(df, ["v"], ["g"]), ["g"], ["variable"], moments.merge_exprs())
+    states = moments.merged_levels(moments.moment_states(df, ["v"], ["g"]), ["g"])
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
     got = quantiles.narrowed_percentiles(df, ["v"], ["g"], probs, states, leaf_rows=20, buckets=buckets)
     want = quantiles.direct_percentiles(expand_levels(df, ["g"]), ["v"], ["g", "_all"], probs)
