@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.session import checkpoint
+
 VARIABLE_SCHEMA = (
     "code string, label string, type string, methodology string, sql_type string, description string, "
     "units string, enumerations array<struct<code:string,label:string>>, length int, "
@@ -39,6 +41,7 @@ def flatten_hierarchy(hierarchies: DataFrame, table: str = "table", document: st
             "table", F.from_json("doc", _GROUP_SCHEMA).alias("g"),
             F.concat("order", F.array("at")).alias("order"), "path",
         )
+        level = checkpoint(level)  # one job a level: the next one starts from these groups
         if level.isEmpty():
             return out
     raise ValueError(f"hierarchy deeper than {MAX_DEPTH} groups")

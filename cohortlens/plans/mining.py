@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.functions.names import resolve
+from cohortlens.functions.names import is_nominal, resolve
 from cohortlens.model import FeatureTable, FilterRule, MiningQuery
 from cohortlens.operators.counts import datasets_used, require_rows
 from cohortlens.operators.filters import apply_filters, filter_datasets, filter_nulls, select_features
+from cohortlens.plans.federation import merge_state, partial_state
 from cohortlens.plans.registry import Task, algorithm, parameters_of
 from cohortlens.session import small_rows
 from cohortlens.sources.tables import Catalog, open_table
@@ -109,7 +110,27 @@ def run_mining(spark: SparkSession, catalog: Catalog, query: MiningQuery) -> Min
                 parameters_of(code, query.algorithm.parameters))
     if len(rows.variables) > 1 and not definition.all_variables:
         rows.feedback.append(f"{code} takes one variable: {', '.join(rows.variables[1:])} had no part in it")
-    return MiningResult(definition.run(task), rows.provenance(), rows.feedback)
+    data = None
+    if definition.mergeable and len(query.datasets) > 1 and rows.table.dataset_column:
+        data = merged_plan(code, task, rows.table.dataset_column)
+    if data is not None:
+        rows.feedback.append(f"merged from partial states of {len(query.datasets)} datasets")
+    return MiningResult(definition.run(task) if data is None else data, rows.provenance(), rows.feedback)
+
+
+def merged_plan(code: str, task: Task, by: str) -> DataFrame | None:
+    """The result by way of one state per dataset, for algorithms whose states hold all of it; else None."""
+    columns = [*task.variables, *task.covariables]
+    if code == "linearRegression" and not is_nominal(task.df, task.target):
+        states, names = partial_state(code, task.df, [task.target, *task.inputs], by)
+        return merge_state(code, states, names=names, target=task.target)
+    if code == "histograms" and not task.inputs and not is_nominal(task.df, task.target):
+        states, ranges = partial_state(code, task.df, [task.target], by, bins=task.parameters["bins"])
+        return merge_state(code, states, ranges=ranges, bins=task.parameters["bins"])
+    if code == "pca" and task.parameters["result"] == "components":
+        states, names = partial_state(code, task.df, columns, by)
+        return merge_state(code, states, names=names, k=int(task.parameters["k"])).components(task.df.sparkSession)
+    return None
 
 
 def with_provenance(result: MiningResult) -> DataFrame:

@@ -337,14 +337,14 @@ def logistic_calibration(spark, d):
 @query("neural_network")
 def neural_network(spark, d):
     p = table(spark, d, "customer")
-    model = neural.neural_network(p, "c_mktsegment", ["c_acctbal", "c_nationkey"], "16", rounds=3)
+    model = neural.neural_network(p, "c_mktsegment", ["c_acctbal", "c_nationkey"])
     return model.predict(p).select("c_custkey", "prediction")
 
 
 @query("gradient_boosting")
 def gradient_boosting(spark, d):
     p = table(spark, d, "part")
-    model = boosting.gradient_boosting(p, "p_retailprice", ["p_size", "p_type"], n_estimators=5)
+    model = boosting.gradient_boosting(p, "p_retailprice", ["p_size", "p_type"])
     return rounded(model.predict(p).select("p_partkey", "prediction"), 4)
 
 

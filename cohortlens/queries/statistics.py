@@ -123,7 +123,7 @@ def _histogram_sql(source: str, v: str, grouping: str | None, bins: int = 20, dr
     groups = [(f"'{grouping}'", f"CAST({grouping} AS VARCHAR)")] if grouping else []
     groups.append(("''", "'all'"))
     lo, hi = f"(SELECT min({v})::DOUBLE FROM {source})", f"(SELECT max({v})::DOUBLE FROM {source})"
-    keep = f"WHERE {v} < {hi}" if drop_max else ""
+    keep = f"WHERE {v} < {hi}" if drop_max else f"WHERE {v} IS NOT NULL"
     parts = [f"""SELECT {name} AS group_variables, g.k AS "group", '{v}' AS variable, CAST(b AS INTEGER) AS bin,
   CAST(CAST({lo} + b * (({hi} - {lo}) / {bins}) AS DECIMAL(18, 2)) AS VARCHAR) || ' - ' ||
   CAST(CAST({lo} + (b + 1) * (({hi} - {lo}) / {bins}) AS DECIMAL(18, 2)) AS VARCHAR) AS category,

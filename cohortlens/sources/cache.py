@@ -14,6 +14,7 @@ MAX_IDLE_DAYS = 10
 SYSTEM_USER = "system"
 
 KEY = ["node", "table_name", "query"]
+# The stored layout, which entries written before must keep fitting.
 CACHE_COLUMNS = [
     "node", "table_name", "table_contents_hash", "query", "created_at", "last_used", "data", "shape", "function",
 ]

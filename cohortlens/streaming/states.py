@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cohortlens.operators.histogram import BINS, bin_counts, finish_bins
-from cohortlens.operators.moments import moment_states
+from cohortlens.operators.moments import merge_moments, moment_states
 from cohortlens.plans.federation import merge_summary
 
 
@@ -45,7 +45,57 @@ def stream_states(
 
 
 def _merged_batches(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.parquet(f"{path.rstrip('/')}/{kind}").drop("batch")
+    """The newest merged states and the batches after them; folders before are pruned."""
+    batches = spark.read.parquet(f"{path.rstrip('/')}/{kind}")
+    upto = _merged_upto(spark, path, kind)
+    if upto is None:
+        return batches.drop("batch")
+    merged = spark.read.parquet(f"{path.rstrip('/')}/{kind}-merged").filter(F.col("upto") == upto)
+    return merged.drop("upto").unionByName(batches.filter(F.col("batch") > upto).drop("batch"))
+
+
+def _merged_upto(spark: SparkSession, path: str, kind: str) -> int | None:
+    """Number of the last batch that merged states hold."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{kind}-merged")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return None
+    names = [f.getPath().getName() for f in files.listStatus(folder)]
+    return max((int(n.removeprefix("upto=")) for n in names if n.startswith("upto=")), default=None)
+
+
+def compact_states(spark: SparkSession, path: str, by=()) -> None:
+    """Merge all batches but the newest, which a restart may write again, into one set of states.
+
+    Readers go from the merged states, so what they read no longer grows with the
+    number of batches. The merged set is a folder of its own: a failed run leaves
+    the old one in use.
+    """
+    for kind in ("moments", "bins"):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{kind}")
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            continue
+        names = [f.getPath().getName() for f in files.listStatus(folder)]
+        done = sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))[:-1]
+        upto = _merged_upto(spark, path, kind)
+        if not done or (upto is not None and done[-1] <= upto):
+            continue
+        rows = spark.read.parquet(f"{path.rstrip('/')}/{kind}").filter(F.col("batch") <= done[-1]).drop("batch")
+        if upto is not None:
+            rows = rows_after(spark, path, kind, upto, done[-1])
+        if kind == "moments":
+            merged = merge_moments(rows, list(by))
+        else:
+            merged = rows.groupBy(*by, "variable", "bin").agg(F.sum("n").alias("n"))
+        merged.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{kind}-merged/upto={done[-1]}")
+
+
+def rows_after(spark: SparkSession, path: str, kind: str, upto: int, last: int) -> DataFrame:
+    """States merged up to ``upto`` and the batches from there to ``last``."""
+    merged = spark.read.parquet(f"{path.rstrip('/')}/{kind}-merged").filter(F.col("upto") == upto).drop("upto")
+    batches = spark.read.parquet(f"{path.rstrip('/')}/{kind}")
+    return merged.unionByName(batches.filter(F.col("batch").between(upto + 1, last)).drop("batch"))
 
 
 def read_stream_summary(spark: SparkSession, path: str, by=()) -> DataFrame:

@@ -244,3 +244,20 @@ def test_subgroup_numbers_against_brute_force(spark):
         cover = [d for d in data if all(d["yab".index(k)] == v for k, v in conds.items())]
         pos = [d for d in cover if d[0] == r["target"].split("=")[1]]
         assert (r["cov"], r["pos"]) == (len(cover), len(pos))
+
+
+def test_repeated_query_keys_are_refused(spark):
+    rows = [(i, float(i), float(2 * i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    model = knn.knn_fit(df, "id", "y", ["x"], 3)
+    with pytest.raises(ValueError, match="repeat"):
+        model.predict(df.union(df))
+
+
+def test_boosted_rows_all_come_back(spark):
+    rows = [(i, None if i % 4 == 0 else float(i), float(i % 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    model = boosting.gradient_boosting(df, "y", ["x"], n_estimators=2)
+    out = model.predict(df).collect()
+    assert len(out) == 40 and sum(r["prediction"] is None for r in out) == 10
+    assert model.rows(spark).count() == 2

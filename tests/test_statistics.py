@@ -188,3 +188,29 @@ def test_histogram_bins(spark):
     assert sum(dropped) == 20
     flat = histogram.histogram(spark.createDataFrame([(2.0,)] * 3, "v double"), "v").collect()
     assert sum(r["count"] for r in flat) == 3
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), float("-inf")])
+def test_percentiles_with_odd_values_agree_at_any_size(spark, odd):
+    rng = np.random.default_rng(3)
+    rows = [("a" if i % 3 else "b", float(v)) for i, v in enumerate(rng.normal(size=900))] + [("a", odd)] * 2 + [("c", odd)]
+    df = spark.createDataFrame(rows, "g string, v double")
+
+    def q(direct_rows):
+        out = summary.summary_statistics(df, ["v"], ["g"], direct_rows=direct_rows).collect()
+        return {tuple(r["group"]): [str(r[c]) for c in ("25%", "50%", "75%")] for r in out}
+
+    assert q(1) == q(4_000_000)
+
+
+def test_groups_far_apart_keep_their_spread(spark):
+    rows = [("a", i % 7 / 10) for i in range(300)] + [("b", 1e9 + i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {tuple(r["group"]): r["std"] for r in summary.summary_statistics(df, ["v"], ["g"]).collect()}
+    assert got[("b",)] == pytest.approx(np.std([0, 1] * 150, ddof=1), rel=1e-6)
+    assert got[("a",)] == pytest.approx(np.std([i % 7 / 10 for i in range(300)], ddof=1), rel=1e-6)
+
+
+def test_state_names_are_reserved(spark):
+    with pytest.raises(ValueError, match="rename"):
+        moments.moment_states(spark.createDataFrame([("a", 1.0)], "variable string, v double"), ["v"], ["variable"])
