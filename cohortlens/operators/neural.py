@@ -1,8 +1,8 @@
-"""Feed-forward network trained by averaged local gradient descent.
+"""Feed-forward network trained by synchronous gradient steps.
 
-Each round every partition starts from the shared weights, makes one pass of
-mini-batch Adam over its own rows, and returns its weights; their average,
-weighted by rows, starts the next round. Only weights travel.
+Rows fall into batches by a hash of their content, never by where they lie. A
+step adds up the gradient of one batch over all tasks, in salted groups, and the
+driver moves the weights. So the layout of the table does not change the model.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, TaskContext
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +20,10 @@ from cohortlens.operators import gram as G
 from cohortlens.operators.linear import standardised
 
 ACTIVATIONS = ("identity", "logistic", "tanh", "relu")
-BATCH_ROWS = 200
+STEPS = 8  # batches, and so steps, of a round
+STEP_SCALE = 10.0  # a step stands for many small ones, so it goes further
+CHUNK_ROWS = 2048
+SUM_SALTS = 4
 MAX_WEIGHTS = 1_000_000
 
 
@@ -90,6 +93,16 @@ class Network:
         return np.concatenate(grads[::-1])
 
 
+    def penalty(self, w: np.ndarray, alpha: float, n: int) -> np.ndarray:
+        """Slope of the weight penalty; intercepts go free."""
+        out = [np.vstack([alpha * m[:-1] / n, np.zeros((1, m.shape[1]))]).ravel() for m in self.layers(w)]
+        return np.concatenate(out)
+
+
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"n": [pdf["n"].sum()], "g": [np.sum(np.stack(pdf["g"].to_numpy()), axis=0)]})
+
+
 @dataclass
 class NeuralModel:
     network: Network
@@ -113,6 +126,12 @@ class NeuralModel:
 
         return df.withColumn(output, score(*self.inputs))
 
+    def rows(self, spark) -> DataFrame:
+        """(layer, source, unit, weight); source -1 is the intercept."""
+        out = [(layer, -1 if a == len(m) - 1 else a, b, float(m[a, b]))
+               for layer, m in enumerate(self.network.layers(self.weights)) for a in range(len(m)) for b in range(m.shape[1])]
+        return spark.createDataFrame(out, "layer int, source int, unit int, weight double")
+
 
 def neural_network(
     df: DataFrame, y: str, xs: list, hidden_layer_sizes: str = "100", activation: str = "relu",
@@ -134,43 +153,44 @@ def neural_network(
     network = Network([len(inputs), *hidden, len(classes) or 1], activation, bool(classes))
     if network.n_weights > MAX_WEIGHTS:
         raise ValueError(f"{network.n_weights} weights; at most {MAX_WEIGHTS} are supported")
-    table = rows.select(*[x.cast("double").alias(f"_z{i}") for i, x in enumerate(inputs)],
-                        label.cast("double").alias("_label")).persist(StorageLevel.MEMORY_AND_DISK)
+    batch = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in dict.fromkeys([y, *xs])]), F.lit(STEPS)).cast("int")
+    table = rows.select(
+        *[x.cast("double").alias(f"_z{i}") for i, x in enumerate(inputs)], label.cast("double").alias("_label"),
+        batch.alias("_batch")).persist(StorageLevel.MEMORY_AND_DISK)
     n_classes, n_inputs = len(classes), len(inputs)
     sc = df.sparkSession.sparkContext
     weights = network.start(seed)
+    m, v, t = np.zeros_like(weights), np.zeros_like(weights), 0
+    rate = learning_rate_init * STEP_SCALE
     try:
         for turn in range(rounds):
-            shared = sc.broadcast(weights)
-
-            def train(batches, shared=shared, turn=turn):
-                w = shared.value.copy()
-                m, v, t, seen = np.zeros_like(w), np.zeros_like(w), 0, 0
-                rng = np.random.default_rng([seed, turn, TaskContext.get().partitionId()])
-                for pdf in batches:
-                    x = pdf.iloc[:, :n_inputs].to_numpy(float)
-                    target = pdf["_label"].to_numpy(float)
-                    target = np.eye(n_classes)[target.astype(int)] if n_classes else target[:, None]
-                    order = rng.permutation(len(x))
-                    for at in range(0, len(x), BATCH_ROWS):
-                        pick = order[at:at + BATCH_ROWS]
-                        g = network.gradient(w, x[pick], target[pick], alpha)
-                        t += 1
-                        m = 0.9 * m + 0.1 * g
-                        v = 0.999 * v + 0.001 * g * g
-                        w -= learning_rate_init * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-                    seen += len(x)
-                if seen:
-                    yield pd.DataFrame({"n": [seen], "w": [w * seen]})
-
-            local = table.mapInPandas(train, "n long, w array<double>")
-            summed = local.select("n", F.posexplode("w").alias("i", "w")).groupBy("i").agg(
-                F.sum("w").alias("w"), F.sum("n").alias("n")
-            )
-            found = summed.collect()  # one row per weight
-            for r in found:
-                weights[r["i"]] = r["w"] / r["n"]
-            weights = weights.copy()
+            for batch in np.random.default_rng([seed, turn]).permutation(STEPS):
+                shared = sc.broadcast(weights)
+
+                def slope(batches, shared=shared):
+                    w, n, total = shared.value, 0, 0.0
+                    for pdf in batches:
+                        x = pdf.iloc[:, :n_inputs].to_numpy(float)
+                        y_ = pdf["_label"].to_numpy(float)
+                        y_ = np.eye(n_classes)[y_.astype(int)] if n_classes else y_[:, None]
+                        for at in range(0, len(x), CHUNK_ROWS):
+                            part = x[at:at + CHUNK_ROWS]
+                            total = total + network.gradient(w, part, y_[at:at + CHUNK_ROWS], 0.0) * len(part)
+                            n += len(part)
+                    if n:
+                        yield pd.DataFrame({"n": [n], "g": [total]})
+
+                local = table.filter(F.col("_batch") == int(batch)).mapInPandas(slope, "n long, g array<double>")
+                salt = (F.spark_partition_id() % SUM_SALTS).alias("salt")
+                found = local.groupBy(salt).applyInPandas(_added, "n long, g array<double>").collect()  # SUM_SALTS rows
+                if not found:
+                    continue
+                n = sum(r["n"] for r in found)
+                g = sum(np.array(r["g"]) for r in found) / n + network.penalty(weights, alpha, n)
+                t += 1
+                m = 0.9 * m + 0.1 * g
+                v = 0.999 * v + 0.001 * g * g
+                weights = weights - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
     finally:
         table.unpersist()
     return NeuralModel(network, weights, inputs, classes, centre, scale)

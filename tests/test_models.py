@@ -261,3 +261,16 @@ def test_boosted_rows_all_come_back(spark):
     out = model.predict(df).collect()
     assert len(out) == 40 and sum(r["prediction"] is None for r in out) == 10
     assert model.rows(spark).count() == 2
+
+
+def test_network_does_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 2))
+    rows = [(i, float(a), float(b), "in" if a * a + b * b < 1 else "out") for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y string")
+    found = []
+    for parts in (2, 8):
+        model = neural.neural_network(df.repartition(parts), "y", ["a", "b"], "16", rounds=4)
+        found.append({r["id"]: r["prediction"] for r in model.predict(df).collect()})
+    assert found[0] == found[1]
+    assert model.rows(spark).count() == 3 * 16 + 17 * 2
