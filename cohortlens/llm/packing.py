@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_right
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,67 +17,75 @@ from cohortlens.llm.common import LOWER, arrow, raw, stored, tokenizer_path
 
 WINDOW = 2048
 END = 1
-CACHE_WORDS = 700_000
+CACHE_WORDS = 250_000
 GROUP = 64  # unknown words that are encoded as one text
 STEP_BYTES = 1 << 18
 # Words of these letters split as the tokenizer's own pattern splits them.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^\sa-zà-öø-ÿ0-9]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
 class Ids:
     """Token ids of texts as little-endian 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are
-    those of its words. Words seen before come from a cache; new ones are encoded
-    together and cut apart where a token ends a part of a word. Texts that hold the
-    start of a special token are encoded as they are.
+    those of its words, and a word's are those of its parts. Words and parts seen
+    before come from a cache; new parts go to the tokenizer's own model together and
+    are cut apart at the tokens that end a part. Words with other letters than the
+    pattern names, and texts that hold the start of a special token, are encoded as
+    they are.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain, odd = [], []
+    def _learn(self, words) -> None:
+        known, parted = self.known, []
         for w in words:
             t = w.decode("utf-8", "surrogatepass")
             low = t.lower()
-            (plain if _PLAIN.fullmatch(t) and len(low) == len(t) else odd).append((w, t, low))
-        for group in (plain[i:i + GROUP] for i in range(0, len(plain), GROUP)):
-            ids = self._encode([" ".join(t for _, t, _ in group)])[0]
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            parts = np.cumsum([len(_PARTS.findall(low)) for _, _, low in group])
-            if len(ends) != parts[-1]:
-                odd += group
-                continue
-            cuts = ends[parts - 1] * 4
-            whole, at = ids.tobytes(), 0
-            for (w, _, _), cut in zip(group, cuts.tolist()):
-                self.known[w] = whole[at:cut]
-                at = cut
-        if odd:
-            for (w, _, _), ids in zip(odd, self._encode([t for _, t, _ in odd])):
-                self.known[w] = ids.tobytes()
+            if _PLAIN.fullmatch(t) and len(low) == len(t):
+                parted.append((w, [x.encode() for x in _PARTS.findall(low)]))
+            else:
+                known[w] = self._encode(t)
+        new = list({x for _, parts in parted for x in parts}.difference(known))
+        for group in (new[i:i + GROUP] for i in range(0, len(new), GROUP)):
+            ids = np.array(self.model.encode_batch_fast([b" ".join(group).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) == len(group):
+                whole = ids.tobytes()
+                known.update(zip(group, (whole[s * 4:e * 4] for s, e in zip([0, *cuts], cuts))))
+            else:
+                known.update((x, self._encode(x.decode())) for x in group)
+        for w, parts in parted:
+            if len(parts) != 1 or parts[0] != w:
+                known[w] = b"".join([known[x] for x in parts])
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         split = [None if t is not None and "<|" in t else raw(t).translate(LOWER).split() for t in texts]
-        new = list({w for words in split if words for w in words if w not in self.known})
-        if new:
-            self._learn(new)
+        self._learn(set().union(*[w for w in split if w]).difference(self.known))
         get = self.known.__getitem__
-        return [self._encode([t])[0].tobytes() if words is None else b"".join(map(get, words))
-                for t, words in zip(texts, split)]
+        return [self._encode(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
+
+
+@cache
+def ids_of(path: str) -> Ids:
+    """One cache for all tasks of a worker process; it is emptied at ``CACHE_WORDS``."""
+    return Ids(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, text_column: str = "text",
@@ -91,7 +100,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
     last = int(end).to_bytes(4, "little")
 
     def run(batches):
-        ids, part, seen = Ids(tokenizer), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
+        ids, part, seen = ids_of(tokenizer), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
 
         def cut(doc_ids, texts):
             rows = []
