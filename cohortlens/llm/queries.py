@@ -97,5 +97,23 @@ SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, a
 FROM (SELECT u.doc_id, u.size, u.source_size, u.target, k.taken FROM u
  LEFT JOIN (SELECT doc_id, sum(size) FILTER (inside) AS taken FROM c GROUP BY doc_id) k USING (doc_id)) GROUP BY doc_id"""
 
+OP3_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
+w AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 34 <= len(ws) THEN array_to_string(ws[i:i + 34], ' ') END AS win FROM i),
+c AS (SELECT *, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS again FROM w),
+r AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c)
+SELECT d.doc_id, CAST(len(any_value(ws)) AS BIGINT) AS n_words, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+ sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id"""
+
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(id, other) AS (SELECT a, b FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, least(v.vec_id, min(r.other)) AS component_id,
+ v.vec_id = least(v.vec_id, min(r.other)) AS kept
+FROM v LEFT JOIN r ON r.id = v.vec_id GROUP BY v.vec_id"""
+
 QUERIES = {"op1_ctw": op1_ctw, "op2_pii": op2_pii, "op3_rlz": op3_rlz, "op4_lattice": op4_lattice, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op8_hilbert": op8_hilbert, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
-ORACLES = {"op9_mixing": OP9_SQL}
+ORACLES = {"op3_rlz": OP3_SQL, "op4_lattice": OP4_SQL, "op9_mixing": OP9_SQL}
