@@ -16,7 +16,6 @@ VARIABLE_SCHEMA = (
 _GROUP_SCHEMA = f"code string, label string, groups array<string>, variables array<struct<{VARIABLE_SCHEMA}>>".replace(
     VARIABLE_SCHEMA, ", ".join(f"{p.split(' ', 1)[0]}:{p.split(' ', 1)[1]}" for p in VARIABLE_SCHEMA.split(", "))
 )
-MAX_DEPTH = 50
 OWN_LAST = (1 << 31) - 1  # a group's own variables follow those of its sub-groups
 
 
@@ -31,7 +30,7 @@ def flatten_hierarchy(hierarchies: DataFrame, table: str = "table", document: st
         F.array().cast("array<int>").alias("order"), F.array().cast("array<string>").alias("path"),
     )
     out = None
-    for _ in range(MAX_DEPTH):
+    while True:
         level = level.withColumn("path", F.concat("path", F.array(F.col("g.code"))))
         own = level.select(
             "table", "order", "path", F.posexplode("g.variables").alias("at", "v")
@@ -44,7 +43,6 @@ def flatten_hierarchy(hierarchies: DataFrame, table: str = "table", document: st
         level = checkpoint(level)  # one job a level: the next one starts from these groups
         if level.isEmpty():
             return out
-    raise ValueError(f"hierarchy deeper than {MAX_DEPTH} groups")
 
 
 def merge_variables(metas: DataFrame, exhaustive: bool = False, sources: int | None = None) -> DataFrame:

@@ -219,13 +219,14 @@ def score_binary(spark, d):
     return rounded(scoring.score_binary(_rule(spark, d), "actual", "prediction", "1", "fold"), 8)
 
 
-@query("score_multiclass", _multiclass_sql(
-    "(SELECT l_returnflag AS actual, CASE WHEN l_quantity < 20 THEN 'A' ELSE 'N' END AS prediction, l_linestatus FROM lineitem)", "l_linestatus"))
+@query("score_multiclass", "\nUNION ALL ".join("SELECT * FROM (" + _multiclass_sql(
+    f"(SELECT l_returnflag AS actual, CASE WHEN l_quantity < 20 THEN 'A' ELSE 'N' END AS prediction, {by} AS l_linestatus FROM lineitem)",
+    "l_linestatus") + ")" for by in ("l_linestatus", "'all'")))
 def score_multiclass(spark, d):
     li = table(spark, d, "lineitem").select(
         F.col("l_returnflag").alias("actual"), F.when(F.col("l_quantity") < 20, "A").otherwise("N").alias("prediction"),
         F.col("l_linestatus").alias("fold"))
-    return rounded(scoring.score_multiclass(li, "actual", "prediction", by="fold").filter("fold <> 'all'"), 8)
+    return rounded(scoring.score_multiclass(li, "actual", "prediction", by="fold"), 8)
 
 
 @query("confusion_matrix", """
@@ -275,11 +276,11 @@ def cross_dataset_validation(spark, d):
 
 @query("validate_model", f"""
 WITH m AS (SELECT regr_slope(c_acctbal, c_nationkey) AS b, regr_intercept(c_acctbal, c_nationkey) AS a FROM customer)
-SELECT n, rmse, mae FROM ({_regression_scores_sql('(SELECT s_acctbal, a + b * s_nationkey AS guess FROM supplier, m)', 's_acctbal', 'guess', None)})""")
+SELECT * FROM ({_regression_scores_sql('(SELECT s_acctbal, a + b * s_nationkey AS guess FROM supplier, m)', 's_acctbal', 'guess', None)})""")
 def validate_model(spark, d):
     model = regression.fit_linear(_customers(spark, d), "c_acctbal", ["nation"])
     s = _suppliers(spark, d).withColumn("c_acctbal", F.col("balance"))
-    return rounded(validation.validate_model(model, s, "c_acctbal", ["nation"]).select("n", "rmse", "mae"))
+    return _score_rows(validation.validate_model(model, s, "c_acctbal", ["nation"]))
 
 
 @query("linear_model_classification")

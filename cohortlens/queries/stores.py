@@ -141,9 +141,11 @@ def cache_retain(spark, d):
     return cache.cache_retain(entries, 1000, 10, now).select("node", "last_used")
 
 
-@query("cache_reset", "SELECT 'x' AS node, 'y' AS query FROM events WHERE FALSE")
+@query("cache_reset", "SELECT count(*) > 0 AS filled_before, CAST(0 AS BIGINT) AS entries_after FROM events")
 def cache_reset(spark, d):
-    return cache.cache_reset(_cache(spark, d)).select("node", "query")
+    entries = _cache(spark, d)
+    left = cache.cache_reset(entries).count()
+    return entries.agg((F.count("*") > 0).alias("filled_before"), F.lit(left).cast("bigint").alias("entries_after"))
 
 
 @query("table_fingerprint")
