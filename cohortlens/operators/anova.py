@@ -8,6 +8,7 @@ from itertools import combinations, product as cartesian
 from pyspark.sql import DataFrame
 
 from cohortlens.functions.dist import f_sf
+from cohortlens.functions.names import is_nominal
 from cohortlens.operators import gram as G
 from cohortlens.operators.regression import least_squares
 
@@ -22,6 +23,8 @@ def anova(df: DataFrame, y: str, factors: list, design: str = "factorial") -> Da
     """
     if design not in ("factorial", "additive"):
         raise ValueError("design is factorial or additive")
+    if is_nominal(df, y):
+        raise ValueError(f"{y} is nominal: the analysis of variance needs a numeric target")
     columns = G.design(df, [y, *factors])
     effects = [(f, columns[f]) for f in factors]
     if design == "factorial":

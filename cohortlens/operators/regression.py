@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.dist import normal_two_sided, t_two_sided
-from cohortlens.functions.names import complete_rows
+from cohortlens.functions.names import complete_rows, is_nominal
 from cohortlens.operators import gram as G
 
 TERM_SCHEMA = "term string, coef double, std_err double, t_values double, p_values double"
@@ -81,6 +81,8 @@ class LinearModel:
 
 
 def _terms(df: DataFrame, y: str, xs: list) -> tuple:
+    if is_nominal(df, y):
+        raise ValueError(f"{y} is nominal: a linear regression needs a numeric target")
     d = G.design(df, [y, *xs])
     return d[y][0], [t for x in xs for t in d[x]]
 

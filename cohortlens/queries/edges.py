@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.model import AlgorithmSpec, FeatureTable, MiningQuery
+from cohortlens.model import AlgorithmSpec, ExperimentQuery, FeatureTable, MiningQuery, ValidationSpec
 from cohortlens.operators import bands, boosting, histogram, profile, regression, subgroups, summary
 from cohortlens.plans import validation
 from cohortlens.plans.cached import cached_mining
+from cohortlens.plans.experiment import run_experiment
 from cohortlens.plans.mining import run_mining
 from cohortlens.queries import COHORT_SQL, cohort, joined, query, rounded, table
 from cohortlens.queries.statistics import _BAND_Z, _histogram, _histogram_sql
 from cohortlens.queries.stores import _event_stream, _folder
-from cohortlens.sources import cache
+from cohortlens.sources import cache, results
 from cohortlens.sources.tables import Catalog
 from cohortlens.streaming import states
 
@@ -236,3 +237,48 @@ def stream_compacted(spark, d):
         states.moment_states(part, ["value"], ["event_type"]).write.parquet(f"{path}/moments/batch={batch}")
         states.compact_states(spark, path, ["event_type"])
     return rounded(states.read_stream_summary(spark, path, ["event_type"]).select("event_type", "count", "mean", "std"))
+
+
+@query("binary_model_results", """
+SELECT CAST(event_id AS VARCHAR) AS job_id, 'serialized_model' AS kind, event_type || '-' || event_id AS model FROM events""")
+def binary_model_results(spark, d):
+    path = _folder(spark, "models")
+    rows = table(spark, d, "events").select(
+        F.col("event_id").cast("string").alias("job_id"), F.lit("node").alias("node"), F.col("ts").alias("timestamp"),
+        F.lit("serialized_model").alias("shape"), F.lit("fit").alias("function"), F.lit(None).cast("string").alias("data"),
+        F.lit(None).cast("string").alias("error"),
+        F.concat_ws("-", "event_type", F.col("event_id").cast("string")).cast("binary").alias("model"))
+    results.to_result_rows(rows).write.parquet(path)
+    back = results.read_job_results(spark.read.parquet(path))
+    return back.select("job_id", "kind", results.decode_model(F.col("data")).cast("string").alias("model"))
+
+
+def _experiment(spark, d):
+    catalog = Catalog([FeatureTable("cohort", lambda s: cohort(s, d), "c_custkey", "r_name")])
+    return run_experiment(spark, catalog, ExperimentQuery(
+        variables=("c_mktsegment",), covariables=("c_acctbal",), target_table="cohort",
+        algorithms=(AlgorithmSpec("naiveBayes"), AlgorithmSpec("statisticsSummary"), AlgorithmSpec("anova")),
+        validations=(ValidationSpec("kfold", {"k": 2}),), training_datasets=("AFRICA", "ASIA"),
+        validation_datasets=("EUROPE", "ASIA")))
+
+
+_TRAINED = f"(SELECT * FROM {COHORT_SQL} WHERE r_name IN ('AFRICA', 'ASIA'))"
+
+
+# a model row per class, two folds and the pooled row, one other dataset; a nominal target is an error for ANOVA
+@query("experiment_parts", f"""
+SELECT 0 AS position, 'naiveBayes' AS algorithm, 'model' AS result, count(DISTINCT c_mktsegment) AS n FROM {_TRAINED}
+UNION ALL SELECT 0, 'naiveBayes', 'kfold', 3 UNION ALL SELECT 0, 'naiveBayes', 'document', 1
+UNION ALL SELECT 0, 'naiveBayes', 'datasets', 1 UNION ALL SELECT 1, 'statisticsSummary', 'result', 2
+UNION ALL SELECT 2, 'anova', 'error', 1""")
+def experiment_parts(spark, d):
+    return _experiment(spark, d).groupBy("position", "algorithm", "result").agg(F.count("*").alias("n"))
+
+
+@query("experiment_model", f"""
+SELECT c_mktsegment AS class, round(ln(count(*) / (SELECT count(*) FROM {_TRAINED})), 8) AS log_prior, round(avg(c_acctbal), 5) AS mean
+FROM {_TRAINED} GROUP BY 1""")
+def experiment_model(spark, d):
+    rows = _experiment(spark, d).filter("result = 'model'").select(
+        F.from_json("data", "class string, log_prior double, mean double").alias("m")).select("m.*")
+    return rows.select("class", F.round("log_prior", 8).alias("log_prior"), F.round("mean", 5).alias("mean"))
