@@ -1,8 +1,9 @@
 """Exact k nearest neighbours without comparing every pair.
 
 The training rows are cut into cells by a small tree of median splits. A query
-row first searches its own cell; its k-th distance there bounds the search, and
-only cells whose bounding box lies within that bound are searched next. Crowded
+row first searches its own cell; its k-th distance there bounds the search. The few
+nearest cells within the bound come next and tighten it; only then the others that
+still lie within it. Crowded
 cells are cut into parts on the training side and into salted chunks on the
 query side, so no task holds more than a fixed number of rows of either.
 """
@@ -26,6 +27,7 @@ MAX_LEAVES = 4096
 SAMPLE_ROWS = 50_000
 PART_ROWS = 200_000
 CHUNK_ROWS = 50_000
+AHEAD = 4  # nearest further cells that are searched before the others
 DISTANCE_CELLS = 100_000  # distances held at a time, so that they stay in the cache
 
 
@@ -98,8 +100,10 @@ class _Boxes:
     lo: np.ndarray
     hi: np.ndarray
 
-    def within(self, x: np.ndarray, own: np.ndarray, limit: np.ndarray, k: int) -> list:
-        """Per point the other cells that may hold one of its k nearest rows."""
+    def within(
+        self, x: np.ndarray, own: np.ndarray, limit: np.ndarray, k: int, first: int = 0, last: int | None = None
+    ) -> list:
+        """Per point the other cells that may hold one of its k nearest rows, from the ``first``-nearest cell to the ``last``."""
         out, block = [], max(1, DISTANCE_CELLS // len(self.ids))
         for at in range(0, len(x), block):
             q, bound = x[at:at + block], limit[at:at + block].copy()
@@ -114,7 +118,11 @@ class _Boxes:
                 enough = np.searchsorted(np.cumsum(self.sizes[order]), k)
                 if enough < len(order):
                     bound[i] = far[i][order[enough]]
-            reach = (near <= bound[:, None]) & (self.ids[None, :] != own[at:at + block, None])
+            near[self.ids[None, :] == own[at:at + block, None]] = np.inf
+            reach = np.isfinite(near) & (near <= bound[:, None])
+            if first or last is not None:
+                place = np.argsort(np.argsort(near, axis=1, kind="stable"), axis=1)
+                reach &= (place >= first) & (place < (len(self.ids) if last is None else last))
             out += [self.ids[r] for r in reach]
         return out
 
@@ -252,21 +260,26 @@ def neighbours(model: KnnModel, df: DataFrame, key: str, k: int = 5) -> DataFram
         np.array([[b[f"hi{x}"] for x in xs] for b in boxes], dtype=float),
     ))
 
-    @F.pandas_udf("array<int>")
-    def other_cells(own: pd.Series, limit: pd.Series, *columns: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(float) for c in columns])
-        return pd.Series(bounds.value.within(x, own.to_numpy(), limit.to_numpy(float), k))
-
-    other_cells = other_cells.asNondeterministic()  # else the optimizer runs it again to drop empty lists
-
-    limit = F.when(F.size("near") >= k, F.element_at("near", k)["d2"]).otherwise(F.lit(float("inf")))
-    further = (
-        home.withColumn("_cells", other_cells("_cell", F.coalesce(limit, F.lit(float("inf"))), *xs))
-        .select("_q", *xs, F.explode("_cells").alias("_cell"))
-    )
-    more = _search(further, train, parts, dims, k, qtype, ktype, ytype)
-    first = home.select("_q", F.inline("near"))
-    return merge_near(first.unionByName(more), k).withColumnRenamed("_q", key)
+    def further(found: DataFrame, first: int, last: int | None) -> DataFrame:
+        """The neighbours so far and those of the next cells within reach, best k of both."""
+        @F.pandas_udf("array<int>")
+        def other_cells(own: pd.Series, limit: pd.Series, *columns: pd.Series) -> pd.Series:
+            x = np.column_stack([c.to_numpy(float) for c in columns])
+            return pd.Series(bounds.value.within(x, own.to_numpy(), limit.to_numpy(float), k, first, last))
+
+        other_cells = other_cells.asNondeterministic()  # else the optimizer runs it again to drop empty lists
+        limit = F.when(F.size("near") >= k, F.element_at("near", k)["d2"]).otherwise(F.lit(float("inf")))
+        next_ = (
+            found.withColumn("_cells", other_cells("_cell", F.coalesce(limit, F.lit(float("inf"))), *xs))
+            .select("_q", *xs, F.explode("_cells").alias("_cell"))
+        )
+        more = _search(next_, train, parts, dims, k, qtype, ktype, ytype)
+        return merge_near(found.select("_q", F.inline("near")).unionByName(more), k)
+
+    if len(boxes) <= AHEAD + 1:
+        return further(home, 0, None).withColumnRenamed("_q", key)
+    home = checkpoint(queries.join(further(home, 0, AHEAD), "_q", "left"))
+    return further(home, AHEAD, None).withColumnRenamed("_q", key)
 
 
 def vote(near, classification: bool):
