@@ -149,7 +149,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed_words: int = SEE
         twice = np.zeros(len(keys), bool)
         if len(keys):
             twice = np.searchsorted(order, keys, side="right") - np.searchsorted(order, keys) > 1
-        return _questions(keys, _bucket(keys, n_buckets), twice)
+        return _questions(keys, _bucket(_mixed(keys), n_buckets), twice)  # mixed again: minima are small numbers
 
     first = blocks.in_blocks(docs, ask_seeds, "blocks", text_column, id_column, block_bytes)
 
@@ -159,7 +159,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed_words: int = SEE
         seeds = words.seeds(window, seed_words)
         keys, back = np.unique(seeds, return_inverse=True)
         hit = np.zeros(len(words.valid), bool)
-        hit[words.valid] = _told(_bucket(keys, n_buckets), told)[back] if len(keys) else False
+        hit[words.valid] = _told(_bucket(_mixed(keys), n_buckets), told)[back] if len(keys) else False
         sums = np.concatenate(([0], np.cumsum(hit)))
         touched = sums[np.minimum(words.ends, len(hit))] > sums[np.minimum(words.begins, len(hit))]
         clean = [None if t else hashlib.sha256(b" ".join(p.split())).hexdigest() for p, t in zip(parts, touched)]
