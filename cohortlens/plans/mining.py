@@ -93,6 +93,7 @@ class MiningResult:
     data: DataFrame
     provenance: DataFrame
     feedback: list
+    merged: bool = False  # from one partial state per dataset
 
 
 def run_mining(spark: SparkSession, catalog: Catalog, query: MiningQuery) -> MiningResult:
@@ -113,9 +114,8 @@ def run_mining(spark: SparkSession, catalog: Catalog, query: MiningQuery) -> Min
     data = None
     if definition.mergeable and len(query.datasets) > 1 and rows.table.dataset_column:
         data = merged_plan(code, task, rows.table.dataset_column)
-    if data is not None:
-        rows.feedback.append(f"merged from partial states of {len(query.datasets)} datasets")
-    return MiningResult(definition.run(task) if data is None else data, rows.provenance(), rows.feedback)
+    merged = data is not None
+    return MiningResult(data if merged else definition.run(task), rows.provenance(), rows.feedback, merged)
 
 
 def merged_plan(code: str, task: Task, by: str) -> DataFrame | None:
