@@ -42,7 +42,7 @@ def _suppliers(spark, d):
 @query("knn_classification", "SELECT qkey AS \"key\", prediction FROM (" + _vote_sql(_near_sql(
     "supplier", "s_suppkey", "customer", "c_custkey", "c_mktsegment", _NATION_PAIRS, 5)) + ")")
 def knn_classification(spark, d):
-    model = knn.knn_fit(_customers(spark, d), "key", "c_mktsegment", ["nation", "balance"], 5, leaf_rows=256)
+    model = knn.knn_fit(_customers(spark, d), "key", "c_mktsegment", ["nation", "balance"], 5)
     return model.predict(_suppliers(spark, d)).select("key", "prediction")
 
 
