@@ -58,28 +58,45 @@ def curve_key(x: np.ndarray, curve: int, scale: float, dims: int = DIMS, bits: i
     return hilbert(np.minimum((unit * (1 << bits)).astype(np.int64), (1 << bits) - 1), bits)
 
 
-def closest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, allowed: np.ndarray, k: int):
-    """For each query the k nearest allowed rows: query index, row index, distance; ties go to the smaller id.
+def closest(queries: np.ndarray, rows: np.ndarray, row_ids: list[np.ndarray], allowed: np.ndarray, k: int):
+    """For each query the k nearest ids among the allowed rows: query index, id, distance; ties go to the smaller id.
 
-    A fast product finds a bound that the k-th distance cannot exceed, the distance
-    itself is the root of the summed squared differences.
+    A row is one vector with the sorted ids that hold it; an id of several rows counts at
+    the nearest. A fast product finds a bound that the k-th distance cannot exceed, the
+    distance itself is the root of the summed squared differences.
     """
     rough = (queries**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2 * queries @ rows.T
     rough[~allowed] = np.inf
+    first, held = np.array([ids[0] for ids in row_ids]), np.array([len(ids) for ids in row_ids])
+    single = (held == 1).all() and len(np.unique(first)) == len(first)
     out_q, out_r, out_d = [], [], []
     for q in range(len(queries)):
         fit = np.isfinite(rough[q])
         have = int(fit.sum())
         if not have:
             continue
-        bound = np.partition(rough[q], k - 1)[k - 1] if have > k else np.inf
-        slack = 1e-9 * (1 + (queries[q] ** 2).sum() + np.abs(bound if np.isfinite(bound) else 0))
-        near = np.flatnonzero(fit & (rough[q] <= bound + slack))
-        d = np.sqrt(((rows[near] - queries[q]) ** 2).sum(1))
-        best = np.lexsort((row_ids[near], d))[:k]
-        out_q.append(np.full(len(best), q))
-        out_r.append(near[best])
-        out_d.append(d[best])
+        take = k
+        while True:
+            bound = np.partition(rough[q], take - 1)[take - 1] if have > take else np.inf
+            slack = 1e-9 * (1 + (queries[q] ** 2).sum() + np.abs(bound if np.isfinite(bound) else 0))
+            near = np.flatnonzero(fit & (rough[q] <= bound + slack))
+            d = np.sqrt(((rows[near] - queries[q]) ** 2).sum(1))
+            best = np.lexsort((first[near], d))[:take]
+            near, d = near[best], d[best]
+            if single:
+                ids = first[near]
+                break
+            ids, d = np.concatenate([row_ids[i] for i in near.tolist()]), np.repeat(d, held[near])
+            order = np.lexsort((ids, d))
+            ids, d = ids[order], d[order]
+            once = np.sort(np.unique(ids, return_index=True)[1])[:k]
+            ids, d = ids[once], d[once]
+            if len(ids) == k or have <= take:
+                break
+            take *= 2  # rows that repeat ids
+        out_q.append(np.full(len(ids), q))
+        out_r.append(ids)
+        out_d.append(d)
     if not out_q:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_d)
@@ -90,11 +107,13 @@ def neighbours(rows: DataFrame, queries, k: int = 10, curves: int = CURVES, shar
                id_column: str = "vec_id") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest rows found for each row where ``queries`` holds.
 
-    ``queries`` is a condition on ``vec_id``. Every row is placed on each curve; a range
-    sort gives its rank there, and a query's window is ``share`` of all rows to each
-    side. A window's blocks of ``block_rows`` ranks meet the query one at a time and
-    return their k best, which merge into the answer. Distances are Euclidean, in double
-    precision on the original vectors.
+    ``queries`` is a condition on ``vec_id``. Equal vectors are one place with its k + 1
+    smallest ids, so copies fill no window and none of the smallest is missed. Every
+    distinct vector is placed on each curve; a range sort gives its rank there, and the
+    window of a vector that is asked for is ``share`` of all distinct vectors to each
+    side. A window's blocks of ``block_rows`` ranks meet it one at a time and return their
+    k + 1 best ids, which merge into the answer for all its queries; each leaves itself
+    out. Distances are Euclidean, in double precision on the original vectors.
 
     On vectors without structure windows must hold a fixed share of the table for a
     given recall, so work grows with queries times rows; with structure a smaller
@@ -103,27 +122,34 @@ def neighbours(rows: DataFrame, queries, k: int = 10, curves: int = CURVES, shar
     nearest counts; vectors compare within one dimension, the most frequent. Fewer rows than k: all of them.
     """
     fine = usable(rows, vector_column, id_column)
-    size = (fine.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.avg(
-        F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).orderBy(F.desc("n"), "dim").first())
     spark = rows.sparkSession
+    smallest = Window.partitionBy("vec").orderBy("vec_id")  # the limit also cuts before the shuffle
+    held = (fine.distinct().withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= k + 1)
+            .groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
+    asking = fine.where(queries).select("vec").distinct().withColumn("asked", F.lit(True))
+    nodes = stored(held.join(asking, "vec", "left").select(
+        "vec", "ids", F.col("asked").isNotNull().alias("asked"), F.monotonically_increasing_id().alias("node")), "vectors")
+    size = (nodes.groupBy(F.size("vec").alias("dim")).agg(F.sum(F.size("ids")).alias("rows"), F.count("*").alias("n"), F.avg(
+        F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).orderBy(F.desc("rows"), "dim").first())
     out_ddl = "query_id long, rank int, vec_id long, score double"
     if size is None:
         return spark.createDataFrame([], out_ddl)
     dim, n, scale = size["dim"], size["n"], max(math.sqrt(size["square"] / size["dim"]), 1e-300)
-    placed = pa.schema([("curve", pa.int32()), ("key", pa.int64()), ("vec_id", pa.int64()), ("vec", pa.list_(pa.float64()))])
+    ddl = "curve int, key long, vec array<double>, ids array<long>, asked boolean, node long"
+    placed = pa.schema([("curve", pa.int32()), ("key", pa.int64()), ("vec", pa.list_(pa.float64())),
+                        ("ids", pa.list_(pa.int64())), ("asked", pa.bool_()), ("node", pa.int64())])
 
     def place(batches):
         for b in batches:
-            x = matrix(b.column(1))
+            x = matrix(b.column(0))
             for c in range(curves):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), c, np.int32)), pa.array(curve_key(x, c, scale, dims, bits)), *b.columns[:2]],
+                    [pa.array(np.full(len(x), c, np.int32)), pa.array(curve_key(x, c, scale, dims, bits)), *b.columns],
                     schema=placed)
 
-    on_curves = fine.where(F.size("vec") == dim).mapInArrow(place, "curve int, key long, vec_id long, vec array<double>")
+    on_curves = nodes.where(F.size("vec") == dim).mapInArrow(place, ddl)
     parts = max(curves, math.ceil(curves * n / (4 * block_rows)))
-    ordered = on_curves.repartitionByRange(parts, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
-    ddl = "curve int, vec_id long, vec array<double>, part int, nth long"
+    ordered = on_curves.repartitionByRange(parts, "curve", "key", "node").sortWithinPartitions("curve", "key", "node")
 
     def number(batches):
         part, seen = TaskContext.get().partitionId(), {}
@@ -136,35 +162,40 @@ def neighbours(rows: DataFrame, queries, k: int = 10, curves: int = CURVES, shar
                 nth[here] = np.arange(start, start + here.sum())
                 seen[c] = start + int(here.sum())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3), pa.array(np.full(len(curve), part, np.int32)), pa.array(nth)],
-                names=["curve", "vec_id", "vec", "part", "nth"])
+                [*b.columns, pa.array(np.full(len(curve), part, np.int32)), pa.array(nth)],
+                names=[*b.schema.names, "part", "nth"])
 
-    numbered = stored(ordered.mapInArrow(number, ddl), "curves")
+    numbered = stored(ordered.mapInArrow(number, f"{ddl}, part int, nth long"), "curves")
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = (numbered.groupBy("curve", "part").agg(F.count("*").alias("n"))
             .select("curve", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
     ranked = (numbered.join(base, ["curve", "part"])
-              .select("curve", (F.col("base") + F.col("nth")).alias("place"), "vec_id", "vec"))
+              .select("curve", (F.col("base") + F.col("nth")).alias("place"), "vec", "ids", "asked", "node"))
     ranked = ranked.withColumn("block", F.floor(F.col("place") / block_rows))
     window = max(k, math.ceil(share * n))
-    asked = ranked.where(queries).select(
-        "curve", "place", "vec_id", "vec",
+    asked = ranked.where("asked").select(
+        "curve", "place", "node", "vec",
         F.explode(F.sequence(F.floor(F.greatest(F.col("place") - window, F.lit(0)) / block_rows),
-                             F.floor(F.least(F.col("place") + window, F.lit(n - 1)) / block_rows)))).toDF("on", "query_place", "query_id", "query", "at")
+                             F.floor(F.least(F.col("place") + window, F.lit(n - 1)) / block_rows)))).toDF("on", "query_place", "query_node", "query", "at")
 
     def meet(key, block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if block.empty or asked.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        rows_, row_ids = np.stack(block["vec"].to_numpy()), block["vec_id"].to_numpy()
-        queries_, query_ids = np.stack(asked["query"].to_numpy()), asked["query_id"].to_numpy()
+            return pd.DataFrame({"node": [], "vec_id": [], "score": []})
         allowed = np.abs(asked["query_place"].to_numpy()[:, None] - block["place"].to_numpy()[None, :]) <= window
-        allowed &= query_ids[:, None] != row_ids[None, :]
-        q, r, d = closest(queries_, query_ids, rows_, row_ids, allowed, k)
-        return pd.DataFrame({"query_id": query_ids[q], "vec_id": row_ids[r], "score": d})
-
-    near = (ranked.groupBy("curve", "block").cogroup(asked.groupBy("on", "at"))
-            .applyInPandas(meet, "query_id long, vec_id long, score double"))
+        q, ids, d = closest(np.stack(asked["query"].to_numpy()), np.stack(block["vec"].to_numpy()), block["ids"].to_list(),
+                            allowed, k + 1)
+        return pd.DataFrame({"node": asked["query_node"].to_numpy()[q], "vec_id": ids, "score": d})
+
+    near = (ranked.select("curve", "place", "block", "vec", "ids").groupBy("curve", "block").cogroup(asked.groupBy("on", "at"))
+            .applyInPandas(meet, "node long, vec_id long, score double"))
+    near = near.groupBy("node", "vec_id").agg(F.min("score").alias("score"))
+    best = Window.partitionBy("node").orderBy("score", "vec_id")
+    near = (near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
+            .groupBy("node").agg(F.collect_list(F.struct("vec_id", "score")).alias("found")))
+    near = near.join(nodes.where("asked").select("node", "vec"), "node").select("vec", "found")
+    out = (fine.where(queries).select(F.col("vec_id").alias("query_id"), "vec").join(near, "vec")
+           .select("query_id", F.inline("found")).where("vec_id <> query_id")
+           .groupBy("query_id", "vec_id").agg(F.min("score").alias("score")))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    return (near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return (out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

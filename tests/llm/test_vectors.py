@@ -106,3 +106,31 @@ def test_few_and_odd_vectors(spark):
     out = hilbert.neighbours(frame, "vec_id % 100 = 0", 10).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in out) == [(0, 1, 1), (0, 2, 2)]
     assert hilbert.neighbours(frame.limit(0), "vec_id % 100 = 0").count() == 0
+
+
+def _recall(out, x, ids, queries):
+    found = 0
+    for q in queries:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = ids[np.lexsort((ids, d))[:10]]
+        found += len({r.vec_id for r in out if r.query_id == ids[q]} & set(want.tolist()))
+    return found / (10 * len(queries))
+
+
+def test_a_vector_of_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2100, 24))
+    x[rng.permutation(2100)[:700]] = x[0]
+    out = hilbert.neighbours(_frame(spark, x), "vec_id % 20 = 0", 10, block_rows=256).collect()
+    assert _recall(out, x, np.arange(2100), range(0, 2100, 20)) >= 0.9
+    hot = [q for q in range(0, 2100, 20) if (x[q] == x[0]).all()]
+    assert _recall(out, x, np.arange(2100), hot) == 1
+
+
+def test_repeated_ids_leave_no_gaps(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(60, 8))
+    out = hilbert.neighbours(_frame(spark, x, [(1, [float(v) for v in x[0] + 1e-3 * i], 0) for i in range(1, 30)]),
+                             "vec_id = 0", 10).collect()
+    assert sorted(r["rank"] for r in out) == list(range(1, 11)) and len({r.vec_id for r in out}) == 10
