@@ -40,7 +40,8 @@ def targets(sizes: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, epoch
 
 
 def mix(docs: DataFrame, size_column: str = "size", id_column: str = "doc_id", source_column: str = "source",
-        weights=(5.0, 2.0, 1.0), share: float = 1.5, epochs: int = 2, seed: str = "mix-1") -> DataFrame:
+        weights=(5.0, 2.0, 1.0), share: float = 1.5, epochs: int = 2, seed: str = "mix-1",
+        row_column: str | None = None) -> DataFrame:
     """How often the mix takes each row: ``doc_id, source, size, source_size, target, times, taken``.
 
     Rows of a source are shuffled by md5 of seed and id. A row's virtual finish time
@@ -53,10 +54,12 @@ def mix(docs: DataFrame, size_column: str = "size", id_column: str = "doc_id", s
     A null source is a source of its own, null or negative sizes count as 0, a null
     id sorts as the empty text, rows that repeat an id are rows of their own. Rows
     of a source without words are never taken. Empty table: empty result.
+    ``row_column``, a key of the row, comes back as the first column if it is named.
     """
+    own = [] if row_column is None else [row_column]
     size = F.greatest(F.coalesce(F.col(size_column), F.lit(0)), F.lit(0)).cast("long")
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_column).cast("string"), F.lit(""))).cast("binary"))
-    rows = checkpoint(docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"),
+    rows = checkpoint(docs.select(*own, F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"),
                                   size.alias("size"), key.alias("key")))
     per_source = checkpoint(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")),
                                     weights, share, epochs))
@@ -69,13 +72,13 @@ def mix(docs: DataFrame, size_column: str = "size", id_column: str = "doc_id", s
     cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     earlier = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("base", F.coalesce(F.sum("cell_size").over(earlier), F.lit(0))).drop("cell_size")
-    inside = Window.partitionBy("source", "cell").orderBy("key", F.col("doc_id"), "size").rowsBetween(
+    inside = Window.partitionBy("source", "cell").orderBy("key", F.col("doc_id"), "size", *own).rowsBetween(
         Window.unboundedPreceding, 0)
     rows = rows.withColumn("inner", F.sum("size").over(inside))
     rows = _same(rows, cells, ["source", "cell"])
     rows = _same(rows, per_source, ["source"])
     rows = rows.withColumn("upto", F.col("base") + F.col("inner"))
-    rows = checkpoint(rows.select("doc_id", "source", "size", "key", "source_size", "target", "upto"))
+    rows = checkpoint(rows.select(*own, "doc_id", "source", "size", "key", "source_size", "target", "upto"))
 
     def finish(epoch):
         return F.when(F.col("target") > 0, (F.col("upto") + epoch * F.col("source_size")) / F.col("target"))
@@ -107,7 +110,7 @@ def mix(docs: DataFrame, size_column: str = "size", id_column: str = "doc_id", s
 
     times = sum((taken(e) for e in range(epochs)), F.lit(0)).cast("int")
     return rows.withColumn("times", times).select(
-        "doc_id", "source", "size", "source_size", "target", "times",
+        *own, "doc_id", "source", "size", "source_size", "target", "times",
         (F.col("times") * F.col("size")).cast("long").alias("taken"))
 
 

@@ -15,13 +15,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.scored(docs, model, score_column="_score").where("_score >= 0.5").drop("_score")
 
 
+def _numbered(docs: DataFrame, what: str) -> DataFrame:
+    """The rows with a key ``_row`` of their own, stored so that every later read sees the same keys."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), what)
+
+
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest id. Rows without an id stay."""
-    named = docs.where("doc_id is not null")
-    first = (simhash.near_duplicates(named, words=3, distance=3).where("doc_id = component_id")
-             .select(F.col("doc_id").alias("_first")).distinct())
-    kept = named.join(first, F.col("doc_id") == F.col("_first")).drop("_first").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of each SimHash group: the one with the smallest id, null ids last. Rows are judged each by itself."""
+    rows = _numbered(docs, "simhash-rows")
+    groups = simhash.near_duplicates(rows.select("_row", "text"), words=3, distance=3, id_column="_row")
+    ranked = (groups.select(F.col("doc_id").alias("_key"), "component_id").join(rows.select("_row", "doc_id"), F.col("_key") == F.col("_row"))
+              .groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")))
+    first = ranked.select(F.col("first._row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +37,11 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: left out, once or twice."""
-    sized = docs.select("doc_id", "source", mixing.word_count("text").alias("_words"))
-    times = mixing.mix(sized, "_words").groupBy("doc_id", "source", "size").agg(F.max("times").alias("_times"))
-    times = times.where("_times > 0").toDF("_id", "_source", "_size", "_times")
-    on = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("source").eqNullSafe(F.col("_source")),
-          mixing.word_count("text") == F.col("_size")]
-    taken = docs.join(times, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    """Documents as often as the mix takes them: left out, once or twice. Each row has its own number of times."""
+    rows = _numbered(docs, "mixing-rows")
+    sized = rows.select("doc_id", "source", mixing.word_count("text").alias("_words"), "_row")
+    times = mixing.mix(sized, "_words", row_column="_row").where("times > 0").select("_row", F.col("times").alias("_times"))
+    taken = rows.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return taken.select(*docs.columns)
 
 

@@ -52,6 +52,32 @@ def test_odd_rows_go_through(spark, sf_dir):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= len(rows)
 
 
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _text(seed):
+    return " ".join(f"{seed}{i}" for i in range(60))
+
+
+def test_one_copy_is_chosen_by_row(spark, sf_dir):
+    rows = [(None, _text("n")), (None, _text("n")), (3, _text("m")), (None, _text("m")), (None, _text("solo")),
+            (5, _text("a")), (5, _text("b")), (7, _text("b")), (8, _text("c")), (8, _text("c"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    out = dict(corpus_pipeline.STAGES)["simhash"](spark, docs, sf_dir)
+    got = sorted(((r.doc_id or 0, r.text) for r in out.collect()))
+    assert out.columns == docs.columns
+    assert got == sorted([(0, _text("n")), (3, _text("m")), (0, _text("solo")), (5, _text("a")), (5, _text("b")), (8, _text("c"))])
+
+
+def test_rows_without_an_id_stay_within_the_budget(spark, sf_dir):
+    rows = [(None if i % 3 else i % 40, "word " * 8, "en", "abc"[i % 3], i) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, sf_dir).collect()
+    assert 1.5 * 600 - 4 <= len(out) <= 1.5 * 600
+    times = [sum(r.n_chars == i for r in out) for i in range(600)]
+    assert set(times) <= {0, 1, 2}
+
+
 def test_whole_pipeline(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0 and "sequence_id" in out.columns
