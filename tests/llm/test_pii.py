@@ -43,6 +43,39 @@ def test_checksums_and_context():
     assert near["score"] > far["score"]
 
 
+def _iban(country, rest):
+    number = int("".join(str(int(c, 36)) for c in rest + country + "00"))
+    return f"{country}{98 - number % 97:02d}{rest}"
+
+
+def _ibans(text):
+    return [text[s["start"]:s["end"]] for s in pii.spans(text) if s["kind"] == "iban"]
+
+
+def test_ibans_among_other_tokens():
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    for text, want in ((f"{de} BIC COBADEFFXXX", [de]), (f"{de} {gb}", [de, gb]), (f"{gb} {de} 42", [gb, de]),
+                       (f"PAY TO {gb} BEFORE FRIDAY", [gb]), (f"AB12 {de} X", [de]), (f"{gb}X {gb[:-1]}", [])):
+        assert _ibans(text) == want, text
+    other = _iban("ZZ", "ABCD1234567890123")
+    assert _ibans(f"see {other}, {other}X") == [other]
+    assert pii.redact(f"{de} BIC X", pii.spans(f"{de} BIC X")) == "[IBAN] BIC X"
+
+
+def test_an_iban_stays_beside_a_card():
+    both = [x for x in (_iban("BE", f"{n:012d}") for n in range(539007547000, 539007547200)) if pii.luhn(x[2:])]
+    assert both
+    for x in both:
+        text = f"to {x} now"
+        assert [s["kind"] for s in pii.spans(text)] == ["iban", "card"]
+        assert pii.redact(text, pii.spans(text)) == "to [IBAN] now"
+
+
+def test_many_iban_heads_take_linear_time():
+    for text in ("AB12 " * 10_000, "DE89 " * 10_000, "AB12 C " * 7_000):
+        pii.spans(text)
+
+
 def test_long_runs_take_linear_time():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1 " * 100_000, "a@" * 150_000, "1 " * 150_000, "A1" * 150_000):
         pii.spans(text)
