@@ -15,6 +15,7 @@ from cohortlens.llm.common import stored
 from cohortlens.llm.vectors import matrix, rotation, usable
 
 CURVES, DIMS, BITS, SHARE = 6, 3, 18, 0.15
+EDGES = 256  # quantiles of a projection that span the grid
 BLOCK_ROWS = 4096
 
 
@@ -50,11 +51,27 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_key(x: np.ndarray, curve: int, scale: float, dims: int = DIMS, bits: int = BITS, seed: int = 23) -> np.ndarray:
-    """Key of each vector on one curve: own random directions, squashed to a grid, moved by an own shift."""
-    y = x @ rotation(x.shape[1], dims, seed + curve) / scale
-    shift = np.random.default_rng(seed * 1000 + curve).uniform(0, 0.5, dims)
-    unit = (0.5 + np.arctan(y) / math.pi) * 0.5 + shift
+def directions(dim: int, curves: int = CURVES, dims: int = DIMS, seed: int = 23) -> np.ndarray:
+    """The random directions of all curves, side by side."""
+    return np.concatenate([rotation(dim, dims, seed + c) for c in range(curves)], axis=1)
+
+
+def project(x: np.ndarray, along: np.ndarray) -> np.ndarray:
+    """Projections that are finite for all finite vectors."""
+    top = np.abs(x).max(axis=1, keepdims=True)
+    with np.errstate(over="ignore"):
+        y = (x / top) @ along * top
+    return np.clip(y, -np.finfo(float).max, np.finfo(float).max)
+
+
+def curve_key(y: np.ndarray, edges: np.ndarray, curve: int, bits: int = BITS, seed: int = 23) -> np.ndarray:
+    """Key of each vector on one curve from its projections: their quantiles as a grid, moved by an own shift."""
+    dims = y.shape[1]
+    unit = np.empty(y.shape)
+    for i in range(dims):
+        at, first = np.unique(edges[i], return_index=True)
+        unit[:, i] = np.interp(y[:, i] / 2, at / 2, (first + 0.5) / edges.shape[1])  # halves: differences stay finite
+    unit = unit * 0.5 + np.random.default_rng(seed * 1000 + curve).uniform(0, 0.5, dims)
     return hilbert(np.minimum((unit * (1 << bits)).astype(np.int64), (1 << bits) - 1), bits)
 
 
@@ -111,7 +128,8 @@ def neighbours(rows: DataFrame, queries, k: int = 10, curves: int = CURVES, shar
     smallest ids, so copies fill no window and none of the smallest is missed. Every
     distinct vector is placed on each curve; a range sort gives its rank there, and the
     window of a vector that is asked for is ``share`` of all distinct vectors to each
-    side. A window's blocks of ``block_rows`` ranks meet it one at a time and return their
+    side. The grid of a curve follows the quantiles of the projections, so it holds about
+    as many vectors everywhere whatever the few largest are. A window's blocks of ``block_rows`` ranks meet it one at a time and return their
     k + 1 best ids, which merge into the answer for all its queries; each leaves itself
     out. Distances are Euclidean, in double precision on the original vectors.
 
@@ -129,25 +147,38 @@ def neighbours(rows: DataFrame, queries, k: int = 10, curves: int = CURVES, shar
     asking = fine.where(queries).select("vec").distinct().withColumn("asked", F.lit(True))
     nodes = stored(held.join(asking, "vec", "left").select(
         "vec", "ids", F.col("asked").isNotNull().alias("asked"), F.monotonically_increasing_id().alias("node")), "vectors")
-    size = (nodes.groupBy(F.size("vec").alias("dim")).agg(F.sum(F.size("ids")).alias("rows"), F.count("*").alias("n"), F.avg(
-        F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).orderBy(F.desc("rows"), "dim").first())
+    size = (nodes.groupBy(F.size("vec").alias("dim")).agg(F.sum(F.size("ids")).alias("rows"), F.count("*").alias("n"))
+            .orderBy(F.desc("rows"), "dim").first())
     out_ddl = "query_id long, rank int, vec_id long, score double"
     if size is None:
         return spark.createDataFrame([], out_ddl)
-    dim, n, scale = size["dim"], size["n"], max(math.sqrt(size["square"] / size["dim"]), 1e-300)
+    dim, n = size["dim"], size["n"]
+    of_dim = nodes.where(F.size("vec") == dim)
+
+    def projected(batches):
+        along = directions(dim, curves, dims)
+        for b in batches:
+            y = project(matrix(b.column(0)), along)
+            yield pa.RecordBatch.from_arrays([pa.array(list(y), pa.list_(pa.float64()))], names=["y"])
+
+    steps = F.array(*[F.lit(i / (EDGES - 1)) for i in range(EDGES)])
+    edges = np.array(of_dim.select("vec").mapInArrow(projected, "y array<double>").agg(*[
+        F.percentile_approx(F.col("y")[i], steps, 10_000) for i in range(curves * dims)]).first())
     ddl = "curve int, key long, vec array<double>, ids array<long>, asked boolean, node long"
     placed = pa.schema([("curve", pa.int32()), ("key", pa.int64()), ("vec", pa.list_(pa.float64())),
                         ("ids", pa.list_(pa.int64())), ("asked", pa.bool_()), ("node", pa.int64())])
 
     def place(batches):
+        along = directions(dim, curves, dims)
         for b in batches:
-            x = matrix(b.column(0))
+            y = project(matrix(b.column(0)), along)
             for c in range(curves):
+                own = slice(c * dims, (c + 1) * dims)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), c, np.int32)), pa.array(curve_key(x, c, scale, dims, bits)), *b.columns],
+                    [pa.array(np.full(len(y), c, np.int32)), pa.array(curve_key(y[:, own], edges[own], c, bits)), *b.columns],
                     schema=placed)
 
-    on_curves = nodes.where(F.size("vec") == dim).mapInArrow(place, ddl)
+    on_curves = of_dim.mapInArrow(place, ddl)
     parts = max(curves, math.ceil(curves * n / (4 * block_rows)))
     ordered = on_curves.repartitionByRange(parts, "curve", "key", "node").sortWithinPartitions("curve", "key", "node")
 

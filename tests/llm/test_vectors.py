@@ -134,3 +134,13 @@ def test_repeated_ids_leave_no_gaps(spark):
     out = hilbert.neighbours(_frame(spark, x, [(1, [float(v) for v in x[0] + 1e-3 * i], 0) for i in range(1, 30)]),
                              "vec_id = 0", 10).collect()
     assert sorted(r["rank"] for r in out) == list(range(1, 11)) and len({r.vec_id for r in out}) == 10
+
+
+def test_a_few_huge_vectors_do_not_flatten_the_grid(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(2000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= 1e12
+    x[8] *= -1e9
+    out = hilbert.neighbours(_frame(spark, x), "vec_id % 20 = 0", 10, block_rows=256).collect()
+    assert _recall(out, x, np.arange(2000), range(0, 2000, 20)) >= 0.9
