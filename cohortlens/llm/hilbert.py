@@ -64,6 +64,13 @@ def project(x: np.ndarray, along: np.ndarray) -> np.ndarray:
     return np.clip(y, -np.finfo(float).max, np.finfo(float).max)
 
 
+def by_dim(batch: pa.RecordBatch):
+    """The rows of a batch by the length of their vector, the first column."""
+    sizes = batch.column(0).value_lengths().to_numpy()
+    for dim in np.unique(sizes).tolist():
+        yield dim, batch.filter(pa.array(sizes == dim))
+
+
 def curve_key(y: np.ndarray, edges: np.ndarray, curve: int, bits: int = BITS, seed: int = 23) -> np.ndarray:
     """Key of each vector on one curve from its projections: their quantiles as a grid, moved by an own shift."""
     dims = y.shape[1]
@@ -137,7 +144,8 @@ def neighbours(rows: DataFrame, queries, k: int = 10, curves: int = CURVES, shar
     given recall, so work grows with queries times rows; with structure a smaller
     ``share`` will do. Vectors that are null, empty, zero or hold null or non-finite
     components take no part, nor do rows without an id; of rows that repeat an id the
-    nearest counts; vectors compare within one dimension, the most frequent. Fewer rows than k: all of them.
+    nearest counts. Vectors compare within their dimension, each with curves, ranks and
+    windows of its own. Fewer rows than k: all of them.
     """
     fine = usable(rows, vector_column, id_column)
     spark = rows.sparkSession
@@ -147,39 +155,45 @@ def neighbours(rows: DataFrame, queries, k: int = 10, curves: int = CURVES, shar
     asking = fine.where(queries).select("vec").distinct().withColumn("asked", F.lit(True))
     nodes = stored(held.join(asking, "vec", "left").select(
         "vec", "ids", F.col("asked").isNotNull().alias("asked"), F.monotonically_increasing_id().alias("node")), "vectors")
-    size = (nodes.groupBy(F.size("vec").alias("dim")).agg(F.sum(F.size("ids")).alias("rows"), F.count("*").alias("n"))
-            .orderBy(F.desc("rows"), "dim").first())
-    out_ddl = "query_id long, rank int, vec_id long, score double"
-    if size is None:
-        return spark.createDataFrame([], out_ddl)
-    dim, n = size["dim"], size["n"]
-    of_dim = nodes.where(F.size("vec") == dim)
 
     def projected(batches):
-        along = directions(dim, curves, dims)
+        along = {}
         for b in batches:
-            y = project(matrix(b.column(0)), along)
-            yield pa.RecordBatch.from_arrays([pa.array(list(y), pa.list_(pa.float64()))], names=["y"])
+            for dim, part in by_dim(b):
+                if dim not in along:
+                    along[dim] = directions(dim, curves, dims)
+                y = project(matrix(part.column(0)), along[dim])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(y), dim, np.int32)), pa.array(list(y), pa.list_(pa.float64()))], names=["dim", "y"])
 
     steps = F.array(*[F.lit(i / (EDGES - 1)) for i in range(EDGES)])
-    edges = np.array(of_dim.select("vec").mapInArrow(projected, "y array<double>").agg(*[
-        F.percentile_approx(F.col("y")[i], steps, 10_000) for i in range(curves * dims)]).first())
-    ddl = "curve int, key long, vec array<double>, ids array<long>, asked boolean, node long"
-    placed = pa.schema([("curve", pa.int32()), ("key", pa.int64()), ("vec", pa.list_(pa.float64())),
+    grid = (nodes.select("vec").mapInArrow(projected, "dim int, y array<double>").groupBy("dim").agg(F.count("*"), *[
+        F.percentile_approx(F.col("y")[i], steps, 10_000) for i in range(curves * dims)]).orderBy("dim").collect())
+    out_ddl = "query_id long, rank int, vec_id long, score double"
+    if not grid:
+        return spark.createDataFrame([], out_ddl)
+    grid = {row[0]: (nth * curves, row[1], np.array(row[2:])) for nth, row in enumerate(grid)}  # first curve, vectors, edges
+    ddl = "curve int, n long, key long, vec array<double>, ids array<long>, asked boolean, node long"
+    placed = pa.schema([("curve", pa.int32()), ("n", pa.int64()), ("key", pa.int64()), ("vec", pa.list_(pa.float64())),
                         ("ids", pa.list_(pa.int64())), ("asked", pa.bool_()), ("node", pa.int64())])
 
     def place(batches):
-        along = directions(dim, curves, dims)
+        along = {}
         for b in batches:
-            y = project(matrix(b.column(0)), along)
-            for c in range(curves):
-                own = slice(c * dims, (c + 1) * dims)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(y), c, np.int32)), pa.array(curve_key(y[:, own], edges[own], c, bits)), *b.columns],
-                    schema=placed)
-
-    on_curves = of_dim.mapInArrow(place, ddl)
-    parts = max(curves, math.ceil(curves * n / (4 * block_rows)))
+            for dim, part in by_dim(b):
+                if dim not in along:
+                    along[dim] = directions(dim, curves, dims)
+                y = project(matrix(part.column(0)), along[dim])
+                first, n, edges = grid[dim]
+                for c in range(curves):
+                    own = slice(c * dims, (c + 1) * dims)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(y), first + c, np.int32)), pa.array(np.full(len(y), n)),
+                         pa.array(curve_key(y[:, own], edges[own], c, bits)), *part.columns], schema=placed)
+
+    on_curves = nodes.mapInArrow(place, ddl)
+    total = sum(n for _, n, _ in grid.values())
+    parts = max(curves, math.ceil(curves * total / (4 * block_rows)))
     ordered = on_curves.repartitionByRange(parts, "curve", "key", "node").sortWithinPartitions("curve", "key", "node")
 
     def number(batches):
@@ -198,21 +212,22 @@ def neighbours(rows: DataFrame, queries, k: int = 10, curves: int = CURVES, shar
 
     numbered = stored(ordered.mapInArrow(number, f"{ddl}, part int, nth long"), "curves")
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = (numbered.groupBy("curve", "part").agg(F.count("*").alias("n"))
-            .select("curve", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
+    base = (numbered.groupBy("curve", "part").agg(F.count("*").alias("here"))
+            .select("curve", "part", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("base")))
     ranked = (numbered.join(base, ["curve", "part"])
-              .select("curve", (F.col("base") + F.col("nth")).alias("place"), "vec", "ids", "asked", "node"))
+              .select("curve", (F.col("base") + F.col("nth")).alias("place"), "n", "vec", "ids", "asked", "node"))
     ranked = ranked.withColumn("block", F.floor(F.col("place") / block_rows))
-    window = max(k, math.ceil(share * n))
+    window = F.greatest(F.lit(k), F.ceil(F.lit(share) * F.col("n")))
     asked = ranked.where("asked").select(
-        "curve", "place", "node", "vec",
+        "curve", "place", window.alias("window"), "node", "vec",
         F.explode(F.sequence(F.floor(F.greatest(F.col("place") - window, F.lit(0)) / block_rows),
-                             F.floor(F.least(F.col("place") + window, F.lit(n - 1)) / block_rows)))).toDF("on", "query_place", "query_node", "query", "at")
+                             F.floor(F.least(F.col("place") + window, F.col("n") - 1) / block_rows)))).toDF("on", "query_place", "window", "query_node", "query", "at")
 
     def meet(key, block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if block.empty or asked.empty:
             return pd.DataFrame({"node": [], "vec_id": [], "score": []})
-        allowed = np.abs(asked["query_place"].to_numpy()[:, None] - block["place"].to_numpy()[None, :]) <= window
+        allowed = np.abs(asked["query_place"].to_numpy()[:, None] - block["place"].to_numpy()[None, :])
+        allowed = allowed <= asked["window"].to_numpy()[:, None]
         q, ids, d = closest(np.stack(asked["query"].to_numpy()), np.stack(block["vec"].to_numpy()), block["ids"].to_list(),
                             allowed, k + 1)
         return pd.DataFrame({"node": asked["query_node"].to_numpy()[q], "vec_id": ids, "score": d})

@@ -144,3 +144,13 @@ def test_a_few_huge_vectors_do_not_flatten_the_grid(spark):
     x[8] *= -1e9
     out = hilbert.neighbours(_frame(spark, x), "vec_id % 20 = 0", 10, block_rows=256).collect()
     assert _recall(out, x, np.arange(2000), range(0, 2000, 20)) >= 0.9
+
+
+def test_every_dimension_is_searched(spark):
+    rng = np.random.default_rng(13)
+    x, y = rng.normal(size=(1200, 24)), rng.normal(size=(600, 16))
+    extra = [(5000 + i, [float(v) for v in r], 0) for i, r in enumerate(y)] + [(9000, [1.0], 0), (9001, [3.0], 0)]
+    out = hilbert.neighbours(_frame(spark, x, extra), "vec_id % 20 = 0", 10, block_rows=256).collect()
+    assert _recall(out, x, np.arange(1200), range(0, 1200, 20)) >= 0.9
+    assert _recall(out, y, 5000 + np.arange(600), range(0, 600, 20)) >= 0.9
+    assert [(r.vec_id, r.score) for r in out if r.query_id == 9000] == [(9001, 2.0)]
