@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import ctw, hilbert, langid, lattice, mixing, packing, pii, quality, rlz, simhash
+from cohortlens.llm import bestfit, crosstok, ctw, fim, hilbert, langid, lattice, mixing, packing, pii, quality, rlz, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,27 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at two line ends and rearranged, and the text rebuilt from that."""
+    rows = fim.restored(fim.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+    def digest(column):
+        return F.sha2(F.col(column).cast("binary"), 256).alias(f"{column}_sha256")
+
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def op12_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizers over all documents."""
+    found = crosstok.align(_table(spark, sf_dir, "documents"), digest=True).documents
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in as few sequences of 2048 tokens as found, cut only where longer."""
+    return bestfit.packed(_table(spark, sf_dir, "documents"))
+
+
 _SIZED = "SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents"
 
 OP9_SQL = f"""
@@ -115,5 +136,19 @@ SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, least
  v.vec_id = least(v.vec_id, min(r.other)) AS kept
 FROM v LEFT JOIN r ON r.id = v.vec_id GROUP BY v.vec_id"""
 
-QUERIES = {"op1_ctw": op1_ctw, "op2_pii": op2_pii, "op3_rlz": op3_rlz, "op4_lattice": op4_lattice, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op8_hilbert": op8_hilbert, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
-ORACLES = {"op3_rlz": OP3_SQL, "op4_lattice": OP4_SQL, "op9_mixing": OP9_SQL}
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+  sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT *, CAST(len(u) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(x, i, 8))::BIGINT) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS c1, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS c2,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain'
+   WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, coalesce(array_to_string(u[1:c1], ''), '') AS a, coalesce(array_to_string(u[c1 + 1:c2], ''), '') AS m,
+  coalesce(array_to_string(u[c2 + 1:n], ''), '') AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars,
+ CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m
+  ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+QUERIES = {"op1_ctw": op1_ctw, "op2_pii": op2_pii, "op3_rlz": op3_rlz, "op4_lattice": op4_lattice, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op8_hilbert": op8_hilbert, "op9_mixing": op9_mixing, "op10_langid": op10_langid, "op11_fim": op11_fim, "op12_crosstok": op12_crosstok, "op13_bestfit": op13_bestfit}
+ORACLES = {"op3_rlz": OP3_SQL, "op4_lattice": OP4_SQL, "op9_mixing": OP9_SQL, "op11_fim": OP11_SQL}
