@@ -102,6 +102,12 @@ def nominal_histogram(
         groups = counts.select(*grouping).distinct() if grouping else df.sparkSession.range(1).select()
         zeros = groups.select(*grouping, declared, F.lit(0).cast("bigint").alias("n"))
         counts = counts.unionByName(zeros)
+    return finish_categories(counts, grouping)
+
+
+def finish_categories(counts: DataFrame, grouping=()) -> DataFrame:
+    """Series per group and overall from category counts, any number of rows to a group and category."""
+    grouping = list(grouping)
     merged = with_overall(counts, grouping, ["variable", "value"], [F.sum("n").alias("n")])
     return merged.select(
         *group_labels(grouping, F.col("_all")), "variable",
@@ -109,12 +115,16 @@ def nominal_histogram(
     )
 
 
+def series_columns(df: DataFrame, grouping=(), covariables=()) -> list:
+    return list(dict.fromkeys([*grouping, *nominal_columns(df, list(covariables))]))
+
+
 def histogram(
     df: DataFrame, variable: str, grouping=(), bins: int = BINS, drop_max: bool = False,
     categories: dict | None = None, covariables=(),
 ) -> DataFrame:
     """Histogram of one variable; grouping columns and nominal covariables make the series."""
-    by = list(dict.fromkeys([*grouping, *nominal_columns(df, list(covariables))]))
+    by = series_columns(df, grouping, covariables)
     if numeric_columns(df, [variable]):
         return numeric_histogram(df, [variable], by, bins, drop_max)
     return nominal_histogram(df, [variable], by, categories)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.names import complete_rows
-from cohortlens.session import checkpoint_dir
+from cohortlens.session import checkpoint_dir, small_rows
 
 
 def nearest_centre(columns: list, centres: list) -> Column:
@@ -66,6 +67,46 @@ def lloyd(df: DataFrame, columns: list, centres: list, steps: int = 20, by=()) -
     return KMeansModel(list(columns), centres)
 
 
+def seed_centres(
+    df: DataFrame, columns: list, n_clusters: int, by=(), seed: int = 17, rounds: int = 5,
+) -> list:
+    """Starting centres by oversampling, for tables of any size and any number of datasets.
+
+    In each round every distinct row becomes a candidate with a chance in proportion to its squared distance from
+    the candidates so far, about two per cluster in all; a hash of the row decides, so the choice does
+    not depend on the table's layout. Each candidate then counts the rows nearest to it, dataset by
+    dataset, and the few weighted candidates are thinned out to the centres on the driver, the farthest
+    by weighted squared distance first. Fewer distinct rows than clusters give fewer centres.
+    """
+    xs = [F.col(f"`{c}`").cast("double") for c in columns]
+    rows = complete_rows(df.select(*by, *[x.alias(f"_x{i}") for i, x in enumerate(xs)]), [f"_x{i}" for i in range(len(xs))])
+    names = [f"_x{i}" for i in range(len(xs))]
+    hashed = F.xxhash64(F.lit(seed), *names)
+    first = rows.select(*names, hashed.alias("_h")).orderBy("_h", *names).limit(1).collect()
+    if not first:
+        raise ValueError("no complete rows")
+    found = [[float(v) for v in first[0][:len(names)]]]
+    wanted = 2 * n_clusters
+    for r in range(rounds):
+        near = rows.withColumn("_d2", nearest_centre(names, found)["d2"])
+        total = sum(x["d2"] for x in near.groupBy(*by).agg(F.sum("_d2").alias("d2")).collect())  # one number a dataset
+        if not total > 0:
+            break
+        chance = F.pmod(F.xxhash64(F.lit(seed + 1 + r), *names), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        chosen = near.filter(chance * F.lit(total) < F.lit(float(wanted)) * F.col("_d2")).select(*names).distinct()
+        found += [[float(v) for v in x] for x in small_rows(chosen.orderBy(*names), 100 * wanted, "candidates")]
+    weights = [0] * len(found)
+    for x in rows.groupBy(*by, nearest_centre(names, found)["cluster"].alias("_c")).agg(F.count(F.lit(1)).alias("n")).collect():
+        weights[x["_c"]] += x["n"]
+    points, weight = np.array(found), np.array(weights, float)
+    centres = [int(np.argmax(weight))]
+    d2 = ((points - points[centres[0]]) ** 2).sum(axis=1)
+    while len(centres) < n_clusters and (d2 * weight).max() > 0:
+        centres.append(int(np.argmax(d2 * weight)))
+        d2 = np.minimum(d2, ((points - points[centres[-1]]) ** 2).sum(axis=1))
+    return points[centres].tolist()
+
+
 def kmeans(df: DataFrame, columns: list, n_clusters: int = 3, seed: int = 17, max_iter: int = 20) -> KMeansModel:
     checkpoint_dir(df.sparkSession)
     numeric = complete_rows(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]))

@@ -4,7 +4,8 @@ A state is (n, nulls, mean, m2, min, max) with m2 the sum of squared deviations
 from the state's own mean. Each group is centred on itself, so groups far apart
 do not spoil each other. States of a variable merge by adding n and m2 and what
 the means lie apart; the same rows serve per-group, per-dataset, per-fold and
-per-batch results.
+per-batch results. With ``sketches`` a state also holds a rank sketch and the number of NaN values,
+so that merged states have quartiles.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.names import finite
 from cohortlens.operators.levels import expand_levels
+from cohortlens.operators.sketches import merged_sketch, sketch_column
 
 COLUMNS_PER_PASS = 60
 STATE_COLUMNS = ("variable", "n", "nulls", "mean", "m2", "min", "max")
+SKETCH_COLUMNS = ("nans", "sketch")
 
 
 def anchors(df: DataFrame, variables: list) -> dict:
@@ -25,14 +28,14 @@ def anchors(df: DataFrame, variables: list) -> dict:
     return {v: x if x is not None else 0.0 for v, x in zip(variables, found)}
 
 
-def moment_states(df: DataFrame, variables: list, by=()) -> DataFrame:
+def moment_states(df: DataFrame, variables: list, by=(), sketches: bool = False) -> DataFrame:
     """One state row per variable and ``by`` group.
 
     All variables share a scan: one wide aggregate, turned long after it has
     shrunk to one row per group. Very wide tables go in column batches.
     """
     variables, by = list(variables), list(by)
-    if clash := sorted(set(by) & set(STATE_COLUMNS)):
+    if clash := sorted(set(by) & {*STATE_COLUMNS, *SKETCH_COLUMNS}):
         raise ValueError(f"rename the grouping columns {', '.join(clash)}: states use these names themselves")
     low, batches = anchors(df, variables), []
     for at in range(0, len(variables), COLUMNS_PER_PASS):
@@ -45,6 +48,10 @@ def moment_states(df: DataFrame, variables: list, by=()) -> DataFrame:
                 F.count(x).alias(f"_n{i}"), F.avg(off).alias(f"_m{i}"), F.var_pop(off).alias(f"_v{i}"),
                 F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}"),
             ]
+            ranks = []
+            if sketches:
+                aggs += [F.count_if(F.isnan(x)).alias(f"_nan{i}"), sketch_column(x).alias(f"_s{i}")]
+                ranks = [F.col(f"_nan{i}").alias("nans"), F.col(f"_s{i}").alias("sketch")]
             rows.append(F.struct(
                 F.lit(v).alias("variable"),
                 F.col(f"_n{i}").alias("n"),
@@ -53,6 +60,7 @@ def moment_states(df: DataFrame, variables: list, by=()) -> DataFrame:
                 F.coalesce(F.col(f"_v{i}") * F.col(f"_n{i}"), F.lit(0.0)).alias("m2"),
                 F.col(f"_lo{i}").alias("min"),
                 F.col(f"_hi{i}").alias("max"),
+                *ranks,
             ))
         wide = df.groupBy(*by).agg(*aggs)
         batches.append(wide.select(*by, F.inline(F.array(*rows))))
@@ -76,10 +84,11 @@ def merge_moments(states: DataFrame, by=()) -> DataFrame:
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     apart = F.col("mean") - F.col("_mean")
+    ranks = [F.sum("nans").alias("nans"), merged_sketch().alias("sketch")] if "sketch" in states.columns else []
     return states.join(centre, same).groupBy(*keys).agg(
         F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), F.first("_mean").alias("mean"),
         F.sum(F.col("m2") + F.coalesce(F.col("n") * apart * apart, F.lit(0.0))).alias("m2"),
-        F.min("min").alias("min"), F.max("max").alias("max"),
+        F.min("min").alias("min"), F.max("max").alias("max"), *ranks,
     )
 
 

@@ -9,6 +9,7 @@ from cohortlens.functions.names import logical_type, name_at, nominal_columns, n
 from cohortlens.operators.levels import with_overall
 from cohortlens.operators.moments import merged_levels, moment_columns, moment_states
 from cohortlens.operators.quantiles import DIRECT_ROWS, exact_percentiles
+from cohortlens.operators.sketches import sketch_quantiles
 from cohortlens.session import checkpoint
 
 PROBS = [0.25, 0.5, 0.75]
@@ -40,23 +41,38 @@ def numeric_summary(
     df = df.select(*dict.fromkeys([*grouping, *variables]))
     # one row per group and variable; read several times below
     states = checkpoint(moment_states(df, variables, grouping))
-    merged = checkpoint(merged_levels(states, grouping))  # the percentiles read it again
+    return summary_of_states(states, grouping, df if percentiles else None, variables, direct_rows)
+
+
+def summary_of_states(
+    states: DataFrame, grouping=(), df: DataFrame | None = None, variables=(), direct_rows: int = DIRECT_ROWS,
+) -> DataFrame:
+    """Rows of ``numeric_summary`` from moment states of the groups, any number of states to a group.
+
+    With the rows ``df`` at hand the percentiles are exact: the merged states give counts and edges, a
+    second pass the values. Without them they come from the states' sketches, within ``rank_error``;
+    states without sketches have none.
+    """
+    grouping = list(grouping)
+    merged = merged_levels(states, grouping)
+    if df is not None:
+        merged = checkpoint(merged)  # the percentiles read it again
     m = moment_columns()
     out = merged.select(
         *grouping, "_all", F.col("variable").alias("index"),
         F.col("n").alias("count"), F.col("nulls").alias("null_count"),
         m["mean"].alias("mean"), m["std"].alias("std"), m["EX^2"].alias("EX^2"), "min", "max",
+        *([] if df is not None else
+          [(sketch_quantiles(PROBS) if "sketch" in merged.columns else F.lit(None).cast("array<double>")).alias("q")]),
     )
-    if percentiles:
+    if df is not None:
         levels = [*grouping, "_all"]
-        found = exact_percentiles(df, variables, grouping, PROBS, merged, direct_rows)
+        found = exact_percentiles(df, list(variables), grouping, PROBS, merged, direct_rows)
         q = found.select(*[F.col(g).alias(f"_p_{g}") for g in levels], F.col("variable").alias("_p_v"), "q")
         cond = F.col("index") == F.col("_p_v")
         for g in levels:
             cond = cond & F.col(g).eqNullSafe(F.col(f"_p_{g}"))
         out = out.join(q, cond, "left")
-    else:
-        out = out.withColumn("q", F.lit(None).cast("array<double>"))
     return out.select(
         *group_labels(grouping, F.col("_all")), "index", "count", "null_count",
         F.lit(None).cast("bigint").alias("unique"), F.lit(None).cast("string").alias("top"),
@@ -77,10 +93,13 @@ def value_counts(df: DataFrame, variables: list, by=()) -> DataFrame:
 
 def nominal_summary(df: DataFrame, variables: list, grouping=()) -> DataFrame:
     """Counts, number of categories and the most frequent one (ties: the smallest)."""
+    return summary_of_counts(value_counts(df, variables, grouping), grouping)
+
+
+def summary_of_counts(counts: DataFrame, grouping=()) -> DataFrame:
+    """Rows of ``nominal_summary`` from value counts of the groups, any number of rows to a group and value."""
     grouping = list(grouping)
-    counts = with_overall(
-        value_counts(df, variables, grouping), grouping, ["variable", "value"], [F.sum("n").alias("n")]
-    )
+    counts = with_overall(counts, grouping, ["variable", "value"], [F.sum("n").alias("n")])
     seen = F.col("value").isNotNull()
     order = F.when(seen, F.struct(-F.col("n"), F.col("value")))
     out = counts.groupBy(*grouping, "_all", "variable").agg(
@@ -109,6 +128,11 @@ def summary_statistics(
         parts.append(numeric_summary(df, numeric, grouping, direct_rows))
     if nominal:
         parts.append(nominal_summary(df, nominal, grouping))
+    return described(parts, df, variables, labels, types)
+
+
+def described(parts: list, df: DataFrame, variables: list, labels: dict | None = None, types: dict | None = None) -> DataFrame:
+    """Numeric and nominal rows together, with the variables' labels and types. Of ``df`` only the schema is used."""
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     kinds = {"int": "integer", "numeric": "real", "char": "polynominal", "varchar": "polynominal"}
     type_of = {v: (types or {}).get(v) or kinds[logical_type(df.schema[v])] for v in variables}

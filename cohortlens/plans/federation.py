@@ -7,16 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.names import is_nominal
+from cohortlens.functions.names import is_nominal, nominal_columns, numeric_columns
 from cohortlens.operators import gram as G
 from cohortlens.operators.gram import nominal_levels
-from cohortlens.operators.histogram import BINS, bin_counts, finish_bins, numeric_ranges
-from cohortlens.operators.kmeans import kmeans_states, kmeans_step
+from cohortlens.operators.histogram import BINS, bin_counts, finish_bins, finish_categories, numeric_ranges
+from cohortlens.operators.kmeans import KMeansModel, kmeans_states, kmeans_step, lloyd, seed_centres
 from cohortlens.operators.knn import knn_fit, merge_near, neighbours, vote
 from cohortlens.operators.moments import merge_moments, moment_columns, moment_states
 from cohortlens.operators.pca import PCAModel, pca_from_state
 from cohortlens.operators.regression import TERM_SCHEMA, least_squares, term_rows
-from cohortlens.operators.summary import value_counts
+from cohortlens.operators.sketches import sketch_quantiles
+from cohortlens.operators.summary import PROBS, described, summary_of_counts, summary_of_states, value_counts
+from cohortlens.session import checkpoint
 
 
 def scatter_gather(run: Callable, df: DataFrame, dataset_column: str, datasets: list) -> DataFrame:
@@ -49,31 +51,85 @@ def compound(results: DataFrame) -> DataFrame:
 
 
 def partial_summary(df: DataFrame, variables: list, by: str) -> DataFrame:
-    """Moment states per dataset. Percentiles do not merge, so they are not part of a state."""
-    return moment_states(df, variables, [by])
+    """Moment states per dataset, each with a rank sketch for the quartiles."""
+    return moment_states(df, variables, [by], sketches=True)
 
 
 def merge_summary(states: DataFrame, by=()) -> DataFrame:
-    m = moment_columns()
-    return merge_moments(states, by).select(
+    """Summary from the states of any number of datasets or batches.
+
+    Quartiles come from the merged sketches, within ``sketches.rank_error``; states without sketches give none.
+    """
+    m, merged = moment_columns(), merge_moments(states, by)
+    q = sketch_quantiles(PROBS) if "sketch" in merged.columns else F.lit(None).cast("array<double>")
+    found = merged.select(
         *by, "variable", F.col("n").alias("count"), F.col("nulls").alias("null_count"),
-        m["mean"].alias("mean"), m["std"].alias("std"), m["EX^2"].alias("EX^2"), "min", "max",
+        m["mean"].alias("mean"), m["std"].alias("std"), m["EX^2"].alias("EX^2"), "min", "max", q.alias("_q"),
     )
+    return found.select(
+        "*", *[F.get("_q", F.lit(i)).alias(f"{100 * p:.0f}%") for i, p in enumerate(PROBS)]).drop("_q")
+
+
+def partial_statistics(df: DataFrame, variables: list, by: str, grouping=(), sketches: bool = True) -> tuple:
+    """(moment states, value counts) per dataset and group, for numeric and nominal variables; None without such."""
+    keys = list(dict.fromkeys([by, *grouping]))
+    numeric, nominal = numeric_columns(df, variables), nominal_columns(df, variables)
+    return (moment_states(df, numeric, keys, sketches) if numeric else None,
+            value_counts(df, nominal, keys) if nominal else None)
+
+
+def merge_statistics(states: tuple, df: DataFrame, variables: list, grouping=(), rows: bool = True) -> DataFrame:
+    """Summary statistics in the layout of ``summary_statistics`` from the partial states.
+
+    With ``rows`` the percentiles are exact, by a second pass over ``df``; else only its schema is read, and
+    they come from the sketches.
+    """
+    moments, counts = states
+    parts = []
+    if moments is not None:
+        numeric = numeric_columns(df, variables)
+        kept = df.select(*dict.fromkeys([*grouping, *numeric])) if rows else None
+        parts.append(summary_of_states(moments, grouping, kept, numeric))
+    if counts is not None:
+        parts.append(summary_of_counts(counts, grouping))
+    return described(parts, df, variables)
 
 
 def merge_value_counts(states: DataFrame, by=()) -> DataFrame:
     return states.groupBy(*by, "variable", "value").agg(F.sum("n").alias("n"))
 
 
-def partial_histogram(df: DataFrame, variables: list, by: str, ranges: dict | None = None, bins: int = BINS) -> tuple:
-    """(bin counts per dataset, the common bin ranges)."""
+def partial_histogram(
+    df: DataFrame, variables: list, by: str, ranges: dict | None = None, bins: int = BINS, grouping=(),
+) -> tuple:
+    """(bin counts per dataset and group, the common bin ranges)."""
     ranges = ranges or numeric_ranges(df, variables)
-    return bin_counts(df, ranges, [by], bins), ranges
+    if not ranges:
+        raise ValueError(f"no values in {', '.join(variables)}")
+    return bin_counts(df, ranges, list(dict.fromkeys([by, *grouping])), bins), ranges
 
 
-def merge_histogram(states: DataFrame, ranges: dict, bins: int = BINS) -> DataFrame:
-    merged = states.groupBy("variable", "bin").agg(F.sum("n").alias("n"))
-    return finish_bins(merged, ranges, (), bins)
+def merge_histogram(states: DataFrame, ranges: dict, bins: int = BINS, grouping=()) -> DataFrame:
+    merged = states.groupBy(*grouping, "variable", "bin").agg(F.sum("n").alias("n"))
+    return finish_bins(merged, ranges, grouping, bins)
+
+
+def partial_categories(df: DataFrame, variables: list, by: str, grouping=()) -> DataFrame:
+    """Category counts per dataset and group."""
+    return value_counts(df, variables, list(dict.fromkeys([by, *grouping]))).filter(F.col("value").isNotNull())
+
+
+def merge_categories(states: DataFrame, grouping=()) -> DataFrame:
+    return finish_categories(states, grouping)
+
+
+def merged_kmeans(df: DataFrame, columns: list, by: str, n_clusters: int = 3, steps: int = 20) -> KMeansModel:
+    """Clusters over all datasets: seeding and every Lloyd step add up one state per dataset and cluster.
+
+    Only centres travel to the datasets, and counts and sums back.
+    """
+    rows = checkpoint(df.select(by, *columns).dropna(subset=columns))
+    return lloyd(rows, columns, seed_centres(rows, columns, n_clusters, by=[by]), steps, [by])
 
 
 def partial_gram(df: DataFrame, columns: list, by: str) -> tuple:

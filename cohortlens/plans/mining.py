@@ -11,8 +11,11 @@ from cohortlens.functions.names import is_nominal, resolve
 from cohortlens.model import FeatureTable, FilterRule, MiningQuery
 from cohortlens.operators.counts import datasets_used, require_rows
 from cohortlens.operators.filters import apply_filters, filter_datasets, filter_nulls, select_features
-from cohortlens.plans.federation import merge_state, partial_state
-from cohortlens.plans.registry import Task, algorithm, parameters_of
+from cohortlens.operators.histogram import series_columns
+from cohortlens.plans.federation import (
+    merge_categories, merge_state, merge_statistics, merged_kmeans, partial_categories, partial_state, partial_statistics,
+)
+from cohortlens.plans.registry import Task, algorithm, kmeans_result, parameters_of
 from cohortlens.session import small_rows
 from cohortlens.sources.tables import Catalog, open_table
 
@@ -121,15 +124,24 @@ def run_mining(spark: SparkSession, catalog: Catalog, query: MiningQuery) -> Min
 def merged_plan(code: str, task: Task, by: str) -> DataFrame | None:
     """The result by way of one state per dataset, for algorithms whose states hold all of it; else None."""
     columns = [*task.variables, *task.covariables]
+    if code == "statisticsSummary":
+        states = partial_statistics(task.df, columns, by, task.grouping, sketches=False)  # the rows are here: exact percentiles
+        return merge_statistics(states, task.df, columns, task.grouping)
     if code == "linearRegression" and not is_nominal(task.df, task.target):
         states, names = partial_state(code, task.df, [task.target, *task.inputs], by)
         return merge_state(code, states, names=names, target=task.target)
-    if code == "histograms" and not task.inputs and not is_nominal(task.df, task.target):
-        states, ranges = partial_state(code, task.df, [task.target], by, bins=task.parameters["bins"])
-        return merge_state(code, states, ranges=ranges, bins=task.parameters["bins"])
+    if code == "histograms":
+        grouping = series_columns(task.df, task.grouping, task.covariables)
+        if is_nominal(task.df, task.target):
+            return merge_categories(partial_categories(task.df, [task.target], by, grouping), grouping)
+        states, ranges = partial_state(code, task.df, [task.target], by, bins=task.parameters["bins"], grouping=grouping)
+        return merge_state(code, states, ranges=ranges, bins=task.parameters["bins"], grouping=grouping)
     if code == "pca" and task.parameters["result"] == "components":
         states, names = partial_state(code, task.df, columns, by)
         return merge_state(code, states, names=names, k=int(task.parameters["k"])).components(task.df.sparkSession)
+    if code == "kmeans":
+        model = merged_kmeans(task.df, columns, by, int(task.parameters["n_clusters"]))
+        return kmeans_result(model, task)
     return None
 
 

@@ -173,10 +173,13 @@ def _pca(task: Task) -> DataFrame:
 
 
 def _kmeans(task: Task) -> DataFrame:
-    """Centres with their rows and spread, or the cluster of each row."""
-    result = _choice(task, "result", ("centres", "assignments"))
     columns = [*task.variables, *task.covariables]
-    model = kmeans(task.df, columns, int(task.parameters["n_clusters"]))
+    return kmeans_result(kmeans(task.df, columns, int(task.parameters["n_clusters"])), task)
+
+
+def kmeans_result(model, task: Task) -> DataFrame:
+    """The centres, or the cluster of each row."""
+    result, columns = _choice(task, "result", ("centres", "assignments")), model.columns
     if result == "assignments":
         return model.predict(task.df).select(*([task.key] if task.key else columns), "cluster")
     return model.centre_rows(task.df.sparkSession)
@@ -205,7 +208,7 @@ register_algorithm(
     all_variables=True,
 )
 register_algorithm(
-    "knn", fit=lambda df, y, xs, key, k=5: knn_fit(df, key, y, xs, k), predictive=True, mergeable=True,
+    "knn", fit=lambda df, y, xs, key, k=5: knn_fit(df, key, y, xs, k), predictive=True,
     defaults={"k": 5},
 )
 register_algorithm(

@@ -20,7 +20,7 @@ def stream_states(
     stream: DataFrame, path: str, variables: list, by=(), ranges: dict | None = None, bins: int = BINS,
     checkpoint_location: str | None = None, once: bool = True,
 ) -> StreamingQuery:
-    """Write the moment states (and bin counts for given ``ranges``) of each micro-batch.
+    """Write the moment states with rank sketches (and bin counts for given ``ranges``) of each micro-batch.
 
     A batch owns one folder and replaces it, so a replayed batch does not count
     twice. Readers merge the folders.
@@ -30,7 +30,7 @@ def stream_states(
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            states = moment_states(batch, variables, by)
+            states = moment_states(batch, variables, by, sketches=True)
             states.write.mode("overwrite").parquet(_batch_path(path, "moments", batch_id))
             if ranges:
                 bin_counts(batch, ranges, by, bins).write.mode("overwrite").parquet(
@@ -44,62 +44,71 @@ def stream_states(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def _merged_batches(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """The newest merged states and the batches after them; folders before are pruned."""
-    batches = spark.read.parquet(f"{path.rstrip('/')}/{kind}")
-    upto = _merged_upto(spark, path, kind)
-    if upto is None:
-        return batches.drop("batch")
-    merged = spark.read.parquet(f"{path.rstrip('/')}/{kind}-merged").filter(F.col("upto") == upto)
-    return merged.drop("upto").unionByName(batches.filter(F.col("batch") > upto).drop("batch"))
+def _files(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
 
-def _merged_upto(spark: SparkSession, path: str, kind: str) -> int | None:
-    """Number of the last batch that merged states hold."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{kind}-merged")
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+def _finished(spark: SparkSession, path: str, name: str) -> dict[int, str]:
+    """number -> folder of the ``name=number`` folders whose writing came to an end."""
+    files, folder = _files(spark, path)
     if not files.exists(folder):
-        return None
-    names = [f.getPath().getName() for f in files.listStatus(folder)]
-    return max((int(n.removeprefix("upto=")) for n in names if n.startswith("upto=")), default=None)
+        return {}
+    found = {}
+    for status in files.listStatus(folder):
+        key, _, number = status.getPath().getName().partition("=")
+        if key == name and files.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found[int(number)] = status.getPath().toString()
+    return found
+
+
+def _in_use(spark: SparkSession, path: str, kind: str, last: int | None = None) -> tuple:
+    """(the newest finished merged set, the finished batches behind it) as number -> folder; up to ``last``."""
+    base = f"{path.rstrip('/')}/{kind}"
+    merged = _finished(spark, f"{base}-merged", "upto")
+    newest = {max(merged): merged[max(merged)]} if merged else {}
+    batches = _finished(spark, base, "batch")
+    return newest, {n: f for n, f in sorted(batches.items()) if n > max(newest, default=-1) and (last is None or n <= last)}
+
+
+def _merged_batches(spark: SparkSession, path: str, kind: str, last: int | None = None) -> DataFrame:
+    """The newest merged states and the batches after them. Folders that a run left unfinished are not read."""
+    newest, batches = _in_use(spark, path, kind, last)
+    if not newest and not batches:
+        raise ValueError(f"no finished batch of {kind} in {path}")
+    return spark.read.parquet(*newest.values(), *batches.values())
 
 
 def compact_states(spark: SparkSession, path: str, by=()) -> None:
     """Merge all batches but the newest, which a restart may write again, into one set of states.
 
-    Readers go from the merged states, so what they read no longer grows with the
-    number of batches. The merged set is a folder of its own: a failed run leaves
-    the old one in use.
+    Readers go from the merged states, so what they read no longer grows with the number of batches. The
+    merged set is a folder of its own and counts once it is finished: a run that dies at any point leaves
+    the old one in use. What the set before this one had replaced is deleted, so that a reader who began with
+    that set still finds its files.
     """
     for kind in ("moments", "bins"):
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{kind}")
-        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not files.exists(folder):
+        base = f"{path.rstrip('/')}/{kind}"
+        newest, batches = _in_use(spark, path, kind)
+        done = sorted(batches)[:-1]
+        if not done:
             continue
-        names = [f.getPath().getName() for f in files.listStatus(folder)]
-        done = sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))[:-1]
-        upto = _merged_upto(spark, path, kind)
-        if not done or (upto is not None and done[-1] <= upto):
-            continue
-        rows = spark.read.parquet(f"{path.rstrip('/')}/{kind}").filter(F.col("batch") <= done[-1]).drop("batch")
-        if upto is not None:
-            rows = rows_after(spark, path, kind, upto, done[-1])
+        rows = _merged_batches(spark, path, kind, done[-1])
         if kind == "moments":
             merged = merge_moments(rows, list(by))
         else:
             merged = rows.groupBy(*by, "variable", "bin").agg(F.sum("n").alias("n"))
-        merged.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{kind}-merged/upto={done[-1]}")
-
-
-def rows_after(spark: SparkSession, path: str, kind: str, upto: int, last: int) -> DataFrame:
-    """States merged up to ``upto`` and the batches from there to ``last``."""
-    merged = spark.read.parquet(f"{path.rstrip('/')}/{kind}-merged").filter(F.col("upto") == upto).drop("upto")
-    batches = spark.read.parquet(f"{path.rstrip('/')}/{kind}")
-    return merged.unionByName(batches.filter(F.col("batch").between(upto + 1, last)).drop("batch"))
+        merged.coalesce(1).write.mode("overwrite").parquet(f"{base}-merged/upto={done[-1]}")
+        before = max(newest, default=-1)
+        old = [f for n, f in _finished(spark, base, "batch").items() if n <= before]
+        old += [f for n, f in _finished(spark, f"{base}-merged", "upto").items() if n < before]
+        for folder in old:
+            files, at = _files(spark, folder)
+            files.delete(at, True)
 
 
 def read_stream_summary(spark: SparkSession, path: str, by=()) -> DataFrame:
-    """Summary over everything the stream has delivered so far."""
+    """Summary over everything the stream has delivered so far; quartiles within ``sketches.rank_error``."""
     return merge_summary(_merged_batches(spark, path, "moments"), list(by))
 
 
