@@ -64,6 +64,20 @@ def nominal_levels(df: DataFrame, columns: list) -> dict:
     return {c: sorted(v) for c, v in levels.items()}
 
 
+def wide_factors(df: DataFrame, columns: list) -> list:
+    """Nominal columns of too many categories to write out as 0/1 terms; they are told apart only when there are any."""
+    nominal = [c for c in columns if is_nominal(df, c)]
+    if not nominal:
+        return []
+    pairs = F.inline(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in nominal
+    ]))
+    found = df.select(pairs).filter(F.col("v").isNotNull()).distinct()
+    if found.limit(MAX_LEVELS + 1).count() <= MAX_LEVELS:
+        return []
+    return [r["c"] for r in found.groupBy("c").count().filter(F.col("count") > MAX_LEVELS).collect()]
+
+
 def design(df: DataFrame, columns: list, levels: dict | None = None) -> dict:
     """column -> its terms: itself when numeric, one 0/1 term per category but the first when nominal."""
     nominal = [c for c in columns if is_nominal(df, c)]

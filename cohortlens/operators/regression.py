@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.dist import normal_two_sided, t_two_sided
 from cohortlens.functions.names import complete_rows, is_nominal
 from cohortlens.operators import gram as G
+from cohortlens.operators.absorb import AbsorbedModel, absorbed_regression
 
 TERM_SCHEMA = "term string, coef double, std_err double, t_values double, p_values double"
 
@@ -87,7 +88,10 @@ def _terms(df: DataFrame, y: str, xs: list) -> tuple:
     return d[y][0], [t for x in xs for t in d[x]]
 
 
-def fit_linear(df: DataFrame, y: str, xs: list) -> LinearModel:
+def fit_linear(df: DataFrame, y: str, xs: list) -> LinearModel | AbsorbedModel:
+    """Inputs of too many categories to write out are absorbed."""
+    if not is_nominal(df, y) and (wide := G.wide_factors(df, xs)):
+        return absorbed_regression(df, y, xs, [x for x in xs if x in wide])
     target, terms = _terms(df, y, xs)
     state = G.gram(df, [target, *terms])
     return LinearModel(least_squares(state, y, [t.name for t in terms]), terms)
@@ -96,6 +100,8 @@ def fit_linear(df: DataFrame, y: str, xs: list) -> LinearModel:
 def linear_regression(df: DataFrame, y: str, xs: list) -> DataFrame:
     """Per term: coefficient, standard error, t and p values (Student t, n - p df)."""
     model = fit_linear(df, y, xs)
+    if isinstance(model, AbsorbedModel):
+        return model.rows(df.sparkSession)
     return df.sparkSession.createDataFrame(term_rows(model.fit), TERM_SCHEMA)
 
 

@@ -67,7 +67,7 @@ def kfold_sql(key: str, k: int, seed: float = 0.67) -> str:
 
 
 def _load() -> None:
-    from cohortlens.queries import edges, folds, merged, models, relational, statistics, stores  # noqa: F401
+    from cohortlens.queries import edges, factors, folds, merged, models, relational, statistics, stores  # noqa: F401
 
 
 def all_queries() -> dict:
