@@ -11,6 +11,7 @@ import hashlib
 import pathlib
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,20 +62,18 @@ class Aligner:
         self.a_size = np.array([len(t) for t in self.a.token_bytes], np.int64)
         self.b_size = np.array([len(t) for t in self.b.token_bytes], np.int64)
         self.written = [f"{i}|{j}" for i, j in enumerate(self.same.tolist())]
+        self.digits = [str(i) for i in range(max(self.a.size, self.width))]
 
     def tokens(self, texts: list[str | None]) -> list[tuple[list, list]]:
-        """Ids of both tokenizers; none where a text is null or empty or its bytes do not come back."""
+        """Ids of both tokenizers; none where a text is null or empty or B's bytes are others. A's merges keep every byte."""
         b_ids = self.b.model.encode([t or "" for t in texts], num_threads=1)
-        out = []
+        out, bytes_of = [], self.b.token_bytes.__getitem__
         for t, b in zip(texts, b_ids):
-            if t:
-                text = " " + t
-                a, whole = self.a.ids(text, plain=True), text.encode()
-                if (b"".join(map(self.b.token_bytes.__getitem__, b)) == whole
-                        and b"".join(map(self.a.token_bytes.__getitem__, a)) == whole):
-                    out.append((a, b))
-                    continue
-            out.append(([], []))
+            text = " " + (t or "")
+            if t and b"".join(map(bytes_of, b)) == text.encode():
+                out.append((self.a.ids(text, plain=True), b))
+            else:
+                out.append(([], []))
         return out
 
     def step(self, texts: list[str | None]) -> tuple:
@@ -85,8 +84,8 @@ class Aligner:
         """
         tokens = self.tokens(texts)
         n_a, n_b = np.array([len(a) for a, _ in tokens]), np.array([len(b) for _, b in tokens])
-        a = np.fromiter((i for t in tokens for i in t[0]), np.int64, n_a.sum())
-        b = np.fromiter((i for t in tokens for i in t[1]), np.int64, n_b.sum())
+        a = np.fromiter(chain.from_iterable(t[0] for t in tokens), np.int64, n_a.sum())
+        b = np.fromiter(chain.from_iterable(t[1] for t in tokens), np.int64, n_b.sum())
         text_of_a = np.repeat(np.arange(len(texts)), n_a)
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         ends = np.intersect1d(a_end, b_end, assume_unique=True)
@@ -106,7 +105,7 @@ class Aligner:
                        [np.ones(int(regular.sum()), np.int64), pair_n[identity]], self.a.size)
         other = _summed([pair_text[~identity]], [pair_a[~identity] * self.width + pair_b[~identity]], [pair_n[~identity]],
                         self.a.size * self.width)
-        return n_a, n_b, n_groups, n_links, self._written(a, b, a_at, b_at, in_a, in_b, regular, n_groups), same, other
+        return n_a, n_b, n_groups, n_links, self._written(a, b, a_at, in_a, in_b, regular, n_groups), same, other
 
     def _pairs(self, groups, a, b, a_at, b_at, in_a, in_b, group_text) -> tuple:
         """Linked id pairs of some groups: (text, A id, B id, links). Wide groups count equal ids first."""
@@ -122,12 +121,13 @@ class Aligner:
             parts.append((np.full(len(x) * len(y), group_text[g]), np.repeat(x, len(y)), np.tile(y, len(x)), np.outer(nx, ny).ravel()))
         return tuple(np.concatenate(c) for c in zip(*parts))
 
-    def _written(self, a, b, a_at, b_at, in_a, in_b, regular, n_groups) -> list[str]:
+    def _written(self, a, b, a_at, in_a, in_b, regular, n_groups) -> list[str]:
         groups = list(map(self.written.__getitem__, a[a_at].tolist()))
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        odd = np.flatnonzero(~regular)
-        for g, i, n, j, m in zip(*(x.tolist() for x in (odd, a_at[odd], in_a[odd], b_at[odd], in_b[odd]))):
+        a_text, b_text = ([self.digits[i] for i in ids[np.repeat(~regular, size)].tolist()] for ids, size in ((a, in_a), (b, in_b)))
+        odd, i, j = np.flatnonzero(~regular), 0, 0
+        for g, n, m in zip(odd.tolist(), in_a[odd].tolist(), in_b[odd].tolist()):
             groups[g] = f"{','.join(a_text[i:i + n])}|{','.join(b_text[j:j + m])}"
+            i, j = i + n, j + m
         cuts = np.r_[0, np.cumsum(n_groups)].tolist()
         return [";".join(groups[s:e]) for s, e in zip(cuts, cuts[1:])]
 
