@@ -1,11 +1,11 @@
-"""Regression and analysis of variance with factors of very many categories, next to their closed forms."""
+"""Models of very many categories or columns, next to their closed forms."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from cohortlens.model import AlgorithmSpec, FeatureTable, MiningQuery
-from cohortlens.operators import absorb, anova, regression
+from cohortlens.operators import absorb, anova, regression, wide_pca
 from cohortlens.plans.mining import run_mining
 from cohortlens.queries import query, rounded, table
 from cohortlens.sources.tables import Catalog
@@ -101,3 +101,31 @@ def regression_two_absorbed(spark, d):
     out = absorb.absorbed_regression(_cells(spark, d), "y", ["x"], ["usr", "event_type"]).rows(spark)
     digits = F.when(F.col("term") == "x", F.round("coef", 5)).otherwise(F.round("coef", 4))
     return out.select("term", digits.alias("coef"), F.round("std_err", 5).alias("std_err"))
+
+
+# 200 columns that copy two in turn: the correlation matrix has the values 100 (1 + r) and 100 (1 - r), all others 0
+_R = "(SELECT abs(corr(value, user_id)) AS r, corr(value, user_id) < 0 AS minus FROM events)"
+
+
+@query("pca_wide", f"""
+SELECT 'PC1' AS component, round(50 * (1 + r), 6) AS explained, 200 AS columns, TRUE AS settled FROM {_R}
+UNION ALL SELECT 'PC2', round(50 * (1 - r), 6), 200, TRUE FROM {_R}""")
+def pca_wide(spark, d):
+    e = table(spark, d, "events")
+    copies = [(F.col("value") * (i + 1) + i if i % 2 else F.col("user_id") / (i + 1) - i).alias(f"c{i}") for i in range(200)]
+    model = wide_pca.wide_pca(e.select(*copies), [f"c{i}" for i in range(200)], 2)
+    out = model.explained(spark).select("component", F.round("explained_variance", 6).alias("explained"))
+    return out.withColumn("columns", F.lit(len(model.columns))).withColumn("settled", F.lit(model.residual < 1e-9))
+
+
+@query("pca_wide_scores", f"""
+WITH z AS (SELECT event_id, (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS v, (user_id - avg(user_id) OVER ()) / stddev_pop(user_id) OVER () AS u FROM events)
+SELECT event_id, round(abs(10 * (v + CASE WHEN minus THEN -u ELSE u END) / sqrt(2)), 4) AS pc1, round(abs(10 * (v - CASE WHEN minus THEN -u ELSE u END) / sqrt(2)), 4) AS pc2
+FROM z, {_R}""")
+def pca_wide_scores(spark, d):
+    """Scores from an array column of 200 places; their signs are a matter of which copy comes first."""
+    e = table(spark, d, "events")
+    places = F.array(*[(F.col("value") * (i + 1) + i if i % 2 else F.col("user_id") / (i + 1) - i) for i in range(200)])
+    e = e.select("event_id", places.alias("x"))
+    scores = wide_pca.wide_pca(e, "x", 2).scores(e)
+    return scores.select("event_id", F.round(F.abs("PC1"), 4).alias("pc1"), F.round(F.abs("PC2"), 4).alias("pc2"))
