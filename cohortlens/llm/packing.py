@@ -10,81 +10,81 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import LOWER, arrow, raw, stored, tokenizer_path
+from cohortlens.llm.byte_bpe import byte_letters
+from cohortlens.llm.common import arrow, stored, tokenizer_path
+from cohortlens.llm.windows import Filling, Places, length_counts, with_rank
 
 WINDOW = 2048
 END = 1
-CACHE_WORDS = 250_000
-GROUP = 64  # unknown words that are encoded as one text
-STEP_BYTES = 1 << 18
-# Words of these letters split as the tokenizer's own pattern splits them.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+STEP_BYTES = 1 << 20  # characters of text that a task turns into pieces at a time
+SLACK = 32  # tokens that a sequence of whole pieces may leave before pieces are cut
+ODD_WORDS = 250_000  # words outside the alphabet below whose ids a worker process remembers
+# Characters of which it is plain how the tokenizer's pattern, lower-casing and composition treat them:
+# ASCII, letters and signs of Latin-1, general punctuation, the euro and trademark signs.
+_LETTERS = "a-zß-öø-ÿ"
+_PLAIN = "!-~¡-©«¬®-±´¶-¸»¿À-ÿ‐-‧‰-⁞€™"
+_SPACE = "\\t-\\r "
+_ODD = re.compile(f"(?<![^{_SPACE}])[{_PLAIN}]*+[^{_SPACE}{_PLAIN}][^{_SPACE}]*")
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
+_LAST = "\x01"  # stands for the end of a part; texts never show it to the merges
 
 
 class Ids:
     """Token ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are
-    those of its words, and a word's are those of its parts. Words and parts seen
-    before come from a cache; new parts go to the tokenizer's own model together and
-    are cut apart at the tokens that end a part. Words with other letters than the
-    pattern names, and texts that hold the start of a special token, are encoded as
-    they are.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its parts.
+    The vocabulary marks the last byte of a part with a suffix; written as a byte of its own behind the
+    part, it is merged first, and the rest by rank. Words with other characters than the alphabet
+    above, and texts that hold the start of a special token, go to the tokenizer itself.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.tokenizer.model)
-        self.model.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words) -> None:
-        known, parted = self.known, []
-        for w in words:
-            t = w.decode("utf-8", "surrogatepass")
-            low = t.lower()
-            if _PLAIN.fullmatch(t) and len(low) == len(t):
-                parted.append((w, [x.encode() for x in _PARTS.findall(low)]))
-            else:
-                known[w] = self._encode(t)
-        new = list({x for _, parts in parted for x in parts}.difference(known))
-        for group in (new[i:i + GROUP] for i in range(0, len(new), GROUP)):
-            ids = np.array(self.model.encode_batch_fast([b" ".join(group).decode()], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) == len(group):
-                whole = ids.tobytes()
-                known.update(zip(group, (whole[s * 4:e * 4] for s, e in zip([0, *cuts], cuts))))
-            else:
-                known.update((x, self._encode(x.decode())) for x in group)
-        for w, parts in parted:
-            if len(parts) != 1 or parts[0] != w:
-                known[w] = b"".join([known[x] for x in parts])
+        letters, suffix, ranks = byte_letters(), self.tokenizer.model.end_of_word_suffix, {}
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        for token, i in self.tokenizer.get_vocab().items():
+            if token not in special:
+                ends = token.endswith(suffix)
+                ranks[bytes(letters[c] for c in token.removesuffix(suffix)) + _LAST.encode() * ends] = i
+        self.merges = tiktoken.Encoding("parts", pat_str=f"[^{_LAST}]+{_LAST}", mergeable_ranks=ranks, special_tokens={})
+        self.odd: dict[str, list[int]] = {}
+
+    def _plain(self, text: str) -> list[int]:
+        parts = _PARTS.findall(text.lower())
+        parts.append("")
+        return self.merges.encode_ordinary(_LAST.join(parts))
+
+    def _word(self, word: str) -> list[int]:
+        if (ids := self.odd.get(word)) is None:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            if len(self.odd) >= ODD_WORDS:
+                self.odd.clear()
+            self.odd[word] = ids
+        return ids
+
+    def _ids(self, text: str) -> list[int]:
+        if "<|" in text:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        out, at = [], 0
+        for word in _ODD.finditer(text):
+            out += self._plain(text[at:word.start()])
+            out += self._word(word.group())
+            at = word.end()
+        return out + self._plain(text[at:])
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        split = [None if t is not None and "<|" in t else raw(t).translate(LOWER).split() for t in texts]
-        self._learn(set().union(*[w for w in split if w]).difference(self.known))
-        get = self.known.__getitem__
-        return [self._encode(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
+        return [np.array(self._ids(t or ""), "<u4").tobytes() for t in texts]
 
 
 @cache
 def ids_of(path: str) -> Ids:
-    """One cache for all tasks of a worker process; it is emptied at ``CACHE_WORDS``."""
+    """One for all tasks of a worker process."""
     return Ids(path)
 
 
@@ -92,11 +92,11 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
            id_column: str = "doc_id") -> DataFrame:
     """Each row's ids and the end id, cut every ``window`` ids.
 
-    ``doc_id, start, length, ids_crc32, doc_tokens`` and, for ranks within a length
+    ``doc_id, start, length, ids_crc32, doc_tokens, ids`` (little-endian 32-bit) and, for ranks within a length
     without a sort, the task ``part`` and the piece's number ``nth`` of its length there.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
-                        ("doc_tokens", pa.int64()), ("part", pa.int64()), ("nth", pa.int64())])
+                        ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("part", pa.int64()), ("nth", pa.int64())])
     last = int(end).to_bytes(4, "little")
 
     def run(batches):
@@ -109,7 +109,8 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
                 n = len(data) // 4
                 for s in range(0, n, window):
                     size = min(window, n - s)
-                    rows.append((doc, s, size, zlib.crc32(data[s * 4:(s + size) * 4]), n, part, int(seen[size])))
+                    own = data[s * 4:(s + size) * 4]
+                    rows.append((doc, s, size, zlib.crc32(own), n, own, part, int(seen[size])))
                     seen[size] += 1
             return arrow(schema, **dict(zip(schema.names, zip(*rows))))
 
@@ -126,7 +127,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
                 yield cut(hold_ids, hold)
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, nth long")
+    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, part long, nth long")
 
 
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
@@ -175,28 +176,17 @@ def repeat_counts(combos: np.ndarray, histogram: np.ndarray, steps: int = 150) -
     return x
 
 
-def plan(histogram: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Rows ``length, first rank, per sequence, first sequence, offset`` that place every piece once.
+def plan(histogram: np.ndarray, window: int = WINDOW, slack: int = SLACK) -> np.ndarray:
+    """Rows ``length, first rank, per, first sequence, offset`` that place every piece once.
 
-    The fitted counts are rounded down and used as far as the histogram allows, the
-    largest first; what is left is packed greedily, the largest piece first and then
-    whatever fits best, over lengths and counts, so the work does not grow with the
-    number of pieces.
+    The fitted counts are rounded down and used as far as the histogram allows, the largest first; what is
+    left is packed greedily, the largest piece first and then whatever fits best, as long as that fills the
+    window but for ``slack`` tokens. Pieces of a length that nothing completes any more are laid end to end and cut at the
+    windows' edges: rows with ``per`` 0, of which piece k starts k lengths behind the row's place. The work
+    depends on the number of lengths, not of pieces.
     """
-    left = histogram.astype(np.int64).copy()
-    used = np.zeros_like(left)
-    rows, sequence = [], 0
-
-    def place(parts: list[tuple[int, int]], times: int) -> None:
-        nonlocal sequence
-        offset = 0
-        for length, per in parts:
-            rows.append((length, used[length], per, sequence, offset))
-            used[length] += per * times
-            left[length] -= per * times
-            offset += length * per
-        sequence += times
-
+    filling = Filling(histogram)
+    left = filling.left
     lengths = np.flatnonzero(left)
     if len(lengths):
         combos = combinations(lengths, window)
@@ -208,7 +198,8 @@ def plan(histogram: np.ndarray, window: int = WINDOW) -> np.ndarray:
                     break
                 parts = [(int(v), int(n)) for v, n in zip(*np.unique(combos[i][combos[i] > 0], return_counts=True))]
                 if (times := min(times, *[int(left[v]) // n for v, n in parts], times)) > 0:
-                    place(parts[::-1], times)
+                    filling.place(parts[::-1], times)
+    laid = []
     present = [int(v) for v in np.flatnonzero(left)]
     while present:
         parts, room = [], window
@@ -222,44 +213,56 @@ def plan(histogram: np.ndarray, window: int = WINDOW) -> np.ndarray:
             parts.append((length, per))
             room -= per * length
             at -= 1
-        place(parts, min(int(left[v]) // n for v, n in parts))
-        present = [v for v in present if left[v] > 0]
-    return np.array(rows, dtype=np.int64).reshape(-1, 5)
+        if room <= slack:
+            filling.place(parts, min(int(left[v]) // n for v, n in parts))
+            present = [v for v in present if left[v] > 0]
+        else:
+            laid.append(present.pop())
+    end = filling.sequence * window
+    for length in laid:
+        filling.rows.append((length, filling.used[length], 0, end // window, end % window))
+        end += int(left[length]) * length
+    return filling.table()
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end: int = END, text_column: str = "text",
            id_column: str = "doc_id") -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``, one row per piece.
 
-    Documents are cut at multiples of the window only. The histogram of piece lengths
-    (at most ``window`` numbers) goes to the driver, the plan comes back; a piece's
-    rank among those of its length is its number within its task plus the pieces of
-    earlier tasks, so a length that a third of all pieces share needs no sort. A
-    sequence is shorter than the window only by what its last piece leaves; a null
-    or empty text is its end id alone; a null id stays null. Empty table: no rows.
+    Documents are cut at multiples of the window, and pieces that no others complete at the edge of a
+    sequence. The histogram of piece lengths (at most ``window`` numbers) goes to the driver, the plan comes
+    back; a piece's rank among those of its length is its number within its task plus the pieces of earlier
+    tasks, so a length that a third of all pieces share needs no sort. Ids travel only with pieces of lengths
+    that are cut. A sequence of whole pieces leaves at most ``SLACK`` tokens, of the others only the last one
+    is shorter than the window; a null or empty text is its end id alone; equal rows are packed each; a null id
+    stays null. Very long texts become as many pieces as they fill. Other columns are not read. Empty table: no rows.
     """
     rows = stored(pieces(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), window, end, text_column, id_column), "pieces")
-    counts = rows.groupBy("part", "length").agg(F.count("*").alias("n"))
-    histogram = np.zeros(window + 1, np.int64)
-    for length, n in rows.groupBy("length").count().collect():
-        histogram[length] = n
-    table = plan(histogram, window)
-    table = table[np.lexsort((table[:, 1], table[:, 0]))]
-    keys = table[:, 0] * (1 << 48) + table[:, 1]
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    ranked = rows.join(base, ["part", "length"]).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("nth")).alias("rank"))
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    schema = pa.schema([(n, pa.int64()) for n in names])
+    table = plan(length_counts(rows, window), window)
+    places = Places(table)
+    cut = [int(v) for v in np.unique(table[table[:, 2] == 0, 0])]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    ids = F.when(F.col("length").isin(cut), F.col("ids")) if cut else F.lit(None).cast("binary")
+    ranked = with_rank(rows.select(*names, "part", "nth", ids.alias("ids"))).select(*names, "rank", "ids")
+    out = [*names, "sequence_id", "offset"]
 
     def run(batches):
         for b in batches:
-            length, rank = b.column(2).to_numpy(), b.column(5).to_numpy()
-            row = table[np.searchsorted(keys, length * (1 << 48) + rank, side="right") - 1]
-            k = rank - row[:, 1]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:5], pa.array(row[:, 3] + k // row[:, 2]), pa.array(row[:, 4] + k % row[:, 2] * length)],
-                schema=schema)
-
-    return ranked.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+            length = b.column(2).to_numpy()
+            row, k = places.find(length, b.column(5).to_numpy())
+            per, laid = np.maximum(row[:, 2], 1), row[:, 2] == 0
+            place = row[:, 4] + np.where(laid, k, k % per) * length
+            sequence = row[:, 3] + np.where(laid, place // window, k // per)
+            place = np.where(laid, place % window, place)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(place)], names=out).filter(
+                pa.array(place + length <= window))
+            over = np.flatnonzero(place + length > window)
+            if len(over):
+                parts = []
+                for i, row in zip(over.tolist(), b.take(pa.array(over)).to_pylist()):
+                    first = int(window - place[i])
+                    for s, e, sequence_id, offset in ((0, first, int(sequence[i]), int(place[i])), (first, row["length"], int(sequence[i]) + 1, 0)):
+                        parts.append((row["doc_id"], row["start"] + s, e - s, zlib.crc32(row["ids"][s * 4:e * 4]), row["doc_tokens"], sequence_id, offset))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*parts)], names=out)
+
+    return ranked.mapInArrow(run, ", ".join(f"{n} long" for n in out))

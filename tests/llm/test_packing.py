@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 from cohortlens.llm import packing
 from cohortlens.llm.common import tokenizer_path
+from cohortlens.llm.windows import Places
 
 PATH = tokenizer_path("word_bpe_49k.json")
 
@@ -24,48 +25,55 @@ def test_ids_equal_the_tokenizer(tokenizer):
     texts = ["", " ", "Don't STOP", "auß Straße École naïve", "<|endoftext|> a", "A<|x|>", "é a b", "x​y", "日本 語", "ΣΑΣ ς",
              "\x00\x1c", "it's'll'd''s", "12ab34", "***%%%", "İstanbul ǅ", "😀😀 ok", "á́"]
     pool = [*"abcdefgß é'.,-%1 \n", "THE", "ing", "'s", "'ll", "ü", "ø", "×", "÷", "µ"]
+    texts += ["«¿Qué?» – “naïve” it’s €5…™", "a\x01b", "½ ª º µ²", "x" * 30_000, "x \n" * 9_000, " " * 20_000, "fiń fi\u0301n", "a\u00a0b\u00adc", "ABC\u212a"]
     texts += ["".join(rng.choice(pool) for _ in range(rng.randint(1, 60))) for _ in range(1500)]
     got = packing.Ids(PATH).of(texts)
     for text, ids in zip(texts, got):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
-@pytest.mark.parametrize("histogram", [
-    {}, {5: 1}, {2048: 3}, {1: 5000}, {1024: 7, 1000: 9}, {700: 40, 648: 39, 1348: 11, 1400: 35, 2000: 20, 48: 30}])
-def test_plan_places_every_piece_once(histogram):
-    h = np.zeros(2049, np.int64)
-    for length, n in histogram.items():
-        h[length] = n
-    used = defaultdict(list)
-    table = packing.plan(h)
-    for length in histogram:
-        rows = table[table[:, 0] == length]
-        rows = rows[np.argsort(rows[:, 1])]
-        for rank in range(h[length]):
-            _, first, per, sequence, offset = rows[np.searchsorted(rows[:, 1], rank, side="right") - 1]
-            k = rank - first
-            used[sequence + k // per].append((offset + k % per * length, length))
-    assert sum(map(len, used.values())) == h.sum()
+def placed(h, window=2048):
+    """Parts of each sequence as (offset, length), from the plan's rows, and what comes out of each piece."""
+    places, used, pieces = Places(packing.plan(h, window)), defaultdict(list), 0
+    for length in np.flatnonzero(h):
+        row, k = places.find(np.full(h[length], length), np.arange(h[length]))
+        for (_, _, per, sequence, offset), i in zip(row.tolist(), k.tolist()):
+            pieces += 1
+            if per:
+                used[sequence + i // per].append((offset + i % per * int(length), int(length)))
+                continue
+            at = sequence * window + offset + i * int(length)
+            first = min(int(length), window - at % window)
+            used[at // window].append((at % window, first))
+            if first < length:
+                used[at // window + 1].append((0, int(length) - first))
+    assert pieces == h.sum() and sum(n for parts in used.values() for _, n in parts) == (np.arange(len(h)) * h).sum()
     for parts in used.values():
         at = 0
         for offset, length in sorted(parts):
             assert offset == at
             at += length
-        assert at <= 2048
+        assert at <= window
     assert sorted(used) == list(range(len(used)))
+    return len(used)
+
+
+@pytest.mark.parametrize("histogram", [
+    {}, {5: 1}, {2048: 3}, {1: 5000}, {1024: 7, 1000: 9}, {700: 40, 648: 39, 1348: 11, 1400: 35, 2000: 20, 48: 30}, {1025: 60, 3: 2}])
+def test_plan_places_every_piece_once(histogram):
+    h = np.zeros(2049, np.int64)
+    for length, n in histogram.items():
+        h[length] = n
+    placed(h)
 
 
-@pytest.mark.parametrize(("hot", "most"), [(0, 0.01), (7000, 0.12)])
-def test_padding_stays_small(hot, most):
-    """Spread lengths fit almost exactly; a length that a third of all pieces share leaves what no other piece fills."""
+@pytest.mark.parametrize("share", [0, 0.34, 0.5])
+@pytest.mark.parametrize("hot", [777, 1025, 1100, 1400])
+def test_padding_stays_small(hot, share):
+    """Also where a third or half of all pieces share a length that nothing completes."""
     h = np.bincount(np.random.default_rng(2).integers(1, 2049, 20_000), minlength=2049)
-    h[777] += hot
-    rows = packing.plan(h)
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    last = np.r_[rows[1:, 0] != rows[:-1, 0], True]
-    ends = np.where(last, h[rows[:, 0]], np.r_[rows[1:, 1], 0])
-    sequences = int((rows[:, 3] - (rows[:, 1] - ends) // rows[:, 2]).max())
-    assert sequences * 2048 <= (np.arange(2049) * h).sum() * (1 + most)
+    h[hot] += int(20_000 * share / (1 - share))
+    assert placed(h) * 2048 <= (np.arange(2049) * h).sum() * 1.005
 
 
 def test_repeat_counts_solve_the_histogram():
@@ -83,13 +91,20 @@ def test_repeat_counts_solve_the_histogram():
 
 def test_rows(spark, tokenizer):
     text = "many words of text " * 1500
-    rows = [(1, text), (2, None), (3, ""), (None, "a b"), (1, text), (4, "one"), *[(i, "same length") for i in range(10, 60)]]
+    rows = [(1, text), (2, None), (3, ""), (None, "a b"), (1, text), (4, "one"), *[(i, "same length") for i in range(10, 60)],
+            *[(i, "ab " * 1024) for i in range(100, 120)]]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, part int").repartition(5)
     out = packing.packed(frame).collect()
     size = len(tokenizer.encode(text, add_special_tokens=False).ids) + 1
     assert sum(r.length for r in out if r.doc_id == 1) == 2 * size
     assert [(r.start, r.length, r.ids_crc32) for r in out if r.doc_id == 2] == [(0, 1, zlib.crc32((1).to_bytes(4, "little")))]
     assert sum(r.doc_id is None for r in out) == 1
+    for doc, t in rows:
+        ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
+        at = sorted((r.start, r.length, r.ids_crc32) for r in out if r.doc_id == doc)
+        assert all(r.doc_tokens == len(ids) for r in out if r.doc_id == doc)
+        assert {c for _, _, c in at} == {zlib.crc32(ids[s:s + n].tobytes()) for s, n, _ in at}
+        assert sum(n for _, n, _ in at) == len(ids) * sum(d == doc for d, _ in rows)
     by = defaultdict(list)
     for r in out:
         by[r.sequence_id].append((r.offset, r.length))
