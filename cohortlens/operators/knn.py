@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from cohortlens.functions.names import complete_rows, is_nominal
 from cohortlens.operators.gram import nominal_levels
+from cohortlens.operators.knn_pivots import pivot_neighbours
 from cohortlens.session import checkpoint
 
 LEAF_ROWS = 4096
@@ -28,6 +29,7 @@ SAMPLE_ROWS = 50_000
 PART_ROWS = 200_000
 CHUNK_ROWS = 50_000
 AHEAD = 4  # nearest further cells that are searched before the others
+PIVOT_DIMS = 8
 DISTANCE_CELLS = 100_000  # distances held at a time, so that they stay in the cache
 
 
@@ -215,10 +217,16 @@ def merge_near(parts: DataFrame, k: int, by: str = "_q") -> DataFrame:
 
 
 def neighbours(model: KnnModel, df: DataFrame, key: str, k: int = 5) -> DataFrame:
-    """(key, near) with ``near`` the k nearest training rows, nearest first, ties by key."""
+    """(key, near) with ``near`` the k nearest training rows, nearest first, ties by key.
+
+    From ``PIVOT_DIMS`` columns on by distances to pivots, since boxes then hardly tell cells apart.
+    """
     if k < 1:
         raise ValueError("k must be positive")
     dims = model.dims
+    if dims >= PIVOT_DIMS:
+        found = pivot_neighbours(model.train, df.select(F.col(key).alias("_q"), *model.features(df)), dims, k)
+        return found.select(F.col("_q").alias(key), "near")
     xs = [f"_x{i}" for i in range(dims)]
     # of rows at the same point only the k smallest keys can ever be neighbours
     same = Window.partitionBy("_point", *xs).orderBy("_key")  # the hash decides nearly every comparison

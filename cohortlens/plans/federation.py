@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.names import is_nominal, nominal_columns, numeric_columns
+from cohortlens.functions.names import complete_rows, is_nominal, nominal_columns, numeric_columns
 from cohortlens.operators import gram as G
 from cohortlens.operators.gram import nominal_levels
 from cohortlens.operators.histogram import BINS, bin_counts, finish_bins, finish_categories, numeric_ranges
 from cohortlens.operators.kmeans import KMeansModel, kmeans_states, kmeans_step, lloyd, seed_centres
-from cohortlens.operators.knn import knn_fit, merge_near, neighbours, vote
+from cohortlens.operators.knn import knn_fit, merge_near, vote
+from cohortlens.operators.knn_pivots import pivot_neighbours
 from cohortlens.operators.moments import merge_moments, moment_columns, moment_states
 from cohortlens.operators.pca import PCAModel, pca_from_state
 from cohortlens.operators.regression import TERM_SCHEMA, least_squares, term_rows
@@ -154,13 +155,14 @@ def partial_neighbours(
     train: DataFrame, queries: DataFrame, key: str, query_key: str, target: str, columns: list, by: str,
     datasets: list, k: int = 5,
 ) -> DataFrame:
-    """(query_key, d2, neighbour, y): the k nearest rows of each dataset, found where the dataset lies."""
-    out, levels = None, nominal_levels(queries, [c for c in columns if is_nominal(queries, c)])
-    for d in datasets:
-        model = knn_fit(train.filter(F.col(by) == d), key, target, columns, k, levels)
-        part = neighbours(model, queries, query_key, k).select(query_key, F.inline("near"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(query_key, d2, neighbour, y): the k nearest rows of each dataset, all datasets in one run."""
+    levels = nominal_levels(queries, [c for c in columns if is_nominal(queries, c)])
+    model = knn_fit(train, key, target, columns, k, levels)
+    y = F.col(f"`{target}`").cast("string" if model.classification else "double")
+    rows = complete_rows(train.select(F.col(key).alias("_key"), y.alias("_y"), *model.features(train), F.col(by).alias("_by")))
+    asked = queries.select(F.col(query_key).alias("_q"), *model.features(queries))
+    found = pivot_neighbours(rows, asked, model.dims, k, datasets)
+    return found.select(F.col("_q").alias(query_key), F.inline("near"))
 
 
 def merge_neighbours(states: DataFrame, query_key: str, k: int, classification: bool) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.model import AlgorithmSpec, FeatureTable, MiningQuery
-from cohortlens.operators import absorb, anova, regression, wide_pca
+from cohortlens.operators import absorb, anova, knn_pivots, regression, wide_pca
 from cohortlens.plans.mining import run_mining
 from cohortlens.queries import query, rounded, table
 from cohortlens.sources.tables import Catalog
@@ -129,3 +129,19 @@ def pca_wide_scores(spark, d):
     e = e.select("event_id", places.alias("x"))
     scores = wide_pca.wide_pca(e, "x", 2).scores(e)
     return scores.select("event_id", F.round(F.abs("PC1"), 4).alias("pc1"), F.round(F.abs("PC2"), 4).alias("pc2"))
+
+
+@query("knn_many_columns", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+r AS (SELECT q.vec_id AS q, t.vec_id AS t, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.e, t.e), t.vec_id) AS place
+ FROM v q, v t WHERE q.vec_id % 20 = 0)
+SELECT q AS vec_id, CAST(sum(t) AS BIGINT) AS neighbours FROM r WHERE place <= 6 GROUP BY 1""")
+def knn_many_columns(spark, d):
+    """The six nearest of all vectors, in 64 columns, for every twentieth vector (itself among them)."""
+    v = table(spark, d, "embeddings").filter("embedding IS NOT NULL")
+    dims = len(v.first()["embedding"])
+    xs = [F.get("embedding", F.lit(i)).cast("double").alias(f"_x{i}") for i in range(dims)]
+    train = v.select(F.col("vec_id").alias("_key"), F.lit(0.0).alias("_y"), *xs)
+    asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("_q"), *xs)
+    found = knn_pivots.pivot_neighbours(train, asked, dims, 6)
+    return found.select(F.col("_q").alias("vec_id"), F.aggregate("near", F.lit(0).cast("long"), lambda a, n: a + n["neighbour"]).alias("neighbours"))
