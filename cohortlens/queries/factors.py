@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.model import AlgorithmSpec, FeatureTable, MiningQuery
-from cohortlens.operators import absorb, anova, knn_pivots, regression, wide_pca
+from cohortlens.operators import absorb, anova, knn_pivots, regression, subgroups, wide_pca
 from cohortlens.plans.mining import run_mining
 from cohortlens.queries import query, rounded, table
 from cohortlens.sources.tables import Catalog
@@ -145,3 +145,49 @@ def knn_many_columns(spark, d):
     asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("_q"), *xs)
     found = knn_pivots.pivot_neighbours(train, asked, dims, 6)
     return found.select(F.col("_q").alias("vec_id"), F.aggregate("near", F.lit(0).cast("long"), lambda a, n: a + n["neighbour"]).alias("neighbours"))
+
+
+# Rules on three nominal and two binned variables, as the beam search finds them, with the exact one-sided test.
+_RULE_XS = ["shift", "size", "l_linestatus", "l_quantity", "l_discount"]
+
+
+def _rules_sql(beam: int, support: float) -> str:
+    cells = """SELECT l_returnflag AS t, ['shift=' || CASE WHEN l_linenumber > 4 THEN 'late' ELSE 'early' END,
+ 'size=' || (l_partkey % 3), 'l_linestatus=' || l_linestatus,
+ CASE least(floor((l_quantity - ql) / ((qh - ql) / 4)), 3) WHEN 0 THEN printf('%g<=l_quantity<%g', ql, ql + (qh - ql) / 4)
+  WHEN 1 THEN printf('%g<=l_quantity<%g', ql + (qh - ql) / 4, ql + 2 * (qh - ql) / 4)
+  WHEN 2 THEN printf('%g<=l_quantity<%g', ql + 2 * (qh - ql) / 4, ql + 3 * (qh - ql) / 4) ELSE printf('%g<=l_quantity<=%g', ql + 3 * (qh - ql) / 4, ql + 4 * (qh - ql) / 4) END,
+ CASE least(floor((l_discount - dl) / ((dh - dl) / 4)), 3) WHEN 0 THEN printf('%g<=l_discount<%g', dl, dl + (dh - dl) / 4)
+  WHEN 1 THEN printf('%g<=l_discount<%g', dl + (dh - dl) / 4, dl + 2 * (dh - dl) / 4)
+  WHEN 2 THEN printf('%g<=l_discount<%g', dl + 2 * (dh - dl) / 4, dl + 3 * (dh - dl) / 4) ELSE printf('%g<=l_discount<=%g', dl + 3 * (dh - dl) / 4, dl + 4 * (dh - dl) / 4) END] AS c
+ FROM lineitem, (SELECT min(l_quantity) AS ql, max(l_quantity) AS qh, min(l_discount) AS dl, max(l_discount) AS dh FROM lineitem)"""
+    places = range(1, 6)
+    one = " UNION ALL ".join(f"SELECT [{i}] AS pl, [c[{i}]] AS rule, t, n FROM d" for i in places)
+    two = " UNION ALL ".join(f"SELECT [{i}, {j}] AS pl, [c[{i}], c[{j}]] AS rule, t, n FROM d" for i in places for j in places if i < j)
+
+    def scored(rows):
+        return f"""SELECT pl, rule, t, cov, pos, pos / cov AS prec, pos / cov / (positives / total) AS lift, positives, total FROM
+ (SELECT pl, rule, sum(n) AS cov, map_from_entries(list((t, n))) AS by_class FROM (SELECT pl, rule, t, sum(n) AS n FROM ({rows}) GROUP BY ALL) GROUP BY pl, rule) x
+ CROSS JOIN (SELECT t, sum(n) AS positives, (SELECT sum(n) FROM d) AS total FROM d GROUP BY t) k CROSS JOIN LATERAL (SELECT coalesce(by_class[t], 0) AS pos)
+ WHERE cov >= {support} * total AND pos > 0"""
+
+    best = f"QUALIFY row_number() OVER (PARTITION BY t ORDER BY lift DESC, pos DESC, rule) <= {beam}"
+    return f"""
+WITH d AS (SELECT t, c, count(*) AS n FROM ({cells}) GROUP BY ALL),
+s1 AS (SELECT * FROM ({scored(one)}) {best}),
+s2 AS (SELECT * FROM ({scored(two)}) x WHERE EXISTS (SELECT 1 FROM s1 WHERE s1.t = x.t AND list_has_all(x.rule, s1.rule)) {best}),
+r AS (SELECT *, 1 AS depth FROM s1 WHERE lift > 1 UNION ALL SELECT *, 2 FROM s2 WHERE lift > 1),
+p AS (SELECT r.*, (SELECT sum(exp(lgamma(positives + 1) - lgamma(k + 1) - lgamma(positives - k + 1)
+  + lgamma(total - positives + 1) - lgamma(cov - k + 1) - lgamma(total - positives - cov + k + 1) - lgamma(total + 1) + lgamma(cov + 1) + lgamma(total - cov + 1)))
+  FROM (SELECT unnest(range(CAST(pos AS BIGINT), CAST(least(cov, positives) AS BIGINT) + 1)) AS k) WHERE cov - k <= total - positives) AS pval FROM r)
+SELECT 'l_returnflag=' || t AS target, array_to_string(rule, ', ') AS rule, depth, CAST(cov AS BIGINT) AS cov, CAST(pos AS BIGINT) AS pos, round(prec, 8) AS prec,
+ round(lift, 8) AS lift, round(pval, 6) AS pval FROM p WHERE pval <= 0.05"""
+
+
+@query("subgroup_rules_tested", _rules_sql(6, 0.02))
+def subgroup_rules_tested(spark, d):
+    """Rules of up to two conditions with text, counts and test."""
+    rows = table(spark, d, "lineitem").withColumn("shift", F.when(F.col("l_linenumber") > 4, "late").otherwise("early"))
+    rows = rows.withColumn("size", (F.col("l_partkey") % 3).cast("string"))
+    out = subgroups.subgroups(rows, "l_returnflag", _RULE_XS, beam=6, support=0.02, depth=2)
+    return out.select("target", "rule", "depth", "cov", "pos", F.round("prec", 8).alias("prec"), F.round("lift", 8).alias("lift"), F.round("pval", 6).alias("pval"))
