@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from cohortlens.functions.names import is_nominal, nominal_columns, numeric_columns
 from cohortlens.operators.anova import anova
 from cohortlens.operators.bands import group_confidence_bands
-from cohortlens.operators.boosting import gradient_boosting
 from cohortlens.operators.correlation import correlation, crosstabs
 from cohortlens.operators.gram import nominal_levels
+from cohortlens.operators.hist_boosting import histogram_boosting
 from cohortlens.operators.histogram import histogram
 from cohortlens.operators.kmeans import kmeans
 from cohortlens.operators.knn import knn_fit
@@ -224,7 +224,7 @@ register_algorithm(
               "rounds": 10},
 )
 register_algorithm(
-    "gradientBoosting", fit=lambda df, y, xs, key, **p: gradient_boosting(df, y, xs, **p), predictive=True,
+    "gradientBoosting", fit=lambda df, y, xs, key, **p: histogram_boosting(df, y, xs, **p), predictive=True,
     defaults={"learning_rate": 0.1, "n_estimators": 100, "max_depth": 3, "min_samples_split": 2,
               "min_samples_leaf": 1, "min_weight_fraction_leaf": 0.0, "min_impurity_decrease": 0.0},
 )

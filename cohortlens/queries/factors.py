@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.model import AlgorithmSpec, FeatureTable, MiningQuery
-from cohortlens.operators import absorb, anova, knn_pivots, regression, subgroups, wide_pca
+from cohortlens.operators import absorb, anova, hist_boosting, knn_pivots, regression, subgroups, wide_pca
 from cohortlens.plans.mining import run_mining
 from cohortlens.queries import query, rounded, table
 from cohortlens.sources.tables import Catalog
@@ -191,3 +191,35 @@ def subgroup_rules_tested(spark, d):
     rows = rows.withColumn("size", (F.col("l_partkey") % 3).cast("string"))
     out = subgroups.subgroups(rows, "l_returnflag", _RULE_XS, beam=6, support=0.02, depth=2)
     return out.select("target", "rule", "depth", "cov", "pos", F.round("prec", 8).alias("prec"), F.round("lift", 8).alias("lift"), F.round("pval", 6).alias("pval"))
+
+
+# First round of three one-cut trees: residuals of each class, the best of the four cuts, Newton leaves.
+@query("boosting_three_classes", """
+WITH k AS (SELECT o_orderstatus AS class, count(*) AS c, count(*) / (SELECT count(*) FROM orders) AS share FROM orders GROUP BY 1),
+r AS (SELECT o_orderpriority AS v, class, share, count(*) AS n, count(*) FILTER (o_orderstatus = class) - count(*) * share AS r,
+  count(*) * share * (1 - share) AS h FROM orders, k GROUP BY o_orderpriority, class, share),
+s AS (SELECT class, v, share, n, r, h, sum(n) OVER w - n AS n0, sum(r) OVER w - r AS r0, sum(h) OVER w - h AS h0 FROM r WINDOW w AS (PARTITION BY class)),
+b AS (SELECT *, 2 / 3 * r / h AS inside, 2 / 3 * r0 / h0 AS outside FROM s WHERE v > (SELECT min(o_orderpriority) FROM orders)
+  QUALIFY row_number() OVER (PARTITION BY class ORDER BY r * r / n + r0 * r0 / n0 DESC, v) = 1)
+SELECT r.v AS priority, r.class, round(ln(r.share) + 0.1 * CASE WHEN r.v = b.v THEN inside ELSE outside END, 8) AS score FROM r JOIN b USING (class)""")
+def boosting_three_classes(spark, d):
+    o = table(spark, d, "orders")
+    model = hist_boosting.histogram_boosting(o, "o_orderstatus", ["o_orderpriority"], n_estimators=1, max_depth=1)
+    scored = model.score_frame(o.select("o_orderpriority").distinct())
+    each = [F.struct(F.lit(c).alias("class"), F.round(F.get("scores", F.lit(k)), 8).alias("score")) for k, c in enumerate(model.classes)]
+    return scored.select(F.col("o_orderpriority").alias("priority"), F.inline(F.array(*each)))
+
+
+@query("boosting_residual_rounds", """
+WITH RECURSIVE p AS (SELECT o_orderpriority AS v, count(*) AS n, sum(o_totalprice) AS s FROM orders GROUP BY 1),
+t AS (SELECT 0 AS round, map_from_entries(list((v, (SELECT sum(s) / sum(n) FROM p)))) AS score FROM p
+ UNION ALL
+ SELECT round + 1, (SELECT map_from_entries(list((p.v, t.score[p.v] + 0.1 * CASE WHEN p.v = b.v THEN b.r / b.n ELSE b.r0 / b.n0 END))) FROM p, (
+  SELECT * FROM (SELECT v, r, n, sum(r) OVER () - r AS r0, sum(n) OVER () - n AS n0, min(v) OVER () AS first
+   FROM (SELECT v, n, s - n * t.score[v] AS r FROM p)) WHERE v > first ORDER BY r * r / n + r0 * r0 / n0 DESC, v LIMIT 1) b) FROM t WHERE round < 6)
+SELECT v AS priority, round(score[v], 4) AS prediction FROM t, p WHERE round = 6""")
+def boosting_residual_rounds(spark, d):
+    """Six rounds of one-cut trees on what the rounds before left."""
+    o = table(spark, d, "orders")
+    model = hist_boosting.histogram_boosting(o, "o_totalprice", ["o_orderpriority"], n_estimators=6, max_depth=1)
+    return rounded(model.predict(o.select(F.col("o_orderpriority")).distinct()).withColumnRenamed("o_orderpriority", "priority"), 4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.model import AlgorithmSpec, ExperimentQuery, FeatureTable, ValidationSpec
-from cohortlens.operators import boosting, kmeans, knn, linear, naive_bayes, network, neural, regression, scoring, subgroups
+from cohortlens.operators import boosting, hist_boosting, kmeans, knn, linear, naive_bayes, network, neural, regression, scoring, subgroups
 from cohortlens.plans import experiment, federation, validation
 from cohortlens.queries import COHORT_SQL, cohort, kfold_sql, query, rounded, table
 from cohortlens.sources.tables import Catalog
@@ -345,7 +345,7 @@ def neural_network(spark, d):
 @query("gradient_boosting")
 def gradient_boosting(spark, d):
     p = table(spark, d, "part")
-    model = boosting.gradient_boosting(p, "p_retailprice", ["p_size", "p_type"])
+    model = hist_boosting.histogram_boosting(p, "p_retailprice", ["p_size", "p_type"])
     return rounded(model.predict(p).select("p_partkey", "prediction"), 4)
 
 
