@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from cohortlens.operators.counts import require_rows
 from cohortlens.operators.filters import experiment_null_policy
 from cohortlens.operators.folds import kfold_split, split_column, validate_folds
 from cohortlens.plans.mining import select_rows
+from cohortlens.plans.parallel import side_by_side
 from cohortlens.plans.registry import Task, algorithm, describe_model, parameters_of
 from cohortlens.plans.validation import check_folds, cross_validate, fit, validate_on_datasets
 from cohortlens.session import checkpoint
@@ -59,8 +62,8 @@ def run_experiment(
     """Rows (position, algorithm, result, data, error).
 
     All algorithms see the same rows. Predictive ones are also cross-validated
-    when the query asks for it. One that fails leaves an error row and the
-    others go on; an empty list, an unknown algorithm or a bad k fail at once.
+    when the query asks for it. They run side by side over the persisted rows; one that fails leaves an
+    error row and the others go on; an empty list, an unknown algorithm or a bad k fail at once.
     """
     if not query.algorithms:
         raise ValueError("an experiment needs at least one algorithm")
@@ -84,34 +87,35 @@ def run_experiment(
             for k in folds:
                 splits[k] = kfold_split(df, key, k, seed)
                 validate_folds(splits[k], split_column(k), k)
-        for position, (spec, definition) in enumerate(zip(query.algorithms, definitions)):
+
+        def results(position, spec, definition) -> DataFrame:
+            """All result rows of one algorithm."""
             parts = []
-            try:
-                task = Task(df, rows.variables, rows.covariables, rows.grouping, key,
-                            parameters_of(spec.code, spec.parameters))
-                if definition.predictive:
-                    model = fit(spec.code, df, task.target, task.inputs, key, spec.parameters)
-                    described = describe_model(model, df)
-                    parts.append(_long(described, position, spec.code, "model"))
-                    for k in folds:
-                        scores = cross_validate(spec.code, df, task.target, task.inputs, key, k, seed,
-                                                spec.parameters, split_df=splits[k])
-                        scores = checkpoint(scores)  # k + 1 rows, used twice
-                        parts.append(_long(scores, position, spec.code, "kfold"))
-                        parts.append(_long(model_document(described, scores), position, spec.code, "document"))
-                    if query.validation_datasets and rows.table.dataset_column:
-                        parts.append(_long(
-                            _other_datasets(spark, catalog, query, model, task, rows), position, spec.code, "datasets"))
-                else:
-                    parts.append(_long(definition.run(task), position, spec.code, "result"))
-                done = parts[0]
-                for p in parts[1:]:
-                    done = done.unionByName(p)
-                out = out.unionByName(checkpoint(done))  # result-sized; failures show up here
-            except Exception as e:  # an algorithm's failure is part of the experiment's result
-                message = str(e).strip().split("\n")[0] or type(e).__name__
-                out = out.unionByName(spark.createDataFrame(
-                    [(position, spec.code, "error", None, message)], RESULT_SCHEMA))
+            task = Task(df, rows.variables, rows.covariables, rows.grouping, key, parameters_of(spec.code, spec.parameters))
+            if definition.predictive:
+                model = fit(spec.code, df, task.target, task.inputs, key, spec.parameters)
+                described = describe_model(model, df)
+                parts.append(_long(described, position, spec.code, "model"))
+                for k in folds:
+                    scores = cross_validate(spec.code, df, task.target, task.inputs, key, k, seed,
+                                            spec.parameters, split_df=splits[k])
+                    scores = checkpoint(scores)  # k + 1 rows, used twice
+                    parts.append(_long(scores, position, spec.code, "kfold"))
+                    parts.append(_long(model_document(described, scores), position, spec.code, "document"))
+                if query.validation_datasets and rows.table.dataset_column:
+                    parts.append(_long(
+                        _other_datasets(spark, catalog, query, model, task, rows), position, spec.code, "datasets"))
+            else:
+                parts.append(_long(definition.run(task), position, spec.code, "result"))
+            return checkpoint(reduce(DataFrame.unionByName, parts))  # result-sized; failures show up here
+
+        chosen = list(enumerate(zip(query.algorithms, definitions)))
+        outcomes = side_by_side(spark, [partial(results, i, spec, definition) for i, (spec, definition) in chosen], name="algorithm")
+        for (position, (spec, _)), (done, error) in zip(chosen, outcomes):
+            if error is not None:  # an algorithm's failure is part of the experiment's result
+                message = str(error).strip().split("\n")[0] or type(error).__name__
+                done = spark.createDataFrame([(position, spec.code, "error", None, message)], RESULT_SCHEMA)
+            out = out.unionByName(done)
         return out
     finally:
         df.unpersist()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,22 +20,24 @@ from cohortlens.operators.pca import PCAModel, pca_from_state
 from cohortlens.operators.regression import TERM_SCHEMA, least_squares, term_rows
 from cohortlens.operators.sketches import sketch_quantiles
 from cohortlens.operators.summary import PROBS, described, summary_of_counts, summary_of_states, value_counts
+from cohortlens.plans.parallel import all_of, side_by_side
 from cohortlens.session import checkpoint
 
 
 def scatter_gather(run: Callable, df: DataFrame, dataset_column: str, datasets: list) -> DataFrame:
-    """The same operator on each dataset, results kept apart under ``dataset``.
+    """The same operator on each dataset, side by side, results kept apart under ``dataset``.
 
     For operators that only take a table. Those with a grouping do better with
     the dataset as one more grouping column, which is one job.
     """
     if not datasets:
         raise ValueError("No results")
-    out = None
-    for d in datasets:
-        part = run(df.filter(F.col(dataset_column) == d)).withColumn("dataset", F.lit(d))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+
+    def one(d):
+        return run(df.filter(F.col(dataset_column) == d)).withColumn("dataset", F.lit(d))
+
+    parts = all_of(side_by_side(df.sparkSession, [partial(one, d) for d in datasets], name="dataset"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def compound(results: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,11 @@ from cohortlens.operators.filters import filter_nulls
 from cohortlens.operators.folds import kfold_split, split_column, train_test, validate_folds
 from cohortlens.operators.naive_bayes import predict_by_fold
 from cohortlens.operators.scoring import score_multiclass, score_regression
+from cohortlens.plans.parallel import all_of, side_by_side
 from cohortlens.plans.registry import FITTERS, FOLD_FITTERS, algorithm, parameters_of
 
 MIN_FOLDS, MAX_FOLDS, DEFAULT_FOLDS = 2, 20, 5
+FOLDS_AT_ONCE = 5
 
 
 def check_folds(k) -> int:
@@ -38,11 +42,13 @@ def held_out_predictions(
         models = FOLD_FITTERS[code](rows, target, inputs, split, **parameters_of(code, parameters or {}))
         out = predict_by_fold(rows, models, split)
     else:
-        out = None
-        for fold in range(1, k + 1):
+        def held_out(fold):
             train, test = train_test(rows, split, fold)
-            part = fit(code, train, target, inputs, key, parameters).predict(test)
-            out = part if out is None else out.unionByName(part)
+            return fit(code, train, target, inputs, key, parameters).predict(test)
+
+        spark = rows.sparkSession
+        parts = side_by_side(spark, [partial(held_out, fold) for fold in range(1, k + 1)], FOLDS_AT_ONCE, "fold")
+        out = reduce(DataFrame.unionByName, all_of(parts))
     return out.select(key, F.col(split).alias("fold"), F.col(target).alias("actual"), "prediction")
 
 

@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cohortlens.model import AlgorithmSpec, FeatureTable, MiningQuery
+from cohortlens.model import AlgorithmSpec, ExperimentQuery, FeatureTable, MiningQuery, ValidationSpec
 from cohortlens.operators.sketches import rank_error
 from cohortlens.plans import federation
+from cohortlens.plans.experiment import run_experiment
 from cohortlens.plans.mining import run_mining
 from cohortlens.queries import COHORT_SQL, cohort, query, rounded, table
+from cohortlens.queries.models import _cv_source, _multiclass_sql
 from cohortlens.session import checkpoint_dir
 from cohortlens.sources.tables import Catalog
 from cohortlens.streaming import keyed, states
@@ -169,3 +171,17 @@ def stream_keyed_bins(spark, d):
     """Bins whose width doubled as the range grew, without ranges given beforehand; six micro-batches."""
     found = keyed.read_bins(spark, _restarted(spark, d, 6), ["event_type"])
     return found.filter("variable = 'value' AND count > 0").select("event_type", "low", "high", "count")
+
+
+@query("experiment_scores", _cv_source(4) + "\n" + _multiclass_sql("p", "CAST(f AS VARCHAR)") + "\nUNION ALL " + _multiclass_sql("p", "'all'"))
+def experiment_scores(spark, d):
+    """Fold and pooled scores of a model that an experiment trained and validated beside another algorithm."""
+    source = lambda s: table(s, d, "orders").drop("o_orderdate")
+    catalog = Catalog([FeatureTable("orders", source, "o_orderkey")])
+    out = run_experiment(spark, catalog, ExperimentQuery(
+        variables=("o_orderstatus",), covariables=("o_totalprice",), target_table="orders",
+        algorithms=(AlgorithmSpec("statisticsSummary"), AlgorithmSpec("naiveBayes")), validations=(ValidationSpec("kfold", {"k": 4}),)))
+    numbers = ["accuracy", "weighted_precision", "weighted_recall", "weighted_f1", "weighted_fpr"]
+    scores = out.filter("algorithm = 'naiveBayes' AND result = 'kfold'").select(
+        F.from_json("data", "fold string, n long, " + ", ".join(f"{c} double" for c in numbers)).alias("s")).select("s.*")
+    return rounded(scores, 8)
