@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from cohortlens.model import MiningQuery
 from cohortlens.plans.mining import run_mining
-from cohortlens.session import small_rows
+from cohortlens.session import checkpoint, small_rows
 from cohortlens.sources import cache as C
-from cohortlens.sources.tables import Catalog, open_table
+from cohortlens.sources.manifest import table_mark
+from cohortlens.sources.tables import Catalog
 
 RESULT_ROWS = 100_000
 CACHE_SCHEMA = ", ".join(f"{c} {'timestamp' if c in ('created_at', 'last_used') else 'string'}" for c in C.CACHE_COLUMNS)
@@ -20,10 +21,11 @@ CACHE_SCHEMA = ", ".join(f"{c} {'timestamp' if c in ('created_at', 'last_used')
 
 @dataclass
 class CachedResult:
-    """A result as one JSON document per row, and whether the cache had it."""
+    """A result as one JSON document per row, and whether the cache had it or took it."""
 
     data: DataFrame
     from_cache: bool
+    stored: bool = True
 
 
 def query_document(query: MiningQuery) -> str:
@@ -52,29 +54,34 @@ def cached_mining(
 ) -> CachedResult:
     """The cache's answer for this query and the table's present contents, or a new run that is then stored.
 
-    A changed table has another fingerprint, so its old entries no longer match.
-    Results are bounded before they become a document.
+    A changed table has another fingerprint, so its old entries no longer match; of a table of files only
+    changed ones are read for it, so a hit reads none. Results beyond the cache's limits of rows and weight
+    are handed back as they are and not stored.
     """
     table = catalog.describe(query.target_table)
-    mark = "-".join(map(str, C.table_fingerprint(open_table(spark, table)).first()))
+    mark = table_mark(spark, table, f"{path.rstrip('/')}-manifest")
     asked = spark.createDataFrame(
         [(node, table.name, query_document(query), mark)], "node string, table_name string, query string, table_contents_hash string")
     entries = open_cache(spark, path)
     found = C.cache_get(entries, asked)[0].select("data").limit(1).collect()
     if found:
         return CachedResult(_rows(spark, found[0]["data"]), True)
-    rows = small_rows(run_mining(spark, catalog, query).data.select(
-        F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")), RESULT_ROWS, "rows of a cached result")
-    document = "[" + ",".join(r["row"] for r in rows) + "]"
-    result = asked.withColumn("timestamp", F.current_timestamp()).withColumn("data", F.lit(document)).withColumn(
+    result = checkpoint(run_mining(spark, catalog, query).data.select(
+        F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")))
+    n, weight = result.agg(F.count(F.lit(1)), F.coalesce(F.sum(C.json_weight(F.col("row"))), F.lit(0))).first()
+    if n > RESULT_ROWS or weight > C.MAX_WEIGHT:
+        return CachedResult(result, False, False)
+    document = "[" + ",".join(r["row"] for r in small_rows(result, RESULT_ROWS, "rows of a cached result")) + "]"
+    entry = asked.withColumn("timestamp", F.current_timestamp()).withColumn("data", F.lit(document)).withColumn(
         "shape", F.lit("json")).withColumn("function", F.lit(query.algorithm.code))
-    C.append_to_cache(entries, result, path)
+    C.append_to_cache(entries, entry, path)
     return CachedResult(_rows(spark, document), False)
 
 
 def prefill(spark: SparkSession, catalog: Catalog, queries: list, path: str) -> int:
-    """Run and store the queries that the cache lacks; their number."""
-    return sum(not cached_mining(spark, catalog, q, path).from_cache for q in queries)
+    """Run and store the queries that the cache lacks; the number stored."""
+    results = [cached_mining(spark, catalog, q, path) for q in queries]
+    return sum(r.stored and not r.from_cache for r in results)
 
 
 def _rows(spark: SparkSession, document: str) -> DataFrame:

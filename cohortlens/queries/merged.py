@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from cohortlens.model import AlgorithmSpec, ExperimentQuery, FeatureTable, MiningQuery, ValidationSpec
 from cohortlens.operators.sketches import rank_error
 from cohortlens.plans import federation
+from cohortlens.plans.cached import cached_mining
 from cohortlens.plans.experiment import run_experiment
 from cohortlens.plans.mining import run_mining
 from cohortlens.queries import COHORT_SQL, cohort, query, rounded, table
 from cohortlens.queries.models import _cv_source, _multiclass_sql
 from cohortlens.session import checkpoint_dir
+from cohortlens.sources.cache import table_fingerprint
+from cohortlens.sources.manifest import table_mark
 from cohortlens.sources.tables import Catalog
 from cohortlens.streaming import keyed, states
 
@@ -185,3 +188,41 @@ def experiment_scores(spark, d):
     scores = out.filter("algorithm = 'naiveBayes' AND result = 'kfold'").select(
         F.from_json("data", "fold string, n long, " + ", ".join(f"{c} double" for c in numbers)).alias("s")).select("s.*")
     return rounded(scores, 8)
+
+
+@query("mining_not_cached", """
+WITH z AS (SELECT l_orderkey, l_linenumber, (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS q,
+  (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER () * sign(corr(l_quantity, l_extendedprice) OVER ()) AS p FROM lineitem),
+s AS (SELECT unnest([1, -1]) * (l_orderkey * 10 + l_linenumber) AS id, (q + p) / sqrt(2) AS pc1 FROM z),
+few AS (SELECT 2 * count(*) <= 100000 AS f FROM lineitem)
+SELECT id, round(pc1, 5) AS pc1, f AS stored, f AS again_from_cache FROM s, few""")
+def mining_not_cached(spark, d):
+    """Every row twice: above 100,000 scores the result comes back whole and is not stored."""
+    source = lambda s: table(s, d, "lineitem").select(
+        F.explode(F.array(F.lit(1), F.lit(-1))).alias("copy"), "*").select(
+        (F.col("copy") * (F.col("l_orderkey") * 10 + F.col("l_linenumber"))).alias("id"), "l_quantity", "l_extendedprice")
+    catalog, path = Catalog([FeatureTable("lines", source, "id")]), _folder(spark, "cache")
+    asked = MiningQuery(variables=("l_quantity", "l_extendedprice"), target_table="lines",
+                        algorithm=AlgorithmSpec("pca", {"result": "scores", "k": 2}))
+    first, second = cached_mining(spark, catalog, asked, path), cached_mining(spark, catalog, asked, path)
+    row = F.from_json("row", "id long, PC1 double").alias("r")
+    return second.data.select(row).select("r.id", F.round("r.PC1", 5).alias("pc1"), F.lit(first.stored).alias("stored"),
+                                          F.lit(second.from_cache).alias("again_from_cache"))
+
+
+@query("fingerprint_by_files", """
+SELECT event_type, count(*) AS "rows", TRUE AS same_as_whole, TRUE AS same_again FROM events GROUP BY 1
+UNION ALL SELECT 'all', count(*), TRUE, TRUE FROM events""")
+def fingerprint_by_files(spark, d):
+    """Fingerprints of a table whose files come one by one: always that of the whole table as it is."""
+    data, manifest, e = _folder(spark, "files"), _folder(spark, "manifest"), table(spark, d, "events")
+    held, out = FeatureTable("events", data), []
+    for kind in ("click", "error", "purchase", "signup", "view", "all"):
+        if kind != "all":
+            e.filter(F.col("event_type") == kind).repartition(2).write.mode("append").parquet(data)
+        before = out[-1][1] if out else 0
+        mark = table_mark(spark, held, manifest)
+        whole = "-".join(map(str, table_fingerprint(spark.read.parquet(data)).first()))
+        total = int(mark.split("-", 1)[0])
+        out.append((kind, total, total if kind == "all" else total - before, mark == whole, table_mark(spark, held, manifest) == mark))
+    return spark.createDataFrame([(k, n, a, b) for k, _, n, a, b in out], "event_type string, rows long, same_as_whole boolean, same_again boolean")

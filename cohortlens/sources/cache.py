@@ -135,14 +135,18 @@ def cache_reset(cache: DataFrame) -> DataFrame:
     return cache.filter(F.lit(False))
 
 
-def table_fingerprint(df: DataFrame) -> DataFrame:
-    """(rows, fingerprint): equal for equal contents in any row order."""
-    columns = sorted(df.columns)
+def row_mark(df: DataFrame, columns: list) -> Column:
+    """A row's contribution to the fingerprint of its table."""
     plain = [
         F.to_json(F.struct(F.col(f"`{c}`"))) if isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))
         else F.col(f"`{c}`") for c in columns
     ]
+    return F.xxhash64(*plain).cast("decimal(38,0)")
+
+
+def table_fingerprint(df: DataFrame) -> DataFrame:
+    """(rows, fingerprint): equal for equal contents in any row order."""
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.xxhash64(*plain).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("fingerprint"),
+        F.coalesce(F.sum(row_mark(df, sorted(df.columns))), F.lit(0)).cast("string").alias("fingerprint"),
     )
