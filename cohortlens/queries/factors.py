@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.model import AlgorithmSpec, FeatureTable, MiningQuery
-from cohortlens.operators import absorb, anova, hist_boosting, knn_pivots, regression, subgroups, wide_pca
+from cohortlens.operators import absorb, anova, hist_boosting, knn_pivots, regression, subgroups, walks, wide_pca
 from cohortlens.plans.mining import run_mining
 from cohortlens.queries import query, rounded, table
 from cohortlens.sources.tables import Catalog
@@ -223,3 +223,30 @@ def boosting_residual_rounds(spark, d):
     o = table(spark, d, "orders")
     model = hist_boosting.histogram_boosting(o, "o_totalprice", ["o_orderpriority"], n_estimators=6, max_depth=1)
     return rounded(model.predict(o.select(F.col("o_orderpriority")).distinct()).withColumnRenamed("o_orderpriority", "priority"), 4)
+
+
+def _walk_sql(damping: float, turns: int) -> str:
+    """Full iteration over the pairs of priority and status, from every 5000th order."""
+    ctes = [f"""q AS (SELECT o_orderpriority AS a, o_orderstatus AS b, count(*) AS m FROM orders GROUP BY ALL),
+va AS (SELECT a, sum(m) AS deg FROM q GROUP BY 1), vb AS (SELECT b, sum(m) AS deg FROM q GROUP BY 1),
+s AS (SELECT o_orderkey AS seed, o_orderpriority AS a, o_orderstatus AS b FROM orders WHERE o_orderkey % 5000 = 1),
+y0 AS MATERIALIZED (SELECT seed, a, b, 1.0::DOUBLE AS y FROM s)"""]
+    for i in range(turns):
+        ctes.append(f"""a{i} AS (SELECT seed, a, sum(y) * {damping / 2}::DOUBLE / any_value(deg) AS f FROM y{i} JOIN va USING (a) GROUP BY seed, a),
+b{i} AS (SELECT seed, b, sum(y) * {damping / 2}::DOUBLE / any_value(deg) AS f FROM y{i} JOIN vb USING (b) GROUP BY seed, b),
+y{i + 1} AS MATERIALIZED (SELECT s.seed, q.a, q.b, q.m * (coalesce(a{i}.f, 0) + coalesce(b{i}.f, 0)) AS y FROM s CROSS JOIN q
+ LEFT JOIN a{i} ON a{i}.seed = s.seed AND a{i}.a = q.a LEFT JOIN b{i} ON b{i}.seed = s.seed AND b{i}.b = q.b)""")
+    every = " UNION ALL ".join(f"SELECT seed, a, b, y * {1 - damping} AS y FROM y{i}" for i in range(turns + 1))
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT seed, a AS priority, b AS status, m AS subjects, round(sum(y), 3) AS score FROM ({every}) JOIN q USING (a, b) GROUP BY ALL HAVING sum(y) > 1e-6"""
+
+
+@query("subject_walks", _walk_sql(0.3, 18))
+def subject_walks(spark, d):
+    """Where walks from some orders over priorities and statuses go, added up over orders alike."""
+    o = table(spark, d, "orders")
+    seeds = o.filter("o_orderkey % 5000 = 1").select("o_orderkey")
+    found = walks.subject_walks(o, "o_orderkey", ["o_orderpriority", "o_orderstatus"], seeds, 0.3, 1e-8)
+    named = found.join(o, "o_orderkey")
+    return named.groupBy("seed", F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status")).agg(
+        F.count(F.lit(1)).alias("subjects"), F.round(F.sum("score"), 3).alias("score"))
