@@ -24,6 +24,7 @@ MAX_TERMS = 2000
 BUILTIN_TERMS = 8
 MERGE_SALTS = 32
 MAX_LEVELS = 1000
+MAX_NUMBERS = 100_000_000  # of all states that one collect hands to the driver
 
 
 @dataclass(frozen=True)
@@ -177,12 +178,13 @@ def gram_states(df: DataFrame, terms: list, by=()) -> DataFrame:
 
 
 def collect_gram(states: DataFrame, names: list, by=()) -> dict:
-    """by-key -> Gram. The p x p numbers of each state, never the data."""
+    """by-key -> Gram. The p x p numbers of each state, never the data; all states together are bounded too."""
     by, p = list(by), len(names)
+    most = min(BROADCAST_ROWS, max(MAX_NUMBERS // (p * p), 1))
     return {
         tuple(r[c] for c in by): Gram(
             list(names), r["n"], np.array(r["mean"], dtype=float), np.array(r["cross"], dtype=float).reshape(p, p))
-        for r in small_rows(states, BROADCAST_ROWS, "cross-product states")
+        for r in small_rows(states, most, f"cross-product states of {p} terms")
     }
 
 

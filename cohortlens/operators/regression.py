@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -183,7 +184,8 @@ def _newton_sums(table: DataFrame, beta: np.ndarray) -> tuple:
 def logistic_regression(df: DataFrame, y: str, xs: list, tolerance: float = 1e-10) -> DataFrame:
     """Multinomial logit by maximum likelihood; the first class is the baseline.
 
-    Newton steps on standardised terms, one pass over the data each.
+    Newton steps on standardised terms, one pass over the data each. If they run out before the likelihood
+    settles, as where inputs separate the classes, a warning says so; mining results carry it as feedback.
     """
     levels = G.nominal_levels(df, [y])[y]
     if len(levels) < 2:
@@ -211,6 +213,8 @@ def logistic_regression(df: DataFrame, y: str, xs: list, tolerance: float = 1e-1
             if abs(ll - previous) <= tolerance * (abs(ll) + 1e-12):
                 break
             previous, beta = ll, beta + (inverse @ g).reshape(beta.shape)
+        else:
+            warnings.warn(f"the logit of {y} did not settle in {LOGISTIC_ITERATIONS} steps; its coefficients are those of the last one")
     finally:
         table.unpersist()
     # back to the original scale: coefficient / sd, intercept - sum(coefficient * mean / sd)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from cohortlens.session import small_rows
 from cohortlens.sources.tables import Catalog, open_table
 
 MAX_DATASETS = 10_000
+PACKAGE = str(Path(__file__).resolve().parent.parent)
 
 
 @dataclass
@@ -118,7 +121,12 @@ def run_mining(spark: SparkSession, catalog: Catalog, query: MiningQuery) -> Min
     if definition.mergeable and len(query.datasets) > 1 and rows.table.dataset_column:
         data = merged_plan(code, task, rows.table.dataset_column)
     merged = data is not None
-    return MiningResult(data if merged else definition.run(task), rows.provenance(), rows.feedback, merged)
+    if not merged:
+        with warnings.catch_warnings(record=True) as noted:
+            warnings.simplefilter("always", UserWarning)
+            data = definition.run(task)
+        rows.feedback.extend(str(w.message) for w in noted if w.category is UserWarning and w.filename.startswith(PACKAGE))
+    return MiningResult(data, rows.provenance(), rows.feedback, merged)
 
 
 def merged_plan(code: str, task: Task, by: str) -> DataFrame | None:
