@@ -1,4 +1,10 @@
-"""Substring deduplication by factoring documents against an index of all reference blocks."""
+"""Substring deduplication: documents are factored against an index of all reference blocks.
+
+Every block of documents is a reference for the others and for itself. The index names, for a window of words, the
+nearest earlier place where it stands too (the nearest later one for the first of all). A document is parsed greedily:
+a factor starts at the first window that has a reference and goes on word by word as long as the reference does;
+where another reference takes over, the next factor starts.
+"""
 
 from __future__ import annotations
 
@@ -99,6 +105,70 @@ def _told(bucket: np.ndarray, told: dict[int, bytes]) -> np.ndarray:
     return out
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte, so that the bytes which small numbers leave empty compress away."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _places(keys: np.ndarray, bucket: np.ndarray, twice: np.ndarray, places: np.ndarray, block: int) -> list[tuple[int, bytes, bytes]]:
+    """Questions that also say where in which block each key stands first."""
+    head = np.array([block], np.int64).tobytes()
+    return [(b, keys[at].tobytes(), head + np.packbits(twice[at]).tobytes() + _planes(places[at]))
+            for b, at in blocks.pack(keys, bucket)]
+
+
+def referred(_: int, keys: list[bytes], extras: list[bytes]) -> list[bytes]:
+    """For each block's keys: whether each has a reference, and which.
+
+    That is the first place in the nearest earlier block that holds the key; for the earliest block its own
+    second place, which it finds itself, or else the first place in the next block. So blocks refer to
+    their neighbours, and not all to one.
+    """
+    arrays = [np.frombuffer(k, np.uint64) for k in keys]
+    sizes = np.array([len(a) for a in arrays])
+    numbers = np.array([int.from_bytes(x[:8], "little", signed=True) for x in extras])
+    cuts = [8 + -(-n // 8) for n in sizes.tolist()]
+    twice = np.concatenate([np.unpackbits(np.frombuffer(x[8:c], np.uint8), count=n) for x, c, n in zip(extras, cuts, sizes.tolist())]).astype(bool)
+    places = np.concatenate([_from_planes(x[c:]) for x, c in zip(extras, cuts)])
+    every, owner = np.concatenate(arrays), np.repeat(np.arange(len(arrays)), sizes)
+    order = np.lexsort((numbers[owner], every))
+    same = every[order][1:] == every[order][:-1]
+    earlier, later = np.r_[False, same], np.r_[same, False]
+    at = np.where(earlier, np.r_[0, order[:-1]], np.where(later & ~twice[order], np.r_[order[1:], 0], order))
+    reference = np.empty(len(every), np.int64)
+    reference[order] = at
+    has = np.empty(len(every), bool)
+    has[order] = earlier | later | twice[order]
+    out, end = [], 0
+    for n in sizes.tolist():
+        mine, known = reference[end:end + n], has[end:end + n]
+        which = mine[known]
+        named, at = np.unique(numbers[owner[which]], return_inverse=True)
+        out.append(len(named).to_bytes(4, "little") + named.astype("<i8").tobytes() + np.packbits(known).tobytes()
+                   + _planes(at) + _planes(places[which]))
+        end += n
+    return out
+
+
+def _referred(bucket: np.ndarray, told: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(has a reference, its block, its place) in the order of the keys that were asked."""
+    has, block, place = np.zeros(len(bucket), bool), np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64)
+    for b, at in blocks.pack(bucket, bucket):
+        data = told[b]
+        bits = 4 + 8 * int.from_bytes(data[:4], "little")
+        named, rest = np.frombuffer(data[4:bits], "<i8"), bits + -(-len(at) // 8)
+        known = np.unpackbits(np.frombuffer(data[bits:rest], np.uint8), count=len(at)).astype(bool)
+        n = int(known.sum())
+        has[at] = known
+        block[at[known]] = named[_from_planes(data[rest:rest + 4 * n])]
+        place[at[known]] = _from_planes(data[rest + 4 * n:])
+    return has, block, place
+
+
 def _apart(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (first, second) pairs: position of one of each, the pair of each row, and how often each occurs."""
     order = np.lexsort((second, first))
@@ -111,31 +181,47 @@ def _apart(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def factors(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Greedy parse of one document: from each duplicate start not yet covered, as far as every next window is one too."""
+    """Words that windows starting here cover, as (first, words)."""
     if not len(starts):
         return []
     cut = np.flatnonzero(np.diff(starts) > 1) + 1
     return [(int(run[0]), int(run[-1] - run[0]) + window) for run in np.split(starts, cut)]
 
 
+def parsed(starts: np.ndarray, block: np.ndarray, place: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy parse of one document into factors (first word, words, block and word of the reference).
+
+    Every window start has its reference; a factor goes on while the next window's reference is the next word of the
+    same one. The next factor starts at the first window that the one before does not hold whole, so that
+    two references that follow each other overlap by less than a window.
+    """
+    if not len(starts):
+        return []
+    cut = np.flatnonzero((np.diff(starts) > 1) | (np.diff(block) != 0) | (np.diff(place - starts) != 0)) + 1
+    first, last = np.r_[0, cut], np.r_[cut, len(starts)] - 1
+    return list(zip(starts[first].tolist(), (starts[last] - starts[first] + window).tolist(), block[first].tolist(), place[first].tolist()))
+
+
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS, text_column: str = "text",
                     id_column: str = "doc_id", block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_text, kept_sha256, factors`` per row of ``docs``.
+    """``doc_id, n_words, n_removed, kept_text, kept_sha256, factors, block, first_word`` per row of ``docs``.
 
-    A word is removed if a window of ``window`` words that covers it starts anywhere
-    else too, in any document or the same one. ``factors`` are (first word, words) of
-    the parse; ``kept_text`` is null for rows that lose nothing.
+    A word is removed if a window of ``window`` words that covers it starts anywhere else too, in any document or
+    the same one. ``factors`` are the parse: first word and words in the document, and the block and the word
+    in it where the same words stand. A document lies in ``block`` from ``first_word`` on.
+    ``kept_text`` is null for rows that lose nothing.
 
     Each block of documents is indexed by one seed per window, the smallest hash among
     its runs of ``seed_words`` words, and the index is spread over buckets. (1) Every
-    block asks for its seeds; windows whose seed occurs nowhere else are clean. (2) The
-    others are candidate factors. Their windows ask by a hash of 64 bits, filed by the
-    bits of a second hash. (3) The greedy parse joins the windows found into factors of
-    at least ``window`` words; each start is judged by itself, so factor boundaries are
-    exact. A factor may continue from one reference to another.
-
-    Null and empty texts have no words. Rows that repeat count as occurrences of each
-    other. Texts shorter than a window lose nothing. Empty table: no rows.
+    block asks for its seeds; windows whose seed occurs nowhere else have no reference. (2) The
+    others ask by a hash of 64 bits, filed by the bits of a second hash, and say where they stand; the
+    answer names a reference for each. (3) The greedy parse follows the references. Each window that a factor
+    starts with is judged by itself, so the factors' boundaries are exact and together they hold exactly the
+    words to remove.
+
+    Null and empty texts have no words. Rows that repeat are references of each
+    other. Texts shorter than a window lose nothing. A text longer than a block is a block of its own, parsed whole.
+    Columns other than id and text are not read. Empty table: no rows.
     """
     n_buckets = blocks.bucket_count(docs, text_column)
 
@@ -169,15 +255,15 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed_words: int = SEE
         inside = [hit[b:e] for b, e, t in zip(words.begins, words.ends, touched) if t]
         # the flags of a document's words; the last ones of the block can start no window
         flags = np.concatenate([np.pad(f, (0, int(c) - len(f))) for f, c in zip(inside, words.counts[touched])]) if kept else hit[:0]
-        asked = _questions(one[place], _bucket(two[place], n_buckets), often > 1)
+        asked = _places(one[place], _bucket(two[place], n_buckets), often > 1, np.flatnonzero(hit)[place], int(row["block"]))
         return pd.DataFrame([{
-            "block": row["block"], "ids": row["ids"], "n_words": words.counts.tolist(), "clean": clean,
+            "block": row["block"], "ids": row["ids"], "begins": words.begins.tolist(), "n_words": words.counts.tolist(), "clean": clean,
             "sizes": [len(p) for p in kept], "data": blocks.squeeze(kept), "flags": np.packbits(flags).tobytes(),
             "asked": [{"bucket": b, "keys": k, "extra": x} for b, k, x in asked]}])
 
     second = stored(blocks.resolved(
         first, blocks.answered(first, repeated), ["ids", "sizes", "data"], suspects,
-        "block long, ids array<string>, n_words array<long>, clean array<string>, sizes array<long>, data binary, flags binary, "
+        "block long, ids array<string>, begins array<long>, n_words array<long>, clean array<string>, sizes array<long>, data binary, flags binary, "
         f"asked {blocks.ASKED_DDL}"), "suspects")
 
     def parse(row, told):
@@ -187,26 +273,48 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed_words: int = SEE
         hit = flags[:len(words.valid)] & words.valid
         one, two = (h[hit[words.valid]] for h in words.windows(window))
         place, back, _ = _apart(one, two)
+        at_block = np.repeat([b for b, sha in zip(row["begins"], row["clean"]) if sha is None], words.counts).astype(np.int64)
+        at_block += np.arange(len(words.hashes)) - np.repeat(words.begins, words.counts)  # of each word
+        hits = np.flatnonzero(hit)
         found = np.zeros(len(words.hashes), bool)
-        found[np.flatnonzero(hit)] = _told(_bucket(two[place], n_buckets), told)[back] if len(place) else False
+        ref_block, ref_word = np.zeros(len(words.hashes), np.int64), np.zeros(len(words.hashes), np.int64)
+        if len(place):
+            has, far_block, far_word = _referred(_bucket(two[place], n_buckets), told)
+            here, where = at_block[hits], np.arange(len(hits))
+            # windows of this block in order of their key, then of their place
+            order = np.argsort(back, kind="stable")
+            again = np.r_[False, back[order][1:] == back[order][:-1]]
+            before, after = np.full(len(hits), -1), np.full(len(hits), -1)
+            before[order[again]] = order[np.flatnonzero(again) - 1]
+            after[order[np.flatnonzero(again) - 1]] = order[again]
+            own = before >= 0
+            to_block = np.where(own, row["block"], far_block[back])
+            to_word = np.where(own, here[before], far_word[back])
+            second = ~own & (to_block == row["block"]) & (after >= 0)  # the first of all: its own second place
+            to_word[second] = here[after[where[second]]]
+            found[hits], ref_block[hits], ref_word[hits] = has[back], to_block, to_word
         out, at = [], 0
-        for doc, n, sha in zip(blocks.doc_ids(row), row["n_words"], row["clean"]):
+        for doc, n, sha, first_word in zip(blocks.doc_ids(row), row["n_words"], row["clean"], row["begins"]):
             if sha is not None:
-                out.append((doc, n, 0, None, sha, []))
+                out.append((doc, n, 0, None, sha, [], row["block"], first_word))
                 continue
-            spans = factors(np.flatnonzero(found[words.begins[at]:words.ends[at]]), window)
+            b, e = words.begins[at], words.ends[at]
+            starts = np.flatnonzero(found[b:e])
+            spans = factors(starts, window)
             parted, keep, end = parts[at].split(), [], 0
             for s, length in spans:
                 keep += parted[end:max(s, end)]
                 end = max(end, s + length)
             keep += parted[end:]
             text = b" ".join(keep)
+            parse_ = parsed(starts, ref_block[b:e][starts], ref_word[b:e][starts], window)
             out.append((doc, n, len(parted) - len(keep), text.decode("utf-8", "replace") if spans else None,
-                        hashlib.sha256(text).hexdigest(), [{"first": s, "words": length} for s, length in spans]))
+                        hashlib.sha256(text).hexdigest(),
+                        [dict(zip(("first", "words", "ref_block", "ref_word"), f)) for f in parse_], row["block"], first_word))
             at += 1
-        return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", "factors"])
+        return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", "factors", "block", "first_word"])
 
     return blocks.resolved(
-        second, blocks.answered(second, repeated), ["ids", "n_words", "clean", "sizes", "data", "flags"], parse,
+        second, blocks.answered(second, referred), ["ids", "begins", "n_words", "clean", "sizes", "data", "flags"], parse,
         "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, "
-        "factors array<struct<first long, words long>>")
+        "factors array<struct<first long, words long, ref_block long, ref_word long>>, block long, first_word long")

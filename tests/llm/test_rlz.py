@@ -25,9 +25,39 @@ def _check(spark, rows, window=35, **options):
     frame = spark.createDataFrame([(*r, "b") for r in rows], "doc_id long, text string, block string").repartition(4)
     out = rlz.duplicate_spans(frame, window, **options).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out), key=str) == _plain(rows, window)
+    _check_factors(out, rows, window)
     return out
 
 
+def _check_factors(out, rows, window):
+    """Every factor stands at its reference too, which is another place; together they hold the removed words."""
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append((t or "").encode().split())
+    places, words_of = {}, []
+    for r in sorted(out, key=lambda r: (r.block, r.first_word)):
+        # rows of one id are told apart by what they keep
+        words = next(w for w in texts[r.doc_id] if len(w) == r.n_words and _same(w, r))
+        places.setdefault(r.block, {}).update({r.first_word + k: w for k, w in enumerate(words)})
+        words_of.append((r, words))
+    for r, words in words_of:
+        covered, before = set(), -1
+        for f in r.factors:
+            assert f.words >= window and f.first > before
+            here = words[f.first:f.first + f.words]
+            assert len(here) == f.words
+            assert [places[f.ref_block].get(f.ref_word + k) for k in range(f.words)] == here
+            assert (f.ref_block, f.ref_word) != (r.block, r.first_word + f.first)
+            covered.update(range(f.first, f.first + f.words))
+            before = f.first
+        assert len(covered) == r.n_removed
+
+
+def _same(words, row):
+    gone = {k for f in row.factors for k in range(f.first, f.first + f.words)}
+    return hashlib.sha256(b" ".join(w for k, w in enumerate(words) if k not in gone)).hexdigest() == row.kept_sha256
+
+
 def _rows(seed, vocabulary, passages, window):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(vocabulary)]
@@ -68,3 +98,34 @@ def test_factors_join_neighbouring_starts():
 
     assert rlz.factors(np.array([3, 4, 5, 50]), 35) == [(3, 37), (50, 35)]
     assert rlz.factors(np.array([], int), 35) == []
+
+
+def test_references_are_neighbours_and_factors_long(spark):
+    """A passage that all documents hold is one factor each, and no place is the reference of all."""
+    passage = " ".join(f"p{i}" for i in range(400))
+    rows = [(i, f"{' '.join(f'd{i}x{k}' for k in range(50))} {passage} end{i}") for i in range(60)]
+    out = _check(spark, rows, block_bytes=6000)
+    assert all([(f.first, f.words) for f in r.factors] == [(50, 400)] for r in out)
+    used = Counter((r.factors[0].ref_block, r.factors[0].ref_word) for r in out)
+    assert len({r.block for r in out}) > 10 and max(used.values()) <= 3
+
+
+def test_a_factor_ends_where_its_reference_ends(spark):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words[:150])), (2, " ".join(words[100:300])), (3, " ".join(words))]
+    out = {r.doc_id: r for r in _check(spark, rows)}
+    assert len(out[3].factors) >= 2 and out[3].n_removed == 300
+
+
+def test_repeats_within_a_text_and_beyond_a_block(spark):
+    """A period refers to the one before it, as one factor; a text longer than a block is parsed whole."""
+    out = _check(spark, [(1, "a b c " * 3000), (2, "x " * 40)], block_bytes=2000)
+    long = next(r for r in out if r.doc_id == 1)
+    assert len(long.factors) <= 4 and long.n_removed == 9000
+
+
+def test_parse():
+    import numpy as np
+
+    starts = np.array([3, 4, 5, 6, 50])
+    assert rlz.parsed(starts, np.array([1, 1, 2, 2, 2]), np.array([10, 11, 7, 8, 9]), 35) == [(3, 36, 1, 10), (5, 36, 2, 7), (50, 35, 2, 9)]
