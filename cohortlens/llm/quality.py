@@ -101,10 +101,10 @@ def _between(scores: np.ndarray, share: float) -> float:
 
 def learned(docs: DataFrame, labels: DataFrame, text_column: str = "text", id_column: str = "doc_id",
             label_column: str = "quality", folds: int = FOLDS, labelled_rows: int = LABELLED_ROWS) -> Ranking:
-    """The ranking fitted on at most ``labelled_rows`` labelled rows outside the held-out fold.
+    """The ranking fitted on at most ``labelled_rows`` labels outside the held-out fold, and twice as many rows.
 
-    The rows are chosen by a hash of their id. Labels that disagree count by
-    majority; null labels and null ids teach nothing.
+    Labels are chosen by a hash of their id, and where ids repeat in ``docs`` the rows by a hash of id and
+    text. Labels that disagree count by majority; null labels and null ids teach nothing.
     """
     marks = (labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
              .groupBy(F.col(id_column).cast("long").alias("_id")).agg((F.avg(label_column) >= 0.5).cast("int").alias("_y"))
@@ -116,8 +116,9 @@ def learned(docs: DataFrame, labels: DataFrame, text_column: str = "text", id_co
             yield arrow(schema, y=b.column(0), x=[features(t.as_py()) for t in b.column(1)])
 
     rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"))
-    sample = (rows.join(F.broadcast(marks), "_id").select("_y", "_text").mapInArrow(run, "y int, x array<double>")
-              .limit(2 * labelled_rows).toPandas())
+    # ids that repeat bring more rows than labels; which of them count follows from their content, not from the layout
+    chosen = rows.join(F.broadcast(marks), "_id").orderBy(F.xxhash64("_id", "_text"), "_id").limit(2 * labelled_rows)
+    sample = chosen.select("_y", "_text").mapInArrow(run, "y int, x array<double>").toPandas()
     x = np.array(sample["x"].tolist()).reshape(len(sample), SIZE)
     order = np.lexsort(x.T)
     return fit(x[order], sample["y"].to_numpy()[order])

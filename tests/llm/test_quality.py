@@ -58,3 +58,47 @@ def test_extra_columns_pass_through(spark):
     model = quality.fit(np.zeros((0, quality.SIZE)), np.zeros(0))
     out = quality.scored(docs, model, score_column="_score")
     assert out.columns == ["text", "c0", "score", "_score"] and tuple(out.first()) == ("t", 1, "s", 0.5)
+
+
+def test_weights_maximise_the_pair_likelihood():
+    """The Newton fit against plain gradient ascent over all pairs, and its threshold against a sorted list."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, quality.SIZE))
+    y = (x[:, 0] + 0.5 * x[:, 3] + 0.5 * rng.normal(size=40) > 0.3).astype(int)
+    model = quality.fit(x, y, pairs=4, penalty=0.05)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-9), -8, 8)
+    good, bad = z[y == 1], z[y == 0]
+    n, draw = max(len(good), len(bad)) * 4, np.random.default_rng(5)
+    pairs = list(zip(draw.permutation(np.arange(n) % len(good)), draw.permutation(np.arange(n) % len(bad))))
+    d, w = np.array([good[a] - bad[b] for a, b in pairs]), np.zeros(quality.SIZE)
+    for _ in range(6000):
+        w = w + 0.2 * (d.T @ (1 / (1 + np.exp(d @ w))) / n - 0.05 * w)
+    assert np.allclose(model.weights, w, atol=1e-6)
+    scores, k = sorted((z @ w).tolist()), round((y == 0).mean() * 40)
+    assert abs(model.threshold - (scores[k - 1] + scores[k]) / 2) < 1e-5
+    assert np.allclose(model.scores(x), 1 / (1 + np.exp(model.threshold - z @ model.weights)))
+
+
+def test_features_by_plain_loops():
+    text = "Ab ab ab, 12!\nÜx  ab\n\nAb ab ab, 12!\n"
+    data, words = text.encode(), text.split()
+    f = quality.features(text)
+    share = lambda test: sum(map(test, data)) / len(data)
+    assert np.allclose(f[:6], [share(lambda b: 65 <= b < 91), share(lambda b: 97 <= b < 123), share(lambda b: 48 <= b < 58), share(lambda b: b >= 128),
+                               share(lambda b: b in (10, 13)), share(lambda b: b in (32, 9))])
+    comma = 7 + quality.SYMBOLS.index(b",")
+    assert np.isclose(f[comma], (2 / len(words)) ** 0.5)
+    n, lines = len(words), [x for x in text.split("\n") if x.strip()]
+    again = sum(a == b for a, b in zip(words, words[1:]))
+    assert np.allclose(f[-8:-4], [len(set(words)) / n, np.log(len(set(words))) / np.log(n + 1), again / n, len(set(lines)) / len(lines)])
+    assert np.allclose(f[-4:], [np.log1p(n), np.log1p(len(data) / n), np.log1p(n / len(lines)), 1 / n])
+    assert not quality.features("  \n").any() and not quality.features(None).any()
+
+
+def test_repeated_ids_do_not_follow_the_layout(spark):
+    """More rows than labels: which of them teach depends on their content alone."""
+    rows = [(i % 20, f"{'good plain words of text ' if i % 20 % 2 else 'x!! @@ ## '}{i} " * 5) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    first, second = (quality.learned(d, labels, labelled_rows=10) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert np.allclose(first.weights, second.weights) and first.threshold == second.threshold
