@@ -8,7 +8,7 @@ from tests.oracle import compare, connect
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
@@ -78,6 +78,22 @@ def test_rows_without_an_id_stay_within_the_budget(spark, sf_dir):
     assert set(times) <= {0, 1, 2}
 
 
+def test_clashing_columns_come_back(spark, sf_dir):
+    """Columns named like the stages' own ones keep their values, and a stage decides as it does without them."""
+    names = ["_row", "_SCORE", "_times", "_copy", "score", "component_id", "times", "size", "key"]
+    rows = [(i, _text("abc"[i % 3]) if i % 2 else "plain words of a text " * (5 + i), "en", "st"[i % 2], 9) for i in range(30)]
+    plain = spark.createDataFrame(rows, DOCS)
+    clash = spark.createDataFrame([(*r, *[777] * len(names)) for r in rows], DOCS + "".join(f", `{n}` int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want = sorted(map(tuple, stage(spark, plain, sf_dir).collect()))
+        out = stage(spark, clash, sf_dir)
+        assert out.columns == clash.columns, name
+        got = sorted(map(tuple, out.collect()))
+        assert [r[:5] for r in got] == want and all(set(r[5:]) == {777} for r in got), name
+    packed = corpus_pipeline.STAGES[-1][1]
+    assert packed(spark, clash, sf_dir).count() == packed(spark, plain, sf_dir).count()
+
+
 def test_whole_pipeline(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0 and "sequence_id" in out.columns
