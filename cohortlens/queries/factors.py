@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.model import AlgorithmSpec, FeatureTable, MiningQuery
-from cohortlens.operators import absorb, anova, hist_boosting, knn_pivots, regression, subgroups, walks, wide_pca
+from cohortlens.operators import absorb, anova, hist_boosting, knn_pivots, linear, regression, subgroups, walks, wide_pca
 from cohortlens.plans.mining import run_mining
 from cohortlens.queries import query, rounded, table
 from cohortlens.sources.tables import Catalog
@@ -250,3 +250,33 @@ def subject_walks(spark, d):
     named = found.join(o, "o_orderkey")
     return named.groupBy("seed", F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status")).agg(
         F.count(F.lit(1)).alias("subjects"), F.round(F.sum("score"), 3).alias("score"))
+
+
+# one standardised input: shrunk by 1 + share of l2 / spread of the target, after the share of l1 is taken off
+@query("linear_model_penalised", """
+WITH m AS (SELECT covar_pop(l_quantity, l_extendedprice) / stddev_pop(l_quantity) AS c, stddev_pop(l_extendedprice) AS sy, avg(l_extendedprice) AS my FROM lineitem),
+p(penalty, alpha, l1) AS (VALUES ('l2', 0.1, 0.0), ('l2', 900.0, 0.0), ('l1', 10.0, 1.0), ('l1', 1e6, 1.0), ('elasticnet', 40.0, 0.15))
+SELECT penalty, CAST(alpha AS DOUBLE) AS alpha, round(sign(c) * greatest(abs(c) - alpha * l1, 0) / (1 + alpha * (1 - l1) / sy), 4) + 0.0 AS coef, round(my, 4) AS intercept FROM p, m""")
+def linear_model_penalised(spark, d):
+    """Penalised least squares against their closed forms, also where the penalty leaves nothing."""
+    li, out = table(spark, d, "lineitem"), None
+    for penalty, alpha in (("l2", 0.1), ("l2", 900.0), ("l1", 10.0), ("l1", 1e6), ("elasticnet", 40.0)):
+        rows = linear.linear_model(li, "l_extendedprice", ["l_quantity"], alpha=alpha, penalty=penalty).rows(spark)
+        row = rows.agg(F.max(F.when(F.col("term") == "l_quantity", F.col("coef"))).alias("coef"),
+                       F.max(F.when(F.col("term") == "intercept", F.col("coef"))).alias("intercept")).select(
+            F.lit(penalty).alias("penalty"), F.lit(alpha).alias("alpha"), (F.round("coef", 4) + 0.0).alias("coef"), F.round("intercept", 4).alias("intercept"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# with three groups the tail of F(2, d) is (1 + 2 F / d) ** (-d / 2)
+@query("anova_p_value", """
+WITH g AS (SELECT kind, count(*) AS n, avg(value) AS m, var_pop(value) * count(*) AS w FROM
+  (SELECT CASE event_type WHEN 'click' THEN 'a' WHEN 'error' THEN 'b' ELSE 'c' END AS kind, value FROM events) GROUP BY 1),
+s AS (SELECT sum(n) - 3 AS d, sum(w) AS ssw, sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) AS ssb FROM g)
+SELECT 'kind' AS term, 2 AS df, round(ssb / 2 / (ssw / d), 5) AS f, round((1 + 2 * (ssb / 2 / (ssw / d)) / d) ** (-d / 2), 6) AS p FROM s
+UNION ALL SELECT 'Residual', CAST(d AS INTEGER), NULL, NULL FROM s""")
+def anova_p_value(spark, d):
+    kind = F.when(F.col("event_type") == "click", "a").when(F.col("event_type") == "error", "b").otherwise("c").alias("kind")
+    out = anova.anova(table(spark, d, "events").select("value", kind), "value", ["kind"])
+    return out.select("term", "df", F.round("F", 5).alias("f"), F.round("PR(>F)", 6).alias("p"))
