@@ -135,8 +135,13 @@ class NeuralModel:
 
 def neural_network(
     df: DataFrame, y: str, xs: list, hidden_layer_sizes: str = "100", activation: str = "relu",
-    alpha: float = 1e-4, learning_rate_init: float = 1e-3, rounds: int = 10, seed: int = 17,
+    alpha: float = 1e-4, learning_rate_init: float = 1e-3, rounds: int = 10, seed: int = 17, step_scale: float = STEP_SCALE,
 ) -> NeuralModel:
+    """Network with the given hidden layers, trained by ``rounds`` times ``STEPS`` steps.
+
+    A step goes ``step_scale * learning_rate_init`` far in the scaled gradient: there are only ``STEPS`` of them a round,
+    where small batches would give thousands. ``step_scale=1`` takes the rate as it is given.
+    """
     if activation not in ACTIVATIONS:
         raise ValueError(f"activation is one of {', '.join(ACTIVATIONS)}")
     rows = complete_rows(df, [y, *xs])
@@ -156,12 +161,12 @@ def neural_network(
     batch = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in dict.fromkeys([y, *xs])]), F.lit(STEPS)).cast("int")
     table = rows.select(
         *[x.cast("double").alias(f"_z{i}") for i, x in enumerate(inputs)], label.cast("double").alias("_label"),
-        batch.alias("_batch")).persist(StorageLevel.MEMORY_AND_DISK)
+        batch.alias("_batch")).sortWithinPartitions("_batch").persist(StorageLevel.MEMORY_AND_DISK)  # a step reads its batch alone
     n_classes, n_inputs = len(classes), len(inputs)
     sc = df.sparkSession.sparkContext
     weights = network.start(seed)
     m, v, t = np.zeros_like(weights), np.zeros_like(weights), 0
-    rate = learning_rate_init * STEP_SCALE
+    rate = learning_rate_init * step_scale
     try:
         for turn in range(rounds):
             for batch in np.random.default_rng([seed, turn]).permutation(STEPS):
