@@ -10,11 +10,11 @@ def subjects(spark):
     """Trees of two woods: kind of soil (0 sand, 1 loam, 2 clay), trunk width; one soil is not known."""
     rows = [("ash", 1, 0.62, "north"), ("birch", 0, 0.31, "south"), ("cedar", 2, 0.88, "south"), ("elm", None, 0.74, "north"),
             ("fir", 1, 0.45, "south"), ("hazel", 2, 0.19, "north"), ("larch", 1, 0.57, "south")]
-    return spark.createDataFrame(rows, "subjectcode string, soil int, width double, dataset string")
+    return spark.createDataFrame(rows, "tree string, soil int, width double, dataset string")
 
 
 def keys(df):
-    return sorted(r["subjectcode"] for r in df.collect())
+    return sorted(r["tree"] for r in df.collect())
 
 
 def test_three_valued_logic(subjects):
@@ -60,8 +60,8 @@ def test_projection_order(subjects):
     df = filters.select_features(subjects, ["width"], ["soil", "width"], ["dataset", "soil"])
     assert df.columns == ["width", "soil", "dataset"]
     q = MiningQuery(("width",), "t", ("soil",), ("dataset",))
-    assert filters.dependent_only(subjects, q, "subjectcode").columns == ["width", "subjectcode"]
-    assert filters.independent_only(subjects, q, "subjectcode").columns == ["soil", "dataset", "subjectcode"]
+    assert filters.dependent_only(subjects, q, "tree").columns == ["width", "tree"]
+    assert filters.independent_only(subjects, q, "tree").columns == ["soil", "dataset", "tree"]
 
 
 def test_null_and_dataset_filters(subjects):
