@@ -109,16 +109,16 @@ def learned(docs: DataFrame, labels: DataFrame, text_column: str = "text", id_co
     marks = (labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
              .groupBy(F.col(id_column).cast("long").alias("_id")).agg((F.avg(label_column) >= 0.5).cast("int").alias("_y"))
              .where(~held_out("_id", folds)).orderBy(F.xxhash64("_id"), "_id").limit(labelled_rows))
-    schema = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
+    schema = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64())), ("order", pa.int64())])
 
     def run(batches):
         for b in batches:
-            yield arrow(schema, y=b.column(0), x=[features(t.as_py()) for t in b.column(1)])
+            yield arrow(schema, y=b.column(0), x=[features(t.as_py()) for t in b.column(1)], order=b.column(2))
 
     rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"))
     # ids that repeat bring more rows than labels; which of them count follows from their content, not from the layout
-    chosen = rows.join(F.broadcast(marks), "_id").orderBy(F.xxhash64("_id", "_text"), "_id").limit(2 * labelled_rows)
-    sample = chosen.select("_y", "_text").mapInArrow(run, "y int, x array<double>").toPandas()
+    taught = rows.join(F.broadcast(marks), "_id").select("_y", "_text", F.xxhash64("_id", "_text"))
+    sample = taught.mapInArrow(run, "y int, x array<double>, order long").orderBy("order", "y").limit(2 * labelled_rows).toPandas()
     x = np.array(sample["x"].tolist()).reshape(len(sample), SIZE)
     order = np.lexsort(x.T)
     return fit(x[order], sample["y"].to_numpy()[order])
