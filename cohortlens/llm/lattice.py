@@ -16,6 +16,8 @@ from cohortlens.llm.vectors import matrix, rotation, usable
 
 TABLES, BLOCKS, PROBES, SCALE = 4, 2, 2, 2.5
 _ROWS = 2048  # rows of one side of a comparison held at a time
+HOT_CELLS = 100_000  # crowded cells whose list is small enough to go to every task
+PART_ROWS = 8192  # vectors of a cell that one task compares with each other
 
 
 @cache
@@ -98,7 +100,7 @@ def _pair_bucket(a_cells, a_id, b_cells, b_id) -> np.ndarray:
 
 def near_duplicates(rows: DataFrame, cosine: float = 0.95, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES,
                     scale: float = SCALE, vector_column: str = "embedding", id_column: str = "vec_id",
-                    seed: int = 11) -> DataFrame:
+                    seed: int = 11, part_rows: int = PART_ROWS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row with an id.
 
     Vectors are scaled to length 1. Each table projects them to ``blocks`` times eight
@@ -106,7 +108,8 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, tables: int = TABLES,
     ``probes`` neighbouring cells that are nearest. Vectors that meet in a cell, one of
     them by its own, are compared in double precision. A pair that meets several times is
     counted in one bucket that both can name, so counts are exact without listing pairs:
-    a bucket sends one count per vector and a spanning tree of its links.
+    a bucket sends one count per vector and a spanning tree of its links. A cell of more than ``part_rows``
+    vectors, such as a tight cluster, is cut into parts, and every two parts meet in a task of their own.
 
     Equal vectors are one node with a number of copies. Vectors that are null, empty,
     zero or hold null or non-finite components link with nothing and are their own
@@ -121,7 +124,8 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, tables: int = TABLES,
                         ("unit", pa.list_(pa.float64())), ("cells", pa.list_(pa.int64()))])
     ddl = "key long, node long, own boolean, copies long, unit array<double>, cells array<long>"
 
-    def file(batches):
+    def keys_of(batches):
+        """(batch of one dimension, its unit vectors, its cells) for every batch."""
         for b in batches:
             sizes = b.column(0).value_lengths().to_numpy()
             for dim in np.unique(sizes):
@@ -129,16 +133,35 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, tables: int = TABLES,
                 x = matrix(part.column(0))
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                k = cells(x, tables, blocks, probes, scale, seed) ^ np.int64(int(dim) * 0x5851F42D4C957F2D % (1 << 62))
-                flat = pa.array(k.reshape(len(k), -1).tolist(), pa.list_(pa.int64()))
-                unit = pa.array(list(x), pa.list_(pa.float64()))
-                for t in range(tables):
-                    for p in range(1 + probes):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(k[:, t, p]), part.column(1), pa.array(np.full(len(k), p == 0)), part.column(2),
-                             unit, flat], schema=schema)
-
-    filed = nodes.select("vec", "node", "copies").mapInArrow(file, ddl).repartition("key").sortWithinPartitions("key")
+                yield part, x, cells(x, tables, blocks, probes, scale, seed) ^ np.int64(int(dim) * 0x5851F42D4C957F2D % (1 << 62))
+
+    def file(batches):
+        for part, x, k in keys_of(batches):
+            flat = pa.array(k.reshape(len(k), -1).tolist(), pa.list_(pa.int64()))
+            unit = pa.array(list(x), pa.list_(pa.float64()))
+            for t in range(tables):
+                for p in range(1 + probes):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(k[:, t, p]), part.column(1), pa.array(np.full(len(k), p == 0)), part.column(2),
+                         unit, flat], schema=schema)
+
+    def count(batches):
+        for _, _, k in keys_of(batches):
+            key, n = np.unique(k, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["hot", "n"])
+
+    source = nodes.select("vec", "node", "copies")
+    crowded = source.mapInArrow(count, "hot long, n long").groupBy("hot").agg(F.sum("n").alias("n")).where(F.col("n") > part_rows)
+    crowded = stored(crowded.select("hot", F.ceil(F.col("n") / part_rows).cast("int").alias("parts")), "crowded")
+    few = crowded.limit(HOT_CELLS + 1).count()
+    filed, parts = source.mapInArrow(file, ddl), F.lit(1)
+    if few:
+        side = F.broadcast(crowded) if few <= HOT_CELLS else crowded  # size checked
+        filed, parts = filed.join(side, F.col("key") == F.col("hot"), "left"), F.coalesce("parts", F.lit(1))
+    filed = filed.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    filed = filed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    filed = filed.select(*schema.names, "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+    filed = filed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def compare(batches):
@@ -148,8 +171,8 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, tables: int = TABLES,
                 held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
             if held is None or not held.num_rows:
                 continue
-            keys = held.column("key").to_numpy()
-            begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            keys, i, j = (held.column(c).to_numpy() for c in ("key", "i", "j"))
+            begin = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             end = np.r_[begin[1:], len(keys)]
             if b is not None:  # the last run may go on
                 begin, end, rest = begin[:-1], end[:-1], held.slice(int(begin[-1]))
@@ -164,7 +187,8 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, tables: int = TABLES,
                 ids, copies = run.column("node").to_numpy(), run.column("copies").to_numpy()
                 vecs = matrix(run.column("unit").combine_chunks())
                 grid = matrix(run.column("cells").combine_chunks()).reshape(e - s, tables, 1 + probes)
-                for a, other, n in _bucket_links(int(keys[s]), ids, own, copies, vecs, grid, cosine):
+                part = run.column("part").to_numpy() if i[s] != j[s] else None
+                for a, other, n in _bucket_links(int(keys[s]), ids, own, copies, vecs, grid, cosine, part):
                     out[0].append(a)
                     out[1].append(other)
                     out[2].append(n)
@@ -186,8 +210,11 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, tables: int = TABLES,
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _bucket_links(key, ids, own, copies, vecs, grid, cosine):
-    """Rows ``a, b, n`` of one bucket: counts (b = a, n > 0) and edges of a spanning forest (n = 0)."""
+def _bucket_links(key, ids, own, copies, vecs, grid, cosine, part=None):
+    """Rows ``a, b, n`` of one bucket: counts (b = a, n > 0) and edges of a spanning forest (n = 0).
+
+    Where two parts of a cell meet, only pairs across them count; pairs within a part have a task of their own.
+    """
     n = len(ids)
     counts, label = np.zeros(n, np.int64), np.arange(n)
     edge_a, edge_b = [], []
@@ -203,6 +230,8 @@ def _bucket_links(key, ids, own, copies, vecs, grid, cosine):
             a, b = slice(s, s + _ROWS), slice(e, e + _ROWS)
             near = vecs[a] @ vecs[b].T >= cosine - 1e-12
             near &= (own[a][:, None] | own[b][None, :]) & (ids[a][:, None] != ids[b][None, :])
+            if part is not None:
+                near &= part[a][:, None] != part[b][None, :]
             if s == e:
                 near &= np.tri(*near.shape, k=-1, dtype=bool).T
             i, j = np.nonzero(near)

@@ -65,6 +65,16 @@ def test_links_counts_and_components(spark):
     assert lattice.near_duplicates(_frame(spark, x).limit(0)).count() == 0
 
 
+def test_a_crowded_cell_is_cut_into_parts(spark):
+    """Every two parts meet once: the same links and components as in one task."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=64) + rng.normal(size=(300, 64)) * 0.02, _groups(2, 60)])
+    frame = _frame(spark, x, [(5000, [float(v) for v in x[0]], 0)])
+    whole = sorted(map(tuple, lattice.near_duplicates(frame).collect()))
+    for part_rows in (1, 40, 250):
+        assert sorted(map(tuple, lattice.near_duplicates(frame, part_rows=part_rows).collect())) == whole
+
+
 def test_a_pair_is_counted_once_in_a_hot_group(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(size=64) + rng.normal(size=(400, 64)) * 0.02, rng.normal(size=(100, 64))])
