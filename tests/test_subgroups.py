@@ -76,7 +76,7 @@ def test_bounds_spare_counting(spark, monkeypatch):
 def test_forty_covariables_at_depth_three(spark):
     """The planted rule is found although hardly two rows share all their categories."""
     rows, xs, df = table(spark, 4000, 40)
-    best = subgroups.subgroups(df, "y", xs, beam=10, support=0.05, depth=3).filter("target = 'y=hit' AND depth = 3").orderBy("lift", ascending=False).first()
+    best = subgroups.subgroups(df, "y", xs, beam=10, support=0.02, depth=3).filter("target = 'y=hit' AND depth = 3").orderBy("lift", ascending=False).first()
     assert "x1=a, x2=b" in best["rule"] and best["prec"] > 0.8
 
 
