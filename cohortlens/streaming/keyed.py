@@ -25,6 +25,7 @@ GRID_BINS = 64
 FINEST = -20  # widths go down to 2**-20
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _SETTING = "spark.sql.streaming.stateStore.providerClass"
+_PARTITIONS = "spark.sql.shuffle.partitions"
 
 STATE = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("nulls", T.LongType()), T.StructField("mean", T.DoubleType()),
@@ -124,13 +125,16 @@ def _plain(row: tuple) -> tuple:
 
 
 def running_statistics(
-    stream: DataFrame, checkpoint_location: str, variables: list, by=(), once: bool = True,
+    stream: DataFrame, checkpoint_location: str, variables: list, by=(), once: bool = True, stores: int | None = None,
 ) -> StreamingQuery:
     """Keep the statistics of numeric ``variables`` per group up to date from a stream.
 
     Each task first sums up its part of a micro-batch, one row per group and variable, so a group that
     holds a third of all rows is one row per task. The store commits with the batch: after a restart from the same
     ``checkpoint_location`` no row is missed or counted twice. ``read_statistics`` reads the store.
+
+    Every micro-batch opens and commits each part of the store, with rows or without, so there are ``stores`` parts:
+    as many as the cluster has cores, at most the session's shuffle partitions. Their number stays with the checkpoint.
     """
     by, spark = list(by), stream.sparkSession
     keys = T.StructType([stream.schema[c] for c in by] + [T.StructField("variable", T.StringType())])
@@ -157,13 +161,17 @@ def running_statistics(
     running = each.mapInPandas(partial, schema).groupBy(*keys.names).transformWithStateInPandas(
         statefulProcessor=_Running(), outputStructType=T.StructType([T.StructField("n", T.LongType())]),
         outputMode="Update", timeMode="None")
-    before = spark.conf.get(_SETTING, None)
-    spark.conf.set(_SETTING, STORE)  # the query keeps the setting it starts with
+    parts = stores or min(spark.sparkContext.defaultParallelism, int(spark.conf.get(_PARTITIONS)))
+    settings = {_SETTING: STORE, _PARTITIONS: str(parts)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)  # the query keeps the settings it starts with
     try:
         writer = running.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint_location)
         return (writer.trigger(availableNow=True) if once else writer).start()
     finally:
-        spark.conf.unset(_SETTING) if before is None else spark.conf.set(_SETTING, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def read_states(spark: SparkSession, checkpoint_location: str, by=()) -> DataFrame:

@@ -173,3 +173,20 @@ def test_running_statistics_restart_and_odd_rows(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
     with pytest.raises(ValueError):
         keyed.running_statistics(spark.readStream.schema("n string, x double").parquet(str(tmp_path / "in")), str(tmp_path / "p"), ["x"], ["n"])
+
+
+def test_store_has_as_many_parts_as_cores(spark, tmp_path):
+    """A batch opens every part, so 64 shuffle partitions are not 64 parts; the session keeps its own setting."""
+    spark.createDataFrame([("a", 1.0), ("b", None), ("b", 3.0)], "g string, x double").write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        for name, stores, parts in (("cores", None, spark.sparkContext.defaultParallelism), ("three", 3, 3)):
+            stream = spark.readStream.schema("g string, x double").parquet(str(tmp_path / "in"))
+            keyed.running_statistics(stream, str(tmp_path / name), ["x"], ["g"], stores=stores).awaitTermination()
+            assert len([p for p in (tmp_path / name / "state" / "0").iterdir() if p.name.isdigit()]) == parts
+            got = {r["g"]: (r["count"], r["null_count"]) for r in keyed.read_statistics(spark, str(tmp_path / name), ["g"]).collect()}
+            assert got == {"a": (1, 0), "b": (1, 1)}
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
