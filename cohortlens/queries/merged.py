@@ -34,7 +34,8 @@ def _ranks(found, rows, by=()):
     names = [r["variable"] for r in found.select("variable").distinct().collect()]
     long = rows.select(*by, F.inline(F.array(*[
         F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in names]))).filter("x IS NOT NULL")
-    ranked = long.join(values, [*by, "variable"]).groupBy(*by, "variable", "p", "count").agg(
+    # three rows per group and variable: by these keys a shuffle would put each variable's rows into one task
+    ranked = long.join(F.broadcast(values), [*by, "variable"]).groupBy(*by, "variable", "p", "count").agg(
         F.count_if(F.col("x") < F.col("q")).alias("below"), F.count_if(F.col("x") <= F.col("q")).alias("upto"))
     off = F.greatest(F.col("below") / F.col("count") - F.col("p"), F.col("p") - F.col("upto") / F.col("count"))
     return ranked.select(*by, "variable", F.round(100 * F.col("p")).cast("int").alias("percent"), "count", (off <= rank_error()).alias("close"))

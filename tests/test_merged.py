@@ -190,3 +190,19 @@ def test_store_has_as_many_parts_as_cores(spark, tmp_path):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_ranks_are_counted_where_the_rows_are(spark):
+    """Rows meet their three quartiles without a shuffle, which would bring each variable's rows into one task."""
+    from cohortlens.queries.merged import _ranks
+
+    df = spark.range(900).select((F.col("id") % 3).alias("part"), F.col("id").cast("double").alias("x"), F.col("id").alias("y"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = _ranks(federation.merge_summary(moments.moment_states(df, ["x", "y"], ["part"], sketches=True)), df)
+        top = out._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
+        assert "rightHint=(strategy=broadcast)" in top.split("\n")[0]
+        assert sorted(map(tuple, out.collect())) == [(v, p, 900, True) for v in "xy" for p in (25, 50, 75)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
