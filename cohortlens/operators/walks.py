@@ -28,7 +28,7 @@ def turns_needed(damping: float, error: float) -> int:
 
 
 def subject_walks(
-    df: DataFrame, key: str, columns: list, seeds: DataFrame, damping: float = 0.85, error: float = 1e-4,
+    df: DataFrame, key: str, columns: list, seeds: DataFrame, damping: float = 0.85, error: float = 1e-4, totals=(),
 ) -> DataFrame:
     """(seed, key, score) for the subjects that a seed's walk visits noticeably.
 
@@ -38,6 +38,10 @@ def subject_walks(
     cut into equal-width bins; a null value links with nothing, and a seed without any value keeps what it starts with.
     Subjects with equal values are one profile. No turn waits for the driver; their number follows from
     ``damping`` and ``error``.
+
+    With ``totals``, columns of ``df``, the result is (seed, totals..., subjects, score): the rows of ``df`` whose key the
+    walk visits, counted and their scores added up. Then no row per seed and subject is made: keys with the same
+    profiles are counted first and scored once.
     """
     if not 0 < damping < 1 or not 0 < error < 1:
         raise ValueError("damping and error lie between 0 and 1")
@@ -48,7 +52,9 @@ def subject_walks(
         value = bin_index(F.col(f"`{c}`").cast("double"), *ranges[c], NUMERIC_BINS) if c in ranges else F.col(f"`{c}`")
         cells.append(F.when(value.isNotNull(), F.concat(F.lit(f"{i}:"), value.cast("string"))).alias(f"_v{i}"))
     values = F.array_compact(F.array(*[F.col(f"_v{i}") for i in range(len(columns))]))
-    subjects = df.select(F.col(f"`{key}`").alias("_key"), *cells).select("_key", values.alias("_values"))
+    kept = [F.col(f"`{c}`").alias(f"_t{i}") for i, c in enumerate(totals)]
+    marks = [f"_t{i}" for i in range(len(kept))]
+    subjects = df.select(F.col(f"`{key}`").alias("_key"), *kept, *cells).select("_key", *marks, values.alias("_values"))
     subjects = checkpoint(subjects.withColumn("_profile", F.xxhash64("_values")).filter(F.col("_key").isNotNull()))
     profiles = subjects.groupBy("_profile", "_values").agg(F.count(F.lit(1)).alias("_m")).withColumn("_held", F.size("_values"))
     edges = profiles.select("_profile", "_m", "_held", F.explode("_values").alias("_value"))
@@ -80,7 +86,39 @@ def subject_walks(
             F.when(moves, F.lit(0.0)).otherwise(F.col("_r")).alias("_r"))
         if turn % TURNS_A_JOB == TURNS_A_JOB - 1:
             reached, waiting = checkpoint(reached), checkpoint(waiting)
+    if totals:
+        groups = _totals(subjects, marks, reached.filter(F.col("_p") > 0), start.select("_seed", own))
+        return groups.select(F.col("_seed").alias("seed"), *[F.col(m).alias(c) for m, c in zip(marks, totals)], "subjects", "score")
     found = reached.filter(F.col("_p") > 0).join(subjects.select("_key", "_profile"), "_profile").select("_seed", "_key", F.col("_p").alias("score"))
     seeded = start.select("_seed", F.col("_seed").alias("_key"), own.alias("score"))
     total = found.unionByName(seeded).groupBy("_seed", "_key").agg(F.sum("score").alias("score"))
     return total.select(F.col("_seed").alias("seed"), F.col("_key").alias(key), "score")
+
+
+def _totals(subjects: DataFrame, marks: list, reached: DataFrame, own: DataFrame) -> DataFrame:
+    """(_seed, marks..., subjects, score) over the rows of the keys that a seed reached, itself included.
+
+    A key scores what its rows' profiles do, and each of its rows counts with the key's score. Keys with the same number of
+    rows of each profile are alike, so the walk is joined with one bundle of profiles for all of them.
+    """
+    def bundled(rows):
+        """(_key, _rows, _bundle): per key its rows by marks and profile, and by profile alone, in order."""
+        counted = rows.groupBy("_key", *marks, "_profile").agg(F.count(F.lit(1)).alias("_n"))
+        each = counted.groupBy("_key").agg(F.collect_list(F.struct(*marks, "_profile", "_n")).alias("_rows"))
+        profiles = F.array_sort(F.array_distinct(F.col("_rows._profile")))
+        of_profile = F.transform(profiles, lambda p: F.struct(p.alias("_profile"), F.aggregate(
+            F.filter("_rows", lambda r: r["_profile"] == p), F.lit(0).cast("bigint"), lambda a, r: a + r["_n"]).alias("_c")))
+        return each.select("_key", "_rows", of_profile.alias("_bundle"))
+
+    keys = bundled(subjects)
+    classes = checkpoint(keys.select("_bundle", F.inline("_rows")).groupBy("_bundle", *marks).agg(F.sum("_n").alias("_n")))
+    holding = classes.select("_bundle").distinct().select("_bundle", F.inline("_bundle"))
+    visited = checkpoint(reached.join(holding, "_profile").groupBy("_seed", "_bundle").agg(F.sum(F.col("_p") * F.col("_c")).alias("_score")))
+    walked = visited.join(classes, "_bundle").select(
+        "_seed", *marks, F.col("_n").alias("subjects"), (F.col("_n") * F.col("_score")).alias("score"))
+    # a seed's own share goes to its rows; they are counted here if the walk did not come back to them
+    seeds = own.groupBy("_seed").agg(F.sum("_own").alias("_own"))
+    at = bundled(subjects.join(seeds, F.col("_key") == F.col("_seed"), "left_semi")).withColumnRenamed("_key", "_seed").join(seeds, "_seed")
+    seeded = at.join(visited, ["_seed", "_bundle"], "left").select("_seed", F.col("_score").isNull().alias("_new"), "_own", F.inline("_rows")).select(
+        "_seed", *marks, F.when(F.col("_new"), F.col("_n")).otherwise(F.lit(0)).alias("subjects"), (F.col("_n") * F.col("_own")).alias("score"))
+    return walked.unionByName(seeded).groupBy("_seed", *marks).agg(F.sum("subjects").alias("subjects"), F.sum("score").alias("score"))

@@ -246,10 +246,10 @@ def subject_walks(spark, d):
     """Where walks from some orders over priorities and statuses go, added up over orders alike."""
     o = table(spark, d, "orders")
     seeds = o.filter("o_orderkey % 5000 = 1").select("o_orderkey")
-    found = walks.subject_walks(o, "o_orderkey", ["o_orderpriority", "o_orderstatus"], seeds, 0.3, 1e-8)
-    named = found.join(o, "o_orderkey")
-    return named.groupBy("seed", F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status")).agg(
-        F.count(F.lit(1)).alias("subjects"), F.round(F.sum("score"), 3).alias("score"))
+    alike = ["o_orderpriority", "o_orderstatus"]
+    found = walks.subject_walks(o, "o_orderkey", alike, seeds, 0.3, 1e-8, totals=alike)
+    return found.select("seed", F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"),
+                        "subjects", F.round("score", 3).alias("score"))
 
 
 # one standardised input: shrunk by 1 + share of l2 / spread of the target, after the share of l1 is taken off

@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from cohortlens.operators import walks
 
 
@@ -68,3 +70,32 @@ def test_numeric_columns_and_wrong_parameters(spark):
     assert {(1, 1), (1, 2), (1, 3), (4, 4)} <= got and (4, 1) not in got
     with pytest.raises(ValueError):
         walks.subject_walks(df, "k", ["g"], df.select("k"), damping=1.0)
+
+
+def test_totals_are_those_of_the_single_rows(spark):
+    """Also with null and repeated keys, seeds without values or without a row, and columns that the walk does not use."""
+    rng, (rows, _) = random.Random(2), table(spark, 80)
+    data = [(rng.choice([None, i // 2, i]), *r, rng.choice([None, "u", "v"])) for i, r in enumerate(rows)] + [(3, "a1", None, "x", "u")] * 3
+    df = spark.createDataFrame(data, "k long, a string, b string, c string, t string").repartition(4)
+    seeds = spark.createDataFrame([(s,) for s in (1, 3, 3, 7, 80, 81, 999, None)], "s long")
+    for by in (["t"], ["a", "t"]):
+        args = (df, "k", ["a", "b", "c"], seeds, 0.1, 5e-3)
+        want = walks.subject_walks(*args).join(df, "k").groupBy("seed", *by).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"))
+        want = {tuple(r[c] for c in ("seed", *by)): (r["n"], pytest.approx(r["s"], abs=1e-12)) for r in want.collect()}
+        got = walks.subject_walks(*args, totals=by)
+        assert got.columns == ["seed", *by, "subjects", "score"]
+        assert {tuple(r[c] for c in ("seed", *by)): (r["subjects"], r["score"]) for r in got.collect()} == want
+
+
+def test_totals_make_no_row_per_seed_and_subject(spark, monkeypatch):
+    """Seeds and subjects only meet as kinds of subjects: what the end joins has a row per seed and bundle of profiles."""
+    made, kept = [], walks.checkpoint
+    monkeypatch.setattr(walks, "checkpoint", lambda df: made.append(kept(df)) or made[-1])
+    df = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 3).cast("string").alias("g"))
+    out = walks.subject_walks(df, "k", ["g"], df.filter("k % 10 = 0").select("k"), 0.3, 0.01, totals=["g"])
+    got = {(r["seed"], r["g"]): (r["subjects"], round(r["score"], 6)) for r in out.collect()}
+    pairs = [m.count() for m in made if {"_seed", "_bundle"} <= set(m.columns)]
+    assert pairs == [0] and len(got) == 300 and set(got.values()) == {(1, 0.7)}  # too little for each of a thousand
+    out = walks.subject_walks(df, "k", ["g"], df.filter("k % 10 = 0").select("k"), 0.1, 1e-5, totals=["g"])
+    assert {(r["subjects"], round(r["score"], 2)) for r in out.collect()} == {(1000, 1.0)}
+    assert [m.count() for m in made if {"_seed", "_bundle"} <= set(m.columns)] == [0, 300]
