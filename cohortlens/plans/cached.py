@@ -66,10 +66,10 @@ def cached_mining(
     found = C.cache_get(entries, asked)[0].select("data").limit(1).collect()
     if found:
         return CachedResult(_rows(spark, found[0]["data"]), True)
-    result = checkpoint(run_mining(spark, catalog, query).data.select(
-        F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")))
-    n, weight = result.agg(F.count(F.lit(1)), F.coalesce(F.sum(C.json_weight(F.col("row"))), F.lit(0))).first()
-    if n > RESULT_ROWS or weight > C.MAX_WEIGHT:
+    rows = checkpoint(run_mining(spark, catalog, query).data)
+    result = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
+    # documents are longer than rows, and weighing takes longer than making them: both only where they can be stored
+    if rows.count() > RESULT_ROWS or result.agg(F.coalesce(F.sum(C.json_weight(F.col("row"))), F.lit(0))).first()[0] > C.MAX_WEIGHT:
         return CachedResult(result, False, False)
     document = "[" + ",".join(r["row"] for r in small_rows(result, RESULT_ROWS, "rows of a cached result")) + "]"
     entry = asked.withColumn("timestamp", F.current_timestamp()).withColumn("data", F.lit(document)).withColumn(

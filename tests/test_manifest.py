@@ -1,5 +1,6 @@
 """Fingerprints by files: what is read, and that they follow the contents."""
 
+import json
 import os
 import time
 
@@ -96,3 +97,17 @@ def test_heavy_results_come_back_whole(spark, tmp_path, monkeypatch):
         monkeypatch.undo()
     assert MAX_WEIGHT == cached.C.MAX_WEIGHT
     assert cached.cached_mining(spark, catalog, asked, str(tmp_path / "kept")).stored
+
+
+def test_results_of_too_many_rows_are_not_weighed(spark, tmp_path, monkeypatch):
+    """They come back whole; documents are made and weighed only of what can be stored."""
+    rows = spark.range(300).select("id", F.rand(1).alias("x"), F.rand(2).alias("y"))
+    catalog = Catalog([FeatureTable("t", lambda s: rows, "id")])
+    asked = MiningQuery(variables=("x", "y"), target_table="t", algorithm=AlgorithmSpec("pca", {"result": "scores"}))
+    kept = [r["row"] for r in cached.cached_mining(spark, catalog, asked, str(tmp_path / "kept")).data.collect()]
+    weighed, weight = [], cached.C.json_weight
+    monkeypatch.setattr(cached.C, "json_weight", lambda c: weighed.append(c) or weight(c))
+    monkeypatch.setattr(cached, "RESULT_ROWS", 299)
+    out = cached.cached_mining(spark, catalog, asked, str(tmp_path / "many"))
+    assert not out.stored and not weighed
+    assert sorted(json.loads(r["row"])["id"] for r in out.data.collect()) == sorted(json.loads(r)["id"] for r in kept) == list(range(300))
